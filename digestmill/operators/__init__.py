@@ -1,0 +1 @@
+"""Operators of the ingest and digest engine."""

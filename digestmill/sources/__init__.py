@@ -1,0 +1 @@
+"""Sources of the ingest and digest engine."""

@@ -1,0 +1 @@
+"""Streaming of the ingest and digest engine."""
