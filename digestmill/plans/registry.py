@@ -25,6 +25,7 @@ def query(name: str, oracle: str | None = None):
 
         run.__name__ = name
         run.__doc__ = function.__doc__
+        run.__wrapped_module__ = function.__module__
         QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = duck(oracle)

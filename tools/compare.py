@@ -66,6 +66,7 @@ def check(spark, name, run, sql, sf_dir):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--module", default="")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from digestmill.plans.queries import ORACLES, QUERIES
@@ -74,6 +75,8 @@ def main() -> int:
     spark = local_session()
     failed = []
     for name, run in QUERIES.items():
+        if args.module and not run.__wrapped_module__.endswith(args.module):
+            continue
         if args.names and not any(part in name for part in args.names):
             continue
         start = time.time()
