@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from digestmill.plans import ledger_queries, library_queries, url_queries  # noqa: F401
+from digestmill.plans import ledger_queries, library_queries, transcript_queries, url_queries  # noqa: F401
 from digestmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
