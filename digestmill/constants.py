@@ -175,7 +175,7 @@ METADATA_KEYS = (
     "id", "title", "uploader", "channel", "duration", "duration_string", "upload_date", "webpage_url",
     "extractor", "description", "tags", "subtitles", "automatic_captions", "language",
 )
-NO_SUBTITLES_LINE = "Transcript: No public subtitles were found by the metadata extractor."
+NO_SUBTITLES_LINE = "Transcript: No public subtitles were found by yt-dlp in this M2-lite extractor."
 
 # --- fixed values: notification payload fields ---
 NOTIFICATION_FIELDS = (
