@@ -43,7 +43,7 @@ def lines(text: Column) -> Column:
 
 def present(text: Column) -> Column:
     """NULL for an empty string."""
-    return F.nullif(text, F.lit(""))
+    return let(text, lambda value: F.when(value != "", value))
 
 
 def first_present(*texts: Column) -> Column:
@@ -125,18 +125,26 @@ def _numeric(piece: Column) -> Column:
 
 def _named(piece: Column) -> Column:
     """A piece that starts with a name; without its semicolon the longest known prefix counts."""
-    full, legacy = _literal_map(dict(html5)), _literal_map({key: text for key, text in html5.items() if not key.endswith(";")})
     longest = max(len(key) for key in html5 if not key.endswith(";"))
 
-    def by_name(name: Column) -> Column:
-        exact = F.try_element_at(full, name)
-        chain = F.when(exact.isNotNull(), F.concat(exact, F.substr(piece, F.length(name) + 1)))
-        for size in range(longest, 1, -1):
-            hit = F.try_element_at(legacy, F.substring(name, 1, size))
-            chain = chain.when((F.length(name) > size) & hit.isNotNull(), F.concat(hit, F.substr(piece, F.lit(size + 1))))
-        return chain.otherwise(F.concat(F.lit("&"), piece))
+    def by_name(names: Column, name: Column) -> Column:
+        exact = F.try_element_at(names, name)
+        # Only names that are known without a semicolon can match a shortened key.
+        hits = F.filter(
+            F.transform(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda size: F.struct(size.alias("size"), F.try_element_at(names, F.substr(name, F.lit(1), size)).alias("text"))),
+            lambda hit: hit["text"].isNotNull() & (hit["size"] < F.length(name)),
+        )
+        known = F.coalesce(
+            F.when(exact.isNotNull(), F.struct(F.length(name).alias("size"), exact.alias("text"))),
+            F.try_element_at(hits, F.lit(1)),
+        )
+        return let(
+            known,
+            lambda hit: F.when(hit.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(hit["text"], F.substr(piece, hit["size"] + 1))),
+        )
 
-    return let(F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,32};?)", 1), by_name)
+    name = F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,32};?)", 1)
+    return let(_literal_map(dict(html5)), lambda names: let(name, lambda value: by_name(names, value)))
 
 
 def unescape_html(text: Column) -> Column:
@@ -149,9 +157,11 @@ def unescape_html(text: Column) -> Column:
         chain = chain.when(~F.coalesce(F.rlike(piece, F.lit(r"^[#A-Za-z]")), F.lit(False)), F.concat(F.lit("&"), piece))
         return chain.when(F.rlike(piece, F.lit(_NUMBER)), _numeric(piece)).otherwise(_named(piece))
 
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(
-        F.array_join(F.transform(F.split(text, "&"), decode), "")
-    )
+    def expand(value: Column) -> Column:
+        pieces = F.transform(F.split(value, "&"), decode)
+        return F.when(F.contains(value, F.lit("&")), F.array_join(pieces, "")).otherwise(value)
+
+    return let(text, expand)
 
 
 def clean_text(text: Column) -> Column:

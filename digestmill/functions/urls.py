@@ -145,7 +145,7 @@ def _v6_hex(text: Column) -> Column:
         return let(sides, join)
 
     parsed = let(let(F.substring_index(text, "%", 1), without_quad), fill)
-    return F.when(F.contains(text, F.lit(":")), parsed)
+    return F.when(F.contains(text, F.lit(":")) & ~F.rlike(text, F.lit(":::|::.*::")), parsed)
 
 
 def ip_hex(text: Column) -> Column:

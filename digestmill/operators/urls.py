@@ -110,7 +110,7 @@ def address_text(address: Column) -> Column:
             chain = F.when(found, folded) if chain is None else chain.when(found, folded)
         return chain.otherwise(full)
 
-    return F.when(F.length(address) == 8, groups(2, 4, 10, ".")).otherwise(let(groups(4, 8, 16, ":"), fold))
+    return F.when(F.length(address) == 8, groups(2, 4, 10, ".")).when(F.length(address) == 32, let(groups(4, 8, 16, ":"), fold))
 
 
 def _network_global(lo: Column, hi: Column) -> Column:
