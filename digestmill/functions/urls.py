@@ -153,19 +153,20 @@ def ip_hex(text: Column) -> Column:
     return F.lower(F.coalesce(_v4_hex(text), _v6_hex(text)))
 
 
-def _bounds(cidr: str) -> tuple[str, str]:
+def bounds(cidr: str) -> tuple[str, str]:
     network = ipaddress.ip_network(cidr)
     width = 8 if network.version == 4 else 32
     return f"{int(network.network_address):0{width}x}", f"{int(network.broadcast_address):0{width}x}"
 
 
+def ranges(cidrs: tuple[str, ...]) -> Column:
+    """Constant ARRAY<STRUCT<lo, hi>> of fixed networks."""
+    return F.array(*[F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")) for low, high in map(bounds, cidrs)])
+
+
 def in_ranges(address: Column, cidrs: tuple[str, ...]) -> Column:
     """Whether a hex address lies in one of a fixed list of networks."""
-    inside = F.lit(False)
-    for cidr in cidrs:
-        low, high = _bounds(cidr)
-        inside = inside | ((F.length(address) == len(low)) & address.between(low, high))
-    return inside
+    return F.exists(ranges(cidrs), lambda net: (F.length(net["lo"]) == F.length(address)) & address.between(net["lo"], net["hi"]))
 
 
 def _unmapped(address: Column) -> Column:

@@ -113,23 +113,19 @@ def address_text(address: Column) -> Column:
     return F.when(F.length(address) == 8, groups(2, 4, 10, ".")).when(F.length(address) == 32, let(groups(4, 8, 16, ":"), fold))
 
 
+def _holds(lo: Column, hi: Column, cidrs: tuple[str, ...]) -> Column:
+    """Whether one of the fixed networks holds both ends of a network."""
+    return F.exists(U.ranges(cidrs), lambda net: (F.length(net["lo"]) == F.length(lo)) & (net["lo"] <= lo) & (hi <= net["hi"]))
+
+
 def _network_global(lo: Column, hi: Column) -> Column:
     """A network is private when one private range holds both of its ends."""
-    shared = U.in_ranges(lo, (K.SHARED_V4,)) & U.in_ranges(hi, (K.SHARED_V4,))
-    private = F.lit(False)
-    for cidr in K.PRIVATE_V4 + K.PRIVATE_V6:
-        private = private | (U.in_ranges(lo, (cidr,)) & U.in_ranges(hi, (cidr,)))
-    for cidr in K.PRIVATE_V4_EXCEPT + K.PRIVATE_V6_EXCEPT:
-        private = private & ~(U.in_ranges(lo, (cidr,)) & U.in_ranges(hi, (cidr,)))
-    return ~shared & ~private
+    private = _holds(lo, hi, K.PRIVATE_V4 + K.PRIVATE_V6) & ~_holds(lo, hi, K.PRIVATE_V4_EXCEPT + K.PRIVATE_V6_EXCEPT)
+    return ~_holds(lo, hi, (K.SHARED_V4,)) & ~private
 
 
 def _overlaps(lo: Column, hi: Column, cidrs: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for cidr in cidrs:
-        low, high = U._bounds(cidr)
-        hit = hit | ((F.length(lo) == len(low)) & (lo <= high) & (hi >= low))
-    return hit
+    return F.exists(U.ranges(cidrs), lambda net: (F.length(net["lo"]) == F.length(lo)) & (lo <= net["hi"]) & (hi >= net["lo"]))
 
 
 def normalize_cidrs(settings: DataFrame) -> DataFrame:
