@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def in_order(frame: DataFrame, key: str, order: str, value: Column, name: str, c
     return ranges.withColumn("_ok", F.col("_ok") & F.coalesce(F.col("_first") >= border, F.lit(True))).groupBy(key).agg(
         F.bool_and("_ok").alias(name)
     )
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the session.
+
+    The cluster names a shared folder in ``spark.checkpoint.dir``; one is made only where that is unset.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="digestmill-checkpoint-"))
+    return frame.checkpoint(eager=True)
