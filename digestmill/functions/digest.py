@@ -217,9 +217,8 @@ def match_tokens(text: Column) -> Column:
 
     def tokens(clean: Column) -> Column:
         runs = F.regexp_extract_all(clean, F.lit(rf"([a-z0-9]{{3,}}|[{T.CJK}]{{2,}})"), F.lit(1))
-        pairs = F.when(
-            F.length(clean) > 1, F.transform(F.sequence(F.lit(1), F.length(clean) - 1), lambda i: F.substr(clean, i, F.lit(2)))
-        ).otherwise(_strings())
+        # Overlapping pairs by look-ahead: one pass, where cutting pairs out by position is quadratic.
+        pairs = F.regexp_extract_all(clean, F.lit(r"(?=([\x{0}-\x{D7FF}\x{E000}-\x{10FFFF}]{2}))"), F.lit(1))
         return F.array_except(F.concat(runs, pairs), F.array(*[F.lit(word) for word in K.TOKEN_STOP_WORDS]))
 
     return T.let(F.regexp_replace(F.lower(text), f"[^{T.WORD}{T.CJK}]", ""), tokens)

@@ -212,14 +212,15 @@ def pick_youtube_track(videos: DataFrame, tracks: DataFrame) -> DataFrame:
         .withColumn("cues", F.filter(cues, lambda c: c["text"] != ""))
         .withColumn("numbered", _first_flags(line, texts))
         .withColumn("transcript", F.array_join(F.transform(kept, lambda n: n["line"]), "\n"))
-        .filter((F.col("transcript") != "") & ~low_value(F.col("transcript")))
     )
+    # Ranked, not filtered: a filter would be pushed below the parse and repeat it.
+    order = F.when((F.col("transcript") != "") & ~low_value(F.col("transcript")), F.struct("auto", "place", "format"))
     source = F.when(F.col("auto"), "youtube_auto_subtitle").otherwise("youtube_manual_subtitle")
     vtt = F.when(srt, R.srt_to_vtt(F.col("body"))).otherwise(T.strip(F.col("body")))
     best = candidates.groupBy("doc_id").agg(
-        F.min_by(F.struct(source.alias("status"), "language", "transcript", vtt.alias("subtitle_vtt")), F.struct("auto", "place", "format")).alias("b")
+        F.min_by(F.struct(source.alias("status"), "language", "transcript", vtt.alias("subtitle_vtt")), order).alias("b")
     )
-    return best.select("doc_id", "b.*")
+    return best.filter("b IS NOT NULL").select("doc_id", "b.*")
 
 
 def _first_flags(lines: Column, texts: Column) -> Column:

@@ -286,6 +286,18 @@ def describe_quality(transcripts: DataFrame) -> DataFrame:
     return rows.select("doc_id", confidence.alias("confidence"), "character_count", "t.*")
 
 
+def edit_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance. Close texts are settled inside a narrow band; only distant ones pay for the full table."""
+
+    def measure(pair: Column) -> Column:
+        def within(limit: int, wider: Column) -> Column:
+            return T.let(F.levenshtein(pair["a"], pair["b"], limit), lambda found: F.when(found >= 0, found).otherwise(wider))
+
+        return within(100, within(800, F.levenshtein(pair["a"], pair["b"])))
+
+    return T.let(F.struct(left.alias("a"), right.alias("b")), measure)
+
+
 def evaluate_asr(pairs: DataFrame) -> DataFrame:
     """Character error rate of ``hypothesis`` against ``reference`` with a grade.
 
@@ -293,7 +305,7 @@ def evaluate_asr(pairs: DataFrame) -> DataFrame:
     """
     size = K.CER_SAMPLE_CHARS
     rows = pairs.withColumn("ref", C.normalized(F.col("reference"))).withColumn("hyp", C.normalized(F.col("hypothesis")))
-    scored = rows.withColumn("distance", F.levenshtein(F.substring("ref", 1, size), F.substring("hyp", 1, size))).withColumn(
+    scored = rows.withColumn("distance", edit_distance(F.substring("ref", 1, size), F.substring("hyp", 1, size))).withColumn(
         "evaluated_chars", F.least(F.length("ref"), F.lit(size))
     ).withColumn("t", timing_fields(F.col("hypothesis"), F.col("duration")))
     rate = F.col("distance") / F.greatest(F.col("evaluated_chars"), F.lit(1))

@@ -132,45 +132,38 @@ def normalize_cidrs(settings: DataFrame) -> DataFrame:
     """Trusted-network settings to canonical networks.
 
     In: ``setting_id, value``. Out: ``setting_id, pos, cidr, lo, hi, error``, one row per network in
-    first-seen order, or a single error row for a setting that is refused as a whole.
+    first-seen order, or a single error row for a setting that is refused as a whole. A setting is one
+    text, so all of it is judged inside its row.
     """
-    parts = settings.select("setting_id", F.posexplode(F.split(F.col("value"), f"(?:{WS}|,)+")).alias("pos", "raw"))
-    parsed = parts.filter("raw <> ''").withColumn("net", _network(F.col("raw")))
-    text = F.concat(address_text(F.col("net.lo")), F.lit("/"), F.col("net.prefix").cast("string"))
-    checked = parsed.select(
-        "setting_id", "pos", "raw", F.col("net.lo").alias("lo"), F.col("net.hi").alias("hi"), text.alias("cidr")
-    ).withColumn(
-        "error",
-        first_match(
-            [
-                (F.col("lo").isNull(), F.concat(F.lit("Invalid fake-ip CIDR: "), F.col("raw"))),
-                (_network_global(F.col("lo"), F.col("hi")), F.concat(F.lit("Fake-ip CIDR must not be globally routable: "), F.col("cidr"))),
-                (
-                    _overlaps(F.col("lo"), F.col("hi"), K.NEVER_TRUSTED_CIDRS),
-                    F.concat(F.lit("Fake-ip CIDR overlaps a protected local range: "), F.col("cidr")),
-                ),
-            ]
-        ),
-    )
-    first = checked.groupBy("setting_id", "cidr", "lo", "hi", "error").agg(F.min("pos").alias("pos"))
-    verdict = first.groupBy("setting_id").agg(
-        F.min_by(F.when(F.col("error").isNotNull(), F.col("error")), F.when(F.col("error").isNotNull(), F.col("pos"))).alias("first_error"),
-        F.count(F.when(F.col("error").isNull(), 1)).alias("networks"),
-    ).withColumn(
-        "first_error",
-        F.coalesce(
-            F.col("first_error"),
-            F.when(F.col("networks") > K.MAX_TRUSTED_CIDRS, F.lit(f"At most {K.MAX_TRUSTED_CIDRS} fake-ip CIDRs are supported.")),
-        ),
-    )
-    refused = verdict.filter("first_error IS NOT NULL").select(
-        "setting_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("cidr"),
-        F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi"), F.col("first_error").alias("error"),
-    )
-    accepted = first.join(verdict.filter("first_error IS NULL").select("setting_id"), "setting_id", "left_semi").select(
-        "setting_id", "pos", "cidr", "lo", "hi", "error"
-    )
-    return accepted.unionByName(refused)
+
+    def judge(raw: Column) -> Column:
+        def with_net(net: Column) -> Column:
+            text = F.concat(address_text(net["lo"]), F.lit("/"), net["prefix"].cast("string"))
+            problem = first_match(
+                [
+                    (net["lo"].isNull(), F.concat(F.lit("Invalid fake-ip CIDR: "), raw)),
+                    (_network_global(net["lo"], net["hi"]), F.concat(F.lit("Fake-ip CIDR must not be globally routable: "), text)),
+                    (
+                        _overlaps(net["lo"], net["hi"], K.NEVER_TRUSTED_CIDRS),
+                        F.concat(F.lit("Fake-ip CIDR overlaps a protected local range: "), text),
+                    ),
+                ]
+            )
+            return F.struct(text.alias("cidr"), net["lo"].alias("lo"), net["hi"].alias("hi"), problem.alias("error"))
+
+        return let(_network(raw), with_net)
+
+    def refuse(nets: Column) -> Column:
+        errors = F.filter(nets, lambda net: net["error"].isNotNull())
+        too_many = F.when(F.size(nets) > K.MAX_TRUSTED_CIDRS, F.lit(f"At most {K.MAX_TRUSTED_CIDRS} fake-ip CIDRs are supported."))
+        error = F.coalesce(F.try_element_at(errors, F.lit(1))["error"], too_many)
+        null = F.lit(None).cast("string")
+        refused = F.array(F.struct(null.alias("cidr"), null.alias("lo"), null.alias("hi"), error.alias("error")))
+        return F.when(error.isNotNull(), refused).otherwise(nets)
+
+    parts = F.filter(F.split(F.col("value"), f"(?:{WS}|,)+"), lambda raw: raw != "")
+    rows = settings.select("setting_id", F.posexplode(let(F.array_distinct(F.transform(parts, judge)), refuse)).alias("pos", "net"))
+    return rows.select("setting_id", F.when(F.col("net.error").isNull(), F.col("pos")).alias("pos"), "net.cidr", "net.lo", "net.hi", "net.error")
 
 
 def host_public_check(resolved: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -265,12 +265,34 @@ def _pick(name: str, dialect: int) -> str:
     return definition if isinstance(definition, str) else definition[dialect]
 
 
+# Tables whose rows are long texts: their work per byte is high.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def _scan(spark: SparkSession, path: str, spread: bool) -> str:
+    """SQL of a table scan. A text table that fills only a few splits is dealt out over the cores; a
+    table of cluster size has splits enough and is read as it is, without a shuffle."""
+    cores = spark.sparkContext.defaultParallelism
+    if spread and cores > 1:
+        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        size = int(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size <= split * cores // 4:
+            return f"SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`"
+    return f"SELECT * FROM parquet.`{path}`"
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a Spark size setting such as ``134217728b`` or ``128MB``."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     """A body over the base tables and the views, as a DataFrame."""
     views = [(name, _pick(name, 0)) for name in _needed(body, [])]
     text = body + " ".join(sql for _, sql in views)
     tables = [
-        (name, f"SELECT * FROM parquet.`{sf_dir}/{name}.parquet`")
+        (name, _scan(spark, f"{sf_dir}/{name}.parquet", name in TEXT_TABLES))
         for name in BASE_TABLES
         if re.search(rf"\b{name}\b", text)
     ]
@@ -280,5 +302,5 @@ def spark_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One base table or bound view."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.sql(_scan(spark, f"{sf_dir}/{name}.parquet", name in TEXT_TABLES))
     return spark_sql(spark, sf_dir, f"SELECT * FROM {name}")

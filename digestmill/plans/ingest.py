@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 from digestmill.functions import text as T
 from digestmill.functions import urls as U
+from digestmill.functions.scale import materialize
 from digestmill.operators import cache as C
 from digestmill.operators import digest as D
 from digestmill.operators import pages as P
@@ -46,20 +47,22 @@ def _extract(pages: DataFrame, parser: bool) -> DataFrame:
 
 def ingest_links(
     submissions: DataFrame, pages: DataFrame, cache: DataFrame, library: DataFrame, context: str, now=None,
-    ttl_seconds: int = K.CACHE_TTL_SECONDS, parser: bool = True,
+    ttl_seconds: int = K.CACHE_TTL_SECONDS, parser: bool = True, reuse: bool = True,
 ) -> Ingested:
     """Submitted links ``(job_id, url, instruction, summary_quality, force_refresh)`` to digests.
 
     Cached answers leave before any page is read. Each distinct source and instruction is digested once,
-    however many jobs ask for it, and only pages that are asked for reach the parser.
+    however many jobs ask for it, and only pages that are asked for reach the parser. With ``reuse`` the
+    lookup and the extracts are kept in the checkpoint folder, because several outputs read them.
     """
+    keep = materialize if reuse else lambda frame: frame
     checked = submissions.withColumn("reason", U.url_status(F.col("url")))
     rejected = checked.filter("reason IS NOT NULL").select("job_id", F.lit("invalid_url").alias("error_code"), F.col("reason").alias("error_message"))
     routed = route(checked.filter("reason IS NULL")).withColumn("canonical_url", U.canonical_url(F.col("url")))
     keyed = routed.withColumn(
         "cache_key", C.cache_key(F.col("canonical_url"), F.col("instruction"), F.col("summary_quality"), F.lit(context))
     )
-    looked = C.cache_lookup(keyed, cache, library, ttl_seconds, now)
+    looked = keep(C.cache_lookup(keyed, cache, library, ttl_seconds, now))
     cached = looked.filter("hit").select("job_id", "result_json")
     misses = looked.filter("NOT hit").withColumn("doc_key", F.sha2("cache_key", 256))
     work = misses.groupBy("doc_key").agg(
@@ -73,8 +76,10 @@ def ingest_links(
     usable = P.usable_extracts(
         _extract(wanted, parser).withColumnRenamed("canonical_url", "url"), wanted.limit(0).select("url", F.lit("").alias("title"), F.lit("").alias("text"))
     ).withColumnRenamed("url", "canonical_url")
-    documents = work.join(usable.drop("from_fallback"), "canonical_url", "left").withColumn(
-        "error_code", F.when(F.col("text").isNull(), F.coalesce("error_code", F.lit("extraction_failed")))
+    documents = keep(
+        work.join(usable.drop("from_fallback"), "canonical_url", "left").withColumn(
+            "error_code", F.when(F.col("text").isNull(), F.coalesce("error_code", F.lit("extraction_failed")))
+        )
     )
     ready = documents.filter("error_code IS NULL").select(
         F.col("doc_key").alias("doc_id"), "canonical_url", "source_type", "instruction", T.first_present(F.col("title"), F.col("canonical_url")).alias("title"),
