@@ -12,9 +12,12 @@ _NOISE_TAGS = "script|style|noscript|svg|canvas|form|nav|footer|aside|header"
 _META = r"""(?is)(<meta\b(?:"[^"]*"|'[^']*'|[^'">])*>)"""
 
 
+def _raw_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def light_title(html: Column) -> Column:
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return T.clean_text(T.unescape_html(raw))
+    return T.clean_text(T.unescape_html(_raw_title(html)))
 
 
 def light_text(html: Column) -> Column:
@@ -28,17 +31,27 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
 
 
+def meta_raw(html: Column, attribute: str, value: str) -> Column:
+    """Raw content of the first ``<meta>`` whose attribute has the value; NULL when absent."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_META), F.lit(1)), lambda tag: _attribute(tag, attribute) == value)
+    return T.let(F.try_element_at(tags, F.lit(1)), lambda tag: _attribute(tag, "content"))
+
+
 def meta_content(html: Column, attribute: str, value: str) -> Column:
     """Cleaned content of the first ``<meta>`` whose attribute has the value; empty when absent."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(_META), F.lit(1)), lambda tag: _attribute(tag, attribute) == value)
-    return T.let(F.try_element_at(tags, F.lit(1)), lambda tag: F.when(tag.isNull(), F.lit("")).otherwise(T.clean_text(_attribute(tag, "content"))))
+    return T.clean_text(meta_raw(html, attribute, value))
+
+
+def _first_clean(*raw: Column) -> Column:
+    """The first candidate that is not empty once cleaned. One cleaning expression serves all of them."""
+    return F.try_element_at(F.filter(F.transform(F.array(*raw), T.clean_text), lambda text: text != ""), F.lit(1))
 
 
 def first_heading(html: Column) -> Column:
-    """Text of the first h1 outside the noise elements."""
+    """Raw text of the first h1 outside the noise elements."""
     kept = F.regexp_replace(html, rf"(?is)<({_NOISE_TAGS})\b[^>]*>.*?</\1>", " ")
     inner = F.regexp_extract(kept, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
-    return T.clean_text(F.regexp_replace(inner, r"(?s)<[^>]+>", " "))
+    return F.regexp_replace(inner, r"(?s)<[^>]+>", " ")
 
 
 def json_ld_article(html: Column) -> Column:
@@ -84,7 +97,7 @@ def json_ld_fields(html: Column) -> Column:
         body = T.first_present(get(item, "$.articleBody"), get(item, "$.text"))
         return F.struct(
             F.coalesce(get(item, "$['@type']"), get(item, "$['@type'][0]"), F.lit("")).alias("type"),
-            F.coalesce(get(item, "$.headline"), F.lit("")).alias("headline"), T.clean_text(author).alias("author"),
+            F.coalesce(get(item, "$.headline"), F.lit("")).alias("headline"), F.coalesce(author, F.lit("")).alias("author"),
             F.coalesce(get(item, "$.datePublished"), F.lit("")).alias("published_at"),
             T.normalize_blocks(F.coalesce(body, F.lit(""))).alias("body"),
         )
@@ -93,20 +106,24 @@ def json_ld_fields(html: Column) -> Column:
 
 
 def page_metadata(html: Column, heading: Column | None = None) -> Column:
-    """STRUCT<title, author, published_at, og_description, json_ld_type> by precedence."""
+    """STRUCT<title, author, published_at, og_description, json_ld_type, json_ld_body> by precedence."""
 
     def build(ld: Column) -> Column:
-        title = T.first_present(
-            ld["headline"], heading if heading is not None else first_heading(html), meta_content(html, "property", "og:title"),
-            meta_content(html, "name", "twitter:title"), light_title(html),
+        title = F.coalesce(
+            T.present(ld["headline"]),
+            _first_clean(
+                heading if heading is not None else first_heading(html), meta_raw(html, "property", "og:title"),
+                meta_raw(html, "name", "twitter:title"), _raw_title(html),
+            ),
         )
-        author = T.first_present(ld["author"], meta_content(html, "name", "author"), meta_content(html, "property", "article:author"))
-        published = T.first_present(
-            ld["published_at"], meta_content(html, "property", "article:published_time"), meta_content(html, "name", "date")
+        author = _first_clean(ld["author"], meta_raw(html, "name", "author"), meta_raw(html, "property", "article:author"))
+        published = F.coalesce(
+            T.present(ld["published_at"]), _first_clean(meta_raw(html, "property", "article:published_time"), meta_raw(html, "name", "date"))
         )
         return F.struct(
             title.alias("title"), author.alias("author"), published.alias("published_at"),
             meta_content(html, "property", "og:description").alias("og_description"), ld["type"].alias("json_ld_type"),
+            ld["body"].alias("json_ld_body"),
         )
 
     return T.let(json_ld_fields(html), build)

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 65536
 
 
+def exploded(frame: DataFrame, keep: list[str | Column], array: Column, item: str, pos: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form plus a filter on the position: the inner form makes the optimizer add a size filter
+    on the array below the generator, which computes an expensive array twice.
+    """
+    rows = frame.select(*keep, F.posexplode_outer(array).alias("_pos", item)).filter("_pos IS NOT NULL")
+    return rows.withColumnRenamed("_pos", pos) if pos else rows.drop("_pos")
+
+
 def clamp(limit: int, low: int, high: int) -> int:
     return max(low, min(int(limit), high))
 

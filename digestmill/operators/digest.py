@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 from digestmill.functions import digest as D
 from digestmill.functions import text as T
+from digestmill.functions.scale import exploded
 
 
 def _field(frame: DataFrame, name: str) -> Column:
@@ -17,12 +18,12 @@ def _field(frame: DataFrame, name: str) -> Column:
 
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, seq, sentence``."""
-    return documents.select("doc_id", F.posexplode(D.sentences(F.col("content_text"))).alias("seq", "sentence"))
+    return exploded(documents, ["doc_id"], D.sentences(F.col("content_text")), "sentence", "seq")
 
 
 def pick_sentences(documents: DataFrame, limit: int, skip: int = 0) -> DataFrame:
     picked = D.pick_sentences(D.sentences(F.col("content_text")), limit, skip)
-    return documents.select("doc_id", F.posexplode(picked).alias("seq", "sentence"))
+    return exploded(documents, ["doc_id"], picked, "sentence", "seq")
 
 
 def _provenance(frame: DataFrame) -> Column:
@@ -182,7 +183,7 @@ def digests(documents: DataFrame, attempts: DataFrame | None = None) -> DataFram
 
 def missing_section_counts(digested: DataFrame) -> DataFrame:
     """How many digests lack each required heading."""
-    rows = digested.select(F.explode(D.missing_sections(F.col("summary_markdown"))).alias("section"))
+    rows = exploded(digested, [], D.missing_sections(F.col("summary_markdown")), "section")
     return rows.groupBy("section").agg(F.count("*").alias("n"))
 
 
@@ -195,7 +196,7 @@ def match_points_to_cues(documents: DataFrame) -> DataFrame:
             found, D.match_points(found, D.timeline_cues(F.col("transcript"))), lambda point, hit: F.struct(point.alias("point"), hit.alias("hit"))
         ),
     )
-    rows = documents.select("doc_id", F.posexplode(hits).alias("seq", "m"))
+    rows = exploded(documents, ["doc_id"], hits, "m", "seq")
     return rows.select(
         "doc_id", "seq", F.col("m.point").alias("point"), F.col("m.hit.index").alias("cue_index"), F.col("m.hit.time").alias("time"),
         F.col("m.hit.seconds").alias("seconds"),

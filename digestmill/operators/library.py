@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill.functions import text as T
-from digestmill.functions.scale import clamp, numbered_within
+from digestmill.functions.scale import clamp, exploded, numbered_within
 
 HIDDEN_NAMES = ("latest.md", "summary.md", "timeline.md")
 POSTING_TOKEN = f"([{T.CJK}]|[A-Za-z0-9]+)"
@@ -57,7 +57,7 @@ def library_rows(files: DataFrame) -> DataFrame:
 def build_postings(library: DataFrame) -> DataFrame:
     """``token, relative_path, pos``: one row per token, positions running over the whole search text."""
     tokens = F.regexp_extract_all(F.col("search_text"), F.lit(POSTING_TOKEN), F.lit(1))
-    return library.select("relative_path", F.posexplode(tokens).alias("pos", "token")).select("token", "relative_path", "pos")
+    return exploded(library, ["relative_path"], tokens, "token", "pos").select("token", "relative_path", "pos")
 
 
 def write_postings(postings: DataFrame, path: str, files: int | None = None) -> None:
@@ -350,9 +350,8 @@ def toc(library: DataFrame, most: int = 24) -> DataFrame:
         return F.concat(used, F.slice(F.filter(tries, lambda anchor: ~F.array_contains(used, anchor)), 1, 1))
 
     anchors = F.aggregate("heads", F.array().cast("array<string>"), free)
-    return library.select("relative_path", titled.alias("heads")).withColumn("anchors", anchors).select(
-        "relative_path", F.posexplode(F.arrays_zip("heads", "anchors")).alias("seq", "entry")
-    ).select("relative_path", "seq", F.col("entry.heads.level").alias("level"), F.col("entry.heads.title").alias("title"), F.col("entry.anchors").alias("anchor"))
+    rows = library.select("relative_path", titled.alias("heads")).withColumn("anchors", anchors)
+    return exploded(rows, ["relative_path"], F.arrays_zip("heads", "anchors"), "entry", "seq").select("relative_path", "seq", F.col("entry.heads.level").alias("level"), F.col("entry.heads.title").alias("title"), F.col("entry.anchors").alias("anchor"))
 
 
 def output_paths(digests: DataFrame) -> DataFrame:

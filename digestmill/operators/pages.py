@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from digestmill.functions import pages as P
 from digestmill.functions import text as T
+from digestmill.functions.scale import exploded
 from digestmill.functions.markup import Element, named, parse
 
 MIN_TEXT = 80
@@ -116,10 +117,10 @@ def extract_pages_article(pages: DataFrame) -> DataFrame:
         F.transform("candidates", joined), F.lit(""), lambda best, text: F.when(F.length(text) > F.length(best), text).otherwise(best)
     )
     fields = parsed.select(
-        "page_id", "url", P.page_metadata(F.col("html"), T.clean_text(F.col("h1"))).alias("m"),
-        P.json_ld_fields(F.col("html"))["body"].alias("ld_body"), longest.alias("best"), "body_text",
+        "page_id", "url", P.page_metadata(F.col("html"), F.col("h1")).alias("m"),
+        longest.alias("best"), "body_text",
     )
-    body = F.when(F.length("ld_body") > F.length("best"), F.col("ld_body")).otherwise(F.col("best"))
+    body = F.when(F.length("m.json_ld_body") > F.length("best"), F.col("m.json_ld_body")).otherwise(F.col("best"))
     text = F.coalesce(T.present(body), T.clean_text(F.col("body_text")))
     return fields.select(
         "page_id", "url", F.coalesce("m.title", F.lit("")).alias("title"), "m.author", "m.published_at", "m.og_description", "m.json_ld_type",
@@ -128,7 +129,7 @@ def extract_pages_article(pages: DataFrame) -> DataFrame:
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", P.page_metadata(F.col("html")).alias("m")).select("page_id", "m.*")
+    return pages.select("page_id", P.page_metadata(F.col("html")).alias("m")).select("page_id", "m.*").drop("json_ld_body")
 
 
 def extract_wechat(pages: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def extract_wechat(pages: DataFrame) -> DataFrame:
 
 def page_images(pages: DataFrame) -> DataFrame:
     """``page_id, seq, image_url``."""
-    return pages.select("page_id", F.posexplode(P.page_images(F.col("html"))).alias("seq", "image_url"))
+    return exploded(pages, ["page_id"], P.page_images(F.col("html")), "image_url", "seq")
 
 
 def usable_extracts(extracts: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 from digestmill.functions import digest as D
 from digestmill.functions import text as T
+from digestmill.functions.scale import exploded
 from digestmill.operators.transcripts import evaluate_asr
 
 
@@ -76,7 +77,7 @@ def regression_checks(samples: DataFrame, results: DataFrame) -> DataFrame:
             F.col("cer") <= F.coalesce(F.col("maximum_character_error_rate"), F.lit(1.0)), actual(F.col("cer")),
         ),
     )
-    return rows.select("id", F.explode(F.filter(checks, lambda c: c["applies"])).alias("c")).select("id", "c.name", "c.ok", "c.detail")
+    return exploded(rows, ["id"], F.filter(checks, lambda c: c["applies"]), "c").select("id", "c.name", "c.ok", "c.detail")
 
 
 def regression_report(checks: DataFrame) -> DataFrame:

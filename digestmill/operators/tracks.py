@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 from digestmill.functions import text as T
 from digestmill.functions import times as C
+from digestmill.functions.scale import exploded
 from digestmill.functions.urls import bvid, page_index
 from digestmill.operators import transcripts as R
 
@@ -190,7 +191,7 @@ def youtube_languages(manual: Column, automatic: Column, language: Column, auto:
 def rank_youtube_languages(videos: DataFrame, auto: bool) -> DataFrame:
     """``doc_id, place, language`` from ``doc_id, subtitles, automatic_captions, language``."""
     ranked = youtube_languages(F.col("subtitles"), F.col("automatic_captions"), F.col("language"), auto)
-    return videos.select("doc_id", F.posexplode(ranked).alias("place", "language"))
+    return exploded(videos, ["doc_id"], ranked, "language", "place")
 
 
 def pick_youtube_track(videos: DataFrame, tracks: DataFrame) -> DataFrame:

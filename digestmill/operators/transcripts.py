@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 from digestmill.functions import text as T
 from digestmill.functions import times as C
-from digestmill.functions.scale import in_order
+from digestmill.functions.scale import exploded, in_order
 from digestmill.functions.urls import timestamp_link
 
 # ---- parsing: one row per subtitle file in, one row per cue out ------------------------------
@@ -18,7 +18,7 @@ _EDGE, _HEAD = "\x01", "\x02"
 
 def _cues(parsed: DataFrame) -> DataFrame:
     """Exploded cues from an array of STRUCT<start, end, text>."""
-    return parsed.select("doc_id", F.posexplode("cues").alias("seq", "cue")).select(
+    return exploded(parsed, ["doc_id"], F.col("cues"), "cue", "seq").select(
         "doc_id", "seq", F.col("cue.start").alias("start"), F.col("cue.end").alias("end"), F.col("cue.text").alias("text")
     )
 
@@ -105,7 +105,7 @@ def payload_transcript(payload: Column) -> Column:
 
 
 def cues_from_json(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("doc_id", F.posexplode(payload_cues(F.col("payload"))).alias("seq", "e"))
+    rows = exploded(payloads, ["doc_id"], payload_cues(F.col("payload")), "e", "seq")
     return rows.select(
         "doc_id", "seq", C.clock_text(F.col("e.from")).alias("start"), C.clock_text(F.col("e.to"), up=True).alias("end"),
         F.col("e.content").alias("text"),

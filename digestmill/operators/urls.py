@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from digestmill import constants as K
 from digestmill.functions import urls as U
+from digestmill.functions.scale import exploded
 from digestmill.functions.text import WS, first_match, let
 
 
@@ -162,7 +163,7 @@ def normalize_cidrs(settings: DataFrame) -> DataFrame:
         return F.when(error.isNotNull(), refused).otherwise(nets)
 
     parts = F.filter(F.split(F.col("value"), f"(?:{WS}|,)+"), lambda raw: raw != "")
-    rows = settings.select("setting_id", F.posexplode(let(F.array_distinct(F.transform(parts, judge)), refuse)).alias("pos", "net"))
+    rows = exploded(settings, ["setting_id"], let(F.array_distinct(F.transform(parts, judge)), refuse), "net", "pos")
     return rows.select("setting_id", F.when(F.col("net.error").isNull(), F.col("pos")).alias("pos"), "net.cidr", "net.lo", "net.hi", "net.error")
 
 

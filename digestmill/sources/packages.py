@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from digestmill import constants as K
 from digestmill.functions import text as T
+from digestmill.functions.scale import exploded
 from digestmill.operators import transcripts as R
 from digestmill.operators.library import output_paths
 
@@ -82,7 +83,7 @@ def resource_package(digests: DataFrame) -> DataFrame:
         )
     )
     whole = F.concat("_files", F.array(_file("source_info.json", F.concat(info, F.lit("\n")))))
-    return packed.select("doc_id", F.explode(whole).alias("f")).select("doc_id", F.col("f.name").alias("file_name"), F.col("f.content").alias("content"))
+    return exploded(packed, ["doc_id"], whole, "f").select("doc_id", F.col("f.name").alias("file_name"), F.col("f.content").alias("content"))
 
 
 def table_facts(name: str, frame: DataFrame) -> DataFrame:
