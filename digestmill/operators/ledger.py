@@ -13,33 +13,49 @@ from digestmill.functions.text import first_match, strip
 from digestmill.operators.urls import summary_quality
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """Current state of each job from its events.
-
-    The last write per field wins. Once a job is canceled, only another cancel may change it. The
-    fold is two partial aggregates and no window, so a job with very many events does not gather its
-    rows in one task.
-    """
+def applied_events(events: DataFrame) -> DataFrame:
+    """Events that count: once a job is canceled, only another cancel may change it."""
     ordered = events.withColumn("at", F.struct("ts", "event_id"))
     cancels = ordered.filter("op = 'cancel'").groupBy("job_id").agg(F.min("at").alias("canceled_at"))
-    live = ordered.join(cancels, "job_id", "left").filter(
+    return ordered.join(cancels, "job_id", "left").filter(
         F.col("canceled_at").isNull() | (F.col("at") <= F.col("canceled_at")) | (F.col("op") == "cancel")
     )
 
+
+def _last_writes() -> list[Column]:
+    """The last write of each field; an outcome event writes the error fields even when they are NULL."""
+
     def last(column: str, writes: Column) -> Column:
         return F.max_by(F.struct(column), F.when(writes, F.col("at")))[column].alias(column)
 
-    sets_error = F.col("op").isin("succeed", "fail", "cancel")
-    return live.groupBy("job_id").agg(
-        last("status", F.col("status").isNotNull()),
-        last("stage", F.col("stage").isNotNull()),
-        last("progress", F.col("progress").isNotNull()),
-        last("title", F.col("title").isNotNull()),
-        last("error_code", sets_error),
-        last("error_message", sets_error),
-        F.min("ts").alias("created_at"),
-        F.max("ts").alias("updated_at"),
-        F.count("*").alias("applied_events"),
+    plain = [last(name, F.col(name).isNotNull()) for name in ("status", "stage", "progress", "title")]
+    return plain + [last(name, F.col("op").isin("succeed", "fail", "cancel")) for name in ("error_code", "error_message")]
+
+
+def fold_jobs(events: DataFrame) -> DataFrame:
+    """Current state of each job from its events: the last write per field wins, with the cancel guard.
+
+    The fold is two partial aggregates and no window, so a job with very many events does not gather its
+    rows in one task.
+    """
+    return applied_events(events).groupBy("job_id").agg(
+        *_last_writes(), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("applied_events")
+    )
+
+
+def job_deltas(events: DataFrame) -> DataFrame:
+    """Events folded to at most two events per job: what came before a cancel, and the cancel.
+
+    Folding deltas gives what folding their events gives. The two are kept apart so that a job that
+    was canceled earlier takes only the cancel.
+    """
+    folded = applied_events(events).withColumn("is_cancel", F.col("op") == "cancel").groupBy("job_id", "is_cancel").agg(
+        *_last_writes(), F.max("at").alias("last_at"), F.bool_or(F.col("op").isin("succeed", "fail")).alias("judged")
+    )
+    op = F.when(F.col("is_cancel"), "cancel").when(F.col("judged"), "succeed").otherwise("progress")
+    return folded.select(
+        F.col("last_at.event_id").alias("event_id"), "job_id", F.col("last_at.ts").alias("ts"), op.alias("op"),
+        "status", "stage", "progress", "title", "error_code", "error_message",
     )
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from digestmill.operators import digest as D
+from digestmill.operators import ledger as J
 from digestmill.operators import library as L
 from digestmill.plans import ingest as I
 from digestmill.plans.bindings import view
 from digestmill.plans.digest_queries import _extractive
-from digestmill.plans.ledger_queries import _KEY, _NOW, _TTL, _cache
+from digestmill.plans.ledger_queries import FOLD_SQL, _KEY, _NOW, _TTL, _cache
 from digestmill.plans.page_queries import _TEXT
 from digestmill.plans.registry import query
 from digestmill.plans.url_queries import _CANON
 from digestmill.sources import packages as P
 from digestmill.sources import uploads as S
-from digestmill.streaming import live as W
 
 
 @query("read_pages", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS chars FROM pages")
@@ -125,18 +125,13 @@ def ingest_documents(spark, sf):
     return digests.agg(F.count("*").alias("digests"), F.count_if(F.col("source_type") == "feishu_document").alias("connector"))
 
 
-@query(
-    "job_deltas",
-    """WITH d AS (SELECT *, coalesce(max(CASE WHEN op = 'cancel' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM v_job_events),
-        r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS r FROM d WHERE gone = 0 OR op = 'cancel')
-        SELECT job_id, status, stage FROM r WHERE r = 1""",
-)
+@query("job_deltas", f"SELECT job_id, status, stage, progress, title, error_code, error_message FROM ({FOLD_SQL})")
 def job_deltas(spark, sf):
     """Events cut into five time slices as micro-batches would be, folded per slice and folded again."""
     events = view(spark, sf, "v_job_events")
     day = F.dayofmonth("ts")
     deltas = None
     for low in range(0, 35, 7):
-        part = W.job_deltas(events.filter((day > low) & (day <= low + 7)))
+        part = J.job_deltas(events.filter((day > low) & (day <= low + 7)))
         deltas = part if deltas is None else deltas.unionByName(part)
-    return W.fold_jobs(deltas).select("job_id", "status", "stage")
+    return J.fold_jobs(deltas).select("job_id", "status", "stage", "progress", "title", "error_code", "error_message")

@@ -14,9 +14,7 @@ from digestmill.plans.registry import query
 from digestmill.plans.url_queries import _SOURCE
 
 
-@query(
-    "fold_jobs",
-    """WITH flagged AS (SELECT *, coalesce(max(CASE WHEN op = 'cancel' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id
+FOLD_SQL = """WITH flagged AS (SELECT *, coalesce(max(CASE WHEN op = 'cancel' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM v_job_events),
         live AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS r FROM flagged WHERE gone = 0 OR op = 'cancel'),
         err AS (SELECT job_id, error_code, error_message, row_number() OVER (PARTITION BY job_id ORDER BY r) AS q FROM live WHERE op IN ('succeed', 'fail', 'cancel'))
@@ -24,8 +22,10 @@ from digestmill.plans.url_queries import _SOURCE
           arg_min(progress, r) FILTER (WHERE progress IS NOT NULL) AS progress, arg_min(title, r) FILTER (WHERE title IS NOT NULL) AS title,
           (SELECT error_code FROM err e WHERE e.job_id = l.job_id AND q = 1) AS error_code,
           (SELECT error_message FROM err e WHERE e.job_id = l.job_id AND q = 1) AS error_message, count(*) AS applied_events
-        FROM live l GROUP BY l.job_id""",
-)
+        FROM live l GROUP BY l.job_id"""
+
+
+@query("fold_jobs", FOLD_SQL)
 def fold_jobs(spark, sf):
     return J.fold_jobs(view(spark, sf, "v_job_events")).drop("created_at", "updated_at")
 

@@ -12,12 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestmill.operators import library as L
-from digestmill.operators.ledger import fold_jobs
+from digestmill.operators.ledger import fold_jobs, job_deltas
 from digestmill.operators.notify import notification_feed
 
-_DELTA_COLUMNS = ("event_id", "job_id", "ts", "op", "status", "stage", "progress", "title", "error_code", "error_message")
-
-
 def _folder(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id:012d}"
 
@@ -30,15 +27,6 @@ def _start(stream: DataFrame, write_batch, checkpoint: str, once: bool):
 # ---- job state -----------------------------------------------------------------------------
 
 
-def job_deltas(events: DataFrame) -> DataFrame:
-    """Events folded to one event per job. Folding deltas gives what folding their events gives."""
-    state = fold_jobs(events)
-    last = events.groupBy("job_id").agg(F.max(F.struct("ts", "event_id")).alias("at"), F.bool_or(F.col("op").isin("succeed", "fail")).alias("judged"))
-    op = F.when(F.col("status") == "canceled", "cancel").when(F.col("judged"), "succeed").otherwise("progress")
-    joined = state.join(last, "job_id").withColumn("op", op)
-    return joined.withColumn("event_id", F.col("at.event_id")).withColumn("ts", F.col("at.ts")).select(*_DELTA_COLUMNS)
-
-
 def stream_jobs(events: DataFrame, root: str, checkpoint: str, once: bool = False):
     """Live job state as a log of deltas.
 
