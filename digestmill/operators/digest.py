@@ -32,17 +32,17 @@ def _provenance(frame: DataFrame) -> Column:
     )
 
 
-def extractive_digest(documents: DataFrame) -> DataFrame:
-    """Digest without a model: leading sentences and key points in a fixed layout.
+def _read_sentences(documents: DataFrame) -> DataFrame:
+    """Adds the picked sentences as columns, so that later expressions read them once."""
+    return documents.withColumn("_s", D.sentences(F.col("content_text"))).withColumn("_top", D.pick_sentences(F.col("_s"), 3)).withColumn(
+        "_key", D.key_sentences(F.col("_s"))
+    )
 
-    One projection over the documents: no shuffle, whatever their number. A non-empty
-    ``fallback_reason`` column marks a digest that stands in for a failed model call.
-    """
+
+def _extractive_fields(documents: DataFrame) -> tuple[Column, Column, Column]:
+    """Markdown, tags and save recommendation over the columns of ``_read_sentences``."""
     reason = T.present(_field(documents, "fallback_reason"))
     instruction = T.strip(F.coalesce(_field(documents, "instruction"), F.lit("")))
-    read = documents.withColumn("_s", D.sentences(F.col("content_text"))).withColumn("_top", D.pick_sentences(F.col("_s"), 3)).withColumn(
-        "_key", D.key_sentences(F.col("_s"))
-    )
     summary = F.when(F.size("_top") > 0, F.array_join("_top", " ")).otherwise(F.left("content_text", F.lit(300)))
     points = F.when(F.size("_key") > 0, F.array_join(F.transform("_key", lambda s: F.concat(F.lit("- "), s)), "\n")).otherwise(
         F.lit(K.NO_KEY_POINTS)
@@ -55,7 +55,6 @@ def extractive_digest(documents: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("- Fallback reason: "), reason, F.lit("\n")), F.lit("")),
         F.lit("- Extraction: "), "extraction_method", _provenance(documents),
     )
-    timed = D.with_video_timeline(F.col("_md"), F.col("source_type"), F.col("canonical_url"), _field(documents, "transcript_with_timestamps"))
     tags = F.concat(
         F.array(F.lit("summary"), F.concat(F.lit("source/"), "source_type")),
         F.when(reason.isNotNull(), F.array(F.lit("model/local_fallback"))).otherwise(F.array().cast("array<string>")),
@@ -64,13 +63,23 @@ def extractive_digest(documents: DataFrame) -> DataFrame:
         F.concat(F.lit("Model API failed and a local extractive fallback was used: "), reason),
         F.lit("A conservative default; ask explicitly before saving."),
     )
-    return (
-        read.withColumn("_md", markdown)
-        .withColumn("summary_markdown", timed)
-        .withColumn("tags", tags)
-        .withColumn("save_recommendation", F.struct(F.lit(False).alias("should_save"), why.alias("reason")))
-        .drop("_s", "_top", "_key", "_md")
-    )
+    return markdown, tags, F.struct(F.lit(False).alias("should_save"), why.alias("reason"))
+
+
+def _finish(rows: DataFrame, markdown: Column, tags: Column, save: Column) -> DataFrame:
+    """Adds the digest columns; a video digest gets its timeline."""
+    timed = D.with_video_timeline(F.col("_md"), F.col("source_type"), F.col("canonical_url"), _field(rows, "transcript_with_timestamps"))
+    made = rows.withColumn("_md", markdown).withColumn("summary_markdown", timed)
+    return made.withColumn("tags", tags).withColumn("save_recommendation", save).drop("_s", "_top", "_key", "_md")
+
+
+def extractive_digest(documents: DataFrame) -> DataFrame:
+    """Digest without a model: leading sentences and key points in a fixed layout.
+
+    One projection over the documents: no shuffle, whatever their number. A non-empty
+    ``fallback_reason`` column marks a digest that stands in for a failed model call.
+    """
+    return _finish(_read_sentences(documents), *_extractive_fields(documents))
 
 
 def source_prompt(source_type: Column) -> Column:
@@ -141,9 +150,8 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def model_digest(documents: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Digests of the documents whose model call succeeded."""
-    rows = documents.join(resolved.filter("text IS NOT NULL"), "doc_id")
+def _model_fields(documents: DataFrame) -> tuple[Column, Column, Column]:
+    """Markdown, tags and save recommendation of a document joined with its resolved attempts."""
     failover = F.when(
         F.col("failover_used"),
         F.concat(F.lit("- Automatic fallback: "), "failover_from", F.lit(" failed; switched to "), "model", F.lit(".\n")),
@@ -155,30 +163,31 @@ def model_digest(documents: DataFrame, resolved: DataFrame) -> DataFrame:
         D.provider_label(F.col("provider"), F.col("base_url")), F.lit("\n- Model: "), "said_model", F.lit("\n"), shown,
         F.lit("- Extraction: "), "extraction_method", _provenance(documents),
     )
-    timed = D.with_video_timeline(F.col("_md"), F.col("source_type"), F.col("canonical_url"), _field(documents, "transcript_with_timestamps"))
     tags = F.array(F.lit("summary"), F.concat(F.lit("source/"), "source_type"), F.concat(F.lit("model/"), F.lower("provider")))
     why = "The configured model generated a structured summary; review before long-term use."
-    return (
-        rows.withColumn("_md", markdown)
-        .withColumn("summary_markdown", timed)
-        .withColumn("tags", tags)
-        .withColumn("save_recommendation", F.struct(F.lit(True).alias("should_save"), F.lit(why).alias("reason")))
-        .drop("_md")
-    )
+    return markdown, tags, F.struct(F.lit(True).alias("should_save"), F.lit(why).alias("reason"))
+
+
+def model_digest(documents: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Digests of the documents whose model call succeeded."""
+    return _finish(documents.join(resolved.filter("text IS NOT NULL"), "doc_id"), *_model_fields(documents))
 
 
 def digests(documents: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """Digest of every document: from its model attempts where one succeeded, else extractive.
 
-    Without attempts (provider ``local``) every digest is extractive.
+    Without attempts (provider ``local``) every digest is extractive. With them, documents and attempts
+    are read once: each row takes one of the two layouts, and only rows without a model text are split
+    into sentences.
     """
     columns = ["doc_id", "title", "canonical_url", "source_type", "summary_markdown", "tags", "save_recommendation"]
     if attempts is None:
         return extractive_digest(documents).select(*columns)
-    resolved = resolve_attempts(attempts)
-    done = model_digest(documents, resolved).select(*columns)
-    failed = documents.join(resolved.select("doc_id", "text", "fallback_reason"), "doc_id", "left").filter("text IS NULL").drop("text")
-    return done.unionByName(extractive_digest(failed).select(*columns))
+    rows = documents.join(resolve_attempts(attempts), "doc_id", "left")
+    made = F.col("text").isNotNull()
+    ready = _read_sentences(rows.withColumn("content_text", F.when(~made, F.col("content_text"))))
+    fields = [F.when(made, own).otherwise(other) for own, other in zip(_model_fields(rows), _extractive_fields(rows), strict=True)]
+    return _finish(ready, *fields).select(*columns)
 
 
 def missing_section_counts(digested: DataFrame) -> DataFrame:

@@ -173,7 +173,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         FROM documents
     """,
     # Files as a directory listing: library files plus names that are never indexed.
-    "v_files": """
+    "v_files": (
+        """
+        SELECT path AS relative_path, content, mtime, size FROM v_library LATERAL VIEW explode(filter(array(relative_path,
+            CASE WHEN doc_id % 3 = 0 THEN replace(relative_path, '.md', '/summary.md') END, CASE WHEN doc_id % 4 = 0 THEN replace(relative_path, '.md', '/timeline.md') END,
+            CASE WHEN doc_id % 5 = 0 THEN concat('favorites/', relative_path) END, CASE WHEN doc_id % 6 = 0 THEN replace(relative_path, '.md', '.txt') END,
+            CASE WHEN doc_id % 50 = 0 THEN concat('note ', CAST(doc_id AS STRING), '.md') END), p -> p IS NOT NULL)) t AS path
+        """,
+        """
         SELECT relative_path, content, mtime, size FROM v_library
         UNION ALL SELECT replace(relative_path, '.md', '/summary.md') AS relative_path, content, mtime, size FROM v_library WHERE doc_id % 3 = 0
         UNION ALL SELECT replace(relative_path, '.md', '/timeline.md') AS relative_path, content, mtime, size FROM v_library WHERE doc_id % 4 = 0
@@ -181,6 +188,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         UNION ALL SELECT replace(relative_path, '.md', '.txt') AS relative_path, content, mtime, size FROM v_library WHERE doc_id % 6 = 0
         UNION ALL SELECT concat('note ', CAST(doc_id AS STRING), '.md') AS relative_path, content, mtime, size FROM v_library WHERE doc_id % 50 = 0
     """,
+    ),
     "v_docs": """
         SELECT doc_id, concat('Doc ', CAST(doc_id AS STRING), ' ', source, '!') AS title, text AS content_text, lang,
           concat('https://example.com/d/', CAST(doc_id AS STRING)) AS canonical_url,
@@ -265,8 +273,8 @@ def _pick(name: str, dialect: int) -> str:
     return definition if isinstance(definition, str) else definition[dialect]
 
 
-# Tables whose rows are long texts: their work per byte is high.
-TEXT_TABLES = ("documents", "pages", "conversations")
+# Tables whose rows are texts or addresses to parse: their work per byte is high.
+TEXT_TABLES = ("documents", "pages", "conversations", "events")
 
 
 def _scan(spark: SparkSession, path: str, spread: bool) -> str:

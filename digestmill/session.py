@@ -30,6 +30,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DIGESTMILL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Call sites are captured per Column call otherwise, which dominates short queries.
