@@ -86,7 +86,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
             CASE event_id % 3 WHEN 0 THEN 'need_cookies' WHEN 1 THEN 'invalid_url' ELSE 'extraction_failed' END END AS error_code,
           CASE WHEN event_type = 'signup' THEN 'Job was canceled by the user.'
                WHEN event_type = 'error' THEN concat('failed ', CAST(event_id AS STRING)) END AS error_message
-        FROM (SELECT * FROM events WHERE event_type <> 'signup' OR event_id % 10 = 0) e
+        FROM (SELECT event_id, user_id, ts, CASE WHEN event_type = 'signup' AND event_id % 10 <> 0 THEN 'click' ELSE event_type END AS event_type FROM events) e
     """,
     "v_batch_members": """
         SELECT user_id AS batch_id, event_id AS seq, concat('job_', CAST(event_id AS STRING)) AS job_id FROM events
@@ -220,13 +220,13 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     """,
     "v_asr": (
         """
-        SELECT doc_id, substring(regexp_replace(text, '[^ -~\\n]', ''), 1, 5000) AS reference,
-          concat('[00:00] ', replace(substring(regexp_replace(text, '[^ -~\\n]', ''), 1, 5000), 'e', 'a')) AS hypothesis
+        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '') AS reference,
+          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', ''), 'e', 'a')) AS hypothesis
         FROM documents
         """,
         """
-        SELECT doc_id, substring(regexp_replace(text, '[^ -~\\n]', '', 'g'), 1, 5000) AS reference,
-          concat('[00:00] ', replace(substring(regexp_replace(text, '[^ -~\\n]', '', 'g'), 1, 5000), 'e', 'a')) AS hypothesis
+        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS reference,
+          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), 'e', 'a')) AS hypothesis
         FROM documents
         """,
     ),

@@ -175,18 +175,14 @@ def digests(spark, sf):
     return O.digests(view(spark, sf, "v_docs"), view(spark, sf, "v_attempts")).select("doc_id", "summary_markdown")
 
 
-def _read(spark, sf):
-    rows = O.read_attempts(view(spark, sf, "v_attempts").filter("attempt = 2"))
-    return rows.filter("text IS NOT NULL").select("doc_id", F.col("text").alias("summary_markdown"))
-
-
 @query(
     "summary_points",
-    """SELECT doc_id, CAST(0 AS BIGINT) AS seq, 'Point one ' || doc_id AS point FROM documents WHERE doc_id % 12 <> 5
-       UNION ALL SELECT doc_id, 1, 'Point two' FROM documents WHERE doc_id % 12 <> 5 AND doc_id % 2 = 0""",
+    f"""WITH {_RESOLVED}, good AS (SELECT doc_id, attempt FROM att WHERE reason IS NULL)
+        SELECT doc_id, attempt, CAST(0 AS BIGINT) AS seq, 'Point one ' || doc_id AS point FROM good UNION ALL SELECT doc_id, attempt, 1, 'Point two' FROM good WHERE doc_id % 2 = 0""",
 )
 def summary_points(spark, sf):
-    points = _read(spark, sf).select("doc_id", F.posexplode(D.summary_points(F.col("summary_markdown"))).alias("seq", "point"))
+    rows = O.read_attempts(view(spark, sf, "v_attempts")).filter("text IS NOT NULL")
+    points = rows.select("doc_id", "attempt", F.posexplode(D.summary_points(F.col("text"))).alias("seq", "point"))
     return points.withColumn("seq", F.col("seq").cast("bigint"))
 
 
@@ -198,9 +194,18 @@ def _tokens(expr: str) -> str:
         list_transform(range(1, length({clean})), lambda i: substr({clean}, i, 2)))), lambda t: t NOT IN ({stop}))"""
 
 
-@query("match_tokens", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, sha256(array_to_string(list_sort(t), '|')) AS hash FROM (SELECT doc_id, {_tokens('substr(text, 1, 300)')} AS t FROM documents)")
+_STOP = ", ".join(f"'{word}'" for word in K.TOKEN_STOP_WORDS)
+
+
+@query(
+    "match_tokens",
+    f"""WITH c AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS t FROM documents),
+        ch AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM c),
+        tok AS (SELECT doc_id, ch || lead(ch) OVER (PARTITION BY doc_id ORDER BY i) AS tok FROM ch UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]{{3,}}|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}')) FROM c)
+        SELECT doc_id, count(DISTINCT tok) AS tokens, sha256(array_to_string(list_sort(list_distinct(list(tok))), '|')) AS hash FROM tok WHERE tok IS NOT NULL AND tok NOT IN ({_STOP}) GROUP BY doc_id""",
+)
 def match_tokens(spark, sf):
-    rows = view(spark, sf, "documents").select("doc_id", D.match_tokens(F.substring("text", 1, 300)).alias("t"))
+    rows = view(spark, sf, "documents").select("doc_id", D.match_tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.sha2(F.array_join(F.array_sort("t"), "|"), 256).alias("hash"))
 
 

@@ -126,15 +126,15 @@ def job_view(spark, sf):
 
 @query(
     "document_gate",
-    """SELECT doc_id, substr(CASE WHEN doc_id % 4 = 0 THEN 'local-document' ELSE trim(substr(text, 1, 200), ' ' || chr(10)) END, 1, 180) AS title, length(body) AS chars,
+    """SELECT doc_id, substr(CASE WHEN doc_id % 4 = 0 THEN 'local-document' ELSE trim(text, ' ' || chr(10)) END, 1, 180) AS title, length(body) AS chars,
           CASE WHEN length(body) < 20 THEN 'invalid_document' END AS error_code
-        FROM (SELECT doc_id, text, trim(CASE WHEN doc_id % 6 = 0 THEN '  ' || substr(text, 1, 18) || chr(10) ELSE text END, ' ' || chr(10)) AS body FROM documents)""",
+        FROM (SELECT doc_id, text, trim(CASE WHEN doc_id % 6 = 0 THEN '  too short ' || chr(10) ELSE text END, ' ' || chr(10)) AS body FROM documents)""",
 )
 def document_gate(spark, sf):
     docs = view(spark, sf, "documents")
     uploads = docs.select(
-        "doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("title"),
-        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("  "), F.substring("text", 1, 18), F.lit("\n"))).otherwise(F.col("text")).alias("content"),
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("title"),
+        F.when(F.col("doc_id") % 6 == 0, F.lit("  too short \n")).otherwise(F.col("text")).alias("content"),
     )
     gated = J.document_gate(uploads)
     return gated.select("doc_id", "title", F.length("content").cast("bigint").alias("chars"), "error_code")
@@ -336,18 +336,18 @@ def cache_evictions(spark, sf):
 
 @query(
     "cache_upsert",
-    f"""WITH keyed AS (SELECT {_KEY} AS cache_key, instruction, title, created_at, CASE WHEN event_id % 16 = 0 THEN 0 ELSE 1 END AS turn
-            FROM v_jobs WHERE status = 'succeeded' AND event_id % 8 = 0)
+    f"""WITH keyed AS (SELECT {_KEY} AS cache_key, instruction, title, created_at, CASE WHEN event_id % 16 < 8 THEN 0 ELSE 1 END AS turn
+            FROM v_jobs WHERE status = 'succeeded')
         SELECT cache_key, arg_min(instruction, (turn, created_at)) AS instruction, arg_max(title, (turn, created_at)) AS title,
           arg_min(created_at, (turn, created_at)) AS created_at, arg_max(created_at, (turn, created_at)) AS updated_at FROM keyed GROUP BY cache_key""",
 )
 def cache_upsert(spark, sf):
-    """Page results only (their URLs repeat): every other one is already cached, the rest are new results."""
-    done = view(spark, sf, "v_jobs").filter("status = 'succeeded' AND event_id % 8 = 0").select(
+    """Half of the finished jobs are already cached, the rest are new results; page URLs occur in both."""
+    done = view(spark, sf, "v_jobs").filter("status = 'succeeded'").select(
         "event_id", _key().alias("cache_key"), "canonical_url", "instruction", "title", "result_json",
         "created_at", F.col("created_at").alias("updated_at"),
     )
-    merged = C.cache_upsert(done.filter("event_id % 16 = 0").drop("event_id"), done.filter("event_id % 16 <> 0").drop("event_id"))
+    merged = C.cache_upsert(done.filter("event_id % 16 < 8").drop("event_id"), done.filter("event_id % 16 >= 8").drop("event_id"))
     return merged.select("cache_key", "instruction", "title", "created_at", "updated_at")
 
 

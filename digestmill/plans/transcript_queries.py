@@ -311,13 +311,13 @@ _STATUSES = ("no_requested_language_subtitles", "youtube_rate_limited", "", "you
 @query(
     "subtitle_status_fold",
     """WITH a AS (SELECT user_id AS doc_id, event_id AS attempt, CASE event_id % 5 WHEN 0 THEN 'no_requested_language_subtitles' WHEN 1 THEN 'youtube_rate_limited' WHEN 2 THEN '' WHEN 3 THEN 'youtube_auth_required' ELSE 'odd_status' END AS status
-          FROM events WHERE event_id % 3 = 0)
+          FROM events)
         SELECT doc_id, coalesce(arg_min(status, (CASE status WHEN 'youtube_auth_required' THEN 0 WHEN 'youtube_rate_limited' THEN 2 WHEN 'no_requested_language_subtitles' THEN 4 ELSE 99 END, attempt))
           FILTER (WHERE status <> ''), 'subtitle_unavailable') AS status FROM a GROUP BY doc_id""",
 )
 def subtitle_status_fold(spark, sf):
     turn = F.col("event_id") % 5
-    attempts = view(spark, sf, "events").filter("event_id % 3 = 0").select(
+    attempts = view(spark, sf, "events").select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("attempt"), T.first_match([(turn == i, s) for i, s in enumerate(_STATUSES)]).alias("status")
     )
     return P.subtitle_status_fold(attempts)

@@ -116,36 +116,33 @@ def video_identity(spark, sf):
     return found.select("event_id", "v.bvid", F.col("v.page_index").cast("bigint").alias("page_index"))
 
 
-_SHORT = """SELECT event_id, url, CASE event_id % 3 WHEN 0 THEN 'https://www.bilibili.com/video/BV' || event_id || '/?p=' || (event_id % 4)
-      WHEN 1 THEN 'https://m.bilibili.com/video/BVm' || event_id ELSE 'https://evil.example/video/BV' || event_id END AS webpage_url
-    FROM v_submissions WHERE event_id % 8 IN (4, 5)"""
-
-
 @query(
     "resolve_short_links",
-    f"""SELECT event_id, CASE WHEN event_id % 8 = 4 THEN url WHEN event_id % 3 = 2 THEN NULL
-          WHEN event_id % 3 = 1 THEN 'https://www.bilibili.com/video/BVm' || event_id
-          WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'https://www.bilibili.com/video/BV' || event_id
-          ELSE 'https://www.bilibili.com/video/BV' || event_id || '?p=' || (event_id % 4) END AS resolved_url FROM ({_SHORT})""",
+    """SELECT event_id, CASE WHEN url LIKE '%/video/BV%' THEN url WHEN m % 3 = 2 THEN NULL
+          WHEN m % 3 = 1 THEN 'https://www.bilibili.com/video/BVm' || m
+          WHEN m % 4 = 0 THEN NULL WHEN m % 4 = 1 THEN 'https://www.bilibili.com/video/BV' || m
+          ELSE 'https://www.bilibili.com/video/BV' || m || '?p=' || (m % 4) END AS resolved_url
+        FROM (SELECT event_id, url, min(event_id) OVER (PARTITION BY url) AS m FROM v_submissions)""",
 )
 def resolve_short_links(spark, sf):
-    event = F.col("event_id").cast("string")
-    subs = view(spark, sf, "v_submissions").filter((F.col("event_id") % 8).isin(4, 5)).select("event_id", "url")
-    metadata = subs.select(
+    """Every submitted address has metadata whose page is named after the first job that asked for it."""
+    subs = view(spark, sf, "v_submissions").select("event_id", "url")
+    first = F.col("first")
+    metadata = subs.groupBy("url").agg(F.min("event_id").alias("first")).select(
         "url",
         T.first_match(
             [
-                (F.col("event_id") % 3 == 0, F.concat(F.lit("https://www.bilibili.com/video/BV"), event, F.lit("/?p="), (F.col("event_id") % 4).cast("string"))),
-                (F.col("event_id") % 3 == 1, F.concat(F.lit("https://m.bilibili.com/video/BVm"), event)),
+                (first % 3 == 0, F.concat(F.lit("https://www.bilibili.com/video/BV"), first.cast("string"), F.lit("/?p="), (first % 4).cast("string"))),
+                (first % 3 == 1, F.concat(F.lit("https://m.bilibili.com/video/BVm"), first.cast("string"))),
             ],
-            F.concat(F.lit("https://evil.example/video/BV"), event),
+            F.concat(F.lit("https://evil.example/video/BV"), first.cast("string")),
         ).alias("webpage_url"),
     )
     return O.resolve_short_links(subs, metadata).select("event_id", "resolved_url")
 
 
 _PART = "lower(trim(regexp_replace({t}, '[^A-Za-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '-', 'g'), '-'))"
-_TITLE = "substr(text, 1, 150)"
+_TITLE = "text"
 
 
 @query(
@@ -155,7 +152,7 @@ _TITLE = "substr(text, 1, 150)"
           trim(regexp_replace({_TITLE}, '[^\\p{{L}}\\p{{N}}_.-]+', '-', 'g'), '.-') || '.md' AS download_name FROM documents""",
 )
 def slug_names(spark, sf):
-    title = F.substring(F.col("text"), 1, 150)
+    title = F.col("text")
     return view(spark, sf, "documents").select(
         "doc_id", T.slug(title).alias("slug"), T.note_path(title, F.lit("2026-07-14").cast("date")).alias("note_path"),
         T.download_name(title).alias("download_name"),
