@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from digestmill.functions.text import LINE_BREAK, SPACE_CHARS, WS, collapse, let, strip
+from digestmill.functions.text import LINE_BREAK, WS, collapse, let, strip
 
 STAMP = rf"^\[[^\]]+\]{WS}*"
 _CLOCK = r"(?:\d{1,2}:)?\d{1,2}:\d{2}(?:\.\d+)?"
@@ -90,6 +90,6 @@ def normalized(text: Column) -> Column:
 
 
 __all__ = [
-    "POINT", "RANGE", "SPACE_CHARS", "STAMP", "STAMPED", "bare_line", "clean_cue_text", "clock_text", "compact_time",
+    "POINT", "RANGE", "STAMP", "STAMPED", "bare_line", "clean_cue_text", "clock_text", "compact_time",
     "link_seconds", "normalized", "seconds_of", "transcript_lines", "vtt_clock",
 ]

@@ -95,7 +95,10 @@ def cache_lookup(
     usable = _artifact(cache.filter(_fresh(F.col("updated_at"), ttl_seconds, _now(now)))).join(
         library.select("relative_path"), "relative_path", "left_semi"
     )
-    keyed = requests.withColumn("key_hash", F.when(~F.coalesce("force_refresh", F.lit(False)), F.sha2("cache_key", 256)))
+    # A forced request keeps a key that cannot match, rather than NULL: NULL keys would all meet in one task.
+    forced = F.coalesce("force_refresh", F.lit(False))
+    key = F.sha2("cache_key", 256)
+    keyed = requests.withColumn("key_hash", F.when(forced, F.concat(F.lit("!"), key)).otherwise(key))
     joined = keyed.join(usable.select("key_hash", "result_json"), "key_hash", "left")
     return joined.withColumn("hit", F.col("result_json").isNotNull()).drop("key_hash")
 

@@ -274,7 +274,9 @@ def _suffix(path: Column) -> Column:
 
 def pick_results(library: DataFrame, favorites: DataFrame, picks: DataFrame) -> DataFrame:
     """Outcome per pick ``(pick_id, raw_path)``: ``added``, ``already_favorited`` or ``not_found``."""
-    paths = picks.withColumn("relative_path", _pick_path(picks))
+    # A refused pick keeps a key of its own instead of NULL, so that refused picks do not meet in one task.
+    own_key = F.concat(F.lit("!"), F.col("pick_id").cast("string"))
+    paths = picks.withColumn("relative_path", F.coalesce(_pick_path(picks), own_key))
     known = library.select("relative_path").distinct().withColumn("known", F.lit(True))
     marked = favorites.select("relative_path").distinct().withColumn("marked", F.lit(True))
     joined = paths.join(known, "relative_path", "left").join(marked, "relative_path", "left")
@@ -285,7 +287,8 @@ def pick_results(library: DataFrame, favorites: DataFrame, picks: DataFrame) ->
         .when(F.col("marked").isNotNull() | (F.col("pick_id") > F.col("first_pick")), "already_favorited")
         .otherwise("added")
     )
-    return judged.select("pick_id", "relative_path", outcome.alias("outcome"))
+    path = F.when(~F.startswith("relative_path", F.lit("!")), F.col("relative_path"))
+    return judged.select("pick_id", path.alias("relative_path"), outcome.alias("outcome"))
 
 
 def add_favorites(library: DataFrame, favorites: DataFrame, picks: DataFrame, at: Column) -> DataFrame:
@@ -310,8 +313,9 @@ def favorite_target(picks: DataFrame, jobs: DataFrame, library: DataFrame) -> Da
     """
     output = jobs.select("job_id", F.get_json_object("result_json", "$.output_markdown_path").alias("job_output"))
     newest = library.agg(F.max_by("relative_path", F.struct("mtime", F.col("relative_path"))).alias("p"))
-    asked = picks.withColumnRenamed("relative_path", "given").join(output, "job_id", "left")
-    asked = asked.withColumn("output", F.coalesce(T.present(F.col("job_output")), T.present(F.trim("output_path"))))
+    own_key = F.concat(F.lit("!"), F.col("pick_id").cast("string"))
+    asked = picks.withColumnRenamed("relative_path", "given").withColumn("job_id", F.coalesce("job_id", own_key)).join(output, "job_id", "left")
+    asked = asked.withColumn("output", F.coalesce(T.present(F.col("job_output")), T.present(F.trim("output_path")), own_key))
     known = library.select(F.col("relative_path").alias("output"), F.lit(True).alias("known"))
     found = asked.join(known, "output", "left").withColumn("newest", newest.scalar())
     return found.select(

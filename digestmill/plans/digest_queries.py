@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from digestmill import constants as K
 from digestmill.functions import digest as D
-from digestmill.functions import text as T
+from digestmill.functions.scale import exploded
 from digestmill.operators import digest as O
 from digestmill.plans.bindings import view
 from digestmill.plans.registry import query
@@ -181,8 +181,8 @@ def digests(spark, sf):
         SELECT doc_id, attempt, CAST(0 AS BIGINT) AS seq, 'Point one ' || doc_id AS point FROM good UNION ALL SELECT doc_id, attempt, 1, 'Point two' FROM good WHERE doc_id % 2 = 0""",
 )
 def summary_points(spark, sf):
-    rows = O.read_attempts(view(spark, sf, "v_attempts")).filter("text IS NOT NULL")
-    points = rows.select("doc_id", "attempt", F.posexplode(D.summary_points(F.col("text"))).alias("seq", "point"))
+    rows = O.read_attempts(view(spark, sf, "v_attempts"))
+    points = exploded(rows, ["doc_id", "attempt"], D.summary_points(F.col("text")), "point", "seq")
     return points.withColumn("seq", F.col("seq").cast("bigint"))
 
 

@@ -339,7 +339,7 @@ def cache_evictions(spark, sf):
     f"""WITH keyed AS (SELECT {_KEY} AS cache_key, instruction, title, created_at, CASE WHEN event_id % 16 < 8 THEN 0 ELSE 1 END AS turn
             FROM v_jobs WHERE status = 'succeeded')
         SELECT cache_key, arg_min(instruction, (turn, created_at)) AS instruction, arg_max(title, (turn, created_at)) AS title,
-          arg_min(created_at, (turn, created_at)) AS created_at, arg_max(created_at, (turn, created_at)) AS updated_at FROM keyed GROUP BY cache_key""",
+          strftime(arg_min(created_at, (turn, created_at)), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(arg_max(created_at, (turn, created_at)), '%Y-%m-%d %H:%M:%S') AS updated_at FROM keyed GROUP BY cache_key""",
 )
 def cache_upsert(spark, sf):
     """Half of the finished jobs are already cached, the rest are new results; page URLs occur in both."""
@@ -348,7 +348,7 @@ def cache_upsert(spark, sf):
         "created_at", F.col("created_at").alias("updated_at"),
     )
     merged = C.cache_upsert(done.filter("event_id % 16 < 8").drop("event_id"), done.filter("event_id % 16 >= 8").drop("event_id"))
-    return merged.select("cache_key", "instruction", "title", "created_at", "updated_at")
+    return merged.select("cache_key", "instruction", "title", *[F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name) for name in ("created_at", "updated_at")])
 
 
 @query(

@@ -43,7 +43,7 @@ def search_text(spark, sf):
 
 @query(
     "postings",
-    f"WITH {_ROWS}, {_POSTINGS} SELECT token, count(*) AS occurrences, count(DISTINCT relative_path) AS documents, sum(pos) AS positions FROM postings GROUP BY token",
+    f"WITH {_ROWS}, {_POSTINGS} SELECT token, count(*) AS occurrences, count(DISTINCT relative_path) AS documents, CAST(sum(pos) AS BIGINT) AS positions FROM postings GROUP BY token",
 )
 def postings(spark, sf):
     rows = L.build_postings(_library(spark, sf))

@@ -218,7 +218,7 @@ _TRACK_RANK = """CASE (doc_id + k) % 5 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 2 THEN 1
           CASE (doc_id + k) % 5 WHEN 0 THEN 'zh-cn' WHEN 1 THEN 'en-us' WHEN 2 THEN 'zh-hans' WHEN 3 THEN 'ja' ELSE '中文字幕' END, k) AS place FROM ({_TRACKS})""",
 )
 def rank_bilibili_tracks(spark, sf):
-    return P.rank_bilibili_tracks(_tracks(spark, sf)).select("doc_id", "id", "rank", "place")
+    return P.rank_bilibili_tracks(_tracks(spark, sf)).select("doc_id", "id", "rank", F.col("place").cast("bigint").alias("place"))
 
 
 # Verdict of track k of a document: its payload is the body of document (doc_id + k) % 6, or missing.
