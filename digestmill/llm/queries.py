@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from digestmill.llm.bpe import bpe_digests
 from digestmill.llm.exact_dedup import exact_duplicates
+from digestmill.llm.ngram_join import near_duplicates
 from digestmill.llm.oracles import EXACT_DEDUP, QUALITY_RULES, SHARDING
 from digestmill.llm.packing import pack_documents
 from digestmill.llm.pii import personal_data_digests
@@ -54,6 +55,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir))
 
 
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir))
+
+
 @query("op8_sharding", SHARDING)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir), [f"shard-{number:03d}" for number in range(16)], slots=1021)

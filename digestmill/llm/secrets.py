@@ -11,6 +11,7 @@ import re
 from functools import lru_cache
 from math import log10
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,27 +163,33 @@ def secret_digests(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_i
     return per_document(slim(docs, id_col, text_col), schema, lambda: summarize)
 
 
-def without_secrets(docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows with every secret in ``text_col`` replaced by ``mask``; overlapping spans become one.
+def masked(text: str | None, mask: str, strong: float) -> str | None:
+    """A text with its secrets replaced; overlapping spans become one mask."""
+    spans = find_secrets(text, strong) if text else []
+    if not spans:
+        return text
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    Only the text column changes; a null text stays null.
-    """
 
-    def redacted(text: str | None) -> str | None:
-        if not text:
-            return text
-        spans = find_secrets(text, strong)
-        out, at = [], 0
-        for _, start, end in spans:
-            if start >= at:
-                out += [text[at:start], mask]
-            at = max(at, end)
-        return "".join([*out, text[at:]]) if spans else text
+def without_secrets(docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, text_col: str = "text", n_chars_col: str | None = None) -> DataFrame:
+    """The same rows and columns with every secret in ``text_col`` replaced by ``mask``.
 
-    import pandas as pd
+    ``n_chars_col`` names a column that holds the text's length and follows it; a null length stays null. A null
+    text stays null; no row is added or lost and no other column changes.
+    """
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted, na_action="ignore")
-
-    return docs.select(*[redact(docs[name]).alias(name) if name == text_col else docs[name] for name in docs.columns])
+        return texts.map(lambda text: masked(text, mask, strong), na_action="ignore")
+
+    clean = docs.withColumn(text_col, redact(docs[text_col]))
+    if n_chars_col is None:
+        return clean
+    kind = dict(docs.dtypes)[n_chars_col]
+    length = F.when(F.col(n_chars_col).isNotNull(), F.coalesce(F.char_length(text_col), F.lit(0)).cast(kind))
+    return clean.withColumn(n_chars_col, length)
