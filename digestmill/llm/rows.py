@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # Span lists are ordered by start, then by the order in which an operator lists its kinds.
 Span = tuple[str, int, int]
@@ -28,22 +30,21 @@ def per_document(frame: DataFrame, schema: str, worker: Callable[[], Callable[[s
     and caches are built once and live as long as the task. Rows stay in their partition.
     """
 
+    fields = StructType.fromDDL(schema).fields
+    kinds = {field.name: to_arrow_type(field.dataType) for field in fields}
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = worker()
         for batch in batches:
             if batch.num_rows:
-                yield with_ids(batch.column(0), [function(text) for text in batch.column(1).to_pylist()], names)
+                columns = zip(*map(function, batch.column(1).to_pylist()), strict=True)
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *kinds])
 
-    names = [part.split()[0] for part in schema.split(",")]
     id_type = dict(frame.dtypes)["doc_id"]
     return frame.mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
-def with_ids(ids: pa.Array, values: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = [pa.array(column) for column in zip(*values, strict=True)]
-    return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *names])
-
-
 def span_text(spans: Iterable[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
