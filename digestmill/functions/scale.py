@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one group that a task may hold at once.
@@ -21,25 +22,31 @@ def exploded(frame: DataFrame, keep: list[str | Column], array: Column, item: st
     return rows.withColumnRenamed("_pos", pos) if pos else rows.drop("_pos")
 
 
-def clamp(limit: int, low: int, high: int) -> int:
-    return max(low, min(int(limit), high))
+def newest(frame: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """``frame`` in order: all rows, or the first ``limit`` where a caller asks for a number."""
+    ordered = frame.orderBy(*order)
+    return ordered if limit is None else ordered.limit(max(int(limit), 1))
 
 
-def numbered_within(frame: DataFrame, keys: list[str], order: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``row_number`` over ``keys`` ordered by a unique whole-number column, without one task per key.
+def numbered_within(frame: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """``row_number`` over ``keys`` ordered by a unique column of any type, without one task per key.
 
-    Rows of a key are cut into ranges of ``order``; each range is numbered on its own and shifted by
-    the row counts of the ranges before it. Because ``order`` is unique, a range holds at most
-    ``chunk_rows`` rows however large its key is.
+    Slim rows are cut by rank into ranges of (keys, order), each range is numbered on its own and shifted by
+    the rows of its keys in the ranges before it. The cut is kept through the checkpoint folder, because both
+    the numbers and the shifts depend on it.
     """
-    chunked = frame.withColumn("_chunk", F.floor(F.col(order) / chunk_rows))
-    counts = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    slim = frame.select(*keys, order).repartitionByRange(*keys, order)
+    cut = materialize(slim.withColumn("_range", F.spark_partition_id()))
+    counts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # Only keys that span several ranges need a shift, so the joined side stays small.
     shifts = counts.withColumn("_shift", F.sum("_rows").over(before)).filter("_shift IS NOT NULL").drop("_rows")
-    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    joined = chunked.withColumn("_local", local).join(shifts, [*keys, "_chunk"], "left")
-    return joined.withColumn(name, (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint")).drop("_chunk", "_local", "_shift")
+    local = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(order))
+    same = [F.col(f"n.{key}").eqNullSafe(F.col(f"s.{key}")) for key in (*keys, "_range")]
+    numbered = cut.withColumn("_local", local).alias("n").join(shifts.alias("s"), same, "left").select(
+        F.col(f"n.{order}").alias("_order"), (F.col("n._local") + F.coalesce("s._shift", F.lit(0))).cast("bigint").alias(name)
+    )
+    return frame.join(numbered, F.col(order) == F.col("_order")).drop("_order")
 
 
 def in_order(frame: DataFrame, key: str, order: str, value: Column, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -61,13 +68,22 @@ def in_order(frame: DataFrame, key: str, order: str, value: Column, name: str, c
     )
 
 
-def materialize(frame: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; one is made only where that is unset.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session that is one process on one machine may do
+    without: there a folder is made.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="digestmill-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="digestmill-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the session."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

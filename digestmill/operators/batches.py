@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestmill.functions.scale import clamp
+from digestmill.functions.scale import newest
 from digestmill.operators.ledger import default_next_steps
 
 
@@ -51,8 +51,11 @@ def batch_summary(members: DataFrame, jobs: DataFrame) -> DataFrame:
     return members.join(entry, "job_id").withColumn("section", section)
 
 
-def list_batches(batches: DataFrame, members: DataFrame, jobs: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest batches with their status. At most 100 headers are shipped to the member scan."""
-    newest = batches.orderBy(F.desc("created_at"), F.desc("batch_id")).limit(clamp(limit, 1, 100))
-    chosen = members.join(F.broadcast(newest.select("batch_id")), "batch_id", "left_semi")
-    return newest.join(batch_status(chosen, jobs), "batch_id").orderBy(F.desc("created_at"), F.desc("batch_id"))
+def list_batches(batches: DataFrame, members: DataFrame, jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The batches with their status, newest first: all, or ``limit`` of them."""
+    order = [F.desc("created_at"), F.desc("batch_id")]
+    headers, chosen = batches, members
+    if limit is not None:
+        headers = newest(batches, order, limit)
+        chosen = members.join(headers.select("batch_id"), "batch_id", "left_semi")
+    return headers.join(batch_status(chosen, jobs), "batch_id").orderBy(*order)

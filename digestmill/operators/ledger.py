@@ -8,55 +8,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill import constants as K
-from digestmill.functions.scale import clamp
+from digestmill.functions.scale import newest
 from digestmill.functions.text import first_match, strip
 from digestmill.operators.urls import summary_quality
 
 
-def applied_events(events: DataFrame) -> DataFrame:
-    """Events that count: once a job is canceled, only another cancel may change it."""
-    ordered = events.withColumn("at", F.struct("ts", "event_id"))
-    cancels = ordered.filter("op = 'cancel'").groupBy("job_id").agg(F.min("at").alias("canceled_at"))
-    return ordered.join(cancels, "job_id", "left").filter(
-        F.col("canceled_at").isNull() | (F.col("at") <= F.col("canceled_at")) | (F.col("op") == "cancel")
-    )
+# Parts that the events of one job are dealt over until they are folded to one state each.
+SALTS = 32
+_PLAIN_FIELDS = ("status", "stage", "progress", "title")
+_OUTCOME_FIELDS = ("error_code", "error_message")
 
 
-def _last_writes() -> list[Column]:
-    """The last write of each field; an outcome event writes the error fields even when they are NULL."""
-
-    def last(column: str, writes: Column) -> Column:
-        return F.max_by(F.struct(column), F.when(writes, F.col("at")))[column].alias(column)
+def applied_events(events: DataFrame) -> DataFrame:
+    """Events that count, with ``at`` and ``salt``: once a job is canceled, only another cancel may change it.
 
-    plain = [last(name, F.col(name).isNotNull()) for name in ("status", "stage", "progress", "title")]
-    return plain + [last(name, F.col("op").isin("succeed", "fail", "cancel")) for name in ("error_code", "error_message")]
+    The first cancel of each canceled job is sent to every part of the job, so that the events meet it on
+    (job, part) and a job with very many events is split.
+    """
+    dealt = events.withColumn("at", F.struct("ts", "event_id")).withColumn("salt", F.pmod(F.xxhash64("event_id", "ts"), F.lit(SALTS)).cast("int"))
+    cancels = dealt.filter("op = 'cancel'").groupBy("job_id").agg(F.min("at").alias("canceled_at"))
+    everywhere = cancels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(everywhere, ["job_id", "salt"], "left").filter(
+        F.col("canceled_at").isNull() | (F.col("at") <= F.col("canceled_at")) | (F.col("op") == "cancel")
+    )
 
 
 def fold_jobs(events: DataFrame) -> DataFrame:
     """Current state of each job from its events: the last write per field wins, with the cancel guard.
 
-    The fold is two partial aggregates and no window, so a job with very many events does not gather its
-    rows in one task.
+    An outcome event writes the error fields even when they are NULL. Events are folded to one state per job and
+    part, with the time of each field's last write, and states are folded again by job; no raw event is joined
+    or grouped by its job alone.
     """
-    return applied_events(events).groupBy("job_id").agg(
-        *_last_writes(), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("applied_events")
+    writes = {name: F.col(name).isNotNull() for name in _PLAIN_FIELDS}
+    writes |= {name: F.col("op").isin("succeed", "fail", "cancel") for name in _OUTCOME_FIELDS}
+    parts = [
+        F.max(F.when(wrote, F.struct(F.col("at"), F.struct(F.col(name).alias("value")).alias("write")))).alias(f"last_{name}")
+        for name, wrote in writes.items()
+    ]
+    states = applied_events(events).groupBy("job_id", "salt").agg(
+        *parts, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events")
+    )
+    folded = states.groupBy("job_id").agg(
+        *(F.max(f"last_{name}")["write"]["value"].alias(name) for name in writes),
+        F.min("first_ts").alias("created_at"), F.max("last_ts").alias("updated_at"), F.sum("n_events").alias("applied_events"),
     )
+    return folded
 
 
 def job_deltas(events: DataFrame) -> DataFrame:
-    """Events folded to at most two events per job: what came before a cancel, and the cancel.
+    """What a micro-batch adds to the log: its events, without columns that no state depends on.
 
-    Folding deltas gives what folding their events gives. The two are kept apart so that a job that
-    was canceled earlier takes only the cancel.
+    A cancel may arrive late and be dated before writes that are in the log already, so no write can be folded
+    away before the job is read: folding the log gives what folding all events gives, whatever order they
+    arrived in.
     """
-    folded = applied_events(events).withColumn("is_cancel", F.col("op") == "cancel").groupBy("job_id", "is_cancel").agg(
-        *_last_writes(), F.max("at").alias("last_at"), F.bool_or(F.col("op").isin("succeed", "fail")).alias("judged")
-    )
-    op = F.when(F.col("is_cancel"), "cancel").when(F.col("judged"), "succeed").otherwise("progress")
-    return folded.select(
-        F.col("last_at.event_id").alias("event_id"), "job_id", F.col("last_at.ts").alias("ts"), op.alias("op"),
-        "status", "stage", "progress", "title", "error_code", "error_message",
-    )
+    return events.select("event_id", "job_id", "ts", "op", *_PLAIN_FIELDS, *_OUTCOME_FIELDS)
 
 
 def _kind(jobs: DataFrame, kind: str | None, not_kind: str | None) -> DataFrame:
@@ -66,36 +73,36 @@ def _kind(jobs: DataFrame, kind: str | None, not_kind: str | None) -> DataFrame:
 
 
 def list_jobs(
-    jobs: DataFrame, limit: int = 20, status: str | None = None, kind: str | None = None, not_kind: str | None = None
+    jobs: DataFrame, limit: int | None = None, status: str | None = None, kind: str | None = None, not_kind: str | None = None
 ) -> DataFrame:
-    """Newest jobs first; the limit is held to 1-100. Equal times are ordered by job id."""
+    """Jobs, newest first: all, or ``limit`` of them. Equal times are ordered by job id."""
     chosen = _kind(jobs, kind, not_kind)
     chosen = chosen.filter(F.col("status") == status) if status else chosen
-    return chosen.orderBy(F.desc("created_at"), F.desc("job_id")).limit(clamp(limit, 1, 100))
+    return newest(chosen, [F.desc("created_at"), F.desc("job_id")], limit)
 
 
 def status_counts(jobs: DataFrame, kind: str | None = None, not_kind: str | None = None) -> DataFrame:
     return _kind(jobs, kind, not_kind).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def queue_active(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """Running jobs, then queued jobs, newest first, together at most ``limit`` rows."""
-    running = list_jobs(jobs, limit, "running", not_kind="media_download").withColumn("queue_rank", F.lit(0))
-    queued = list_jobs(jobs, limit, "queued", not_kind="media_download").withColumn("queue_rank", F.lit(1))
-    return running.unionAll(queued).orderBy("queue_rank", F.desc("created_at"), F.desc("job_id")).limit(limit)
+def queue_active(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Running jobs, then queued jobs, newest first: all, or ``limit`` of them together."""
+    rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", 1)
+    waiting = _kind(jobs, None, "media_download").withColumn("queue_rank", rank).filter("queue_rank IS NOT NULL")
+    return newest(waiting, ["queue_rank", F.desc("created_at"), F.desc("job_id")], limit)
 
 
-def queue_status(jobs: DataFrame, limit: int = 100) -> DataFrame:
+def queue_status(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     """One row with the queue totals next to what ``queue_active`` would return."""
     counted = _kind(jobs, None, "media_download").agg(
         F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "queued").alias("queued"),
         F.count("*").alias("total"),
     )
     active = F.col("running") + F.col("queued")
-    returned = F.least(F.col("running"), F.lit(limit)) + F.least(F.col("queued"), F.lit(limit))
+    returned = active if limit is None else F.least(active, F.lit(limit))
+    limited = F.lit(False) if limit is None else active > limit
     return counted.select(
-        "running", "queued", "total", active.alias("active_count"),
-        F.least(returned, F.lit(limit)).cast("bigint").alias("active_returned"), (active > limit).alias("active_limited"),
+        "running", "queued", "total", active.alias("active_count"), returned.cast("bigint").alias("active_returned"), limited.alias("active_limited")
     )
 
 

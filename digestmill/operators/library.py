@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestmill.functions import text as T
-from digestmill.functions.scale import clamp, exploded, numbered_within
+from digestmill.functions.scale import exploded, newest, numbered_within
 
 HIDDEN_NAMES = ("latest.md", "summary.md", "timeline.md")
 POSTING_TOKEN = f"([{T.CJK}]|[A-Za-z0-9]+)"
@@ -107,24 +107,24 @@ def matching_paths(postings: DataFrame, clauses: list[list[str]]) -> DataFrame:
     return found.filter(F.col("clauses") == len(clauses)).select("relative_path")
 
 
-def search(library: DataFrame, postings: DataFrame, query: str, source_type: str = "", limit: int = 50) -> DataFrame:
-    """Newest documents that hold all words of the query. A query without words finds nothing.
+def search(library: DataFrame, postings: DataFrame, query: str, source_type: str = "", limit: int | None = None) -> DataFrame:
+    """Documents that hold all words of the query, newest first: all, or ``limit`` of them.
 
-    Content is fetched after the cut, for at most 100 paths.
+    A query without words finds nothing. Paths are chosen on slim columns; content is fetched for those only.
     """
     clauses = query_clauses(query)
     if not clauses:
         return library.filter(F.lit(False)).withColumn("snippet", F.lit(""))
     slim = library.select("relative_path", "mtime", "source_type")
     slim = slim.filter(F.col("source_type") == source_type) if source_type else slim
-    top = slim.join(matching_paths(postings, clauses), "relative_path", "left_semi").orderBy(
-        F.desc("mtime"), "relative_path"
-    ).limit(clamp(limit, 1, 100))
-    rows = library.join(F.broadcast(top.select("relative_path")), "relative_path", "left_semi")
+    found = slim.join(matching_paths(postings, clauses), "relative_path", "left_semi")
+    if limit is not None:
+        found = newest(found, [F.desc("mtime"), "relative_path"], limit)
+    rows = library.join(found.select("relative_path"), "relative_path", "left_semi")
     return rows.withColumn("snippet", snippet(F.col("content"), query.strip())).orderBy(F.desc("mtime"), "relative_path")
 
 
-def search_many(library: DataFrame, postings: DataFrame, queries: list[str], limit: int = 50) -> DataFrame:
+def search_many(library: DataFrame, postings: DataFrame, queries: list[str], limit: int | None = None) -> DataFrame:
     """Several searches as one union of single searches, each with its own cut."""
     frames = [search(library, postings, query, limit=limit).withColumn("query", F.lit(query)) for query in queries]
     result = frames[0]
@@ -133,27 +133,33 @@ def search_many(library: DataFrame, postings: DataFrame, queries: list[str], lim
     return result
 
 
-def search_like(library: DataFrame, query: str, source_type: str = "", limit: int = 50) -> DataFrame:
+def search_like(library: DataFrame, query: str, source_type: str = "", limit: int | None = None) -> DataFrame:
     """Fallback search: the normalised query as a LIKE pattern inside the search text (``_`` matches any character)."""
     words = " ".join(re.findall(rf"[{T.CJK}]|[A-Za-z0-9_]+", query.lower()))
     found = library.filter(F.col("search_text").like(f"%{words}%"))
     found = found.filter(F.col("source_type") == source_type) if source_type else found
-    return found.orderBy(F.desc("mtime"), "relative_path").limit(clamp(limit, 1, 100))
+    return newest(found, [F.desc("mtime"), "relative_path"], limit)
 
 
-def search_scan(listing: DataFrame, query: str, source_type: str = "", limit: int = 50) -> DataFrame:
-    """Plain scan: the lower-cased query inside title, path or text of the newest listed files.
+def search_scan(listing: DataFrame, query: str, source_type: str = "", limit: int | None = None, look_at: int | None = None) -> DataFrame:
+    """Plain scan: the lower-cased query inside title, path or text of the listed files, newest first.
 
-    ``listing`` comes from ``list_library`` with ``content``. Only ``max(20 * limit, 500)`` of the
-    newest files are looked at, as a list of that length is what the scan works on.
+    ``listing`` comes from ``list_library`` with ``content``. All files are looked at and all hits returned;
+    a caller may look at the ``look_at`` newest files only, or ask for ``limit`` hits. Paths are cut on slim
+    columns and content is fetched for the chosen ones.
     """
     needle = query.strip().lower()
-    newest = listing.orderBy(F.desc("mtime"), "relative_path").limit(clamp(max(limit * 20, 500), 1, 5000))
+    order = [F.desc("mtime"), "relative_path"]
+    seen = listing
+    if look_at is not None:
+        seen = listing.join(newest(listing.select("mtime", "relative_path"), order, look_at).select("relative_path"), "relative_path", "left_semi")
     hay = F.lower(F.concat_ws("\n", "title", "relative_path", "content"))
-    found = newest.filter(F.contains(hay, F.lit(needle)) & F.lit(needle != ""))
+    found = seen.filter(F.contains(hay, F.lit(needle)) & F.lit(needle != ""))
     found = found.filter(F.col("source_type") == source_type) if source_type else found
-    rows = found.orderBy(F.desc("mtime"), "relative_path").limit(max(limit, 1))
-    return rows.withColumn("snippet", scan_snippet(F.col("content"), query))
+    if limit is not None:
+        top = newest(found.select("mtime", "relative_path"), order, limit).select("relative_path")
+        found = found.join(top, "relative_path", "left_semi")
+    return found.orderBy(*order).withColumn("snippet", scan_snippet(F.col("content"), query))
 
 
 def snippet(content: Column, query: str, radius: int = 90) -> Column:
@@ -217,8 +223,8 @@ def file_title(path: Column) -> Column:
     return F.coalesce(T.present(F.replace(bare, F.lit("-"), F.lit(" "))), _name(path))
 
 
-def list_library(files: DataFrame, favorites: DataFrame, limit: int = 1000) -> DataFrame:
-    """Newest digests (limit held to 1-5000) with totals on every row.
+def list_library(files: DataFrame, favorites: DataFrame, limit: int | None = None) -> DataFrame:
+    """Digests, newest first, with totals on every row: all, or ``limit`` of them.
 
     Equal times are ordered by path. ``favorites`` has ``relative_path``.
     """
@@ -227,16 +233,17 @@ def list_library(files: DataFrame, favorites: DataFrame, limit: int = 1000) -> D
     totals = markdown.agg(
         F.struct(F.count_if(searchable(path)).alias("listed"), F.count_if(~searchable(path)).alias("skipped")).alias("t")
     )
-    newest = markdown.filter(searchable(path)).orderBy(F.desc("mtime"), "relative_path").limit(clamp(limit, 1, 5000))
-    # The cut rows are few (at most 5000), so they are the side to ship.
-    marked = favorites.select("relative_path").join(F.broadcast(newest.select("relative_path")), "relative_path", "left_semi").distinct()
-    rows = newest.join(F.broadcast(marked.withColumn("is_favorite", F.lit(True))), "relative_path", "left")
+    marked = favorites.select("relative_path").distinct().withColumn("is_favorite", F.lit(True))
+    listed = markdown.filter(searchable(path))
+    if limit is not None:
+        listed = newest(listed, [F.desc("mtime"), "relative_path"], limit)
+    rows = listed.join(marked, "relative_path", "left").orderBy(F.desc("mtime"), "relative_path")
     counted = rows.withColumn("totals", totals.scalar())
     return counted.select(
         file_title(path).alias("title"), F.substring_index(path, "/", 1).alias("date"), path, _source_type(path).alias("source_type"),
         "size", "mtime", F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"),
         F.col("totals.listed").alias("total_candidates"), F.col("totals.skipped").alias("skipped"),
-        (F.col("totals.listed") > clamp(limit, 1, 5000)).alias("limited"),
+        (F.lit(False) if limit is None else F.col("totals.listed") > max(int(limit), 1)).alias("limited"),
     )
 
 
@@ -260,6 +267,10 @@ def filter_items(items: DataFrame, text: str = "", source_type: str = "") -> Dat
 # ---- favourites ----------------------------------------------------------------------------
 
 
+# Parts that the picks of one path are dealt over.
+PICK_PARTS = 16
+
+
 def _pick_path(picks: DataFrame) -> Column:
     """Relative path of a raw pick: decoded, without leading slashes; NULL when it leaves the root."""
     decoded = F.regexp_replace(picks["raw_path"], r"%(?![0-9A-Fa-f]{2})", "%25")
@@ -277,14 +288,21 @@ def pick_results(library: DataFrame, favorites: DataFrame, picks: DataFrame) ->
     # A refused pick keeps a key of its own instead of NULL, so that refused picks do not meet in one task.
     own_key = F.concat(F.lit("!"), F.col("pick_id").cast("string"))
     paths = picks.withColumn("relative_path", F.coalesce(_pick_path(picks), own_key))
-    known = library.select("relative_path").distinct().withColumn("known", F.lit(True))
-    marked = favorites.select("relative_path").distinct().withColumn("marked", F.lit(True))
-    joined = paths.join(known, "relative_path", "left").join(marked, "relative_path", "left")
-    first = joined.groupBy("relative_path").agg(F.min("pick_id").alias("first_pick"))
-    judged = joined.join(first, "relative_path", "left")
+    # What is known of each picked path is gathered first; the picks then meet it on (path, part), so that a path
+    # picked very often is split.
+    state = (
+        paths.select("relative_path", "pick_id", F.lit(False).alias("known"), F.lit(False).alias("marked"))
+        .unionByName(library.select("relative_path", F.lit(None).cast(dict(picks.dtypes)["pick_id"]).alias("pick_id"), F.lit(True).alias("known"), F.lit(False).alias("marked")))
+        .unionByName(favorites.select("relative_path", F.lit(None).cast(dict(picks.dtypes)["pick_id"]).alias("pick_id"), F.lit(False).alias("known"), F.lit(True).alias("marked")))
+        .groupBy("relative_path")
+        .agg(F.min("pick_id").alias("first_pick"), F.bool_or("known").alias("known"), F.bool_or("marked").alias("marked"))
+        .filter("first_pick IS NOT NULL AND known")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PICK_PARTS - 1))))
+    )
+    judged = paths.withColumn("part", F.pmod(F.xxhash64("pick_id"), F.lit(PICK_PARTS)).cast("int")).join(state, ["relative_path", "part"], "left")
     outcome = (
         F.when(F.col("known").isNull(), "not_found")
-        .when(F.col("marked").isNotNull() | (F.col("pick_id") > F.col("first_pick")), "already_favorited")
+        .when(F.col("marked") | (F.col("pick_id") > F.col("first_pick")), "already_favorited")
         .otherwise("added")
     )
     path = F.when(~F.startswith("relative_path", F.lit("!")), F.col("relative_path"))
@@ -327,14 +345,21 @@ def favorite_target(picks: DataFrame, jobs: DataFrame, library: DataFrame) -> Da
 # ---- documents -----------------------------------------------------------------------------
 
 
-def toc(library: DataFrame, most: int = 24) -> DataFrame:
-    """The first headings of each document with anchors that are unique inside it.
+def toc(library: DataFrame, most: int | None = None) -> DataFrame:
+    """The headings of each document, or its first ``most``, with anchors that are unique inside it.
 
-    All inside the row: at most ``most`` headings are folded over the anchors already taken.
+    A heading takes its base as anchor, or the base with the lowest free number from 2. That is the base's own
+    count, unless another heading already reads like a numbered one; only documents with such a heading walk
+    through their headings one by one.
     """
     pattern = rf"^(#{{1,4}}){T.WS}+(.+)$"
-    heading = F.transform(T.lines(F.col("content")), T.strip)
-    heads = F.slice(F.filter(heading, lambda line: F.rlike(line, F.lit(pattern))), 1, most)
+    heads = F.filter(F.transform(T.lines(F.col("content")), T.strip), lambda line: F.rlike(line, F.lit(pattern)))
+    heads = heads if most is None else F.slice(heads, 1, most)
+
+    def base(title: Column) -> Column:
+        dashed = F.btrim(F.regexp_replace(F.lower(title), f"[^{T.WORD}{T.CJK}]+", "-"), F.lit("-"))
+        return F.coalesce(T.present(dashed), F.lit("section"))
+
     titled = F.transform(
         heads,
         lambda line: F.struct(
@@ -342,20 +367,19 @@ def toc(library: DataFrame, most: int = 24) -> DataFrame:
         ),
     )
 
-    def base(title: Column) -> Column:
-        dashed = F.btrim(F.regexp_replace(F.lower(title), f"[^{T.WORD}{T.CJK}]+", "-"), F.lit("-"))
-        return F.coalesce(T.present(dashed), F.lit("section"))
-
-    def free(used: Column, head: Column) -> Column:
-        stem = base(head["title"])
-        tries = F.concat(
-            F.array(stem), F.transform(F.sequence(F.lit(2), F.lit(most + 1)), lambda n: F.concat(stem, F.lit("-"), n.cast("string")))
-        )
-        return F.concat(used, F.slice(F.filter(tries, lambda anchor: ~F.array_contains(used, anchor)), 1, 1))
-
-    anchors = F.aggregate("heads", F.array().cast("array<string>"), free)
-    rows = library.select("relative_path", titled.alias("heads")).withColumn("anchors", anchors)
-    return exploded(rows, ["relative_path"], F.arrays_zip("heads", "anchors"), "entry", "seq").select("relative_path", "seq", F.col("entry.heads.level").alias("level"), F.col("entry.heads.title").alias("title"), F.col("entry.anchors").alias("anchor"))
+    def free(used: Column, stem: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(stem, F.lit("-"), n.cast("string")))
+        return F.concat(used, F.slice(F.filter(F.concat(F.array(stem), numbered), lambda anchor: ~F.array_contains(used, anchor)), 1, 1))
+
+    number = r"-\p{Nd}+$"
+    clash = F.exists("bases", lambda stem: F.rlike(stem, F.lit(number)) & F.array_contains("bases", F.regexp_replace(stem, number, "")))
+    rows = library.select("relative_path", titled.alias("heads")).withColumn("bases", F.transform("heads", lambda head: base(head["title"])))
+    rows = rows.withColumn("walked", F.when(clash, F.aggregate("bases", F.array().cast("array<string>"), free)))
+    entries = exploded(rows, ["relative_path", "walked"], F.arrays_zip("heads", "bases"), "entry", "seq")
+    nth = F.row_number().over(Window.partitionBy("relative_path", "entry.bases").orderBy("seq"))
+    counted = F.when(nth == 1, F.col("entry.bases")).otherwise(F.concat("entry.bases", F.lit("-"), nth.cast("string")))
+    anchor = F.coalesce(F.get("walked", F.col("seq")), counted)
+    return entries.select("relative_path", "seq", F.col("entry.heads.level").alias("level"), F.col("entry.heads.title").alias("title"), anchor.alias("anchor"))
 
 
 def output_paths(digests: DataFrame) -> DataFrame:

@@ -125,13 +125,19 @@ def ingest_documents(spark, sf):
     return digests.agg(F.count("*").alias("digests"), F.count_if(F.col("source_type") == "feishu_document").alias("connector"))
 
 
-@query("job_deltas", f"SELECT job_id, status, stage, progress, title, error_code, error_message FROM ({FOLD_SQL})")
+@query(
+    "job_deltas",
+    f"""SELECT f.*, t.created_at, t.updated_at FROM ({FOLD_SQL}) f JOIN (
+          SELECT job_id, min(ts) AS created_at, max(ts) AS updated_at FROM (
+            SELECT *, coalesce(max(CASE WHEN op = 'cancel' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM v_job_events) WHERE gone = 0 OR op = 'cancel' GROUP BY job_id) t
+        ON f.job_id IS NOT DISTINCT FROM t.job_id""",
+)
 def job_deltas(spark, sf):
-    """Events cut into five time slices as micro-batches would be, folded per slice and folded again."""
+    """Events cut into five slices that mix early and late ones, as micro-batches with late events would, and folded."""
     events = view(spark, sf, "v_job_events")
-    day = F.dayofmonth("ts")
     deltas = None
-    for low in range(0, 35, 7):
-        part = J.job_deltas(events.filter((day > low) & (day <= low + 7)))
+    for slice_ in range(5):
+        part = J.job_deltas(events.filter(F.col("event_id") % 5 == slice_))
         deltas = part if deltas is None else deltas.unionByName(part)
-    return J.fold_jobs(deltas).select("job_id", "status", "stage", "progress", "title", "error_code", "error_message")
+    return J.fold_jobs(deltas)

@@ -32,10 +32,10 @@ def fold_jobs(spark, sf):
 
 @query(
     "list_jobs",
-    "SELECT job_id, status, request_kind FROM v_jobs WHERE status = 'failed' AND request_kind <> 'media_download' ORDER BY created_at DESC, job_id DESC LIMIT 100",
+    "SELECT job_id, status, request_kind FROM v_jobs WHERE status = 'failed' AND request_kind <> 'media_download'",
 )
 def list_jobs(spark, sf):
-    found = J.list_jobs(view(spark, sf, "v_jobs"), limit=500, status="failed", not_kind="media_download")
+    found = J.list_jobs(view(spark, sf, "v_jobs"), status="failed", not_kind="media_download")
     return found.select("job_id", "status", "request_kind")
 
 
@@ -51,18 +51,17 @@ def media_status_counts(spark, sf):
 
 @query(
     "queue_active",
-    """SELECT job_id, status FROM (SELECT job_id, status, created_at, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, job_id DESC) AS r
-          FROM v_jobs WHERE status IN ('running', 'queued') AND request_kind <> 'media_download') WHERE r <= 100
-        ORDER BY CASE status WHEN 'running' THEN 0 ELSE 1 END, created_at DESC, job_id DESC LIMIT 100""",
+    """SELECT job_id, status, CASE status WHEN 'running' THEN 0 ELSE 1 END AS queue_rank FROM v_jobs
+        WHERE status IN ('running', 'queued') AND request_kind <> 'media_download'""",
 )
 def queue_active(spark, sf):
-    return J.queue_active(view(spark, sf, "v_jobs")).select("job_id", "status")
+    return J.queue_active(view(spark, sf, "v_jobs")).select("job_id", "status", "queue_rank")
 
 
 @query(
     "queue_status",
-    """SELECT running, queued, total, running + queued AS active_count, least(least(running, 100) + least(queued, 100), 100) AS active_returned,
-          running + queued > 100 AS active_limited FROM (SELECT count(*) FILTER (WHERE status = 'running') AS running,
+    """SELECT running, queued, total, running + queued AS active_count, running + queued AS active_returned,
+          false AS active_limited FROM (SELECT count(*) FILTER (WHERE status = 'running') AS running,
           count(*) FILTER (WHERE status = 'queued') AS queued, count(*) AS total FROM v_jobs WHERE request_kind <> 'media_download')""",
 )
 def queue_status(spark, sf):
@@ -237,13 +236,13 @@ def make_batches(spark, sf):
 
 @query(
     "list_batches",
-    f"""SELECT batch_id, total, {_BATCH_STATUS} AS status FROM ({_BATCH}) WHERE batch_id IN
-        (SELECT user_id FROM events GROUP BY user_id ORDER BY min(ts) DESC, user_id DESC LIMIT 30)""",
+    f"""SELECT b.*, {_BATCH_STATUS} AS status, h.created_at FROM ({_BATCH}) b JOIN
+        (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id) h ON b.batch_id = h.user_id""",
 )
 def list_batches(spark, sf):
     headers = view(spark, sf, "events").groupBy(F.col("user_id").alias("batch_id")).agg(F.min("ts").alias("created_at"))
-    found = B.list_batches(headers, view(spark, sf, "v_batch_members"), view(spark, sf, "v_jobs"), limit=30)
-    return found.select("batch_id", "total", "status")
+    found = B.list_batches(headers, view(spark, sf, "v_batch_members"), view(spark, sf, "v_jobs"))
+    return found
 
 
 # ---- cache ---------------------------------------------------------------------------------

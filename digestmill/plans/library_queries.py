@@ -71,7 +71,7 @@ _SNIPPET = """CASE WHEN instr(lower(content), '{q}') = 0 THEN trim(substr(conten
 @query(
     "search_words",
     f"""WITH {_ROWS}, {_POSTINGS} SELECT relative_path, title, {_SNIPPET.format(q='the of', n=6)} AS snippet FROM lib
-        WHERE relative_path IN ({_phrase(['the'])}) AND relative_path IN ({_phrase(['of'])}) ORDER BY mtime DESC, relative_path LIMIT 50""",
+        WHERE relative_path IN ({_phrase(['the'])}) AND relative_path IN ({_phrase(['of'])})""",
 )
 def search_words(spark, sf):
     library = _library(spark, sf)
@@ -81,20 +81,20 @@ def search_words(spark, sf):
 @query(
     "search_phrase",
     f"""WITH {_ROWS}, {_POSTINGS} SELECT relative_path, title FROM lib
-        WHERE relative_path IN ({_phrase(['the', 'of'])}) AND relative_path IN ({_phrase(['in'])}) AND source_type = 'src1' ORDER BY mtime DESC, relative_path LIMIT 100""",
+        WHERE relative_path IN ({_phrase(['the', 'of'])}) AND relative_path IN ({_phrase(['in'])}) AND source_type = 'src1'""",
 )
 def search_phrase(spark, sf):
     """An underscore joins words into one phrase, as the index tokenizer splits them."""
     library = _library(spark, sf)
-    return L.search(library, L.build_postings(library), "the_of in", "src1", 500).select("relative_path", "title")
+    return L.search(library, L.build_postings(library), "the_of in", "src1").select("relative_path", "title")
 
 
 @query(
     "search_like",
-    f"WITH {_ROWS} SELECT relative_path, title FROM lib WHERE search_text LIKE '%the of%' ORDER BY mtime DESC, relative_path LIMIT 100",
+    f"WITH {_ROWS} SELECT relative_path, title FROM lib WHERE search_text LIKE '%the of%'",
 )
 def search_like(spark, sf):
-    return L.search_like(_library(spark, sf), "The, of", limit=100).select("relative_path", "title")
+    return L.search_like(_library(spark, sf), "The, of").select("relative_path", "title")
 
 
 _FILE_TITLE = "replace(regexp_replace(string_split(relative_path, '/')[-1], '\\.md$', ''), '-', ' ')"
@@ -102,13 +102,11 @@ _FILE_TITLE = "replace(regexp_replace(string_split(relative_path, '/')[-1], '\\.
 
 @query(
     "search_scan",
-    f"""WITH newest AS (SELECT relative_path, {_FILE_TITLE} AS title, {_SRC} AS source_type, content, mtime FROM v_files WHERE {_SEARCHABLE}
-          ORDER BY mtime DESC, relative_path LIMIT 600)
+    f"""WITH newest AS (SELECT relative_path, {_FILE_TITLE} AS title, {_SRC} AS source_type, content, mtime FROM v_files WHERE {_SEARCHABLE})
         SELECT relative_path, title, CASE WHEN p = 0 THEN replace(substr(content, 1, 220), chr(10), ' ') ELSE
           CASE WHEN p > 91 THEN '...' ELSE '' END || replace(substr(content, greatest(p - 90, 1), least(length(content), p - 1 + 4 + 130) - greatest(p - 91, 0)), chr(10), ' ')
           || CASE WHEN p - 1 + 134 < length(content) THEN '...' ELSE '' END END AS snippet
-        FROM (SELECT *, instr(lower(content), 'tion') AS p FROM newest WHERE contains(lower(title || chr(10) || relative_path || chr(10) || content), 'tion'))
-        ORDER BY mtime DESC, relative_path LIMIT 30""",
+        FROM (SELECT *, instr(lower(content), 'tion') AS p FROM newest WHERE contains(lower(title || chr(10) || relative_path || chr(10) || content), 'tion'))""",
 )
 def search_scan(spark, sf):
     files = view(spark, sf, "v_files")
@@ -116,7 +114,7 @@ def search_scan(spark, sf):
     listing = files.filter(L.searchable(path)).select(
         path, L.file_title(path).alias("title"), L._source_type(path).alias("source_type"), "content", "mtime"
     )
-    return L.search_scan(listing, "tioN", limit=30).select("relative_path", "title", "snippet")
+    return L.search_scan(listing, "tioN").select("relative_path", "title", "snippet")
 
 
 @query("snippets", f"SELECT doc_id, {_SNIPPET.format(q='re', n=2)} AS snippet FROM v_library")
@@ -153,18 +151,18 @@ def library_upsert(spark, sf):
 
 
 _LISTED = f"""SELECT relative_path, {_FILE_TITLE} AS title, string_split(relative_path, '/')[1] AS date, {_SRC} AS source_type, size, mtime,
-    relative_path IN (SELECT relative_path FROM v_library WHERE doc_id % 5 = 0) AS is_favorite FROM v_files WHERE {_SEARCHABLE} ORDER BY mtime DESC, relative_path LIMIT 120"""
+    relative_path IN (SELECT relative_path FROM v_library WHERE doc_id % 5 = 0) AS is_favorite FROM v_files WHERE {_SEARCHABLE}"""
 
 
 def _listing(spark, sf):
     favorites = view(spark, sf, "v_library").filter("doc_id % 5 = 0").select("relative_path")
-    return L.list_library(view(spark, sf, "v_files"), favorites, 120)
+    return L.list_library(view(spark, sf, "v_files"), favorites)
 
 
 @query(
     "list_library",
     f"""SELECT l.*, t.* FROM ({_LISTED}) l, (SELECT count(*) FILTER (WHERE {_SEARCHABLE}) AS total_candidates,
-          count(*) FILTER (WHERE relative_path LIKE '%.md' AND NOT ({_SEARCHABLE})) AS skipped, count(*) FILTER (WHERE {_SEARCHABLE}) > 120 AS limited FROM v_files) t""",
+          count(*) FILTER (WHERE relative_path LIKE '%.md' AND NOT ({_SEARCHABLE})) AS skipped, false AS limited FROM v_files) t""",
 )
 def list_library(spark, sf):
     return _listing(spark, sf)
@@ -247,17 +245,17 @@ def favorite_target(spark, sf):
     "toc",
     """WITH l AS (SELECT doc_id, relative_path, string_split(content, chr(10)) AS lines FROM v_library),
         e AS (SELECT doc_id, relative_path, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k FROM l),
-        h AS (SELECT relative_path, k, CASE WHEN k = 0 THEN 1 ELSE 1 + k % 4 END AS level, CASE WHEN k = 0 THEN line[3:] ELSE substr(string_split(line, ' ')[1], 1, 3) END AS title FROM e WHERE line <> '' AND trim(line) <> ''),
+        h AS (SELECT relative_path, k, CASE WHEN k = 0 THEN 1 ELSE 1 + k % 4 END AS level, CASE WHEN k = 0 THEN line[3:] ELSE trim(line) END AS title FROM e WHERE line <> '' AND trim(line) <> ''),
         b AS (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY k) - 1 AS seq, coalesce(nullif(trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '-', 'g'), '-'), ''), 'section') AS base FROM h WHERE title <> '')
         SELECT relative_path, seq, level, title, base || CASE WHEN row_number() OVER (PARTITION BY relative_path, base ORDER BY k) > 1
-            THEN '-' || row_number() OVER (PARTITION BY relative_path, base ORDER BY k) ELSE '' END AS anchor FROM b WHERE seq < 24""",
+            THEN '-' || row_number() OVER (PARTITION BY relative_path, base ORDER BY k) ELSE '' END AS anchor FROM b""",
 )
 def toc(spark, sf):
-    """Each line becomes a heading of its first three letters, so anchors repeat."""
+    """Each line becomes a heading; repeated lines repeat their anchors."""
     lines = F.transform(
         F.split("content", "\n"),
         lambda line, k: F.when(k == 0, line).otherwise(
-            F.concat(F.repeat(F.lit("#"), 1 + k % 4), F.lit(" "), F.substring(F.substring_index(line, " ", 1), 1, 3))
+            F.concat(F.repeat(F.lit("#"), 1 + k % 4), F.lit(" "), line)
         ),
     )
     library = view(spark, sf, "v_library").select("relative_path", F.array_join(lines, "\n").alias("content"))

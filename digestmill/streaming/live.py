@@ -27,29 +27,45 @@ def _start(stream: DataFrame, write_batch, checkpoint: str, once: bool):
 # ---- job state -----------------------------------------------------------------------------
 
 
+# Folders the job log is split into by a hash of the job.
+JOB_BUCKETS = 64
+
+
+def _job_bucket() -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(JOB_BUCKETS)).cast("int")
+
+
 def stream_jobs(events: DataFrame, root: str, checkpoint: str, once: bool = False):
-    """Live job state as a log of deltas.
+    """Live job state as a log of slim events, bucketed by job.
 
-    A micro-batch costs what it brings, not what the ledger holds, and a job with very many events is
-    folded by partial aggregates instead of one state-store task. The cancel guard is applied again
-    when deltas are read, so it holds across batches.
+    A micro-batch costs what it brings, not what the ledger holds. State is folded when it is read, with the
+    cancel guard over all events of a job, so late and reordered events come out as if they had been in time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        job_deltas(batch).write.mode("overwrite").parquet(_folder(root, batch_id))
+        job_deltas(batch).withColumn("bucket", _job_bucket()).write.mode("overwrite").partitionBy("bucket").parquet(_folder(root, batch_id))
 
     return _start(events, write, checkpoint, once)
 
 
-def current_jobs(spark: SparkSession, root: str) -> DataFrame:
-    """State of every job from the deltas so far."""
-    return fold_jobs(spark.read.option("basePath", root).parquet(root).drop("batch"))
+def _job_log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.option("basePath", root).parquet(root)
+
+
+def current_jobs(spark: SparkSession, root: str, jobs: DataFrame | None = None) -> DataFrame:
+    """State of every job from the log so far, or of the jobs in ``jobs`` (``job_id``), whose buckets alone are read."""
+    log = _job_log(spark, root)
+    if jobs is not None:
+        buckets = [row["bucket"] for row in jobs.select(_job_bucket().alias("bucket")).distinct().collect()]  # at most JOB_BUCKETS
+        log = log.filter(F.col("bucket").isin(buckets)).join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    return fold_jobs(log.drop("batch", "bucket"))
 
 
 def compact_jobs(spark: SparkSession, root: str, target: str) -> None:
-    """Deltas rewritten as one delta per job in a new folder; the old folder stays as it is."""
-    deltas = spark.read.option("basePath", root).parquet(root).drop("batch")
-    job_deltas(deltas).write.mode("errorifexists").parquet(_folder(target, 0))
+    """The log in fewer, larger files, sorted by job, in a new folder; no event is folded away and the old folder stays."""
+    log = _job_log(spark, root).drop("batch")
+    ranged = log.repartitionByRange("bucket", "job_id", "ts").sortWithinPartitions("bucket", "job_id", "ts")
+    ranged.write.mode("errorifexists").partitionBy("bucket").parquet(_folder(target, 0))
 
 
 # ---- request dedupe ------------------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,15 +48,59 @@ def test_cancel_guard(spark):
 def test_folding_deltas_equals_folding_events(spark, cut):
     all_events = events(spark, ("a", "submit"), ("a", "fail"), ("b", "succeed"), ("a", "progress"), ("b", "cancel"), ("a", "cancel"), ("a", "succeed"), ("b", "succeed"), ("b", "cancel"), ("b", "fail"), ("c", "fail"), ("c", "succeed"))
     parts = J.job_deltas(all_events.filter(F.col("event_id") < cut)).unionByName(J.job_deltas(all_events.filter(F.col("event_id") >= cut)))
-    fields = ["job_id", "status", "stage", "progress", "title", "error_code", "error_message"]
-    key = lambda frame: sorted(tuple(row) for row in frame.select(*fields).collect())
+    key = lambda frame: sorted(map(str, frame.collect()))
     assert key(J.fold_jobs(parts)) == key(J.fold_jobs(all_events))
 
 
-def test_list_limit_is_clamped(spark):
+def test_random_micro_batches_fold_like_one(spark):
+    """Late, reordered and canceled events, cut at random, against a plain fold."""
+    random.seed(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for number in range(400):
+        op = random.choice(["submit", "progress", "progress", "succeed", "fail", "cancel"] if random.random() < 0.4 else ["submit", "progress", "fail"])
+        rows.append((number, f"j{random.randint(0, 20)}", start + dt.timedelta(seconds=random.randint(0, 60)), op, random.choice([None, op]), random.choice([None, "s"]), random.choice([None, 0.5]), random.choice([None, f"t{number}"]), random.choice([None, "e"]), random.choice([None, f"m{number}"])))
+    schema = "event_id LONG, job_id STRING, ts TIMESTAMP, op STRING, status STRING, stage STRING, progress DOUBLE, title STRING, error_code STRING, error_message STRING"
+    frame = spark.createDataFrame(rows, schema)
+    log = J.job_deltas(frame.filter("event_id % 3 = 1")).unionByName(J.job_deltas(frame.filter("event_id % 3 = 0"))).unionByName(J.job_deltas(frame.filter("event_id % 3 = 2")))
+    expected = {}
+    for row in sorted(rows, key=lambda row: (row[2], row[0])):
+        state = expected.setdefault(row[1], {"canceled": False, "n": 0, "first": row[2]})
+        if state["canceled"] and row[3] != "cancel":
+            continue
+        state["canceled"] |= row[3] == "cancel"
+        state["n"] += 1
+        state["last"] = row[2]
+        state |= {name: value for name, value in zip(("status", "stage", "progress", "title"), row[4:8], strict=True) if value is not None}
+        if row[3] in ("succeed", "fail", "cancel"):
+            state |= {"error_code": row[8], "error_message": row[9]}
+    got = {row["job_id"]: row for row in J.fold_jobs(log).collect()}
+    assert set(got) == set(expected)
+    for job, state in expected.items():
+        row = got[job]
+        assert (row["applied_events"], row["created_at"], row["updated_at"]) == (state["n"], state["first"], state["last"]), job
+        assert all(row[name] == state.get(name) for name in ("status", "stage", "progress", "title", "error_code", "error_message")), job
+
+
+def test_one_hot_job_is_split(spark):
+    frame = spark.range(5000).selectExpr(
+        "id AS event_id", "CASE WHEN id % 5 = 0 THEN concat('j', id) ELSE 'hot' END AS job_id", "timestamp_seconds(id) AS ts", "CASE WHEN id = 4999 THEN 'cancel' ELSE 'progress' END AS op", "'running' AS status",
+        "CAST(NULL AS STRING) AS stage", "CAST(id AS DOUBLE) AS progress", "CAST(NULL AS STRING) AS title", "CAST(NULL AS STRING) AS error_code", "CAST(NULL AS STRING) AS error_message",
+    )
+    folded = J.fold_jobs(frame)
+    row = folded.filter("job_id = 'hot'").collect()[0]
+    assert (row["applied_events"], row["progress"]) == (4000, 4999.0)
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()  # joined on the job and its part
+    assert "salt" in plan.split("Join")[1].split("\n")[0]
+
+
+def test_lists_are_whole_unless_a_limit_is_given(spark):
     jobs = events(spark, *[("j%d" % i, "submit") for i in range(130)]).select("job_id", "status", F.lit("link").alias("request_kind"), F.col("ts").alias("created_at"))
-    assert J.list_jobs(jobs, limit=1000).count() == 100 and J.list_jobs(jobs, limit=0).count() == 1
+    assert J.list_jobs(jobs).count() == J.queue_active(jobs).count() == 130
+    assert J.list_jobs(jobs, limit=100).count() == 100 and J.list_jobs(jobs, limit=0).count() == 1 and J.queue_active(jobs, 7).count() == 7
     row = J.queue_status(jobs).collect()[0]
+    assert (row["active_count"], row["active_returned"], row["active_limited"]) == (130, 130, False)
+    row = J.queue_status(jobs, limit=100).collect()[0]
     assert (row["active_count"], row["active_returned"], row["active_limited"]) == (130, 100, True)
 
 
