@@ -87,8 +87,8 @@ def source_prompt(source_type: Column) -> Column:
     return T.first_match([(kind.isin("bilibili", "youtube"), K.PROMPT_VIDEO), (kind == "wechat", K.PROMPT_WECHAT)], F.lit(K.PROMPT_WEB))
 
 
-def build_prompts(documents: DataFrame, summary_prompt: str) -> DataFrame:
-    """``doc_id, prompt`` for the model: rules, source block, request, and the text cut in its middle."""
+def build_prompts(documents: DataFrame, summary_prompt: str, max_chars: int | None = None) -> DataFrame:
+    """``doc_id, prompt`` for the model: rules, source block, request, and the text, cut in its middle to ``max_chars`` where asked."""
     unknown = F.lit(K.UNKNOWN)
     prompt = F.concat(
         F.lit(summary_prompt.strip() + "\n\n来源类型补充要求：\n"), source_prompt(F.col("source_type")),
@@ -97,7 +97,7 @@ def build_prompts(documents: DataFrame, summary_prompt: str) -> DataFrame:
         F.lit("\n作者："), T.first_present(_field(documents, "author"), unknown), F.lit("\n提取方式："), "extraction_method",
         F.lit("\n\n字幕状态："), T.first_present(_field(documents, "subtitle_status"), unknown),
         F.lit("\n\n字幕来源："), T.first_present(_field(documents, "transcript_origin_label"), unknown),
-        F.lit("\n\n来源内容：\n"), T.head_tail(F.col("content_text"), K.MAX_PROMPT_CHARS, K.OMISSION_MARKER),
+        F.lit("\n\n来源内容：\n"), F.col("content_text") if max_chars is None else T.head_tail(F.col("content_text"), max_chars, K.OMISSION_MARKER),
     )
     return documents.select("doc_id", prompt.alias("prompt"))
 
@@ -128,12 +128,12 @@ def read_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def resolve_attempts(attempts: DataFrame) -> DataFrame:
+def resolve_attempts(attempts: DataFrame, most: int | None = None) -> DataFrame:
     """One row per document: the first attempt that succeeded, or the reasons of all of them.
 
-    A document has a primary attempt and at most one backup; later attempts are not part of the rule.
+    All attempts count, or the first ``most`` numbers.
     """
-    read = read_attempts(attempts.filter("attempt <= 2"))
+    read = read_attempts(attempts if most is None else attempts.filter(F.col("attempt") <= most))
     good = F.when(F.col("reason").isNull(), F.col("attempt"))
     winner = F.min_by(F.struct("attempt", "provider", "model", "said_model", "base_url", "text"), good)
     primary = F.min_by(F.struct("model", "reason"), F.col("attempt"))

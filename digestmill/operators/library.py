@@ -382,16 +382,30 @@ def toc(library: DataFrame, most: int | None = None) -> DataFrame:
     return entries.select("relative_path", "seq", F.col("entry.heads.level").alias("level"), F.col("entry.heads.title").alias("title"), anchor.alias("anchor"))
 
 
-def output_paths(digests: DataFrame) -> DataFrame:
+def output_paths(digests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Partition and file name of each digest ``(doc_id, title, source_type, written_at)``.
 
-    Digests of one second and slug get the suffixes ``-2``, ``-3`` and so on by ``doc_id``; the
-    numbering does not gather a frequent title in one task.
+    Digests of one second and slug get the suffixes ``-2``, ``-3`` and so on by ``doc_id``; the numbering does
+    not gather a frequent title in one task. With ``stored (doc_id, date, source_dir, file_stem)`` numbers go on
+    after the highest stored one, and digests stored at their date and source already are left out.
     """
     named = digests.withColumn("date", F.date_format("written_at", "yyyy-MM-dd")).withColumn(
         "source_dir", T.safe_part(F.coalesce(T.present(F.col("source_type")), F.lit("source")))
     ).withColumn("stem", F.concat(F.date_format("written_at", "HHmmss"), F.lit("-"), T.slug(F.col("title"), 90)))
-    numbered = numbered_within(named, ["date", "source_dir", "stem"], "doc_id", "copy")
+    place = ["date", "source_dir", "stem"]
+    if stored is None:
+        numbered = numbered_within(named, place, "doc_id", "copy")
+    else:
+        fresh = named.join(stored.select("doc_id", "date", "source_dir"), ["doc_id", "date", "source_dir"], "left_anti")
+        # A stored name is the first of its own stem, and may be a numbered one of the stem before its suffix.
+        number = r"^(.*)-([0-9]{1,9})$"
+        own = stored.select("date", "source_dir", F.col("file_stem").alias("stem"), F.lit(1).alias("taken"))
+        suffixed = stored.filter(F.rlike("file_stem", F.lit(number))).select(
+            "date", "source_dir", F.regexp_extract("file_stem", number, 1).alias("stem"), F.regexp_extract("file_stem", number, 2).cast("int").alias("taken")
+        )
+        taken = own.unionByName(suffixed).groupBy(*place).agg(F.max("taken").alias("taken"))
+        counted = numbered_within(fresh, place, "doc_id", "copy").join(taken, place, "left")
+        numbered = counted.withColumn("copy", F.col("copy") + F.coalesce("taken", F.lit(0))).drop("taken")
     suffix = F.when(F.col("copy") > 1, F.concat(F.lit("-"), F.col("copy").cast("string"))).otherwise("")
     return numbered.withColumn("file_stem", F.concat("stem", suffix)).withColumn(
         "relative_path", F.concat_ws("/", "date", "source_dir", F.concat("file_stem", F.lit(".md")))

@@ -287,26 +287,36 @@ def describe_quality(transcripts: DataFrame) -> DataFrame:
 
 
 def edit_distance(left: Column, right: Column) -> Column:
-    """Exact edit distance. Close texts are settled inside a narrow band; only distant ones pay for the full table."""
+    """Exact edit distance.
+
+    The band around the diagonal widens until the distance fits in it, so a pair costs its length times its
+    distance; every band gives the exact result or none.
+    """
 
     def measure(pair: Column) -> Column:
         def within(limit: int, wider: Column) -> Column:
             return T.let(F.levenshtein(pair["a"], pair["b"], limit), lambda found: F.when(found >= 0, found).otherwise(wider))
 
-        return within(100, within(800, F.levenshtein(pair["a"], pair["b"])))
+        found = F.levenshtein(pair["a"], pair["b"])
+        for band in (32768, 4096, 512, 64):
+            found = within(band, found)
+        return found
 
     return T.let(F.struct(left.alias("a"), right.alias("b")), measure)
 
 
-def evaluate_asr(pairs: DataFrame) -> DataFrame:
+def evaluate_asr(pairs: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """Character error rate of ``hypothesis`` against ``reference`` with a grade.
 
-    At most 5000 characters of each side are compared; that is the measure's own sample size.
+    Whole texts are compared, or the first ``sample_chars`` characters of each side.
     """
-    size = K.CER_SAMPLE_CHARS
+
+    def cut(text: str) -> Column:
+        return F.col(text) if sample_chars is None else F.substring(text, 1, sample_chars)
+
     rows = pairs.withColumn("ref", C.normalized(F.col("reference"))).withColumn("hyp", C.normalized(F.col("hypothesis")))
-    scored = rows.withColumn("distance", edit_distance(F.substring("ref", 1, size), F.substring("hyp", 1, size))).withColumn(
-        "evaluated_chars", F.least(F.length("ref"), F.lit(size))
+    scored = rows.withColumn("distance", edit_distance(cut("ref"), cut("hyp"))).withColumn(
+        "evaluated_chars", F.length(cut("ref"))
     ).withColumn("t", timing_fields(F.col("hypothesis"), F.col("duration")))
     rate = F.col("distance") / F.greatest(F.col("evaluated_chars"), F.lit(1))
     grade = (
@@ -314,7 +324,7 @@ def evaluate_asr(pairs: DataFrame) -> DataFrame:
     )
     return scored.select(
         "doc_id", F.length("ref").alias("reference_chars"), F.length("hyp").alias("hypothesis_chars"), "evaluated_chars",
-        ((F.length("ref") > size) | (F.length("hyp") > size)).alias("truncated"), "distance", F.round(rate, 4).alias("character_error_rate"),
+        ((F.length("ref") > F.length(cut("ref"))) | (F.length("hyp") > F.length(cut("hyp")))).alias("truncated"), "distance", F.round(rate, 4).alias("character_error_rate"),
         F.round(F.greatest(F.lit(0.0), 1 - rate), 4).alias("character_accuracy"), grade.alias("grade"), F.col("t").alias("timing"),
     )
 

@@ -220,13 +220,13 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     """,
     "v_asr": (
         """
-        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '') AS reference,
-          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', ''), 'e', 'a')) AS hypothesis
+        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', 'x') AS reference,
+          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', 'x'), 'e', 'a')) AS hypothesis
         FROM documents
         """,
         """
-        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS reference,
-          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), 'e', 'a')) AS hypothesis
+        SELECT doc_id, regexp_replace(text, '[^ -~\\n]', 'x', 'g') AS reference,
+          concat('[00:00] ', replace(regexp_replace(text, '[^ -~\\n]', 'x', 'g'), 'e', 'a')) AS hypothesis
         FROM documents
         """,
     ),
@@ -277,22 +277,16 @@ def _pick(name: str, dialect: int) -> str:
 TEXT_TABLES = ("documents", "pages", "conversations", "events")
 
 
-def _scan(spark: SparkSession, path: str, spread: bool) -> str:
-    """SQL of a table scan. A text table that fills only a few splits is dealt out over the cores; a
-    table of cluster size has splits enough and is read as it is, without a shuffle."""
-    cores = spark.sparkContext.defaultParallelism
-    if spread and cores > 1:
-        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        size = int(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        if size <= split * cores // 4:
-            return f"SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`"
-    return f"SELECT * FROM parquet.`{path}`"
+# Session setting with the tasks that rows of text tables are dealt out to after a scan. The benchmark and the
+# tests set it, because their tables are single row groups; unset, a table is read as its files are split.
+SCAN_TASKS = "spark.digestmill.scanTasks"
 
 
-def _bytes(text: str) -> int:
-    """Bytes of a Spark size setting such as ``134217728b`` or ``128MB``."""
-    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower()).groups()
-    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+def _scan(spark: SparkSession, path: str, text_table: bool) -> str:
+    """SQL of a table scan."""
+    tasks = spark.conf.get(SCAN_TASKS, None) if text_table else None
+    hint = f"/*+ REPARTITION({int(tasks)}) */ " if tasks else ""
+    return f"SELECT {hint}* FROM parquet.`{path}`"
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill import constants as K
@@ -29,6 +29,11 @@ class Ingested:
     jobs: DataFrame
 
 
+def _whole(text: Column, max_chars: int | None, separator: str) -> Column:
+    """The text, cut to ``max_chars`` where a caller asks for it."""
+    return text if max_chars is None else T.truncate_text(text, max_chars, separator)
+
+
 def _extract(pages: DataFrame, parser: bool) -> DataFrame:
     """``canonical_url, title, text, author, published_at, error_code`` per crawled page."""
     null = F.lit(None).cast("string")
@@ -47,7 +52,7 @@ def _extract(pages: DataFrame, parser: bool) -> DataFrame:
 
 def ingest_links(
     submissions: DataFrame, pages: DataFrame, cache: DataFrame, library: DataFrame, context: str, now=None,
-    ttl_seconds: int = K.CACHE_TTL_SECONDS, parser: bool = True, reuse: bool = True,
+    ttl_seconds: int = K.CACHE_TTL_SECONDS, parser: bool = True, reuse: bool = True, max_chars: int | None = None,
 ) -> Ingested:
     """Submitted links ``(job_id, url, instruction, summary_quality, force_refresh)`` to digests.
 
@@ -83,21 +88,22 @@ def ingest_links(
     )
     ready = documents.filter("error_code IS NULL").select(
         F.col("doc_key").alias("doc_id"), "canonical_url", "source_type", "instruction", T.first_present(F.col("title"), F.col("canonical_url")).alias("title"),
-        T.truncate_text(F.col("text"), K.MAX_CONTENT_CHARS, " ").alias("content_text"), F.lit("html_metadata_readability").alias("extraction_method"),
+        _whole(F.col("text"), max_chars, " ").alias("content_text"), F.lit("html_metadata_readability").alias("extraction_method"),
     )
     jobs = misses.select("job_id", "doc_key").join(documents.select("doc_key", "error_code"), "doc_key")
     return Ingested(rejected, cached, D.digests(ready), jobs)
 
 
-def ingest_documents(uploads: DataFrame) -> DataFrame:
+def ingest_documents(uploads: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Upload texts ``(upload_id, title, content, source_url, instruction)`` to digests.
 
-    A text that was uploaded several times is digested once; ``doc_id`` is its content key.
+    A text that was uploaded several times is digested once; ``doc_id`` is the key of the content that is kept:
+    whole texts, or their first ``max_chars`` characters.
     """
     gated = document_gate(uploads)
     source = U.connector_source(F.col("source_url"), F.col("title"))
     good = gated.filter("error_code IS NULL").withColumn("s", source).filter("s.error_code IS NULL")
-    text = T.truncate_text(F.col("content"), K.MAX_CONTENT_CHARS, "\n")
+    text = _whole(F.col("content"), max_chars, "\n")
     keyed = good.withColumn("content_text", text).withColumn(
         "doc_id", C.content_key(F.col("title"), F.col("content_text"), F.col("s.source_type"), F.col("s.source_url"))
     )

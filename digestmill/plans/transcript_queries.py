@@ -181,7 +181,7 @@ _ASR_NORM = "lower(regexp_replace({t}, '[^A-Za-z0-9]+', '', 'g'))"
 @query(
     "evaluate_asr",
     f"""SELECT doc_id, reference_chars, distance, CASE WHEN distance <= 0.15 * n THEN 'good' WHEN distance <= 0.30 * n THEN 'review' ELSE 'poor' END AS grade FROM (
-          SELECT doc_id, length(r) AS reference_chars, levenshtein(substr(r, 1, 5000), substr(h, 1, 5000)) AS distance, greatest(least(length(r), 5000), 1) AS n
+          SELECT doc_id, length(r) AS reference_chars, levenshtein(r, h) AS distance, greatest(length(r), 1) AS n
           FROM (SELECT doc_id, {_ASR_NORM.format(t='reference')} AS r, {_ASR_NORM.format(t="substr(hypothesis, 9)")} AS h FROM v_asr))""",
 )
 def evaluate_asr(spark, sf):

@@ -33,6 +33,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DIGESTMILL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small tables are one row group each; see plans/bindings.py.
+        .config("spark.digestmill.scanTasks", str(shuffle_partitions))
         # Call sites are captured per Column call otherwise, which dominates short queries.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -19,19 +19,36 @@ def digest_content(markdown: Column, link: Column) -> Column:
     return F.concat(F.replace(T.rstrip(markdown), F.lit(K.TIMELINE_LINK), link), F.lit("\n"))
 
 
-def library_files(digests: DataFrame) -> DataFrame:
-    """Digests with their path and written content."""
-    placed = output_paths(digests)
+def library_files(digests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Digests with their path and written content; ``stored`` holds the files there are (see ``output_paths``)."""
+    placed = output_paths(digests, stored)
     return placed.withColumn("content", digest_content(F.col("summary_markdown"), F.concat("file_stem", F.lit("/timeline.md"))))
 
 
 def write_library(digests: DataFrame, root: str) -> None:
-    """Library partitioned by date and source. Ranges over the path keep the files of a day together
-    and still split a day that holds a large share of the rows."""
-    files = library_files(digests).repartitionByRange("date", "source_dir", "file_stem")
+    """Append to a library partitioned by date and source.
+
+    Names are numbered after those that are stored already, and digests whose ``doc_id`` the library holds at
+    their date and source are left out, so that a retried write adds nothing twice. Only the slim columns of
+    the touched dates are read. Ranges over the path keep the files of a day together and still split a day
+    that holds a large share of the rows. One writer at a time.
+    """
+    spark = digests.sparkSession
+    stored = None
+    if stored_partitions(spark, root):
+        touched = digests.select(F.date_format("written_at", "yyyy-MM-dd").alias("date")).distinct()
+        stored = spark.read.parquet(root).select("doc_id", F.col("date").cast("string").alias("date"), "source_dir", "file_stem")
+        stored = stored.join(touched, "date", "left_semi")
+    files = library_files(digests, stored).repartitionByRange("date", "source_dir", "file_stem")
     files.write.mode("append").partitionBy("date", "source_dir").parquet(root)
 
 
+def stored_partitions(spark: SparkSession, root: str) -> bool:
+    """Whether a library was written at ``root``, on whatever file system Spark reaches it by."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _or_null(frame: DataFrame, name: str) -> Column:
     return F.col(name) if name in frame.columns else F.lit(None).cast("string")
 

@@ -115,14 +115,18 @@ ATTEMPTS = "doc_id BIGINT, attempt INT, provider STRING, model STRING, base_url
 DOCUMENT = "doc_id BIGINT, title STRING, canonical_url STRING, source_type STRING, content_text STRING, extraction_method STRING"
 
 
-def test_backup_model_is_used_once(spark):
+def test_backup_models_are_used_in_turn(spark):
     good = json.dumps({"choices": [{"message": {"content": "## 核心要点\n- a"}}]})
     rows = [
         (1, 1, "openai_compatible", "one", "https://api.openai.com/v1", True, 429, "slow down"), (1, 2, "openai_compatible", "two", "http://localhost:1234/v1", True, 200, good),
         (2, 1, "deepseek", "one", "", True, 500, ""), (2, 2, "openai_compatible", "two", "", False, None, None), (2, 3, "openai_compatible", "three", "", True, 200, good),
     ]
     documents = spark.createDataFrame([(i, "T", "https://u", "web", "A sentence that is long enough to count.", "m") for i in (1, 2)], DOCUMENT)
-    made = {row["doc_id"]: row for row in O.digests(documents, spark.createDataFrame(rows, ATTEMPTS)).collect()}
+    attempts = spark.createDataFrame(rows, ATTEMPTS)
+    every = {row["doc_id"]: row["summary_markdown"] for row in O.digests(documents, attempts).collect()}
+    assert "- Automatic fallback: one failed; switched to three." in every[2]
+    assert {row["doc_id"]: row["model"] for row in O.resolve_attempts(attempts, most=2).collect()} == {1: "two", 2: None}
+    made = {row["doc_id"]: row for row in O.digests(documents, attempts.filter("attempt <= 2")).collect()}
     assert "- Automatic fallback: one failed; switched to two." in made[1]["summary_markdown"] and "- Provider: LM Studio" in made[1]["summary_markdown"]
     assert "- Fallback reason: one: model API provider server error (HTTP 500); two: " + K.ERR_NOT_READY in made[2]["summary_markdown"]
     assert made[2]["tags"] == ["summary", "source/web", "model/local_fallback"] and not made[2]["save_recommendation"]["should_save"]

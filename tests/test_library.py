@@ -87,7 +87,9 @@ def test_anchors_are_unique_even_against_numbered_titles(spark):
     rows = L.toc(frame).orderBy("seq").collect()
     assert [(r["level"], r["anchor"]) for r in rows] == [(1, "a"), (2, "a-2"), (1, "a-2-2"), (1, "section"), (1, "a-3")]
     many = spark.createDataFrame([("p", "\n".join(["# same"] * 40))], "relative_path STRING, content STRING")
-    assert [r["anchor"] for r in L.toc(many).orderBy("seq").collect()] == ["same"] + [f"same-{i}" for i in range(2, 25)]
+    anchors = ["same"] + [f"same-{i}" for i in range(2, 41)]
+    assert [r["anchor"] for r in L.toc(many).orderBy("seq").collect()] == anchors
+    assert [r["anchor"] for r in L.toc(many, 24).orderBy("seq").collect()] == anchors[:24]
 
 
 def test_connector_directory_is_a_slug(spark):
@@ -149,3 +151,20 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         assert run() == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_two_writes_repeat_no_path(spark, tmp_path):
+    from digestmill.sources.packages import write_library
+
+    root = str(tmp_path / "library")
+
+    def digests(*ids):
+        rows = [(key, "Same title", "web", f"text {key}") for key in ids]
+        return spark.createDataFrame(rows, "doc_id STRING, title STRING, source_type STRING, summary_markdown STRING").withColumn("written_at", F.lit("2024-03-01 12:00:00").cast("timestamp"))
+
+    write_library(digests("a", "b"), root)
+    write_library(digests("c", "b"), root)
+    write_library(digests("c", "b"), root)  # a retry
+    paths = {row["doc_id"]: row["relative_path"] for row in spark.read.parquet(root).collect()}
+    stem = "2024-03-01/web/120000-same-title"
+    assert paths == {"a": f"{stem}.md", "b": f"{stem}-2.md", "c": f"{stem}-3.md"} and spark.read.parquet(root).count() == 3
