@@ -76,6 +76,11 @@ def query_clauses(query: str) -> list[list[str]]:
     return [clause for clause in clauses if clause]
 
 
+def query_tokens(query: str) -> list[str]:
+    """The tokens a search for the query needs postings of."""
+    return sorted({token for clause in query_clauses(query) for token in clause})
+
+
 def matching_paths(postings: DataFrame, clauses: list[list[str]]) -> DataFrame:
     """Paths that hold every phrase.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from digestmill.functions import text as T
+from digestmill.functions.scale import shared_folder
 from digestmill.operators import library as L
 from digestmill.plans.bindings import view
 from digestmill.plans.registry import query
@@ -89,6 +92,19 @@ def search_phrase(spark, sf):
     return L.search(library, L.build_postings(library), "the_of in", "src1").select("relative_path", "title")
 
 
+@query(
+    "search_stored",
+    f"""WITH {_ROWS}, {_POSTINGS} SELECT relative_path, title, {_SNIPPET.format(q='the of', n=6)} AS snippet FROM lib
+        WHERE relative_path IN ({_phrase(['the'])}) AND relative_path IN ({_phrase(['of'])})""",
+)
+def search_stored(spark, sf):
+    """The same search over written postings: the token filter reaches the scan, and sorted files are skipped."""
+    library = _library(spark, sf)
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    L.write_postings(L.build_postings(library), path)
+    return L.search(library, spark.read.parquet(path), "The of").select("relative_path", "title", "snippet")
+
+
 @query(
     "search_like",
     f"WITH {_ROWS} SELECT relative_path, title FROM lib WHERE search_text LIKE '%the of%'",

@@ -119,11 +119,29 @@ def current_library(spark: SparkSession, root: str) -> DataFrame:
     return rows.join(_versions(spark, root), ["relative_path", "batch"], "left_semi").drop("batch")
 
 
-def current_postings(spark: SparkSession, root: str) -> DataFrame:
+def current_postings(spark: SparkSession, root: str, tokens: Sequence[str] | None = None) -> DataFrame:
+    """Postings of the newest versions, of all tokens or of those a search needs (``query_tokens``).
+
+    The token filter stands before the version join: it reaches the sorted files, and only matching rows move.
+    """
     rows = spark.read.option("basePath", f"{root}/postings").parquet(f"{root}/postings")
+    rows = rows if tokens is None else rows.filter(F.col("token").isin(list(tokens)))
     return rows.join(_versions(spark, root), ["relative_path", "batch"], "left_semi").select("token", "relative_path", "pos")
 
 
+def compact_index(spark: SparkSession, root: str, target: str, removed: DataFrame | None = None) -> None:
+    """The newest versions as one batch in a new folder, without the paths in ``removed`` (``relative_path``).
+
+    Postings are written in ranges of (token, path), so that a search reads the files of its tokens only.
+    """
+    rows, postings = current_library(spark, root), current_postings(spark, root)
+    if removed is not None:
+        gone = removed.select("relative_path").distinct()
+        rows, postings = (frame.join(gone, "relative_path", "left_anti") for frame in (rows, postings))
+    rows.write.mode("errorifexists").parquet(_folder(f"{target}/library", 0))
+    L.write_postings(postings, _folder(f"{target}/postings", 0))
+
+
 # ---- notifications -------------------------------------------------------------------------
 
 

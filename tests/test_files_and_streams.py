@@ -142,8 +142,18 @@ def test_stream_index_equals_batch_upsert(spark, tmp_path):
     sync()
     rows = W.current_library(spark, str(root))
     assert {(r["relative_path"], r["title"], r["source_type"]) for r in rows.collect()} == {("2024-01-01/web/a.md", "First", "web"), ("2024-01-01/web/b.md", "Second", "web")}
-    hits = L.search(rows, W.current_postings(spark, str(root)), "beta")
-    assert {r["relative_path"] for r in hits.collect()} == {"2024-01-01/web/a.md", "2024-01-01/web/b.md"}
+    for postings in (W.current_postings(spark, str(root)), W.current_postings(spark, str(root), L.query_tokens("beta"))):
+        assert {r["relative_path"] for r in L.search(rows, postings, "beta").collect()} == {"2024-01-01/web/a.md", "2024-01-01/web/b.md"}
+    W.compact_index(spark, str(root), str(tmp_path / "compact"), spark.createDataFrame([("2024-01-01/web/a.md",)], "relative_path STRING"))
+    rows, postings = W.current_library(spark, str(tmp_path / "compact")), W.current_postings(spark, str(tmp_path / "compact"), ["beta"])
+    assert [r["relative_path"] for r in L.search(rows, postings, "beta").collect()] == ["2024-01-01/web/b.md"]
+
+
+def test_stored_search_prunes_by_token(spark, tmp_path):
+    rows = L.library_rows(view(spark, SF, "v_files"))
+    L.write_postings(L.build_postings(rows), str(tmp_path / "p"), files=6)
+    plan = L.matching_paths(spark.read.parquet(str(tmp_path / "p")), L.query_clauses("the of"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token, [of,the])]" in plan.replace("IsNotNull(token), ", "")
 
 
 def test_write_postings_splits_and_sorts(spark, tmp_path):
