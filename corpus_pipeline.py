@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from digestmill.functions.scale import shared_folder
 from digestmill.llm.exact_dedup import drop_duplicates
 from digestmill.llm.ngram_join import one_of_each
 from digestmill.llm.packing import pack_documents
@@ -63,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for place, (_, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
         if place == len(STAGES) - 1:
@@ -73,10 +74,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
     return docs
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors reach."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
