@@ -29,7 +29,7 @@ MOST_EXCEPTIONS = 4096
 # A word enters the lexicon when it is in so many toxic rows, at least, and so many times likelier there.
 LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3, 0.004, 4.0
 # Words counted in a task before partial counts are handed on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 # Words added to every length, so that one word of a very short text does not decide alone.
 LENGTH_FLOOR = 20
 THRESHOLD = 0.3
@@ -154,13 +154,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
     # At most MOST_LABELLED small rows: a broadcast of known size, so no text is shuffled.
     rows = slim(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label", F.pmod(F.hash("doc_id"), F.lit(2)).alias("half"))
-    counted = rows.mapInArrow(_word_counts(None), "word string, half int, toxic long, clean long")
-    sizes = {(row["half"], row["toxic"] > 0): row["toxic"] + row["clean"] for row in _summed(counted.filter("word = ''"), "toxic").collect()}
+    # Needs no text, so no text is read for it.
+    sizes = {(row["half"], row["is_toxic"]): row["count"] for row in rows.groupBy("half", (F.col("label") > 0).alias("is_toxic")).count().collect()}
     toxic, clean = (sum(n for (_, is_toxic), n in sizes.items() if is_toxic == wanted) for wanted in (True, False))
     if not toxic or not clean:
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         return ToxicityModel({}, (), 0.0, log((share + 1e-6) / (1 - share + 1e-6)))
-    by_word = counted.filter("word <> ''").groupBy("word").agg(
+    counted = rows.mapInArrow(_word_counts(None), "word string, half int, toxic long, clean long")
+    by_word = counted.groupBy("word").agg(
         *(F.sum(F.when(F.col("half") == half, F.col(kind)).otherwise(0)).alias(f"{kind}{half}") for half in (0, 1) for kind in ("toxic", "clean"))
     )
     total_toxic, total_clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
@@ -173,16 +174,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return ToxicityModel(lexicons[2], exceptions, slope, intercept)
 
 
-def _summed(counted: DataFrame, split: str) -> DataFrame:
-    """Rows by half and by being toxic, from the entries of the empty word."""
-    return counted.withColumn("is_toxic", F.col(split) > 0).groupBy("half", "is_toxic").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
 def _word_counts(model: ToxicityModel | None):
-    """Rows with a word by half and label; the empty word counts the rows themselves.
-
-    With a model, phrases of a lexicon word and one neighbour are counted instead.
-    """
+    """Rows with a word by half and label; with a model, with a phrase of a lexicon word and one neighbour."""
 
     def items_of(text: str, weights) -> set[str]:
         words = folded_words(text)
@@ -197,11 +190,10 @@ def _word_counts(model: ToxicityModel | None):
         for batch in batches:
             for text, label, half in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 is_toxic = label > 0
-                counts[("", half, is_toxic)] += 1
                 counts.update((item, half, is_toxic) for item in items_of(text, weights))
-            if len(counts) > COUNTED_WORDS:
-                yield _counts(counts)
-                counts = Counter()
+                if len(counts) > COUNTED_WORDS:
+                    yield _counts(counts)
+                    counts = Counter()
         if counts:
             yield _counts(counts)
 
@@ -231,7 +223,7 @@ def _exceptions(rows: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
     """Two-word phrases with a lexicon word that are in clean rows only, and in two of them at least."""
     if not weights:
         return ()
-    counted = rows.mapInArrow(_word_counts(ToxicityModel(weights, (), 0.0, 0.0)), "word string, half int, toxic long, clean long").filter("word <> ''")
+    counted = rows.mapInArrow(_word_counts(ToxicityModel(weights, (), 0.0, 0.0)), "word string, half int, toxic long, clean long")
     phrases = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic = 0 AND clean >= 2")
     return tuple(row["word"] for row in phrases.orderBy(F.desc("clean"), "word").limit(MOST_EXCEPTIONS).collect())
 
