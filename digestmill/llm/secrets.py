@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least sum of log10 guesses over all ways to cut it into words, dates,
 repeats, keyboard walks and brute-force spans, found by dynamic programming over end positions. A value that
-stands where a credential is expected and would cost many guesses is reported beside the fixed shapes.
+stands where a credential is expected and would cost many guesses is reported beside the fixed shapes, whole
+at any length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _hex = re.compile(r"[0-9a-f]{24,}").finditer
 # Further names that announce a credential, and values with any visible character in quotes or up to a space.
 _context = re.compile(
     r"""(?ai:\b(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-&(-~]{6,128})"""
+    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-&(-~]{6,})"""
 ).finditer
 
 # What may follow a value in a sentence or a listing.
@@ -34,6 +35,8 @@ TRAILING = ".,;:!?)]}\"'"
 
 # Log10 of the guesses above which a value counts as a secret: beyond what a quick dictionary attack tries.
 STRONG = 8.0
+# Costs of values up to this length are kept by a worker; longer ones are worked out anew.
+KNOWN_LENGTH = 128
 _KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 # The words guessed first, most frequent first; a word's cost is its place.
 _WORDS = (
@@ -64,7 +67,6 @@ def _alphabet(text: str) -> int:
     return max(10, size + 33 * any(not char.isalnum() for char in text))
 
 
-@lru_cache(maxsize=65536)
 def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """Least log10 guesses of a value and the segments of that cut, as (kind, start, end).
 
@@ -72,6 +74,10 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     linear in the length: no segment but a repeat, a walk or a brute-force span is longer than the longest
     word, and those three are extended one character at a time.
     """
+    return _known_cost(value) if len(value) <= KNOWN_LENGTH else _whole_cost(value)
+
+
+def _whole_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     size = len(value)
     lowered = value.lower()
     plain = lowered.translate(_LEET)
@@ -117,6 +123,9 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     return best[size], tuple(reversed(segments))
 
 
+_known_cost = lru_cache(maxsize=65536)(_whole_cost)
+
+
 def find_secrets(text: str, strong: float = STRONG) -> list[Span]:
     """All spans of a text as (kind, start, end), by start and then kind; end is exclusive."""
     spans: list[Span] = []
