@@ -3,12 +3,13 @@
 The guess cost of a value is the least sum of log10 guesses over all ways to cut it into words, dates,
 repeats, keyboard walks and brute-force spans, found by dynamic programming over end positions. A value that
 stands where a credential is expected and would cost many guesses is reported beside the fixed shapes, whole
-at any length.
+at any length. The words are those of the documents themselves, ranked by how many documents hold them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import log10
 
@@ -25,10 +26,17 @@ _assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _access = re.compile(r"AKIA[A-Z0-9]+").finditer
 _hex = re.compile(r"[0-9a-f]{24,}").finditer
 # Further names that announce a credential, and values with any visible character in quotes or up to a space.
-_context = re.compile(
-    r"""(?ai:\b(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-&(-~]{6,})"""
-).finditer
+_CUE = (
+    r"""\b(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"""
+)
+_VALUE = r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-&(-~]{6,})"""
+_context = re.compile(f"(?ai:{_CUE}){_VALUE}").finditer
+# The same for Spark, and the words it counts: ASCII letters, as values are ASCII, that are no part of an encoded run.
+_SPARK_CONTEXT = f"(?i:{_CUE}){_VALUE}"
+_SPARK_WORD = r"(?<![0-9A-Za-z+/=_])[A-Za-z]{3,40}(?![0-9A-Za-z+/=_])"
+# So many of the most frequent words are learned, each from that many documents or more.
+MOST_WORDS = 20_000
+LEAST_DOCUMENTS = 2
 
 # What may follow a value in a sentence or a listing.
 TRAILING = ".,;:!?)]}\"'"
@@ -38,7 +46,7 @@ STRONG = 8.0
 # Costs of values up to this length are kept by a worker; longer ones are worked out anew.
 KNOWN_LENGTH = 128
 _KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-# The words guessed first, most frequent first; a word's cost is its place.
+# The words guessed first whatever the documents say, most frequent first; a word's cost is its place.
 _WORDS = (
     "password", "welcome", "admin", "letmein", "login", "master", "monkey", "dragon", "secret", "sunshine", "princess", "football",
     "shadow", "baseball", "superman", "trustno", "hello", "freedom", "whatever", "test", "guest", "default", "changeme", "example",
@@ -56,77 +64,99 @@ def _walk_steps() -> frozenset[str]:
     return frozenset(row[at : at + 2][::way] for row in _KEY_ROWS for at in range(len(row) - 1) for way in (1, -1))
 
 
-@lru_cache(maxsize=1)
-def _word_costs() -> dict[str, float]:
-    return {word: log10(place + 2) for place, word in enumerate(_WORDS)}
-
-
 def _alphabet(text: str) -> int:
     size = 26 * any(char.islower() for char in text) + 26 * any(char.isupper() for char in text)
     size += 10 * any(char.isdigit() for char in text)
     return max(10, size + 33 * any(not char.isalnum() for char in text))
 
 
-def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+class GuessCosts:
+    """Guess costs by a ranked list of words, most frequent first; the costs of short values are kept."""
+
+    def __init__(self, ranked: Sequence[str] = ()):
+        self.words = {word: log10(place + 2) for place, word in enumerate(_WORDS)}
+        for place, word in enumerate(ranked):
+            self.words[word] = min(log10(place + 2), self.words.get(word, float("inf")))
+        self.longest = max(map(len, self.words))
+        self.known = lru_cache(maxsize=65536)(self.whole)
+
+    def of(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        return self.known(value) if len(value) <= KNOWN_LENGTH else self.whole(value)
+
+    def whole(self, value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+        size = len(value)
+        lowered = value.lower()
+        plain = lowered.translate(_LEET)
+        per_char = log10(_alphabet(value))
+        words, longest, steps = self.words, self.longest, _walk_steps()
+        best = [0.0] + [float("inf")] * size
+        cut: list[tuple[str, int]] = [("", 0)] * (size + 1)
+        repeat = walk = 0  # where the repeat and the keyboard walk that end here began
+        for end in range(1, size + 1):
+
+            def offer(kind: str, start: int, cost: float, end: int = end) -> None:
+                total = best[start] + cost + (log10(2) if start and not (kind == "brute" and cut[start][0] == "brute") else 0.0)
+                if total < best[end] - 1e-12:
+                    best[end], cut[end] = total, (kind, start)
+
+            offer("brute", end - 1, per_char)
+            for length in range(3, min(longest, end) + 1):
+                start = end - length
+                piece = plain[start:end]
+                if piece in words:
+                    changed = 1 + (piece != lowered[start:end]) + (value[start:end] != lowered[start:end])
+                    offer("word", start, words[piece] + log10(changed))
+            for length in _DATE_LENGTHS:
+                if length <= end and _DATE.fullmatch(value, end - length, end):
+                    offer("date", end - length, log10(365 * 120) if length > 4 else log10(120))
+            if end > 1 and value[end - 1] != value[end - 2]:
+                repeat = end - 1
+            if end > 1 and lowered[end - 2 : end] not in steps:
+                walk = end - 1
+            if end - repeat >= 3:
+                offer("repeat", repeat, per_char + log10(end - repeat))
+            if end - walk >= 3:
+                offer("walk", walk, log10(len("".join(_KEY_ROWS)) * 2) + log10(end - walk))
+        segments, end = [], size
+        while end:
+            kind, start = cut[end]
+            if segments and kind == "brute" == segments[-1][0]:
+                segments[-1] = ("brute", start, segments[-1][2])
+            else:
+                segments.append((kind, start, end))
+            end = start
+        return best[size], tuple(reversed(segments))
+
+
+@lru_cache(maxsize=1)
+def _fixed_costs() -> GuessCosts:
+    return GuessCosts()
+
+
+def guess_cost(value: str, costs: GuessCosts | None = None) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """Least log10 guesses of a value and the segments of that cut, as (kind, start, end).
 
     Each further segment costs a factor of two on top of its own guesses, for not knowing the cut. Time is
     linear in the length: no segment but a repeat, a walk or a brute-force span is longer than the longest
-    word, and those three are extended one character at a time.
+    word, and those three are extended one character at a time. Without ``costs`` only the fixed words count.
+    """
+    return (costs or _fixed_costs()).of(value)
+
+
+def learn_words(docs: DataFrame, most: int = MOST_WORDS, text_col: str = "text") -> tuple[str, ...]:
+    """The words that most documents hold, most frequent first, in lower case; equal counts by the word.
+
+    Values in a credential context are left out, so no password vouches for itself. A word is a run of 3 to 40 ASCII
+    letters in ``LEAST_DOCUMENTS`` documents or more; all documents are counted, and only ``most`` words come
+    to the driver.
     """
-    return _known_cost(value) if len(value) <= KNOWN_LENGTH else _whole_cost(value)
-
-
-def _whole_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    size = len(value)
-    lowered = value.lower()
-    plain = lowered.translate(_LEET)
-    per_char = log10(_alphabet(value))
-    words, steps = _word_costs(), _walk_steps()
-    longest = max(map(len, words))
-    best = [0.0] + [float("inf")] * size
-    cut: list[tuple[str, int]] = [("", 0)] * (size + 1)
-    repeat = walk = 0  # where the repeat and the keyboard walk that end here began
-    for end in range(1, size + 1):
-
-        def offer(kind: str, start: int, cost: float, end: int = end) -> None:
-            total = best[start] + cost + (log10(2) if start and not (kind == "brute" and cut[start][0] == "brute") else 0.0)
-            if total < best[end] - 1e-12:
-                best[end], cut[end] = total, (kind, start)
-
-        offer("brute", end - 1, per_char)
-        for length in range(3, min(longest, end) + 1):
-            start = end - length
-            piece = plain[start:end]
-            if piece in words:
-                changed = 1 + (piece != lowered[start:end]) + (value[start:end] != lowered[start:end])
-                offer("word", start, words[piece] + log10(changed))
-        for length in _DATE_LENGTHS:
-            if length <= end and _DATE.fullmatch(value, end - length, end):
-                offer("date", end - length, log10(365 * 120) if length > 4 else log10(120))
-        if end > 1 and value[end - 1] != value[end - 2]:
-            repeat = end - 1
-        if end > 1 and lowered[end - 2 : end] not in steps:
-            walk = end - 1
-        if end - repeat >= 3:
-            offer("repeat", repeat, per_char + log10(end - repeat))
-        if end - walk >= 3:
-            offer("walk", walk, log10(len("".join(_KEY_ROWS)) * 2) + log10(end - walk))
-    segments, end = [], size
-    while end:
-        kind, start = cut[end]
-        if segments and kind == "brute" == segments[-1][0]:
-            segments[-1] = ("brute", start, segments[-1][2])
-        else:
-            segments.append((kind, start, end))
-        end = start
-    return best[size], tuple(reversed(segments))
-
-
-_known_cost = lru_cache(maxsize=65536)(_whole_cost)
-
-
-def find_secrets(text: str, strong: float = STRONG) -> list[Span]:
+    prose = F.regexp_replace(docs[text_col], _SPARK_CONTEXT, " ")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(_SPARK_WORD), F.lit(0)))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    return tuple(row["word"] for row in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def find_secrets(text: str, strong: float = STRONG, costs: GuessCosts | None = None) -> list[Span]:
     """All spans of a text as (kind, start, end), by start and then kind; end is exclusive."""
     spans: list[Span] = []
     for found in _assign(text):
@@ -136,45 +166,62 @@ def find_secrets(text: str, strong: float = STRONG) -> list[Span]:
     spans += [("hex", *found.span()) for found in _hex(text)]
     for found in _context(text):
         value = found[1].rstrip(TRAILING)
-        if len(value) >= 6 and guess_cost(value)[0] >= strong:
+        if len(value) >= 6 and guess_cost(value, costs)[0] >= strong:
             spans.append(("guess", found.start(1), found.start(1) + len(value)))
     return in_order(spans, KINDS)
 
 
-def secrets(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None) -> DataFrame:
     """``doc_id, spans array<struct<kind, start, end, cost>>`` of every whole text, in code points, end exclusive.
 
-    ``cost`` is the log10 guess cost of a ``guess`` value and null for the fixed shapes. A null or empty text has
-    no spans; a null id stays null; repeated rows give repeated results; an empty table gives none; other
-    columns are left out.
+    ``cost`` is the log10 guess cost of a ``guess`` value and null for the fixed shapes. ``words`` is a ranked word
+    list; without one it is learned from all rows by ``learn_words``. A null or empty text has no spans; a null id
+    stays null; repeated rows give repeated results; an empty table gives none; other columns are left out.
     """
+    shared = _shared_words(docs, text_col, words)
+
+    def worker():
+        costs = GuessCosts(shared.value)
 
-    def rows(text: str) -> tuple:
-        return (
-            [
-                {"kind": kind, "start": start, "end": end, "cost": guess_cost(text[start:end])[0] if kind == "guess" else None}
-                for kind, start, end in find_secrets(text, strong)
-            ],
-        )
+        def rows(text: str) -> tuple:
+            return (
+                [
+                    {"kind": kind, "start": start, "end": end, "cost": guess_cost(text[start:end], costs)[0] if kind == "guess" else None}
+                    for kind, start, end in find_secrets(text, strong, costs)
+                ],
+            )
 
-    return per_document(slim(docs, id_col, text_col), "spans array<struct<kind:string,start:long,end:long,cost:double>>", lambda: rows)
+        return rows
 
+    return per_document(slim(docs, id_col, text_col), "spans array<struct<kind:string,start:long,end:long,cost:double>>", worker)
 
-def secret_digests(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the fixed shapes, the digest of their spans, and all spans as text; cases as in ``secrets``."""
 
-    def summarize(text: str) -> tuple:
-        spans = find_secrets(text, strong)
-        base = [span for span in spans if span[0] in BASE_KINDS]
-        return (*(sum(span[0] == kind for span in base) for kind in BASE_KINDS), span_digest(base), span_text(spans))
+def secret_digests(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None) -> DataFrame:
+    """Counts of the fixed shapes, the digest of their spans, and all spans as text; cases and words as in ``secrets``."""
+    shared = _shared_words(docs, text_col, words)
+
+    def worker():
+        costs = GuessCosts(shared.value)
+
+        def summarize(text: str) -> tuple:
+            spans = find_secrets(text, strong, costs)
+            base = [span for span in spans if span[0] in BASE_KINDS]
+            return (*(sum(span[0] == kind for span in base) for kind in BASE_KINDS), span_digest(base), span_text(spans))
+
+        return summarize
 
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return per_document(slim(docs, id_col, text_col), schema, lambda: summarize)
+    return per_document(slim(docs, id_col, text_col), schema, worker)
+
+
+def _shared_words(docs: DataFrame, text_col: str, words: Sequence[str] | None):
+    """The word list as a broadcast of at most ``MOST_WORDS`` words, or of those given."""
+    return docs.sparkSession.sparkContext.broadcast(learn_words(docs, text_col=text_col) if words is None else tuple(words))
 
 
-def masked(text: str | None, mask: str, strong: float) -> str | None:
+def masked(text: str | None, mask: str, strong: float, costs: GuessCosts | None = None) -> str | None:
     """A text with its secrets replaced; overlapping spans become one mask."""
-    spans = find_secrets(text, strong) if text else []
+    spans = find_secrets(text, strong, costs) if text else []
     if not spans:
         return text
     out, at = [], 0
@@ -185,16 +232,21 @@ def masked(text: str | None, mask: str, strong: float) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def without_secrets(docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, text_col: str = "text", n_chars_col: str | None = None) -> DataFrame:
+def without_secrets(
+    docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, text_col: str = "text", n_chars_col: str | None = None, words: Sequence[str] | None = None
+) -> DataFrame:
     """The same rows and columns with every secret in ``text_col`` replaced by ``mask``.
 
     ``n_chars_col`` names a column that holds the text's length and follows it; a null length stays null. A null
-    text stays null; no row is added or lost and no other column changes.
+    text stays null; no row is added or lost and no other column changes. ``words`` as in ``secrets``.
     """
+    shared = _shared_words(docs, text_col, words)
 
     @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: masked(text, mask, strong), na_action="ignore")
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        costs = GuessCosts(shared.value)
+        for texts in batches:
+            yield texts.map(lambda text: masked(text, mask, strong, costs), na_action="ignore")
 
     clean = docs.withColumn(text_col, redact(docs[text_col]))
     if n_chars_col is None:

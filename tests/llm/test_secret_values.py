@@ -1,4 +1,4 @@
-"""Secrets in a credential context: whole values."""
+"""Secrets in a credential context: whole values, and prose left alone."""
 
 from __future__ import annotations
 
@@ -33,3 +33,26 @@ def test_long_values_are_masked_whole(shared):
     assert {row.doc_id: row.text for row in secrets.without_secrets(frame).collect()} == {1: "private_key: [secret] end", 2: "pwd=" + "=" * 5000 + " end"}
     spans = {row.doc_id: [(span.start, span.end) for span in row.spans] for row in secrets.secrets(frame).collect()}
     assert spans == {1: [(13, 813)], 2: []}
+
+
+PROSE = ["when all was revealed at last we saw", "it was revealed a second time", "their friendship lasted", "a second friendship", "für Entschuldigungsgründe hier", "keine Entschuldigungsgründe"]
+CLEAN = ["the secret is revealed", "auth: second", "pass: friendship", "pass: Entschuldigungsgründe"]
+
+
+def test_clean_prose_after_a_cue_is_left_alone(shared):
+    rows = list(enumerate([*PROSE, *CLEAN, "pwd is xkvqmvlptj end", "credential=xkvqmvlptj"]))
+    frame = shared.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.learn_words(frame)
+    assert {"revealed", "second", "friendship", "entschuldigungsgr"} <= set(words) and "xkvqmvlptj" not in words
+    out = [row.text for row in secrets.without_secrets(frame).orderBy("doc_id").collect()]
+    assert out == [*PROSE, *CLEAN, "pwd is [secret] end", "credential=[secret]"]
+    spans = {row.doc_id: row.spans for row in secrets.secret_digests(frame).collect()}
+    assert [doc_id for doc_id in sorted(spans) if spans[doc_id]] == [10, 11]
+    assert {row.doc_id for row in secrets.secrets(frame).collect() if row.spans} == {10, 11}
+
+
+def test_words_are_ranked_by_documents(shared):
+    frame = shared.createDataFrame([(1, "Rare rare rare common"), (2, "COMMON other"), (3, "common, other ab/common+x1common"), (4, None)], "doc_id long, text string")
+    assert secrets.learn_words(frame) == ("common", "other") and secrets.learn_words(frame, most=1) == ("common",)
+    costs = [secrets.guess_cost(word, secrets.GuessCosts(["common", "other"]))[0] for word in ("common", "other", "rarely")]
+    assert costs == sorted(costs) and costs[1] < 1 < secrets.STRONG < costs[2]
