@@ -38,7 +38,6 @@ MAX_PROMPT_CHARS = 180000
 CACHE_TTL_SECONDS = 604800
 CATALOG_TTL_SECONDS = 86400
 MAX_UPLOAD_BYTES = 52428800
-MAX_UPLOAD_BYTES_CAP = 209715200
 CER_SAMPLE_CHARS = 5000
 PIPELINE_VERSION = "2026-07-16-v3"
 OMISSION_MARKER = "\n\n[中间内容因长度限制已省略]\n\n"

@@ -192,8 +192,8 @@ def compact_metadata(metadata: Column) -> Column:
     return F.to_json(F.map_filter(parsed, lambda key, value: key.isin(*K.METADATA_KEYS)))
 
 
-def video_text(metadata: Column, url: Column) -> Column:
-    """Labelled text block of a video's metadata JSON."""
+def video_text(metadata: Column, url: Column, most_tags: int | None = None, most_captions: int | None = None) -> Column:
+    """Labelled text block of a video's metadata JSON, with all tags and automatic captions unless a number is asked for."""
 
     def build(data: Column) -> Column:
         def field(name: str) -> Column:
@@ -207,7 +207,7 @@ def video_text(metadata: Column, url: Column) -> Column:
             return F.array_sort(F.coalesce(F.map_keys(captions), F.array().cast("array<string>")))
 
         def joined(values: Column, most: int | None = None) -> Column:
-            shown = F.slice(values, 1, most) if most else values
+            shown = values if most is None else F.slice(values, 1, most)
             return F.when(F.size(values) > 0, F.array_join(shown, ", "))
 
         tags = F.coalesce(F.try_variant_get(data, "$.tags", "array<string>"), F.array().cast("array<string>"))
@@ -216,8 +216,8 @@ def video_text(metadata: Column, url: Column) -> Column:
         return F.concat_ws(
             "\n\n", label("Title", F.coalesce(field("title"), url)), label("Author", F.coalesce(field("uploader"), field("channel"))),
             F.coalesce(label("Duration", field("duration_string")), label("Duration seconds", seconds)),
-            label("Description", field("description")), label("Tags", joined(tags, 20)), label("Available subtitles", joined(manual)),
-            label("Available automatic captions", joined(auto, 10)),
+            label("Description", field("description")), label("Tags", joined(tags, most_tags)), label("Available subtitles", joined(manual)),
+            label("Available automatic captions", joined(auto, most_captions)),
             F.when((F.size(manual) == 0) & (F.size(auto) == 0), F.lit(K.NO_SUBTITLES_LINE)),
         )
 

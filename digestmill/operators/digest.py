@@ -39,11 +39,12 @@ def _read_sentences(documents: DataFrame) -> DataFrame:
     )
 
 
-def _extractive_fields(documents: DataFrame) -> tuple[Column, Column, Column]:
+def _extractive_fields(documents: DataFrame, summary_chars: int | None = None) -> tuple[Column, Column, Column]:
     """Markdown, tags and save recommendation over the columns of ``_read_sentences``."""
     reason = T.present(_field(documents, "fallback_reason"))
     instruction = T.strip(F.coalesce(_field(documents, "instruction"), F.lit("")))
-    summary = F.when(F.size("_top") > 0, F.array_join("_top", " ")).otherwise(F.left("content_text", F.lit(300)))
+    unsplit = F.col("content_text") if summary_chars is None else F.left("content_text", F.lit(summary_chars))
+    summary = F.when(F.size("_top") > 0, F.array_join("_top", " ")).otherwise(unsplit)
     points = F.when(F.size("_key") > 0, F.array_join(F.transform("_key", lambda s: F.concat(F.lit("- "), s)), "\n")).otherwise(
         F.lit(K.NO_KEY_POINTS)
     )
@@ -73,13 +74,14 @@ def _finish(rows: DataFrame, markdown: Column, tags: Column, save: Column) -> Da
     return made.withColumn("tags", tags).withColumn("save_recommendation", save).drop("_s", "_top", "_key", "_md")
 
 
-def extractive_digest(documents: DataFrame) -> DataFrame:
+def extractive_digest(documents: DataFrame, summary_chars: int | None = None) -> DataFrame:
     """Digest without a model: leading sentences and key points in a fixed layout.
 
     One projection over the documents: no shuffle, whatever their number. A non-empty
-    ``fallback_reason`` column marks a digest that stands in for a failed model call.
+    ``fallback_reason`` column marks a digest that stands in for a failed model call. A text without a sentence is
+    its own summary, whole or its first ``summary_chars`` characters.
     """
-    return _finish(_read_sentences(documents), *_extractive_fields(documents))
+    return _finish(_read_sentences(documents), *_extractive_fields(documents, summary_chars))
 
 
 def source_prompt(source_type: Column) -> Column:
@@ -173,7 +175,7 @@ def model_digest(documents: DataFrame, resolved: DataFrame) -> DataFrame:
     return _finish(documents.join(resolved.filter("text IS NOT NULL"), "doc_id"), *_model_fields(documents))
 
 
-def digests(documents: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+def digests(documents: DataFrame, attempts: DataFrame | None = None, summary_chars: int | None = None) -> DataFrame:
     """Digest of every document: from its model attempts where one succeeded, else extractive.
 
     Without attempts (provider ``local``) every digest is extractive. With them, documents and attempts
@@ -182,11 +184,11 @@ def digests(documents: DataFrame, attempts: DataFrame | None = None) -> DataFram
     """
     columns = ["doc_id", "title", "canonical_url", "source_type", "summary_markdown", "tags", "save_recommendation"]
     if attempts is None:
-        return extractive_digest(documents).select(*columns)
+        return extractive_digest(documents, summary_chars).select(*columns)
     rows = documents.join(resolve_attempts(attempts), "doc_id", "left")
     made = F.col("text").isNotNull()
     ready = _read_sentences(rows.withColumn("content_text", F.when(~made, F.col("content_text"))))
-    fields = [F.when(made, own).otherwise(other) for own, other in zip(_model_fields(rows), _extractive_fields(rows), strict=True)]
+    fields = [F.when(made, own).otherwise(other) for own, other in zip(_model_fields(rows), _extractive_fields(rows, summary_chars), strict=True)]
     return _finish(ready, *fields).select(*columns)
 
 

@@ -199,10 +199,11 @@ def job_view(jobs: DataFrame) -> DataFrame:
     )
 
 
-def document_gate(documents: DataFrame) -> DataFrame:
-    """Upload texts with a title of at most 180 characters; too short texts carry an error code."""
+def document_gate(documents: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Upload texts with their whole title, or its first ``title_chars``; too short texts carry an error code."""
     text = strip(F.coalesce("content", F.lit("")))
-    title = F.substring(strip(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("local-document"))), 1, 180)
+    whole = strip(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("local-document")))
+    title = whole if title_chars is None else F.left(whole, F.lit(title_chars))
     short = F.length(text) < 20
     return (
         documents.withColumn("title", F.coalesce(F.nullif(title, F.lit("")), F.lit("local-document")))

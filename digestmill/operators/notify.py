@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from digestmill import constants as K
 
 
-def notification_feed(changes: DataFrame, enabled: Sequence[str], occurred_at: Column | None = None) -> DataFrame:
+def notification_feed(changes: DataFrame, enabled: Sequence[str], occurred_at: Column | None = None, error_chars: int | None = None) -> DataFrame:
     """``event, payload`` for the enabled events ``job.<status>``.
 
-    Only listed fields enter the payload; empty ones are dropped and error text is held to 500
-    characters. Works on a stream too: one projection per row.
+    Only listed fields enter the payload; empty ones are dropped and error text is whole,
+    or held to ``error_chars`` where asked. Works on a stream too: one projection per row.
     """
     event = F.concat(F.lit("job."), F.coalesce("status", F.lit("unknown")))
     wanted = [name.strip() for name in enabled if name.strip()]
@@ -23,7 +23,7 @@ def notification_feed(changes: DataFrame, enabled: Sequence[str], occurred_at: C
 
     def field(name: str) -> Column:
         text = F.col(name).cast("string") if name in changes.columns else F.lit(None).cast("string")
-        text = F.left(text, F.lit(500)) if name == "error_message" else text
+        text = F.left(text, F.lit(error_chars)) if name == "error_message" and error_chars is not None else text
         return F.nullif(text, F.lit("")).alias(name)
 
     payload = F.to_json(F.struct(*[field(name) for name in K.NOTIFICATION_FIELDS], event.alias("event"), stamp.alias("occurred_at")))

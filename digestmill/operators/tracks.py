@@ -163,8 +163,8 @@ def pick_bilibili_track(videos: DataFrame, tracks: DataFrame, payloads: DataFram
     )
 
 
-def youtube_languages(manual: Column, automatic: Column, language: Column, auto: bool) -> Column:
-    """Subtitle languages to ask for, best first; ``manual`` and ``automatic`` are caption maps."""
+def youtube_languages(manual: Column, automatic: Column, language: Column, auto: bool, most: int | None = None) -> Column:
+    """Subtitle languages to ask for, best first, all or the first ``most``; ``manual`` and ``automatic`` are caption maps."""
 
     def keys(captions: Column) -> Column:
         names = F.coalesce(F.map_keys(captions), F.array().cast("array<string>"))
@@ -181,16 +181,17 @@ def youtube_languages(manual: Column, automatic: Column, language: Column, auto:
         same = F.filter(names, lambda key: (spoken != "") & ((F.lower(key) == spoken) | F.startswith(F.lower(key), F.concat(spoken, F.lit("-")))))
         english = F.filter(names, lambda key: F.lower(key).isin("en", "en-orig"))
         groups = (original, same, english, chinese, names) if auto else (chinese, same, english, original, names)
-        ranked = F.slice(F.array_distinct(F.concat(*groups)), 1, 8 if auto else 16)
+        ordered = F.array_distinct(F.concat(*groups))
+        ranked = ordered if most is None else F.slice(ordered, 1, most)
         fallback = F.when(advertised, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(name) for name in default]))
         return F.when(F.size(names) > 0, ranked).otherwise(fallback)
 
     return T.let(available, rank)
 
 
-def rank_youtube_languages(videos: DataFrame, auto: bool) -> DataFrame:
+def rank_youtube_languages(videos: DataFrame, auto: bool, most: int | None = None) -> DataFrame:
     """``doc_id, place, language`` from ``doc_id, subtitles, automatic_captions, language``."""
-    ranked = youtube_languages(F.col("subtitles"), F.col("automatic_captions"), F.col("language"), auto)
+    ranked = youtube_languages(F.col("subtitles"), F.col("automatic_captions"), F.col("language"), auto, most)
     return exploded(videos, ["doc_id"], ranked, "language", "place")
 
 

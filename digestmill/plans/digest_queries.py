@@ -58,7 +58,7 @@ def _extractive(reason: str = "NULL", only: str = "true") -> str:
 @query("extractive_digest", f"WITH {_extractive()} SELECT doc_id, md AS summary_markdown FROM ext")
 def extractive_digest(spark, sf):
     """Flagship: documents to digest Markdown in one projection."""
-    return O.extractive_digest(view(spark, sf, "v_docs")).select("doc_id", "summary_markdown")
+    return O.extractive_digest(view(spark, sf, "v_docs"), summary_chars=300).select("doc_id", "summary_markdown")
 
 
 @query(
@@ -172,7 +172,7 @@ def model_digest(spark, sf):
         SELECT doc_id, md AS summary_markdown FROM ext UNION ALL SELECT d.doc_id, {_MODEL_MD} FROM v_docs d JOIN res ON res.doc_id = d.doc_id WHERE text IS NOT NULL""",
 )
 def digests(spark, sf):
-    return O.digests(view(spark, sf, "v_docs"), view(spark, sf, "v_attempts")).select("doc_id", "summary_markdown")
+    return O.digests(view(spark, sf, "v_docs"), view(spark, sf, "v_attempts"), summary_chars=300).select("doc_id", "summary_markdown")
 
 
 @query(

@@ -59,7 +59,7 @@ def resource_package(spark, sf):
     docs = view(spark, sf, "v_docs").withColumn(
         "content_markdown", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("md "), "content_text")).otherwise(F.col("content_text"))
     )
-    files = P.resource_package(D.extractive_digest(docs))
+    files = P.resource_package(D.extractive_digest(docs, summary_chars=300))
     texts = files.filter("file_name NOT LIKE '%.json'")
     return texts.select("doc_id", "file_name", F.length("content").cast("bigint").alias("chars"))
 
@@ -77,7 +77,7 @@ def resource_package_names(spark, sf):
 
 @query("library_files", f"WITH {_extractive()} SELECT doc_id, sha256(replace(md, '{{{{TIMELINE_LINK}}}}', '120000-doc-' || doc_id || '-' || (SELECT source FROM documents x WHERE x.doc_id = e.doc_id) || '/timeline.md') || chr(10)) AS hash FROM ext e")
 def library_files(spark, sf):
-    digests = D.extractive_digest(view(spark, sf, "v_docs")).withColumn("written_at", F.lit("2024-03-01 12:00:00").cast("timestamp"))
+    digests = D.extractive_digest(view(spark, sf, "v_docs"), summary_chars=300).withColumn("written_at", F.lit("2024-03-01 12:00:00").cast("timestamp"))
     return P.library_files(digests).select("doc_id", F.sha2("content", 256).alias("hash"))
 
 

@@ -135,7 +135,7 @@ def document_gate(spark, sf):
         "doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("title"),
         F.when(F.col("doc_id") % 6 == 0, F.lit("  too short \n")).otherwise(F.col("text")).alias("content"),
     )
-    gated = J.document_gate(uploads)
+    gated = J.document_gate(uploads, title_chars=180)
     return gated.select("doc_id", "title", F.length("content").cast("bigint").alias("chars"), "error_code")
 
 

@@ -117,7 +117,7 @@ _LACKING = " + ".join(f"CASE WHEN contains(e.md, '{section}') THEN 0 ELSE 1 END"
 )
 def digest_quality(spark, sf):
     """Quality roll-up over the extractive digests of all documents."""
-    digests = DO.extractive_digest(view(spark, sf, "v_docs")).withColumn("confidence", F.lit("none"))
+    digests = DO.extractive_digest(view(spark, sf, "v_docs"), summary_chars=300).withColumn("confidence", F.lit("none"))
     return Q.library_quality(digests).select("source_type", "digests", "missing_sections")
 
 
@@ -260,7 +260,7 @@ def notification_feed(spark, sf):
     changes = view(spark, sf, "v_job_events").withColumn("job_id", F.col("event_id").cast("string")).withColumn(
         "error_message", F.when(F.col("op") == "fail", F.repeat(F.lit("e"), 600)).otherwise("")
     ).withColumn("api_key", F.lit("secret")).withColumn("source_text", F.lit("body"))
-    feed = N.notification_feed(changes, ["job.succeeded", " job.failed "], F.lit(_NOW).cast("timestamp"))
+    feed = N.notification_feed(changes, ["job.succeeded", " job.failed "], F.lit(_NOW).cast("timestamp"), error_chars=500)
     payload = F.col("payload")
     return feed.select(
         F.col("job_id").cast("bigint").alias("event_id"), "event", F.length(F.get_json_object(payload, "$.error_message")).alias("message_chars"),

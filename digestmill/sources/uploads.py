@@ -24,10 +24,10 @@ def _suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r".\.([^.]*)$", 1))
 
 
-def classify(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Adds ``input_kind`` or an error to files ``(path, length, content)``."""
+def classify(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES, cap_bytes: int | None = None) -> DataFrame:
+    """Adds ``input_kind`` or an error to files ``(path, length, content)``; ``cap_bytes`` bounds what ``max_bytes`` may ask for."""
     suffix = _suffix(F.col("path"))
-    limit = max(1, min(int(max_bytes), K.MAX_UPLOAD_BYTES_CAP))
+    limit = max(1, int(max_bytes) if cap_bytes is None else min(int(max_bytes), cap_bytes))
     kind = T.first_match(
         [
             (suffix.isin(*K.TEXT_SUFFIXES), "uploaded_text"), (suffix.isin(*K.HTML_SUFFIXES), "uploaded_html"),
