@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestmill.llm.bpe import bpe_digests
+from digestmill.llm.divergence import source_divergence
 from digestmill.llm.exact_dedup import exact_duplicates
 from digestmill.llm.ngram_join import near_duplicates
-from digestmill.llm.oracles import EXACT_DEDUP, QUALITY_RULES, SHARDING
+from digestmill.llm.oracles import EXACT_DEDUP, QUALITY_RULES, SHARDING, SOURCE_DIVERGENCE
 from digestmill.llm.packing import pack_documents
 from digestmill.llm.pii import personal_data_digests
 from digestmill.llm.quality_rules import quality_rules
@@ -73,3 +74,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir))
+
+
+@query("op13_source_divergence", SOURCE_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir))
