@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestmill.llm.bpe import bpe_digests
+from digestmill.llm.chosen_path import near_documents
 from digestmill.llm.divergence import source_divergence
 from digestmill.llm.exact_dedup import exact_duplicates
 from digestmill.llm.ngram_join import near_duplicates
@@ -76,6 +77,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir))
 
 
+@query("op12_chosen_path")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir))
+
+
 @query("op13_source_divergence", SOURCE_DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir))

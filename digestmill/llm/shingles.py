@@ -28,8 +28,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct five-word shingles of a text, sorted; a shorter text is one shingle, one without words none.
+def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
+    """The distinct shingles of ``width`` words of a text, sorted; a shorter text is one shingle, one without words none.
 
     Words are what stands between ASCII white space, with A-Z lower-cased: ``bytes.lower`` and ``bytes.split``
     know exactly those characters.
@@ -38,15 +38,15 @@ def shingle_set(text: str) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     codes = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
-    if len(words) < WORDS:
+    if len(words) < width:
         # Shorter texts hash the number of words as well, so that they never meet a longer one.
         value = np.uint64(len(words))
         for code in codes:
             value = mixed(np.array([value ^ code], np.uint64))[0]
         return np.array([value], np.uint64)
-    size = len(words) - WORDS + 1
+    size = len(words) - width + 1
     values = np.zeros(size, np.uint64)
-    for place in range(WORDS):
+    for place in range(width):
         values = mixed(values ^ (codes[place : place + size] * _MULTIPLIERS[place]))
     return np.unique(values)
 

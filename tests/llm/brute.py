@@ -46,16 +46,16 @@ def digest(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
-def shingles(text: str | None) -> frozenset[tuple[bytes, ...]]:
+def shingles(text: str | None, width: int = 5) -> frozenset[tuple[bytes, ...]]:
     words = (text or "").encode().lower().split()
     if not words:
         return frozenset()
-    return frozenset(tuple(words[at : at + 5]) for at in range(max(1, len(words) - 4)))
+    return frozenset(tuple(words[at : at + width]) for at in range(max(1, len(words) - width + 1)))
 
 
-def components(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+def components(texts: dict[int, str | None], width: int = 5) -> dict[int, tuple[int, int]]:
     """Set size and smallest linked id of every document, by comparing all pairs."""
-    sets = {key: shingles(text) for key, text in texts.items()}
+    sets = {key: shingles(text, width) for key, text in texts.items()}
     root = {key: key for key in texts}
 
     def find(key):
