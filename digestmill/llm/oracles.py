@@ -104,3 +104,34 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
 WHERE part = 'pair' OR rank <= 50
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, greatest(len(w) - size, 0)::BIGINT + 2), lambda i: w[i : i + size - 1])) AS g
+  FROM words, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size
+), frequent AS (
+  SELECT lang, size, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS n FROM grams GROUP BY lang, size, array_to_string(g, ' ') HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, k, p.n AS l, q.n AS r, (2000000::HUGEINT * c.n) // (p.n + q.n) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM frequent WHERE size > 1) c
+  JOIN frequent p ON p.lang = c.lang AND p.size = c.k AND p.phrase = array_to_string(c.g[1 : c.k], ' ')
+  JOIN frequent q ON q.lang = c.lang AND q.size = c.size - c.k AND q.phrase = array_to_string(c.g[c.k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, sub, max(n) AS within FROM (
+    SELECT f.lang, f.n, array_to_string(f.g[v.pos : v.pos + v.width - 1], ' ') AS sub
+    FROM frequent f, (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) AS v(width, pos) WHERE v.width < f.size AND v.pos + v.width - 1 <= f.size) GROUP BY ALL
+), kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN longer s ON s.lang = l.lang AND s.sub = l.phrase WHERE s.within IS NULL OR 100 * s.within < 80 * l.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""

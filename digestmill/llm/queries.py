@@ -10,8 +10,9 @@ from digestmill.llm.chosen_path import near_documents
 from digestmill.llm.divergence import source_divergence
 from digestmill.llm.exact_dedup import exact_duplicates
 from digestmill.llm.ngram_join import near_duplicates
-from digestmill.llm.oracles import EXACT_DEDUP, QUALITY_RULES, SHARDING, SOURCE_DIVERGENCE
+from digestmill.llm.oracles import COLLOCATIONS, EXACT_DEDUP, QUALITY_RULES, SHARDING, SOURCE_DIVERGENCE
 from digestmill.llm.packing import pack_documents
+from digestmill.llm.phrases import collocations
 from digestmill.llm.pii import personal_data_digests
 from digestmill.llm.quality_rules import quality_rules
 from digestmill.llm.registry import ORACLES, QUERIES, query, table
@@ -77,6 +78,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir))
 
 
+@query("op11_collocations", COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir))
+
+
 @query("op12_chosen_path")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir))

@@ -7,8 +7,8 @@ import xxhash
 import zstandard
 
 WORDS = 5
-# Distinct words whose hashes a worker remembers.
-_REMEMBERED = 1_000_000
+# Distinct words whose hashes a worker remembers: about 20 MB.
+_REMEMBERED = 100_000
 _MULTIPLIERS = tuple(np.uint64(xxhash.xxh64_intdigest(bytes([place])) | 1) for place in range(WORDS))
 
 
@@ -28,6 +28,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hash of each word."""
+    return np.array(list(map(_hashes.__getitem__, words)), np.uint64)
+
+
 def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
     """The distinct shingles of ``width`` words of a text, sorted; a shorter text is one shingle, one without words none.
 
@@ -37,7 +42,7 @@ def shingle_set(text: str, width: int = WORDS) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    codes = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
+    codes = word_codes(words)
     if len(words) < width:
         # Shorter texts hash the number of words as well, so that they never meet a longer one.
         value = np.uint64(len(words))
