@@ -168,41 +168,44 @@ def provider_label(provider: Column, base_url: Column) -> Column:
     )
 
 
-def error_reason(http_code: Column, detail: Column) -> Column:
-    """Reason text of a failed model call by status code; the detail is held to 240 characters."""
+def error_reason(http_code: Column, detail: Column, chars: int | None = None) -> Column:
+    """Reason text of a failed model call by status code, with the whole detail or ``chars`` of it."""
     label = (
         F.when(http_code.isin(401, 403), "authentication or permission error").when(http_code == 429, "rate limit or quota error")
         .when(http_code.between(500, 599), "provider server error").otherwise("http error")
     )
-    suffix = F.coalesce(F.concat(F.lit(": "), F.left(T.present(T.strip(detail)), F.lit(240))), F.lit(""))
+    shown = T.present(T.strip(detail))
+    suffix = F.coalesce(F.concat(F.lit(": "), shown if chars is None else F.left(shown, F.lit(chars))), F.lit(""))
     return F.concat(F.lit("model API "), label, F.lit(" (HTTP "), http_code.cast("string"), F.lit(")"), suffix)
 
 
 # ---- points and timeline -------------------------------------------------------------------
 
 
-def clean_point(text: Column) -> Column:
+def clean_point(text: Column, chars: int | None = None) -> Column:
+    """A list item as a point: without marks and stamps, whole or its first ``chars`` characters."""
     for pattern, value in (
         (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"`([^`]+)`", "$1"), (r"[*_>#]", ""), (rf"^\[[^\]]+\]{T.WS}*", ""),
         (rf"^\d{{1,2}}:\d{{2}}(?::\d{{2}})?{T.WS}*", ""), (T.WS + "+", " "),
     ):
         text = F.regexp_replace(text, pattern, value)
-    return F.left(F.btrim(text, F.lit(" -。；;")), F.lit(180))
+    text = F.btrim(text, F.lit(" -。；;"))
+    return text if chars is None else F.left(text, F.lit(chars))
 
 
 def _section(markdown: Column, heading: str) -> Column:
     return F.regexp_extract(markdown, rf"(?dms)^## {heading}{T.WS}*\n(.*?)(?=^## |\z)", 1)
 
 
-def summary_points(markdown: Column) -> Column:
-    """Points of a digest: list items of the core-points section, else its one-line conclusion."""
+def summary_points(markdown: Column, chars: int | None = None) -> Column:
+    """Points of a digest: list items of the core-points section, else its one-line conclusion; whole, or ``chars`` of each."""
     bullet = rf"^{T.WS}*(?:[-*+]|\d+[.)]){T.WS}+(.+)$"
 
     def listed(heading: str) -> Column:
         items = F.filter(T.lines(_section(markdown, heading)), lambda line: F.rlike(line, F.lit(bullet)))
-        return F.filter(F.transform(items, lambda line: clean_point(F.regexp_extract(line, bullet, 1))), lambda point: point != "")
+        return F.filter(F.transform(items, lambda line: clean_point(F.regexp_extract(line, bullet, 1), chars)), lambda point: point != "")
 
-    conclusion = clean_point(F.array_join(F.transform(T.lines(_section(markdown, K.ONE_LINE_CONCLUSION)), T.strip), " "))
+    conclusion = clean_point(F.array_join(F.transform(T.lines(_section(markdown, K.ONE_LINE_CONCLUSION)), T.strip), " "), chars)
     only = T.let(conclusion, lambda text: F.when(text != "", F.array(text)).otherwise(_strings()))
     return T.let(
         listed(K.CORE_POINTS),
@@ -224,8 +227,8 @@ def match_tokens(text: Column) -> Column:
     return T.let(F.regexp_replace(F.lower(text), f"[^{T.WORD}{T.CJK}]", ""), tokens)
 
 
-def timeline_cues(transcript: Column) -> Column:
-    """ARRAY<STRUCT<time, seconds, text>> of the stamped lines of a transcript."""
+def timeline_cues(transcript: Column, chars: int | None = None) -> Column:
+    """ARRAY<STRUCT<time, seconds, text>> of the stamped lines of a transcript, with whole texts or ``chars`` of each."""
     stamped = F.filter(
         F.transform(C.transcript_lines(F.coalesce(transcript, F.lit(""))), T.strip), lambda line: F.rlike(line, F.lit(C.STAMPED))
     )
@@ -233,70 +236,78 @@ def timeline_cues(transcript: Column) -> Column:
     def cue(line: Column) -> Column:
         time = F.substring_index(F.regexp_extract(line, C.STAMPED, 1), "-", 1)
         text = T.collapse(F.regexp_extract(line, C.STAMPED, 2))
-        return F.struct(time.alias("time"), C.link_seconds(time).alias("seconds"), F.left(text, F.lit(160)).alias("text"))
+        return F.struct(time.alias("time"), C.link_seconds(time).alias("seconds"), (text if chars is None else F.left(text, F.lit(chars))).alias("text"))
 
     return F.filter(F.transform(stamped, cue), lambda item: item["text"] != "")
 
 
-def match_points(points: Column, cues: Column) -> Column:
-    """The cue each point starts at: ARRAY<STRUCT<index, time, seconds>>, NULL fields when none fits.
+# Cues that a cue's window takes in, itself included.
+WINDOW_CUES = 4
+
 
-    Points choose in order; a chosen cue is taken. A point scores its overlap with the cue, then with
-    four cues from there on, then prefers the earlier cue. Both folds keep only scalars per cue, so no
-    pair of point and cue is ever emitted as a row.
+def cue_scores(points: Column, cues: Column, offset: Column | None = None, count: int | None = None) -> Column:
+    """For each point (a set of tokens) its best cues: ARRAY<ARRAY<STRUCT<own, window, index, time, seconds>>>.
+
+    A cue counts when its window shares a token with the point; more common tokens with the cue come first, then with
+    the window, then the earlier cue. Earlier points can take at most as many cues as there are, so a point keeps one
+    more than that. ``offset`` is the index of the first cue and ``count`` the number that are judged where ``cues`` is a
+    part of a transcript; the rest completes the windows. Scores are negative, so that an ascending sort has them in order.
     """
 
     def prepared(cue: Column, i: Column, all_cues: Column) -> Column:
-        window = F.array_join(F.transform(F.slice(all_cues, i + 1, 4), lambda c: c["text"]), " ")
+        window = F.array_join(F.transform(F.slice(all_cues, i + 1, WINDOW_CUES), lambda c: c["text"]), " ")
+        place = i if offset is None else i + offset
         return F.struct(
-            i.alias("index"), cue["time"].alias("time"), cue["seconds"].alias("seconds"),
+            place.cast("int").alias("index"), cue["time"].alias("time"), cue["seconds"].cast("bigint").alias("seconds"),
             match_tokens(cue["text"]).alias("own"), match_tokens(window).alias("window"),
         )
 
-    none = F.struct(
-        F.lit(0).alias("own"), F.lit(0).alias("window"), F.lit(None).cast("int").alias("index"), F.lit(None).cast("string").alias("time"),
-        F.lit(None).cast("bigint").alias("seconds"),
-    )
-
-    def best(ready: Column, tokens: Column, used: Column) -> Column:
-        def step(acc: Column, cue: Column) -> Column:
-            def judge(score: Column) -> Column:
-                better = (score["window"] > 0) & (
-                    acc["index"].isNull() | (score["own"] > acc["own"]) | ((score["own"] == acc["own"]) & (score["window"] > acc["window"]))
-                )
-                taken = F.struct(
-                    score["own"].alias("own"), score["window"].alias("window"), cue["index"].alias("index"), cue["time"].alias("time"),
-                    cue["seconds"].alias("seconds"),
+    def ranked(ready: Column) -> Column:
+        def of_point(tokens: Column, seq: Column) -> Column:
+            def score(cue: Column) -> Column:
+                return F.struct(
+                    (-F.size(F.array_intersect(tokens, cue["own"]))).alias("own"), (-F.size(F.array_intersect(tokens, cue["window"]))).alias("window"),
+                    cue["index"].alias("index"), cue["time"].alias("time"), cue["seconds"].alias("seconds"),
                 )
-                return F.when(better, taken).otherwise(acc)
 
-            score = F.struct(
-                F.size(F.array_intersect(tokens, cue["own"])).alias("own"), F.size(F.array_intersect(tokens, cue["window"])).alias("window")
-            )
-            return F.when(F.array_contains(used, cue["index"]), acc).otherwise(T.let(score, judge))
+            scored = F.filter(F.transform(ready, score), lambda item: item["window"] < 0)
+            return F.slice(F.array_sort(scored), F.lit(1), seq + 1)
 
-        return F.aggregate(ready, none, step)
+        return F.transform(points, of_point)
 
-    start = F.struct(
-        F.array().cast("array<int>").alias("used"),
-        F.array().cast("array<struct<index:int,time:string,seconds:bigint>>").alias("found"),
-    )
+    def build(all_cues: Column) -> Column:
+        every = F.transform(all_cues, lambda c, i: prepared(c, i, all_cues))
+        return T.let(every if count is None else F.slice(every, 1, count), ranked)
 
-    def fold(ready: Column) -> Column:
-        def step(acc: Column, point: Column) -> Column:
-            def keep(hit: Column) -> Column:
-                return F.struct(
-                    F.when(hit["index"].isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(hit["index"]))).alias("used"),
-                    F.concat(
-                        acc["found"], F.array(F.struct(hit["index"].alias("index"), hit["time"].alias("time"), hit["seconds"].alias("seconds")))
-                    ).alias("found"),
-                )
+    return T.let(cues, build)
 
-            return T.let(match_tokens(point), lambda tokens: T.let(best(ready, tokens, acc["used"]), keep))
 
-        return F.aggregate(points, start, step, lambda acc: acc["found"])
+def take_in_order(ranked: Column) -> Column:
+    """The cue each point gets when points choose in order and a chosen cue is taken: ARRAY<STRUCT<index, time, seconds>>.
 
-    return T.let(cues, lambda all_cues: T.let(F.transform(all_cues, lambda c, i: prepared(c, i, all_cues)), fold))
+    ``ranked`` holds the best cues of each point, as ``cue_scores`` gives them; NULL fields where none is left.
+    """
+    hit = "struct<index:int,time:string,seconds:bigint>"
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{hit}>").alias("found"))
+
+    def step(state: Column, best: Column) -> Column:
+        free = F.try_element_at(F.filter(best, lambda cue: ~F.array_contains(state["used"], cue["index"])), F.lit(1))
+
+        def keep(cue: Column) -> Column:
+            chosen = F.struct(cue["index"].alias("index"), cue["time"].alias("time"), cue["seconds"].alias("seconds"))
+            return F.struct(
+                F.when(cue.isNull(), state["used"]).otherwise(F.concat(state["used"], F.array(cue["index"]))).alias("used"),
+                F.concat(state["found"], F.array(chosen)).alias("found"),
+            )
+
+        return T.let(free, keep)
+
+    return F.aggregate(ranked, start, step, lambda state: state["found"])
+
+
+def match_points(points: Column, cues: Column) -> Column:
+    """The cue each point starts at: ARRAY<STRUCT<index, time, seconds>>, NULL fields when none fits."""
+    return T.let(cue_scores(F.transform(points, match_tokens), cues), take_in_order)
 
 
 def without_timeline(markdown: Column) -> Column:
@@ -305,21 +316,32 @@ def without_timeline(markdown: Column) -> Column:
     return T.rstrip(F.regexp_replace(markdown, rf"(?ds)\n## (?:{headings})\n.*?(?=\n## |\z)", "\n"))
 
 
-def core_timeline(markdown: Column, url: Column, transcript: Column) -> Column:
-    """Digest with one timeline item per point, replacing any timeline it had."""
+def timeline_item(url: Column, point: Column, index: Column, time: Column, seconds: Column) -> Column:
+    """One line of the core timeline."""
+    linked = F.concat(F.lit("- ["), time, F.lit("]("), timestamp_link(url, seconds), F.lit(") "), point)
+    return F.when(index.isNull(), F.concat(F.lit("- " + K.TIME_UNKNOWN), point)).otherwise(linked)
+
+
+def with_timeline(body: Column, items: Column) -> Column:
+    """A digest body with its timeline lines; without lines as it is."""
+    tail = F.concat(F.lit(f"\n\n## {K.CORE_TIMELINE}\n\n"), F.array_join(items, "\n"), F.lit("\n\n" + K.FULL_TIMELINE_LINE))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, body).otherwise(F.concat(body, tail))
+
+
+def core_timeline(markdown: Column, url: Column, transcript: Column, point_chars: int | None = None, cue_chars: int | None = None) -> Column:
+    """Digest with one timeline item per point, replacing any timeline it had.
+
+    One row does all of its own work; ``operators.digest.core_timelines`` spreads long transcripts over rows.
+    """
 
     def with_points(body: Column, points: Column) -> Column:
         def item(point: Column, hit: Column) -> Column:
-            linked = F.concat(F.lit("- ["), hit["time"], F.lit("]("), timestamp_link(url, hit["seconds"]), F.lit(") "), point)
-            return F.when(hit["index"].isNull(), F.concat(F.lit("- " + K.TIME_UNKNOWN), point)).otherwise(linked)
+            return timeline_item(url, point, hit["index"], hit["time"], hit["seconds"])
 
-        items = T.let(match_points(points, timeline_cues(transcript)), lambda hits: F.zip_with(points, hits, item))
-        tail = F.concat(
-            F.lit(f"\n\n## {K.CORE_TIMELINE}\n\n"), F.array_join(items, "\n"), F.lit("\n\n" + K.FULL_TIMELINE_LINE)
-        )
-        return F.when(F.size(points) == 0, body).otherwise(F.concat(body, tail))
+        hits = match_points(points, timeline_cues(transcript, cue_chars))
+        return with_timeline(body, T.let(hits, lambda found: F.zip_with(points, found, item)))
 
-    return T.let(without_timeline(markdown), lambda body: T.let(summary_points(body), lambda points: with_points(body, points)))
+    return T.let(without_timeline(markdown), lambda body: T.let(summary_points(body, point_chars), lambda points: with_points(body, points)))
 
 
 def with_video_timeline(markdown: Column, source_type: Column, url: Column, transcript: Column) -> Column:

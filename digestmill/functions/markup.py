@@ -1,93 +1,140 @@
-"""A small element tree over the standard HTML parser, for the jobs that need real structure.
+"""A native tag-stream machine: HTML to tokens, tokens to elements, elements to texts, all as Column expressions.
 
-Unclosed elements simply nest; an end tag closes the nearest open element of its name and is ignored
-when there is none.
+One regular expression cuts a page into tags and texts. A fold over the tags keeps the stack of open elements and
+gives every wanted element its range of tokens; what an element says is then a slice of the texts. Unclosed elements
+simply nest; an end tag closes the nearest open element of its name and is ignored when there is none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+from digestmill.functions import text as T
 
+VOID = tuple("area base br col embed hr img input link meta param source track wbr".split())
+# Script and style are one token with all they hold; a bare ``<`` that opens nothing is a text of its own.
+_TOKENS = (
+    r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b(?:[^'">]++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\b[^>]*>|\z)"""
+    r"""|</?[a-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*>|<[!?/][^>]*>|[^<]+|<"""
+)
+_START, _END, _TEXT, _OTHER = 1, 2, 0, 3
 
-class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+def attributes(tag: Column, *names: str) -> Column:
+    """ARRAY<STRING>: values of the first attribute of each name in a start tag, entities decoded; empty when there is none."""
 
-    def walk(self) -> Iterator[Element]:
-        """Elements below this one in document order (iterative: pages nest deeply)."""
-        stack = [child for child in reversed(self.children) if isinstance(child, Element)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(child for child in reversed(node.children) if isinstance(child, Element))
+    def raw(name: str) -> Column:
+        value = r"""(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+        before = rf"""(?:[\s/]++(?!{name}[\s=/>])[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?+)*+"""
+        pattern = rf"""(?is)^<[a-z][^\s/>]*+{before}[\s/]++{name}\s*=\s*{value}"""
+        found = F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
+        return F.when(F.contains(F.lower(tag), F.lit(name)), found).otherwise("")
 
-    def first(self, test: Callable[[Element], bool]) -> Element | None:
-        return next((node for node in self.walk() if test(node)), None)
+    return F.transform(F.array(*[raw(name) for name in names]), T.unescape_html)
 
-    def drop(self, test: Callable[[Element], bool]) -> None:
-        for node in [node for node in self.walk() if test(node)]:
-            if node.parent is not None and node in node.parent.children:
-                node.parent.children.remove(node)
 
-    def strings(self) -> Iterator[str]:
-        stack = list(reversed(self.children))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                if item.strip():
-                    yield item.strip()
-            else:
-                stack.extend(reversed(item.children))
+def has_word(value: Column, word: str) -> Column:
+    """Whether a class list holds a word."""
+    return F.array_contains(F.split(T.collapse(value), " "), word)
 
-    def text(self, joiner: str) -> str:
-        return joiner.join(self.strings())
 
-    def has_class(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").split()
+def marks(pairs: list[tuple[Column, int]]) -> Column:
+    """The sum of the marks whose conditions hold."""
+    total = F.lit(0)
+    for condition, mark in pairs:
+        total = total + F.when(condition, F.lit(mark)).otherwise(F.lit(0))
+    return total
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("", {}, None)
-        self._open = self.root
+def tokens(html: Column, mark) -> Column:
+    """ARRAY<STRUCT<i, kind, name, mark, text>>: ``mark(name, tag)`` gives the marks of a start tag as one number."""
 
-    def handle_starttag(self, tag, attrs):
-        given: dict[str, str] = {}
-        for key, value in attrs:
-            given.setdefault(key, value or "")
-        node = Element(tag, given, self._open)
-        self._open.children.append(node)
-        if tag not in _VOID:
-            self._open = node
+    def read(piece: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][^\s/>]*)", 1))
+        shown = F.when(~F.startswith(piece, F.lit("<")) | (piece == "<"), _TEXT)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
+        def with_name(tag: Column) -> Column:
+            empty = tag.isin("script", "style", *VOID) | F.endswith(piece, F.lit("/>"))
+            kind = shown.when(tag == "", _OTHER).when(F.startswith(piece, F.lit("</")), _END).when(empty, _OTHER).otherwise(_START)
+            wanted = F.when((tag != "") & ~F.startswith(piece, F.lit("</")), mark(tag, piece)).otherwise(F.lit(0))
+            return F.struct(i.alias("i"), kind.alias("kind"), tag.alias("name"), wanted.alias("mark"), F.when(kind == _TEXT, piece).alias("text"))
 
-    def handle_endtag(self, tag):
-        node = self._open
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self._open = node.parent
+        return T.let(name, with_name)
 
-    def handle_data(self, data):
-        self._open.children.append(data)
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TOKENS), F.lit(0)), read)
 
 
-def parse(markup: str) -> Element:
-    builder = _Builder()
-    builder.feed(markup)
-    builder.close()
-    return builder.root
+def elements(stream: Column, hide: int = 0) -> Column:
+    """ARRAY<STRUCT<at, end, mark>> of the marked elements of a token stream, in document order.
 
+    An element covers the tokens after ``at`` and before ``end``. An element whose mark has the bit ``hide`` has no
+    other, and nothing below it is marked.
+    """
+    frames, ranges = "array<struct<name:string,mark:int,at:int,hidden:boolean>>", "array<struct<at:int,end:int,mark:int>>"
+    start = F.struct(F.array().cast(frames).alias("open"), F.array().cast(ranges).alias("closed"))
 
-def named(*tags: str) -> Callable[[Element], bool]:
-    return lambda node: node.tag in tags
+    def range_of(frame: Column, end: Column) -> Column:
+        return F.struct(frame["at"].alias("at"), end.cast("int").alias("end"), frame["mark"].alias("mark"))
+
+    def marked(open_: Column, end: Column) -> Column:
+        return F.transform(F.filter(open_, lambda frame: frame["mark"] != 0), lambda frame: range_of(frame, end))
+
+    def step(state: Column, token: Column) -> Column:
+        above = F.coalesce(F.try_element_at(state["open"], F.lit(-1))["hidden"], F.lit(False))
+
+        def opened(hidden: Column) -> Column:
+            hides = token["mark"].bitwiseAND(F.lit(hide))
+            own = F.when(hidden, F.lit(0)).when(hides != 0, hides).otherwise(token["mark"])
+            frame = F.struct(
+                token["name"].alias("name"), own.alias("mark"), token["i"].alias("at"),
+                (hidden | (hides != 0)).alias("hidden"),
+            )
+            return F.struct(F.concat(state["open"], F.array(frame)).alias("open"), state["closed"].alias("closed"))
+
+        def closed(back: Column) -> Column:
+            kept = F.size(state["open"]) - back
+            return F.when(back == 0, state).otherwise(
+                F.struct(
+                    F.slice(state["open"], F.lit(1), kept).alias("open"),
+                    F.concat(state["closed"], marked(F.slice(state["open"], kept + 1, back), token["i"])).alias("closed"),
+                )
+            )
+
+        names = F.reverse(F.transform(state["open"], lambda frame: frame["name"]))
+        return F.when(token["kind"] == _START, T.let(above, opened)).otherwise(T.let(F.array_position(names, token["name"]).cast("int"), closed))
+
+    def build(every: Column) -> Column:
+        tags = F.filter(every, lambda token: token["kind"].isin(_START, _END))
+        end = F.size(every)
+        return F.aggregate(tags, start, step, lambda state: F.array_sort(F.concat(state["closed"], marked(state["open"], end))))
+
+    return build(stream)
+
+
+def within(place: Column, ranges: Column) -> Column:
+    return F.exists(ranges, lambda item: (place > item["at"]) & (place < item["end"]))
+
+
+def with_mark(found: Column, mark: int) -> Column:
+    return F.filter(found, lambda item: item["mark"].bitwiseAND(F.lit(mark)) != 0)
+
+
+def first_with(found: Column, mark: int) -> Column:
+    """The first element with a mark, NULL when there is none."""
+    return F.try_element_at(with_mark(found, mark), F.lit(1))
+
+
+def texts(stream: Column, without: Column) -> Column:
+    """ARRAY<STRING>: the stripped text at each token, empty for tags and inside the ranges ``without``."""
+
+    def shown(token: Column, i: Column) -> Column:
+        return F.when((token["kind"] != _TEXT) | within(i, without), F.lit("")).otherwise(T.strip(T.unescape_html(token["text"])))
+
+    return F.transform(stream, shown)
+
+
+def said(words: Column, element: Column, joiner: str) -> Column:
+    """The non-empty texts of an element, joined; empty without an element."""
+    own = F.filter(F.slice(words, element["at"] + 2, F.greatest(element["end"] - element["at"] - 1, F.lit(0))), lambda word: word != "")
+    return F.when(element.isNull(), F.lit("")).otherwise(F.array_join(own, joiner))

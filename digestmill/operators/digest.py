@@ -198,17 +198,48 @@ def missing_section_counts(digested: DataFrame) -> DataFrame:
     return rows.groupBy("section").agg(F.count("*").alias("n"))
 
 
-def match_points_to_cues(documents: DataFrame) -> DataFrame:
-    """``doc_id, seq, point, cue_index, time, seconds`` from ``doc_id, summary_markdown, transcript``."""
-    points = D.summary_points(F.col("summary_markdown"))
-    hits = T.let(
-        points,
-        lambda found: F.zip_with(
-            found, D.match_points(found, D.timeline_cues(F.col("transcript"))), lambda point, hit: F.struct(point.alias("point"), hit.alias("hit"))
-        ),
-    )
-    rows = exploded(documents, ["doc_id"], hits, "m", "seq")
+# Cues of one row when points are matched: a long transcript is judged in parts.
+PART_CUES = 256
+
+
+def match_points_to_cues(documents: DataFrame, point_chars: int | None = None, cue_chars: int | None = None) -> DataFrame:
+    """``doc_id, seq, point, cue_index, time, seconds`` from ``doc_id, summary_markdown, transcript`` (one row per document).
+
+    Points choose in order, and a chosen cue is taken. Each part of a transcript ranks its cues for each point, and only
+    the best of them travel: a point with n points before it can lose n cues at most, so n + 1 candidates decide. What
+    meets in one row is therefore bounded by the points of a digest, however long its transcript is.
+    """
+    def prepare(points: Column) -> Column:
+        cues = D.timeline_cues(F.col("transcript"), cue_chars)
+
+        def parts(all_cues: Column) -> Column:
+            last = F.greatest(F.ceil(F.size(all_cues) / PART_CUES).cast("int") - 1, F.lit(0))
+            return F.transform(F.sequence(F.lit(0), last), lambda part: F.slice(all_cues, part * PART_CUES + 1, PART_CUES + D.WINDOW_CUES - 1))
+
+        return F.struct(points.alias("points"), F.transform(points, D.match_tokens).alias("tokens"), T.let(cues, parts).alias("parts"))
+
+    prepared = documents.select("doc_id", T.let(D.summary_points(F.col("summary_markdown"), point_chars), prepare).alias("d"))
+    prepared = prepared.select("doc_id", F.col("d.points").alias("points"), F.col("d.tokens").alias("tokens"), F.col("d.parts").alias("parts"))
+    parts = exploded(prepared, ["doc_id", "points", "tokens"], F.col("parts"), "cues", "part")
+    ranked = D.cue_scores(F.col("tokens"), F.col("cues"), F.col("part") * PART_CUES, PART_CUES)
+    scored = exploded(parts, ["doc_id"], F.zip_with("points", ranked, lambda point, best: F.struct(point.alias("point"), best.alias("best"))), "m", "seq")
+    merged = scored.groupBy("doc_id", "seq").agg(F.any_value("m.point").alias("point"), F.flatten(F.collect_list("m.best")).alias("best"))
+    best = F.slice(F.array_sort("best"), F.lit(1), F.col("seq") + 1)
+    whole = merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "point", best.alias("best")))).alias("points"))
+    taken = F.zip_with("points", D.take_in_order(F.col("points.best")), lambda point, hit: F.struct(point["seq"].alias("seq"), point["point"].alias("point"), hit.alias("hit")))
+    rows = exploded(whole, ["doc_id"], taken, "m")
     return rows.select(
-        "doc_id", "seq", F.col("m.point").alias("point"), F.col("m.hit.index").alias("cue_index"), F.col("m.hit.time").alias("time"),
+        "doc_id", F.col("m.seq").alias("seq"), F.col("m.point").alias("point"), F.col("m.hit.index").alias("cue_index"), F.col("m.hit.time").alias("time"),
         F.col("m.hit.seconds").alias("seconds"),
     )
+
+
+def core_timelines(documents: DataFrame, point_chars: int | None = None, cue_chars: int | None = None) -> DataFrame:
+    """``doc_id, markdown``: digests with one timeline line per point, from ``doc_id, url, summary_markdown, transcript``.
+
+    The timeline a digest had is replaced; a digest without points keeps its body.
+    """
+    bodies = documents.withColumn("summary_markdown", D.without_timeline(F.col("summary_markdown")))
+    hits = match_points_to_cues(bodies, point_chars, cue_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "point", "cue_index", "time", "seconds"))).alias("hits"))
+    lines = F.transform("hits", lambda hit: D.timeline_item(F.col("url"), hit["point"], hit["cue_index"], hit["time"], hit["seconds"]))
+    return bodies.select("doc_id", "url", "summary_markdown").join(hits, "doc_id", "left").select("doc_id", D.with_timeline(F.col("summary_markdown"), lines).alias("markdown"))

@@ -2,99 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from digestmill.functions import markup as M
 from digestmill.functions import pages as P
 from digestmill.functions import text as T
 from digestmill.functions.scale import exploded
-from digestmill.functions.markup import Element, named, parse
 
 MIN_TEXT = 80
-_BLOCKS = named("h1", "h2", "h3", "p", "li", "blockquote")
-_NOISE = named("script", "style", "noscript", "svg", "canvas", "form", "nav", "footer", "aside", "header")
+_NOISE, _BLOCK, _H1, _BODY = 1, 2, 4, 8
+_NOISE_TAGS = ("script", "style", "noscript", "svg", "canvas", "form", "nav", "footer", "aside", "header")
+_BLOCK_TAGS = ("h1", "h2", "h3", "p", "li", "blockquote")
 _NOISE_CLASSES = ("cookie", "subscribe", "newsletter", "advert")
 _NOISE_IDS = ("cookie", "comment")
-_CANDIDATES = (
-    ("article", named("article")), ("main", named("main")), ("role", lambda n: n.attrs.get("role") == "main"),
-    (".article", lambda n: n.has_class("article")), (".post", lambda n: n.has_class("post")),
-    (".content", lambda n: n.has_class("content")), ("body", named("body")),
-)
-
-
-def _noisy(node: Element) -> bool:
-    return (
-        _NOISE(node)
-        or any(word in node.attrs.get("class", "") for word in _NOISE_CLASSES)
-        or any(word in node.attrs.get("id", "") for word in _NOISE_IDS)
-    )
+# Candidates for the article, in order: article, main, role=main, three classes, body.
+_CANDIDATES = (16, 32, 64, 128, 256, 512, _BODY)
+_CLASSES = ("article", "post", "content")
+
+_IMAGE, _DROPPED, _NAMED, _RICH_TITLE, _NICKNAME, _RICH_BODY, _ARTICLE = 1, 2, 4, 32, 64, 256, 512
+_WECHAT_IDS = {"activity-name": _NAMED, "js_name": _NAMED * 2, "publish_time": _NAMED * 4, "js_content": 128}
+_IMAGE_TEXT = "[图片]"
+
+
+def article_marks(name: Column, tag: Column) -> Column:
+    def judged(found: Column) -> Column:
+        classes, ident = found[0], found[1]
+        noisy = name.isin(*_NOISE_TAGS) | T.contains_any(classes, _NOISE_CLASSES) | T.contains_any(ident, _NOISE_IDS)
+        return M.marks(
+            [
+                (noisy, _NOISE), (name.isin(*_BLOCK_TAGS), _BLOCK), (name == "h1", _H1), (name == "body", _BODY), (name == "article", 16),
+                (name == "main", 32), (found[2] == "main", 64),
+                *[(M.has_word(classes, word), 128 << place) for place, word in enumerate(_CLASSES)],
+            ]
+        )
 
+    return T.let(M.attributes(tag, "class", "id", "role"), judged)
 
-def _article_row(markup: str) -> dict:
-    root = parse(markup)
-    root.drop(_noisy)
-    heading, body = root.first(named("h1")), root.first(named("body"))
-    nodes = [(name, root.first(test)) for name, test in _CANDIDATES]
-    return {
-        "h1": heading.text(" ") if heading else "",
-        "body_text": body.text("\n") if body else "",
-        "candidates": [[item.text(" ") for item in node.walk() if _BLOCKS(item)] for _, node in nodes if node],
-    }
-
-
-def _wechat_row(markup: str) -> dict:
-    root = parse(markup)
-
-    def text_of(test) -> str:
-        node = root.first(test)
-        return node.text(" ") if node else ""
-
-    row = {
-        "activity_name": text_of(lambda n: n.attrs.get("id") == "activity-name"),
-        "rich_title": text_of(lambda n: n.tag == "h1" and n.has_class("rich_media_title")),
-        "js_name": text_of(lambda n: n.attrs.get("id") == "js_name"),
-        "nickname": text_of(lambda n: n.has_class("profile_nickname")),
-        "publish_time": text_of(lambda n: n.attrs.get("id") == "publish_time"),
-        "bodies": [],
-    }
-    for test in (lambda n: n.attrs.get("id") == "js_content", lambda n: n.has_class("rich_media_content"), named("article")):
-        node = root.first(test)
-        if node:
-            node.drop(named("script", "style", "svg", "canvas", "form"))
-            for image in [item for item in node.walk() if item.tag == "img"]:
-                siblings = image.parent.children
-                siblings[siblings.index(image)] = "\n[图片]\n"
-            row["bodies"].append(node.text("\n"))
-    return row
-
-
-_ARTICLE_SCHEMA = "page_id BIGINT, url STRING, html STRING, h1 STRING, body_text STRING, candidates ARRAY<ARRAY<STRING>>"
-_ARTICLE_ARROW = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("h1", pa.string()), ("body_text", pa.string()),
-     ("candidates", pa.list_(pa.list_(pa.string())))]
-)
-_WECHAT_FIELDS = ("activity_name", "rich_title", "js_name", "nickname", "publish_time")
-_WECHAT_SCHEMA = "page_id BIGINT, url STRING, html STRING, " + "".join(f"{name} STRING, " for name in _WECHAT_FIELDS) + "bodies ARRAY<STRING>"
-_WECHAT_ARROW = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
-    + [(name, pa.string()) for name in _WECHAT_FIELDS] + [("bodies", pa.list_(pa.string()))]
-)
-
-
-def _mapper(row_of, schema: pa.Schema):
-    """Arrow batches of pages to batches of pages with parsed fields."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                {"page_id": row["page_id"], "url": row["url"], "html": row["html"], **row_of(row["html"] or "")} for row in batch.to_pylist()
+
+def wechat_marks(name: Column, tag: Column) -> Column:
+    def judged(found: Column) -> Column:
+        classes, ident = found[0], found[1]
+        return M.marks(
+            [
+                (name == "img", _IMAGE), (name.isin("script", "style", "svg", "canvas", "form"), _DROPPED), (name == "article", _ARTICLE),
+                *[(ident == value, mark) for value, mark in _WECHAT_IDS.items()],
+                ((name == "h1") & M.has_word(classes, "rich_media_title"), _RICH_TITLE),
+                (M.has_word(classes, "profile_nickname"), _NICKNAME), (M.has_word(classes, "rich_media_content"), _RICH_BODY),
             ]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        )
+
+    return T.let(M.attributes(tag, "class", "id"), judged)
+
+
+def article_fields(html: Column) -> Column:
+    """STRUCT<h1, body_text, best>: first heading, text of the body, and the longest candidate's blocks, without noise."""
+
+    def read(page: Column) -> Column:
+        def with_words(words: Column) -> Column:
+            found = page["found"]
+            blocks = F.filter(
+                F.transform(M.with_mark(found, _BLOCK), lambda item: F.struct(item["at"].alias("at"), T.clean_text(M.said(words, item, " ")).alias("text"))),
+                lambda block: F.length(block["text"]) >= 20,
+            )
+
+            def longest(every: Column) -> Column:
+                def inside(item: Column) -> Column:
+                    own = F.filter(every, lambda block: (block["at"] > item["at"]) & (block["at"] < item["end"]))
+                    return F.when(item.isNull(), F.lit("")).otherwise(F.array_join(F.transform(own, lambda block: block["text"]), "\n\n"))
+
+                candidates = F.array(*[T.let(M.first_with(found, mark), inside) for mark in _CANDIDATES])
+                return F.aggregate(candidates, F.lit(""), lambda best, text: F.when(F.length(text) > F.length(best), text).otherwise(best))
+
+            return F.struct(
+                M.said(words, M.first_with(found, _H1), " ").alias("h1"), M.said(words, M.first_with(found, _BODY), "\n").alias("body_text"),
+                T.let(blocks, longest).alias("best"),
+            )
+
+        return T.let(M.texts(page["stream"], M.with_mark(page["found"], _NOISE)), with_words)
 
-    return run
+    return T.let(M.tokens(html, article_marks), lambda stream: T.let(F.struct(stream.alias("stream"), M.elements(stream, _NOISE).alias("found")), read))
+
+
+def wechat_fields(html: Column) -> Column:
+    """STRUCT<activity_name, js_name, publish_time, rich_title, nickname, bodies> of a WeChat page."""
+
+    def read(page: Column) -> Column:
+        stream, found = page["stream"], page["found"]
+
+        def body(words: Column, mark: int) -> Column:
+            def inside(item: Column) -> Column:
+                dropped = F.filter(M.with_mark(found, _DROPPED), lambda part: part["at"] > item["at"])
+                images = F.transform(stream, lambda token, i: F.when(token["mark"].bitwiseAND(F.lit(_IMAGE)) != 0, F.lit(_IMAGE_TEXT)).otherwise(F.get(words, i)))
+                shown = F.transform(images, lambda text, i: F.when(M.within(i, dropped), F.lit("")).otherwise(text))
+                return F.when(item.isNull(), F.lit(None).cast("string")).otherwise(M.said(shown, item, "\n"))
+
+            return T.let(M.first_with(found, mark), inside)
+
+        def with_words(words: Column) -> Column:
+            named = {name: M.said(words, M.first_with(found, mark), " ") for name, mark in
+                     {"activity_name": _NAMED, "js_name": _NAMED * 2, "publish_time": _NAMED * 4, "rich_title": _RICH_TITLE, "nickname": _NICKNAME}.items()}
+            bodies = F.array_compact(F.array(*[body(words, mark) for mark in (128, _RICH_BODY, _ARTICLE)]))
+            return F.struct(*[text.alias(name) for name, text in named.items()], bodies.alias("bodies"))
+
+        return T.let(M.texts(stream, F.array().cast("array<struct<at:int,end:int,mark:int>>")), with_words)
+
+    return T.let(M.tokens(html, wechat_marks), lambda stream: T.let(F.struct(stream.alias("stream"), M.elements(stream).alias("found")), read))
 
 
 def extract_pages_light(pages: DataFrame) -> DataFrame:
@@ -105,20 +118,11 @@ def extract_pages_light(pages: DataFrame) -> DataFrame:
 def extract_pages_article(pages: DataFrame) -> DataFrame:
     """Article fields of each page.
 
-    The parser job emits the block texts of each candidate element; choosing among them is native. The
-    longest candidate wins, a longer JSON-LD body beats it, the whole body is the last resort.
+    The longest candidate element wins, a longer JSON-LD body beats it, the whole body is the last resort.
     """
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_mapper(_article_row, _ARTICLE_ARROW), _ARTICLE_SCHEMA)
-
-    def joined(blocks):
-        return F.array_join(F.filter(F.transform(blocks, T.clean_text), lambda block: F.length(block) >= 20), "\n\n")
-
-    longest = F.aggregate(
-        F.transform("candidates", joined), F.lit(""), lambda best, text: F.when(F.length(text) > F.length(best), text).otherwise(best)
-    )
+    parsed = pages.select("page_id", "url", "html", article_fields(F.col("html")).alias("a"))
     fields = parsed.select(
-        "page_id", "url", P.page_metadata(F.col("html"), F.col("h1")).alias("m"),
-        longest.alias("best"), "body_text",
+        "page_id", "url", P.page_metadata(F.col("html"), F.col("a.h1")).alias("m"), F.col("a.best").alias("best"), F.col("a.body_text").alias("body_text"),
     )
     body = F.when(F.length("m.json_ld_body") > F.length("best"), F.col("m.json_ld_body")).otherwise(F.col("best"))
     text = F.coalesce(T.present(body), T.clean_text(F.col("body_text")))
@@ -134,7 +138,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 def extract_wechat(pages: DataFrame) -> DataFrame:
     """Fields of WeChat articles; a block page carries ``error_code`` and its message instead of text."""
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_mapper(_wechat_row, _WECHAT_ARROW), _WECHAT_SCHEMA)
+    parsed = pages.select("page_id", "url", "html", wechat_fields(F.col("html")).alias("w")).select("page_id", "url", "html", "w.*")
     html = F.col("html")
     title = T.first_present(
         F.col("activity_name"), F.col("rich_title"), P.script_variable(html, "msg_title"), P.meta_content(html, "property", "og:title")

@@ -34,8 +34,8 @@ def pick_sentences(spark, sf):
     return O.pick_sentences(view(spark, sf, "v_docs"), 5, skip=3).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-_CLEAN = """substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'),
-    '[*_>#]', '', 'g'), '^\\[[^\\]]+\\]\\s*', ''), '^\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?\\s*', ''), '\\s+', ' ', 'g'), ' -。；;'), 1, 180)"""
+_CLEAN = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'),
+    '[*_>#]', '', 'g'), '^\\[[^\\]]+\\]\\s*', ''), '^\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?\\s*', ''), '\\s+', ' ', 'g'), ' -。；;')"""
 _PROVENANCE = """CASE WHEN source_type IN ('youtube', 'bilibili') AND coalesce(transcript_origin_label, subtitle_status, subtitle_source) IS NOT NULL THEN chr(10) || '- 字幕/转写来源: ' || coalesce(transcript_origin_label, '未知') ||
     CASE WHEN coalesce(subtitle_status, subtitle_source) IS NOT NULL THEN '（' || concat_ws('；', subtitle_status, subtitle_source) || '）' ELSE '' END ELSE '' END"""
 
@@ -134,7 +134,7 @@ def resolve_attempts(spark, sf):
 @query(
     "error_reasons",
     """SELECT code, 'model API ' || CASE WHEN code IN (401, 403) THEN 'authentication or permission error' WHEN code = 429 THEN 'rate limit or quota error' WHEN code BETWEEN 500 AND 599 THEN 'provider server error' ELSE 'http error' END
-         || ' (HTTP ' || code || '): ' || substr(text, 1, 240) AS reason, doc_id FROM (SELECT doc_id, trim(text, ' ' || chr(10)) AS text, CASE doc_id % 5 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 502 ELSE 404 END AS code FROM documents)""",
+         || ' (HTTP ' || code || '): ' || text AS reason, doc_id FROM (SELECT doc_id, trim(text, ' ' || chr(10)) AS text, CASE doc_id % 5 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 502 ELSE 404 END AS code FROM documents)""",
 )
 def error_reasons(spark, sf):
     rest = F.col("doc_id") % 5
@@ -209,10 +209,10 @@ def match_tokens(spark, sf):
     return rows.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.sha2(F.array_join(F.array_sort("t"), "|"), 256).alias("hash"))
 
 
-# Two points per document, each the words of one of its lines; the second is repeated so that it must move on.
-_TWO = """SELECT v.doc_id, v.k AS seq, substr(trim(regexp_replace(regexp_replace(c.text, '[*_>#`\\[\\]()]', '', 'g'), '\\s+', ' ', 'g'), ' -。；;'), 1, 60) AS raw FROM
+# Points of a document are whole lines of it; the second is repeated so that it must move on.
+_TWO = """SELECT v.doc_id, v.k AS seq, trim(regexp_replace(regexp_replace(c.text, '[*_>#`\\[\\]()]', '', 'g'), '\\s+', ' ', 'g'), ' -。；;') AS raw FROM
     (SELECT doc_id, n_lines, unnest([0, 1, 2]) AS k FROM v_videos) v JOIN v_cues c ON c.doc_id = v.doc_id AND c.seq = CASE k WHEN 0 THEN n_lines // 2 ELSE n_lines - 1 END"""
-_CUE_TEXT = "substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 160)"
+_CUE_TEXT = "trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')"
 _MATCH = f"""p AS (SELECT doc_id, seq, raw AS point, {_tokens('raw')} AS toks FROM ({_TWO})),
   q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS idx, start_s, {_CUE_TEXT} AS t FROM v_cues WHERE {_CUE_TEXT} <> ''),
   w AS (SELECT doc_id, idx, start_s, t, concat_ws(' ', t, lead(t, 1) OVER s, lead(t, 2) OVER s, lead(t, 3) OVER s) AS win FROM q WINDOW s AS (PARTITION BY doc_id ORDER BY idx)),
@@ -232,7 +232,7 @@ def _pointed(spark, sf):
 
     def point(line):
         bare = F.regexp_replace(F.substr(line, F.lit(21)), r"[*_>#`\[\]()]", "")
-        return F.left(F.btrim(F.regexp_replace(bare, r"\s+", " "), F.lit(" -。；;")), F.lit(60))
+        return F.btrim(F.regexp_replace(bare, r"\s+", " "), F.lit(" -。；;"))
 
     # The original line of cue seq: the same position in the stamped text.
     size = F.size(lines)
@@ -262,5 +262,4 @@ def match_points_to_cues(spark, sf):
 )
 def core_timeline(spark, sf):
     """The old timeline section is replaced by one item per point."""
-    markdown = D.core_timeline(F.col("summary_markdown"), F.lit("https://v.example/x?p=1"), F.col("transcript"))
-    return _pointed(spark, sf).select("doc_id", markdown.alias("markdown"))
+    return O.core_timelines(_pointed(spark, sf).withColumn("url", F.lit("https://v.example/x?p=1")))

@@ -12,6 +12,7 @@ from digestmill.plans.bindings import view
 from digestmill.plans.digest_queries import _extractive
 from digestmill.plans.ledger_queries import FOLD_SQL, _KEY, _NOW, _TTL, _cache
 from digestmill.plans.page_queries import _TEXT
+from digestmill.plans.page_queries import ARTICLE_LINES, TITLE_TEXT
 from digestmill.plans.registry import query
 from digestmill.plans.url_queries import _CANON
 from digestmill.sources import packages as P
@@ -36,15 +37,26 @@ def decode_text(spark, sf):
     return view(spark, sf, "documents").select("doc_id", F.sha2(S.decode_text(raw), 256).alias("hash"))
 
 
-@query("uploads_to_text")
+@query(
+    "uploads_to_text",
+    f"""WITH f AS (SELECT '/up/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.MD' END AS path, 'uploaded_text' AS input_kind, text, CAST(NULL AS VARCHAR) AS error_code FROM documents
+          UNION ALL SELECT '/up/x' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.exe' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx' ELSE '' END, CASE doc_id % 4 WHEN 1 THEN 'uploaded_pdf' WHEN 2 THEN 'uploaded_docx' END, NULL,
+            CASE WHEN doc_id % 4 IN (1, 2) THEN 'dependency_missing' ELSE 'unsupported_document' END FROM documents
+          UNION ALL SELECT '/up/p' || page_id || '.html', 'uploaded_html', concat_ws(chr(10), nullif({TITLE_TEXT}, ''), nullif({ARTICLE_LINES}, '')), NULL FROM pages)
+        SELECT path, input_kind, sha256(text) AS text_hash, CAST(length(text) AS BIGINT) AS chars, error_code FROM f""",
+)
 def uploads_to_text(spark, sf):
-    """Documents as uploaded bytes of several kinds and the pages as HTML files, through the file job."""
+    """All documents as uploaded text, as files of kinds that are refused, and the pages as HTML files."""
     doc = F.col("doc_id")
-    suffix = F.when(doc % 3 == 0, ".txt").when(doc % 3 == 1, ".md").otherwise(".exe")
-    texts = view(spark, sf, "documents").select(F.concat(F.lit("/up/"), doc.cast("string"), suffix).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    content = F.when(doc % 5 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    documents = view(spark, sf, "documents")
+    texts = documents.select(F.concat(F.lit("/up/"), doc.cast("string"), F.when(doc % 3 == 0, ".txt").otherwise(".MD")).alias("path"), content.alias("content"))
+    refused = F.when(doc % 4 == 0, ".exe").when(doc % 4 == 1, ".pdf").when(doc % 4 == 2, ".docx").otherwise("")
+    others = documents.select(F.concat(F.lit("/up/x"), doc.cast("string"), refused).alias("path"), content.alias("content"))
     pages = view(spark, sf, "pages").select(F.concat(F.lit("/up/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    files = texts.unionByName(pages).withColumn("length", F.length("content").cast("bigint"))
-    return S.uploads_to_text(S.classify(files)).select("path", "input_kind", "text", "error_code")
+    files = texts.unionByName(others).unionByName(pages).withColumn("length", F.length("content").cast("bigint"))
+    read = S.uploads_to_text(S.classify(files))
+    return read.select("path", "input_kind", F.sha2("text", 256).alias("text_hash"), F.char_length("text").cast("bigint").alias("chars"), "error_code")
 
 
 @query(

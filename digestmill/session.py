@@ -14,6 +14,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Batches for Python are bounded by bytes, so that very long texts do not meet by the thousand in one.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
 }
 
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +10,12 @@ from pyspark.sql import functions as F
 
 from digestmill import constants as K
 from digestmill import schemas as S
+from digestmill.functions import markup as M
 from digestmill.functions import text as T
-from digestmill.functions.markup import named, parse
 
-_WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_HIDDEN, _TITLE, _ARTICLE, _MAIN, _BODY = 1, 2, 4, 8, 16
+# Kinds whose text another program has to extract first.
+_FOREIGN = {"uploaded_pdf": "PDF", "uploaded_docx": "DOCX", "uploaded_epub": "EPUB"}
 
 
 def _suffix(path: Column) -> Column:
@@ -37,14 +35,14 @@ def classify(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES, cap_bytes: i
     code = T.first_match(
         [
             (kind.isNull(), "unsupported_document"), ((F.col("length") <= 0) | (F.col("length") > limit), "document_too_large"),
-            (kind == "uploaded_pdf", "dependency_missing"),
+            (kind.isin(*_FOREIGN), "dependency_missing"),
         ]
     )
     message = T.first_match(
         [
             (code == "unsupported_document", F.concat(F.lit("Unsupported local file type: "), T.first_present(suffix, F.lit("unknown")), F.lit("."))),
             (code == "document_too_large", F.lit(f"The attachment must be between 1 byte and {limit // (1024 * 1024)} MiB.")),
-            (code == "dependency_missing", F.lit("A PDF text extractor is required to extract uploaded PDF text.")),
+            *[(kind == name, F.lit(f"A {label} text extractor is required to extract uploaded {label} text.")) for name, label in _FOREIGN.items()],
         ]
     )
     return files.withColumn("input_kind", kind).withColumn("error_code", code).withColumn("error_message", message)
@@ -71,67 +69,36 @@ def _decode(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
-def html_text(markup: str) -> str:
-    """Title and the text of the main element."""
-    root = parse(markup)
-    root.drop(named("script", "style", "noscript", "template"))
-    title = root.first(named("title"))
-    body = root.first(named("article")) or root.first(named("main")) or root.first(named("body")) or root
-    return "\n".join(part for part in (title.text(" ") if title else "", body.text("\n")) if part)
+def html_text(html: Column) -> Column:
+    """Title and the text of the main element: article, main, body, or all of the page."""
+
+    def mark(name: Column, tag: Column) -> Column:
+        return M.marks([(name.isin("script", "style", "noscript", "template"), _HIDDEN), (name == "title", _TITLE), (name == "article", _ARTICLE), (name == "main", _MAIN), (name == "body", _BODY)])
+
+    def read(page: Column) -> Column:
+        found = page["found"]
+        everything = F.struct(F.lit(-1).alias("at"), F.size(page["stream"]).alias("end"), F.lit(0).alias("mark"))
+        body = F.coalesce(*[M.first_with(found, kind) for kind in (_ARTICLE, _MAIN, _BODY)], everything)
+
+        def with_words(words: Column) -> Column:
+            return F.concat_ws("\n", T.present(M.said(words, M.first_with(found, _TITLE), " ")), T.present(M.said(words, body, "\n")))
+
+        return T.let(M.texts(page["stream"], M.with_mark(found, _HIDDEN)), with_words)
+
+    return T.let(M.tokens(html, mark), lambda stream: T.let(F.struct(stream.alias("stream"), M.elements(stream, _HIDDEN).alias("found")), read))
 
 
-def _word_part(raw: bytes) -> str:
-    paragraphs = (
-        "".join(run.text or "" for run in paragraph.iter(f"{_WORD_NS}t")).strip()
-        for paragraph in ElementTree.fromstring(raw).iter(f"{_WORD_NS}p")
-    )
-    return "\n".join(text for text in paragraphs if text)
-
-
-def _archive_text(raw: bytes, kind: str) -> str:
-    with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-        names = archive.namelist()
-        if kind == "uploaded_docx":
-            wanted = [name for name in names if name == "word/document.xml"]
-            wanted += [name for name in names if name.startswith(("word/header", "word/footer"))]
-            parts = [_word_part(archive.read(name)) for name in wanted]
-            return "\n".join(part for part in parts if part)
-        wanted = sorted(
-            name for name in names
-            if name.lower().endswith((".html", ".xhtml", ".htm")) and "nav" not in PurePosixPath(name).stem.lower()
-        )
-        parts = [_tidy(html_text(_decode(archive.read(name)))) for name in wanted]
-        return "\n\n".join(part for part in parts if part)
-
-
-def _tidy(text: str) -> str:
-    rows = [row.rstrip(" \t") for row in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-    kept = [row for place, row in enumerate(rows) if row or (place and rows[place - 1])]
-    return "\n".join(kept).strip()
-
-
-_BAD_ARCHIVE = {
-    "uploaded_docx": "The uploaded DOCX file is not a valid Word document.",
-    "uploaded_epub": "The uploaded EPUB file is not a valid EPUB archive.",
-}
 _ARROW = pa.schema([("path", pa.string()), ("text", pa.string()), ("error_code", pa.string()), ("error_message", pa.string()), ("input_kind", pa.string())])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the files that came with bytes; the others already have theirs."""
+def _decode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text of the files that came with bytes, which are not UTF-8; the others already have theirs."""
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
-            raw, kind = row.pop("payload"), row["input_kind"]
-            if raw is None:
-                continue
-            try:
-                if kind in _BAD_ARCHIVE:
-                    row["text"] = _archive_text(raw, kind)
-                else:
-                    row["text"] = html_text(_decode(raw)) if kind == "uploaded_html" else _decode(raw)
-            except (zipfile.BadZipFile, ElementTree.ParseError):
-                row["error_code"], row["error_message"] = "invalid_document", _BAD_ARCHIVE.get(kind, "The file cannot be read.")
+            raw = row.pop("payload")
+            if raw is not None:
+                row["text"] = _decode(raw)
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
@@ -144,16 +111,13 @@ def clean_lines(text: Column) -> Column:
 def uploads_to_text(uploads: DataFrame) -> DataFrame:
     """``path, input_kind, text, error_code, error_message`` in one pass over the files.
 
-    UTF-8 text is decoded natively and its bytes never reach Python; only archives, HTML and other
-    encodings do.
+    UTF-8 is decoded and HTML is read natively; only bytes of other encodings go through Python, and only to be decoded.
     """
     usable = F.col("error_code").isNull()
-    native = F.when(usable & (F.col("input_kind") == "uploaded_text"), decode_text(F.col("content")))
-    staged = uploads.select("path", native.alias("text"), "error_code", "error_message", "input_kind", F.when(usable, F.col("content")).alias("content"))
+    staged = uploads.select("path", F.when(usable, decode_text(F.col("content"))).alias("text"), "error_code", "error_message", "input_kind", F.when(usable, F.col("content")).alias("content"))
     slim = staged.select("path", "text", "error_code", "error_message", "input_kind", F.when(F.col("text").isNull(), F.col("content")).alias("payload"))
-    read = slim.mapInArrow(_extract, S.UPLOAD_TEXT + ", input_kind STRING")
-    rich = F.col("input_kind").isin("uploaded_html", "uploaded_docx", "uploaded_epub")
-    return read.withColumn("text", F.when(rich, clean_lines(F.col("text"))).otherwise(F.col("text")))
+    read = slim.mapInArrow(_decode_rest, S.UPLOAD_TEXT + ", input_kind STRING")
+    return read.withColumn("text", F.when(F.col("input_kind") == "uploaded_html", clean_lines(html_text(F.col("text")))).otherwise(F.col("text")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from digestmill.operators import digest as O
 CUES = "[00:02-00:10] 开场介绍今天的主题\n[00:32-00:40] 模型切换会让缓存失效需要重新计算\n[01:20-01:30] 强制刷新可以绕过缓存直接重跑"
 
 
+D_PART = O.PART_CUES
+
+
+@lru_cache(maxsize=None)
 def tokens(text):
     """Brute-force match tokens."""
     clean = re.sub(r"[^\w一-鿿]", "", text.lower())
@@ -49,6 +55,39 @@ def test_points_match_greedily_like_brute_force(spark):
     assert [hit["index"] for hit in hits] == greedy(points, cues)
 
 
+def test_points_match_in_parts_of_a_long_transcript(spark):
+    """Whole texts, windows over part borders, points that lose many cues, documents without cues or points."""
+    draw = random.Random(3)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("ono", "iti", "ulu")]
+
+    def line(at, text):
+        return f"[{at // 60:02d}:{at % 60:02d}-99:00] {text}"
+
+    documents = []
+    for doc_id, size in enumerate((0, 1, 3, D_PART - 1, D_PART + 2, 3 * D_PART)):
+        texts = [" ".join(draw.choices(words, k=draw.randrange(1, 4))) for _ in range(size)]
+        texts = [text + " " + "x" * 200 + f" tail{at}" if at % 50 == 7 else text for at, text in enumerate(texts)]
+        points = [" ".join(draw.choices(words, k=3)) for _ in range(4)] + ["the same point"] * 2 + [texts[0] if texts else "alone"] * 5 + (["tail107"] if size > 107 else []) + ["zzqqzz"]
+        documents.append((doc_id, "## 核心要点\n" + "\n".join(f"- {point}" for point in points) + "\n", "\n".join(line(at, text) for at, text in enumerate(texts)), points, texts))
+    frame = spark.createDataFrame([row[:3] for row in documents] + [(99, "no points", line(1, "ab"))], "doc_id BIGINT, summary_markdown STRING, transcript STRING")
+    rows = O.match_points_to_cues(frame).orderBy("doc_id", "seq").collect()
+    for doc_id, _, _, points, texts in documents:
+        own = [row for row in rows if row["doc_id"] == doc_id]
+        assert [row["point"] for row in own] == points and [row["cue_index"] for row in own] == greedy(points, texts), doc_id
+        assert all(row["seconds"] == row["cue_index"] for row in own if row["cue_index"] is not None and row["cue_index"] < 6000)
+    assert not [row for row in rows if row["doc_id"] == 99]
+    inside = frame.select("doc_id", D.core_timeline(F.col("summary_markdown"), F.lit("u"), F.col("transcript")).alias("markdown"))
+    spread = O.core_timelines(frame.withColumn("url", F.lit("u")))
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, inside.collect()))
+
+
+def test_cuts_are_the_callers_to_ask_for(spark, one):
+    long = "word " * 100 + "end"
+    assert one(D.clean_point(F.lit(long))) == long and len(one(D.clean_point(F.lit(long), 180))) == 180
+    assert one(D.error_reason(F.lit(500), F.lit(long))).endswith(" end") and one(D.error_reason(F.lit(500), F.lit(long), 20)).endswith("): word word word word ")
+    assert len(one(D.timeline_cues(F.lit("[00:01] " + long)))[0]["text"]) == len(long) and len(one(D.timeline_cues(F.lit("[00:01] " + long), 160))[0]["text"]) == 160
+
+
 def test_timeline_points(spark, one):
     markdown = "# T\n\n## 核心要点\n\n- 模型切换会让缓存失效\n- 强制刷新绕过缓存\n"
     text = one(D.core_timeline(F.lit(markdown), F.lit("https://v.example/x"), F.lit(CUES)))

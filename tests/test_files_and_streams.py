@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import io
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -20,33 +18,20 @@ from digestmill.streaming import live as W
 SF = "/root/testdata/sf0.001"
 
 
-def archive(files):
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as out:
-        for name, content in files.items():
-            out.writestr(name, content)
-    return buffer.getvalue()
-
-
-WORD = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
-
-
 def test_uploads(spark, tmp_path):
-    para = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
     files = {
         "a.txt": "﻿utf text".encode(), "b.md": "中文内容".encode("gb18030"), "c.html": b"<html><head><title>T</title><style>x</style></head><body><p>out</p><article>Hello <b>HTML</b> body</article></body></html>",
-        "d.docx": archive({"word/header1.xml": WORD.format(para.format("Head")), "word/document.xml": WORD.format(para.format("First paragraph") + para.format("Second paragraph"))}),
-        "e.epub": archive({"b.xhtml": "<body><p>Two</p></body>", "a.html": "<body><p>One</p></body>", "nav.xhtml": "<body>no</body>"}),
-        "f.exe": b"x", "g.docx": b"not a zip", "i.pdf": b"%PDF", "j.txt": "caf\xe9 \xff".encode("latin-1"),
+        "f.exe": b"x", "g.docx": b"PK", "h.epub": b"PK", "i.pdf": b"%PDF", "j.txt": "caf\xe9 \xff".encode("latin-1"), "k.htm": "<title>标题</title><p>正文</p>".encode("gb18030"),
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     rows = {row["path"].rsplit("/", 1)[1]: row for row in S.uploads_to_text(S.read_uploads(spark, str(tmp_path))).collect()}
     assert rows["a.txt"]["text"] == "utf text" and rows["b.md"]["text"] == "中文内容"
     assert rows["c.html"]["text"] == "T\nHello\nHTML\nbody" and rows["c.html"]["input_kind"] == "uploaded_html"
-    assert rows["d.docx"]["text"] == "First paragraph\nSecond paragraph\nHead" and rows["e.epub"]["text"] == "One\n\nTwo"
-    codes = {name: rows[name]["error_code"] for name in ("f.exe", "g.docx", "i.pdf")}
-    assert codes == {"f.exe": "unsupported_document", "g.docx": "invalid_document", "i.pdf": "dependency_missing"}
+    assert rows["k.htm"]["text"] == "标题\n标题\n正文"
+    codes = {name: rows[name]["error_code"] for name in ("f.exe", "g.docx", "h.epub", "i.pdf")}
+    assert codes == {"f.exe": "unsupported_document", "g.docx": "dependency_missing", "h.epub": "dependency_missing", "i.pdf": "dependency_missing"}
+    assert rows["g.docx"]["error_message"] == "A DOCX text extractor is required to extract uploaded DOCX text."
     assert rows["j.txt"]["text"]
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from digestmill import constants as K
 from digestmill.functions import pages as P
+from digestmill.functions import markup as M
 from digestmill.operators import pages as O
+from plain_markup import Element, named, parse
 
 
 def pages(spark, *markups):
@@ -106,3 +110,97 @@ def test_compact_metadata_keeps_values(spark, one):
     data = {"id": "1", "duration": 12, "secret": "s", "subtitles": {"en": [{"ext": "vtt"}]}, "tags": ["a"]}
     kept = json.loads(one(P.compact_metadata(F.lit(json.dumps(data)))))
     assert kept == {key: value for key, value in data.items() if key != "secret"}
+
+
+# ---- the tag-stream machine against a tree ---------------------------------------------------
+
+NOISE = named("script", "style", "noscript", "svg", "canvas", "form", "nav", "footer", "aside", "header")
+CANDIDATES = (
+    named("article"), named("main"), lambda n: n.attrs.get("role") == "main", lambda n: n.has_class("article"), lambda n: n.has_class("post"),
+    lambda n: n.has_class("content"), named("body"),
+)
+
+
+def noisy(node: Element) -> bool:
+    words, ident = node.attrs.get("class", ""), node.attrs.get("id", "")
+    return NOISE(node) or any(word in words for word in ("cookie", "subscribe", "newsletter", "advert")) or any(word in ident for word in ("cookie", "comment"))
+
+
+def tree_article(markup: str) -> tuple[str, str, str]:
+    root = parse(markup)
+    root.drop(noisy)
+    heading, body = root.first(named("h1")), root.first(named("body"))
+    best = ""
+    for test in CANDIDATES:
+        node = root.first(test)
+        blocks = [" ".join(item.text(" ").split()) for item in node.walk() if item.tag in ("h1", "h2", "h3", "p", "li", "blockquote")] if node else []
+        text = "\n\n".join(block for block in blocks if len(block) >= 20)
+        best = text if len(text) > len(best) else best
+    return (heading.text(" ") if heading else "", body.text("\n") if body else "", best)
+
+
+def tree_wechat(markup: str) -> tuple[list[str], list[str]]:
+    root = parse(markup)
+    root.drop(named("script", "style"))  # never part of what is shown
+    tests = [lambda n, i=ident: n.attrs.get("id") == i for ident in ("activity-name", "js_name", "publish_time")]
+    tests += [lambda n: n.tag == "h1" and n.has_class("rich_media_title"), lambda n: n.has_class("profile_nickname")]
+    fields = [node.text(" ") if node else "" for node in map(root.first, tests)]
+    bodies = []
+    for test in (lambda n: n.attrs.get("id") == "js_content", lambda n: n.has_class("rich_media_content"), named("article")):
+        node = parse(markup).first(test)
+        if node:
+            node.drop(named("script", "style", "svg", "canvas", "form"))
+            for image in [item for item in node.walk() if item.tag == "img"]:
+                siblings = image.parent.children
+                siblings[siblings.index(image)] = "[图片]"
+            bodies.append(node.text("\n"))
+    return fields, bodies
+
+
+def broken_pages(count: int) -> list[str]:
+    """Pages with unclosed, crossed, empty and unknown tags, odd attributes, entities, comments and stray signs."""
+    draw = random.Random(21)
+    names = ["p", "div", "article", "main", "body", "h1", "h2", "li", "ul", "b", "section", "nav", "form", "svg", "blockquote", "footer", "h1"]
+    attributes = [
+        "", "", "", ' class="post wide"', " class='x article'", ' role="main"', ' id=js_content', ' class="cookie-bar"', ' id="comments"', " class=content", ' title="a > b" class="post"',
+        ' id="activity-name"', ' id="js_name"', ' class="profile_nickname"', ' class="rich_media_title"', ' data-class="post"', ' title="class=post"', " hidden class = 'rich_media_content'", ' id="publish_time"', ' id="a&amp;b"',
+    ]
+    words = ["words of a block long enough to count", "short", "a &amp; b &lt;tag&gt;", " ", "\n", "1 < 2", "x &copy y", "&#20013;文", "two\nlines of it", "&nbsp;", "q\u00a0"]
+    extras = ["<br>", "<img src='a>b.png'>", "<hr/>", "<!-- <p>no</p> -->", "<script>var a='</p><h1>';</script>", "<style>p > b {}</style>", "</nope>", "<div/>", "<IMG alt=x>", "<input>"]
+    out = []
+    for _ in range(count):
+        open_, page = [], []
+        for _ in range(draw.randrange(2, 45)):
+            kind = draw.random()
+            if kind < 0.35:
+                name = draw.choice(names)
+                open_.append(name)
+                page.append(f"<{name.upper() if draw.random() < 0.1 else name}{draw.choice(attributes)}>")
+            elif kind < 0.6 and open_:
+                page.append(f"</{open_.pop(draw.randrange(len(open_)) if draw.random() < 0.3 else -1)}>")
+            else:
+                page.append(draw.choice(words if kind < 0.9 else extras))
+        out.append("".join(page))
+    return out
+
+
+def test_machine_equals_the_tree(spark):
+    given = [row["html"] for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    markups = given + broken_pages(400) + ["", "no tags", "<p", "a < b <", "<p>" * 300 + "deep", "</p></div>"]
+    frame = pages(spark, *markups).select("page_id", O.article_fields(F.col("html")).alias("a"), O.wechat_fields(F.col("html")).alias("w"))
+    for row in frame.collect():
+        markup = markups[row["page_id"]]
+        assert (row["a"]["h1"], row["a"]["body_text"], row["a"]["best"]) == tree_article(markup), markup
+        fields = [row["w"][name] for name in ("activity_name", "js_name", "publish_time", "rich_title", "nickname")]
+        assert (fields, row["w"]["bodies"]) == tree_wechat(markup), markup
+
+
+def test_first_attribute_of_a_name_counts(spark, one):
+    for tag, value in (('<p class="a" class="b">', "a"), ("<p title='class=x' class=y>", "y"), ("<p data-class=z>", ""), ("<p CLASS = ' q '>", " q "), ("<p class>", ""), ('<p/class="s">', "s")):
+        assert one(M.attributes(F.lit(tag), "id", "class")[1]) == value, tag
+
+
+def test_no_python_on_the_way(spark):
+    for operator in (O.extract_pages_article, O.extract_wechat):
+        plan = operator(pages(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
