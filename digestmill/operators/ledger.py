@@ -19,49 +19,68 @@ _PLAIN_FIELDS = ("status", "stage", "progress", "title")
 _OUTCOME_FIELDS = ("error_code", "error_message")
 
 
-def applied_events(events: DataFrame) -> DataFrame:
+def applied_events(events: DataFrame, canceled: DataFrame | None = None) -> DataFrame:
     """Events that count, with ``at`` and ``salt``: once a job is canceled, only another cancel may change it.
 
-    The first cancel of each canceled job is sent to every part of the job, so that the events meet it on
-    (job, part) and a job with very many events is split.
+    The first cancel of each canceled job, of these events or of ``canceled`` (``job_id, canceled_at``), is sent to every
+    part of the job, so that the events meet it on (job, part) and a job with very many events is split.
     """
     dealt = events.withColumn("at", F.struct("ts", "event_id")).withColumn("salt", F.pmod(F.xxhash64("event_id", "ts"), F.lit(SALTS)).cast("int"))
     cancels = dealt.filter("op = 'cancel'").groupBy("job_id").agg(F.min("at").alias("canceled_at"))
+    if canceled is not None:
+        cancels = cancels.unionByName(canceled).groupBy("job_id").agg(F.min("canceled_at").alias("canceled_at"))
     everywhere = cancels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(everywhere, ["job_id", "salt"], "left").filter(
         F.col("canceled_at").isNull() | (F.col("at") <= F.col("canceled_at")) | (F.col("op") == "cancel")
     )
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """Current state of each job from its events: the last write per field wins, with the cancel guard.
+def _writes() -> dict[str, Column]:
+    """When an event writes a field; an outcome event writes the error fields even when they are NULL."""
+    writes = {name: F.col(name).isNotNull() for name in _PLAIN_FIELDS}
+    return writes | {name: F.col("op").isin("succeed", "fail", "cancel") for name in _OUTCOME_FIELDS}
+
+
+def job_states(events: DataFrame, canceled: DataFrame | None = None) -> DataFrame:
+    """One state per job that can be merged with others: each field's last write with its time, and the times of the job.
 
-    An outcome event writes the error fields even when they are NULL. Events are folded to one state per job and
-    part, with the time of each field's last write, and states are folded again by job; no raw event is joined
-    or grouped by its job alone.
+    ``plain_at`` is the last event that a cancel could still take back, ``canceled_at`` the first cancel. Events are
+    folded to one state per job and part, and states again by job; no raw event is grouped by its job alone.
     """
-    writes = {name: F.col(name).isNotNull() for name in _PLAIN_FIELDS}
-    writes |= {name: F.col("op").isin("succeed", "fail", "cancel") for name in _OUTCOME_FIELDS}
-    parts = [
-        F.max(F.when(wrote, F.struct(F.col("at"), F.struct(F.col(name).alias("value")).alias("write")))).alias(f"last_{name}")
-        for name, wrote in writes.items()
-    ]
-    states = applied_events(events).groupBy("job_id", "salt").agg(
-        *parts, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events")
+    parts = [F.max(F.when(wrote, F.struct(F.col("at"), F.struct(F.col(name).alias("value")).alias("write")))).alias(f"last_{name}") for name, wrote in _writes().items()]
+    is_cancel = F.col("op") == "cancel"
+    states = applied_events(events, canceled).groupBy("job_id", "salt").agg(
+        *parts, F.max(F.when(~is_cancel, F.col("at"))).alias("plain_at"), F.min(F.when(is_cancel, F.col("at"))).alias("canceled_at"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events"),
     )
-    folded = states.groupBy("job_id").agg(
-        *(F.max(f"last_{name}")["write"]["value"].alias(name) for name in writes),
-        F.min("first_ts").alias("created_at"), F.max("last_ts").alias("updated_at"), F.sum("n_events").alias("applied_events"),
+    return merge_states(states.drop("salt"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of the same jobs put together."""
+    return states.groupBy("job_id").agg(
+        *(F.max(f"last_{name}").alias(f"last_{name}") for name in _writes()), F.max("plain_at").alias("plain_at"), F.min("canceled_at").alias("canceled_at"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events"),
     )
-    return folded
+
+
+def job_fields(states: DataFrame) -> DataFrame:
+    """The fields of each job from its state."""
+    return states.select(
+        "job_id", *(F.col(f"last_{name}")["write"]["value"].alias(name) for name in _writes()), F.col("first_ts").alias("created_at"),
+        F.col("last_ts").alias("updated_at"), F.col("n_events").alias("applied_events"),
+    )
+
+
+def fold_jobs(events: DataFrame) -> DataFrame:
+    """Current state of each job from its events: the last write per field wins, with the cancel guard."""
+    return job_fields(job_states(events))
 
 
 def job_deltas(events: DataFrame) -> DataFrame:
     """What a micro-batch adds to the log: its events, without columns that no state depends on.
 
-    A cancel may arrive late and be dated before writes that are in the log already, so no write can be folded
-    away before the job is read: folding the log gives what folding all events gives, whatever order they
-    arrived in.
+    Folding the log gives what folding all events gives, whatever order they arrived in.
     """
     return events.select("event_id", "job_id", "ts", "op", *_PLAIN_FIELDS, *_OUTCOME_FIELDS)
 

@@ -50,6 +50,9 @@ def resolve_short_links(urls: DataFrame, metadata: DataFrame) -> DataFrame:
 # ---- trusted networks ----------------------------------------------------------------------
 
 
+_TOO_MANY = "At most {} fake-ip CIDRs are supported."
+
+
 def _mask_prefix(mask: Column) -> Column:
     """Prefix length of a dotted netmask or hostmask given as hex."""
     bits = F.lpad(F.conv(mask, 16, 2), 32, "0")
@@ -57,6 +60,18 @@ def _mask_prefix(mask: Column) -> Column:
     return F.when(F.rlike(bits, F.lit("^1*0*$")), ones).when(F.rlike(bits, F.lit("^0+1*$")), 32 - ones)
 
 
+def _edge(address: Column, prefix: Column, bit: str) -> Column:
+    """A hex address with all bits beyond its prefix set to ``bit``."""
+    digits = F.transform(F.filter(F.split(address, ""), lambda d: d != ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+    flat = F.concat(F.substr(F.array_join(digits, ""), F.lit(1), prefix), F.repeat(F.lit(bit), F.length(address) * 4 - prefix))
+    return let(
+        flat,
+        lambda bits: F.lower(
+            F.array_join(F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(4)), lambda i: F.conv(F.substr(bits, i, F.lit(4)), 2, 16)), "")
+        ),
+    )
+
+
 def _network(cidr: Column) -> Column:
     """STRUCT<prefix, lo, hi> of a CIDR text with host bits cleared; NULL fields when malformed."""
 
@@ -70,24 +85,12 @@ def _network(cidr: Column) -> Column:
         )
         return let(
             F.when(prefix.between(0, F.length(address) * 4), prefix),
-            lambda bits: F.struct(bits.alias("prefix"), edge(address, bits, "0").alias("lo"), edge(address, bits, "1").alias("hi")),
+            lambda bits: F.struct(bits.alias("prefix"), _edge(address, bits, "0").alias("lo"), _edge(address, bits, "1").alias("hi")),
         )
 
     def ip_mask(size: Column) -> Column:
         return F.when(F.length(U.ip_hex(size)) == 8, U.ip_hex(size))
 
-    def edge(address: Column, prefix: Column, bit: str) -> Column:
-        digits = F.transform(F.filter(F.split(address, ""), lambda d: d != ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
-        flat = F.concat(F.substr(F.array_join(digits, ""), F.lit(1), prefix), F.repeat(F.lit(bit), F.length(address) * 4 - prefix))
-        return let(
-            flat,
-            lambda bits: F.lower(
-                F.array_join(
-                    F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(4)), lambda i: F.conv(F.substr(bits, i, F.lit(4)), 2, 16)), ""
-                )
-            ),
-        )
-
     return let(U.ip_hex(F.substring_index(cidr, "/", 1)), with_address)
 
 
@@ -129,12 +132,12 @@ def _overlaps(lo: Column, hi: Column, cidrs: tuple[str, ...]) -> Column:
     return F.exists(U.ranges(cidrs), lambda net: (F.length(net["lo"]) == F.length(lo)) & (lo <= net["hi"]) & (hi >= net["lo"]))
 
 
-def normalize_cidrs(settings: DataFrame) -> DataFrame:
+def normalize_cidrs(settings: DataFrame, most: int | None = None) -> DataFrame:
     """Trusted-network settings to canonical networks.
 
     In: ``setting_id, value``. Out: ``setting_id, pos, cidr, lo, hi, error``, one row per network in
-    first-seen order, or a single error row for a setting that is refused as a whole. A setting is one
-    text, so all of it is judged inside its row.
+    first-seen order, or a single error row for a setting that is refused as a whole: for its first bad network, or
+    for more than ``most`` of them where a caller asks for a number. A setting is one text, judged inside its row.
     """
 
     def judge(raw: Column) -> Column:
@@ -156,8 +159,9 @@ def normalize_cidrs(settings: DataFrame) -> DataFrame:
 
     def refuse(nets: Column) -> Column:
         errors = F.filter(nets, lambda net: net["error"].isNotNull())
-        too_many = F.when(F.size(nets) > K.MAX_TRUSTED_CIDRS, F.lit(f"At most {K.MAX_TRUSTED_CIDRS} fake-ip CIDRs are supported."))
-        error = F.coalesce(F.try_element_at(errors, F.lit(1))["error"], too_many)
+        error = F.try_element_at(errors, F.lit(1))["error"]
+        if most is not None:
+            error = F.coalesce(error, F.when(F.size(nets) > most, F.lit(_TOO_MANY.format(most))))
         null = F.lit(None).cast("string")
         refused = F.array(F.struct(null.alias("cidr"), null.alias("lo"), null.alias("hi"), error.alias("error")))
         return F.when(error.isNotNull(), refused).otherwise(nets)
@@ -167,35 +171,44 @@ def normalize_cidrs(settings: DataFrame) -> DataFrame:
     return rows.select("setting_id", F.when(F.col("net.error").isNull(), F.col("pos")).alias("pos"), "net.cidr", "net.lo", "net.hi", "net.error")
 
 
-def host_public_check(resolved: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Whether every resolved address of a host may be fetched.
+def in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
+    """``hex``: the distinct hex addresses of ``addresses`` that lie in one of the networks (``cidr``).
 
-    ``resolved`` has ``host, address``; ``trusted`` has ``cidr`` rows. The trusted list enters as one
-    scalar subquery: reading one row past the limit is enough to refuse a longer list, so the value
-    is bounded before it is shipped.
+    An address is in a network when their leading bits are equal, so each address meets the networks by an equal key of
+    (prefix length, leading bits), once for each length that occurs. There are 162 lengths at most, however many
+    networks, and nothing is compared with a list.
     """
-    networks = trusted.limit(K.MAX_TRUSTED_CIDRS + 1).select(_network(F.col("cidr")).alias("net"))
-    listed = networks.agg(F.collect_list(F.struct("net.lo", "net.hi")).alias("nets"))
-    guarded = listed.select(
-        F.when(
-            F.size("nets") > K.MAX_TRUSTED_CIDRS,
-            F.raise_error(F.lit(f"At most {K.MAX_TRUSTED_CIDRS} fake-ip CIDRs are supported.")).cast(listed.schema["nets"].dataType),
-        ).otherwise(F.col("nets")).alias("nets")
-    )
+    nets = networks.select(_network(F.col("cidr")).alias("net")).select("net.prefix", "net.lo").filter("lo IS NOT NULL").distinct()
+    distinct = addresses.select("hex").filter("hex IS NOT NULL").distinct()
+    lengths = [(row["width"], row["prefix"]) for row in nets.select(F.length("lo").alias("width"), "prefix").distinct().collect()]
+    known = F.array(*[F.struct(F.lit(width).alias("width"), F.lit(prefix).alias("prefix")) for width, prefix in sorted(lengths)])
+    if not lengths:
+        return distinct.filter(F.lit(False))
+    fitting = F.transform(F.filter(known, lambda size: size["width"] == F.length("hex")), lambda size: size["prefix"])
+    keys = exploded(distinct, ["hex"], F.transform(fitting, lambda prefix: F.struct(prefix.alias("prefix"), _edge(F.col("hex"), prefix, "0").alias("lo"))), "key")
+    met = keys.select("hex", F.col("key.prefix").alias("prefix"), F.col("key.lo").alias("lo"))
+    return met.join(nets, ["prefix", "lo"], "left_semi").select("hex").distinct()
+
+
+def host_public_check(resolved: DataFrame, trusted: DataFrame, most: int | None = None) -> DataFrame:
+    """Whether every resolved address of a host may be fetched: ``host, ok, addresses, fake_ip, message``.
+
+    ``resolved`` has ``host, address``; ``trusted`` has any number of ``cidr`` rows, or ``most`` where a caller asks for
+    a number. A malformed network trusts nothing; an address that is none is refused.
+    """
+    if most is not None and trusted.limit(most + 1).count() > most:
+        raise ValueError(_TOO_MANY.format(most))
     address = F.col("hex")
-    is_trusted = F.exists(
-        F.col("nets"), lambda net: (F.length(net["lo"]) == F.length(address)) & address.between(net["lo"], net["hi"])
-    )
     # One verdict per distinct address, so a host that repeats an address does not repeat the work.
-    distinct = resolved.select("host", "address").distinct().withColumn("hex", U.ip_hex(F.col("address"))).withColumn("nets", guarded.scalar())
-    judged = distinct.withColumn("never", U.never_reachable(address)).withColumn("trusted", is_trusted).withColumn(
-        "private", ~U.is_global(address)
-    )
+    distinct = resolved.select("host", "address").distinct().withColumn("hex", U.ip_hex(F.col("address")))
+    listed = in_networks(distinct, trusted).select(F.col("hex").alias("_hex"))
+    met = distinct.join(listed, F.col("hex") == F.col("_hex"), "left")
+    judged = met.withColumn("never", U.never_reachable(address)).withColumn("trusted", F.col("_hex").isNotNull()).withColumn("private", ~U.is_global(address))
     refused_private = ~F.col("never") & ~F.col("trusted") & F.col("private")
     fake = refused_private & U.in_ranges(address, (K.FAKE_IP_CIDR,))
     ok = ~F.col("never") & ~refused_private & address.isNotNull()
     message = F.when(fake, F.concat(F.lit("URL host resolved to "), F.col("address"), F.lit(f", which is in the common Fake-IP range {K.FAKE_IP_CIDR}."))).when(
-        ~ok, F.lit(K.MSG_PRIVATE)
+        ~ok | address.isNull(), F.lit(K.MSG_PRIVATE)
     )
     return judged.withColumn("message", message).groupBy("host").agg(
         F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"),

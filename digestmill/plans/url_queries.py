@@ -49,34 +49,67 @@ def source_type_counts(spark, sf):
     return subs.groupBy(U.source_type(F.col("url")).alias("source_type")).agg(F.count("*").alias("n"))
 
 
+# Trusted networks far beyond a hand-written list: 101 of IPv4 and 50 of IPv6.
+_TRUSTED = [f"198.51.{part}.0/24" for part in range(101)] + [f"fd00:{part:x}::/32" for part in range(50)]
+_V6 = """SELECT 'six-' || doc_id % 400 AS host, CASE doc_id % 3 WHEN 0 THEN 'fd00:' || lower(to_hex(doc_id % 200)) || '::1' WHEN 1 THEN '2606:4700::' || lower(to_hex(doc_id % 60000 + 1))
+      ELSE 'FE80::' || lower(to_hex(doc_id % 60000 + 1)) END AS address, doc_id % 3 = 2 AS never, doc_id % 3 = 0 AND doc_id % 200 < 50 AS trusted, doc_id % 3 <> 1 AS private FROM documents"""
+
+
 @query(
     "host_public_check",
-    """WITH cidr(lo, hi, kind) AS (VALUES
+    f"""WITH cidr(lo, hi, kind) AS (VALUES
           (0, 16777215, 'private'), (167772160, 184549375, 'private'), (2130706432, 2147483647, 'never'), (2851995648, 2852061183, 'never'),
           (2886729728, 2887778303, 'private'), (3323068416, 3323199487, 'private'), (3325256704, 3325256959, 'private'),
-          (1681915904, 1686110207, 'private'), (3325256704, 3325256959, 'trusted')),
+          (1681915904, 1686110207, 'private'), (3325231104, 3325256959, 'trusted')),
         num AS (SELECT host, address, list_reduce(list_transform(string_split(address, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b) AS n FROM v_addresses),
         verdict AS (SELECT n.host, n.address, coalesce(bool_or(kind = 'never'), false) AS never, coalesce(bool_or(kind = 'trusted'), false) AS trusted,
             coalesce(bool_or(kind = 'private'), false) AS private
-          FROM num n LEFT JOIN cidr c ON n.n BETWEEN c.lo AND c.hi GROUP BY n.host, n.address)
-        SELECT host, bool_and(NOT never AND (trusted OR NOT private)) AS ok, count(*) AS addresses,
-          count(*) FILTER (WHERE NOT never AND NOT trusted AND private AND (address LIKE '198.18.%' OR address LIKE '198.19.%')) AS fake_ip
-        FROM verdict GROUP BY host""",
+          FROM num n LEFT JOIN cidr c ON n.n BETWEEN c.lo AND c.hi GROUP BY n.host, n.address UNION ALL SELECT DISTINCT * FROM ({_V6})),
+        judged AS (SELECT *, NOT never AND NOT trusted AND private AND (address LIKE '198.18.%' OR address LIKE '198.19.%') AS fake, NOT never AND (trusted OR NOT private) AS fine FROM verdict)
+        SELECT host, bool_and(fine) AS ok, count(*) AS addresses, count(*) FILTER (WHERE fake) AS fake_ip,
+          min(CASE WHEN fake THEN 'URL host resolved to ' || address || ', which is in the common Fake-IP range {K.FAKE_IP_CIDR}.' WHEN NOT fine THEN '{K.MSG_PRIVATE}' END) AS message
+        FROM judged GROUP BY host""",
 )
 def host_public_check(spark, sf):
-    trusted = spark.createDataFrame([("198.51.100.0/24",)], "cidr STRING")
-    return O.host_public_check(view(spark, sf, "v_addresses"), trusted).select("host", "ok", "addresses", "fake_ip")
+    doc = F.col("doc_id")
+    six = view(spark, sf, "documents").select(
+        F.concat(F.lit("six-"), (doc % 400).cast("string")).alias("host"),
+        F.when(doc % 3 == 0, F.concat(F.lit("fd00:"), F.lower(F.hex(doc % 200)), F.lit("::1")))
+        .when(doc % 3 == 1, F.concat(F.lit("2606:4700::"), F.lower(F.hex(doc % 60000 + 1))))
+        .otherwise(F.concat(F.lit("FE80::"), F.lower(F.hex(doc % 60000 + 1)))).alias("address"),
+    )
+    trusted = spark.createDataFrame([(cidr,) for cidr in _TRUSTED], "cidr STRING")
+    return O.host_public_check(view(spark, sf, "v_addresses").select("host", "address").unionByName(six), trusted)
+
+
+_V4_NET = "((167772160 + (doc_id % 256) * 65536 + (doc_id // 256 % 256) * 256 + 7) >> (24 - doc_id % 17)) << (24 - doc_id % 17)"
 
 
-@query("normalize_cidrs")
+@query(
+    "normalize_cidrs",
+    f"""WITH s AS (SELECT doc_id, {_V4_NET} AS net, 8 + doc_id % 17 AS p, lower(to_hex(doc_id % 65535 + 1)) AS h FROM documents),
+        t AS (SELECT *, (net >> 24) || '.' || ((net >> 16) & 255) || '.' || ((net >> 8) & 255) || '.' || (net & 255) || '/' || p AS cidr4,
+            CASE WHEN doc_id % 5 = 0 THEN 'Invalid fake-ip CIDR: nonsense-' || doc_id WHEN doc_id % 7 = 0 THEN 'Fake-ip CIDR must not be globally routable: 8.8.' || doc_id % 256 || '.0/24'
+                 WHEN doc_id % 11 = 0 THEN 'Fake-ip CIDR overlaps a protected local range: fe80::/64' END AS error FROM s)
+        SELECT doc_id AS setting_id, CAST(NULL AS BIGINT) AS pos, NULL AS cidr, NULL AS lo, NULL AS hi, error FROM t WHERE error IS NOT NULL
+        UNION ALL SELECT doc_id, 0, cidr4, lower(lpad(to_hex(net), 8, '0')), lower(lpad(to_hex(net + (1 << (32 - p)) - 1), 8, '0')), NULL FROM t WHERE error IS NULL
+        UNION ALL SELECT doc_id, 1, 'fd00:' || h || '::/48', 'fd00' || lpad(h, 4, '0') || repeat('0', 24), 'fd00' || lpad(h, 4, '0') || '0000' || repeat('f', 20), NULL FROM t WHERE error IS NULL""",
+)
 def normalize_cidrs(spark, sf):
-    """One trust setting per address: the address's own /24 next to a fixed list."""
-    addresses = view(spark, sf, "v_addresses")
-    settings = addresses.select(
-        F.col("host").alias("setting_id"),
-        F.concat(F.col("address"), F.lit("/24, 198.18.0.0/15 10.1.2.3/8"), F.lit(",10.0.0.0/8")).alias("value"),
+    """Networks of both families with host bits, repeated ones, and settings refused for one bad network."""
+    doc = F.col("doc_id")
+
+    def text(value):
+        return value.cast("string")
+
+    v4 = F.concat(F.lit("10."), text(doc % 256), F.lit("."), text(F.floor(doc / 256) % 256), F.lit(".7/"), text(8 + doc % 17))
+    v6 = F.concat(F.lit("FD00:"), F.hex(doc % 65535 + 1), F.lit("::5/48"))
+    bad = (
+        F.when(doc % 5 == 0, F.concat(F.lit("nonsense-"), text(doc))).when(doc % 7 == 0, F.concat(F.lit("8.8."), text(doc % 256), F.lit(".0/24")))
+        .when(doc % 11 == 0, F.lit("fe80::1/64")).otherwise("")
     )
-    return O.normalize_cidrs(settings)
+    settings = view(spark, sf, "documents").select(doc.alias("setting_id"), F.concat(v4, F.lit(", "), v6, F.lit("\n"), v4, F.lit(" "), bad).alias("value"))
+    return O.normalize_cidrs(settings).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(

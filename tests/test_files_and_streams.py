@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
+from digestmill.operators import cache as C
 from digestmill.operators import digest as D
 from digestmill.operators import ledger as J
 from digestmill.operators import library as L
@@ -97,6 +100,113 @@ def test_stream_state_equals_batch(spark, tmp_path):
     assert sorted(map(str, W.current_jobs(spark, str(tmp_path / "compact")).select(*fields).collect())) == live
 
 
+def test_closed_state_equals_batch_fold(spark, tmp_path):
+    """Whatever is closed when, with late writes and with cancels that come long after what they take back."""
+    draw = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    schema = "event_id LONG, job_id STRING, ts TIMESTAMP, op STRING, status STRING, stage STRING, progress LONG, title STRING, error_code STRING, error_message STRING"
+    fields = ["job_id", "status", "stage", "progress", "title", "error_code", "error_message", "created_at", "updated_at", "applied_events"]
+    root, rows = str(tmp_path / "jobs"), []
+    for batch in range(6):
+        own = []
+        for _ in range(60):
+            op = draw.choice(["update", "update", "update", "succeed", "fail", "cancel"])
+            late = draw.choice([0, 0, 0, 30, 400])  # minutes; the delay is an hour
+            ts = start + dt.timedelta(minutes=100 * batch + draw.randrange(100) - late)
+            outcome = ("canceled", "canceled", None, None, "canceled", "by the user") if op == "cancel" else (
+                draw.choice(["running", "done", None]), draw.choice(["read", None]), draw.choice([5, 50, None]), draw.choice(["t1", None]), draw.choice(["e", None]) if op == "fail" else None, None)
+            own.append((len(rows) + len(own), f"job{draw.randrange(25)}", ts, op, *outcome))
+        rows += own
+        frame = spark.createDataFrame(own, schema)
+        J.job_deltas(frame).withColumn("bucket", W._job_bucket()).write.partitionBy("bucket").parquet(f"{root}/batch={batch:012d}")
+        if batch in (1, 3, 4):
+            W.close_jobs(spark, root)
+        want = sorted(map(str, J.fold_jobs(spark.createDataFrame(rows, schema)).select(*fields).collect()))
+        assert sorted(map(str, W.current_jobs(spark, root).select(*fields).collect())) == want, batch
+    some = spark.createDataFrame([("job3",), ("job7",)], "job_id STRING")
+    assert sorted(map(str, W.current_jobs(spark, root, some).select(*fields).collect())) == [row for row in want if "'job3'" in row or "'job7'" in row]
+    # What was folded is not read again: the open tail and the newer batches are.
+    closed = W._closed(spark, root)
+    _, tail = W._open_log(spark, root, closed)
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert closed["batch"] == 4 and re.search(r"PartitionFilters: \[[^\]]*\(batch#\d+L? > 4\)", plan)
+    assert tail.count() < len(rows) / 2
+
+
+def test_stream_closes_as_it_goes(spark, tmp_path):
+    events, stream = event_stream(spark, tmp_path)
+    W.stream_jobs(stream, str(tmp_path / "jobs"), str(tmp_path / "ck"), once=True, close_every=2, delay="2 days").awaitTermination()
+    fields = ["job_id", "status", "stage", "progress", "title", "error_code", "error_message", "applied_events"]
+    assert W._closed(spark, str(tmp_path / "jobs"))["version"] == 1
+    assert sorted(map(str, W.current_jobs(spark, str(tmp_path / "jobs")).select(*fields).collect())) == sorted(map(str, J.fold_jobs(events).select(*fields).collect()))
+
+
+REQUEST = "cache_key STRING, request_id STRING, ts TIMESTAMP, force_refresh BOOLEAN"
+RESULT = "cache_key STRING, ts TIMESTAMP, result_json STRING"
+
+
+def test_stream_answers_repeats(spark, tmp_path):
+    """A repeat inside seven days of the last write, a forced request, a replaced result, an expired one."""
+    day = lambda days, hours=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=days, hours=hours)
+    batches = [
+        ([("a", "r1", day(0), False), ("b", "r2", day(0), None)], [("a", day(0, 1), "A1")]),
+        ([("a", "r3", day(2), False), ("a", "r4", day(3), True), ("b", "r5", day(3), False)], [("a", day(3, 1), "A2"), ("b", day(4), "B1")]),
+        ([("a", "r6", day(10), False), ("b", "r7", day(11), False), ("b", "r8", day(11, 1), False)], []),
+        ([("a", "r9", day(30), False), ("c", "r10", day(30), False)], [("c", day(30, 1), "C1")]),
+        ([("c", "r11", day(31), False), ("b", "r12", day(31), False)], [("c", day(30), "older")]),
+    ]
+    for number, (requests, results) in enumerate(batches):
+        rows = W.reuse_rows(spark.createDataFrame(requests, REQUEST), spark.createDataFrame(results, RESULT))
+        rows.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={number}"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        W.stream_reuse(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {row["request_id"]: row["result_json"] for row in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"r1": None, "r2": None, "r3": "A1", "r4": None, "r5": None, "r6": "A2", "r7": "B1", "r8": None, "r9": None, "r10": None, "r11": "C1", "r12": None}
+    state = spark.read.format("statestore").load(str(tmp_path / "ck")).select("key.cache_key").distinct()
+    assert {row["cache_key"] for row in state.collect()} == {"c"}
+
+
+def test_reuse_equals_the_batch_lookup(spark, tmp_path):
+    """Requests after all results get what the batch lookup gives, and a request is never answered by a later result."""
+    now = dt.datetime(2024, 2, 1)
+    cache = [(f"k{i}", now - dt.timedelta(days=i % 12, seconds=i), f'{{"output_markdown_path":"p{i}"}}') for i in range(40)]
+    asked = [(f"k{i % 45}", f"r{i}", now, i % 7 == 0) for i in range(60)]
+    rows = W.reuse_rows(spark.createDataFrame(asked, REQUEST), spark.createDataFrame(cache, RESULT))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    W.stream_reuse(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.createDataFrame([(key, "t", result, ts) for key, ts, result in cache], "cache_key STRING, title STRING, result_json STRING, updated_at TIMESTAMP")
+    library = spark.createDataFrame([(f"p{i}",) for i in range(40)], "relative_path STRING")
+    want = C.cache_lookup(spark.createDataFrame(asked, REQUEST), stored, library, now="2024-02-01 00:00:00")
+    key = lambda row: (row["request_id"], row["hit"], row["result_json"])
+    assert sorted(map(str, map(key, spark.read.parquet(str(tmp_path / "out")).collect()))) == sorted(map(str, map(key, want.collect())))
+
+
+def test_live_search_follows_the_folder(spark, tmp_path, monkeypatch):
+    """Deleted files leave the search without a compaction; changed files and files that come back are read again."""
+    root, folder = str(tmp_path / "index"), tmp_path / "files"
+    place = folder / "2024-01-01" / "web"
+    place.mkdir(parents=True)
+    for name in ("a", "b", "c", "latest"):
+        (place / f"{name}.md").write_text(f"# {name}\nshared words")
+
+    def found(query="shared"):
+        return sorted(row["relative_path"][-4:] for row in L.search(W.current_library(spark, root), W.current_postings(spark, root, L.query_tokens(query)), query).collect())
+
+    assert W.sync_library(spark, str(folder), root) == {"changed": 3, "removed": 0} and found() == ["a.md", "b.md", "c.md"]
+    (place / "b.md").unlink()
+    (place / "c.md").write_text("# c\nother words entirely")
+    monkeypatch.setattr(W, "MOST_PATHS", 0)
+    assert W.sync_library(spark, str(folder), root) == {"changed": 1, "removed": 1}
+    assert found() == ["a.md"] and found("entirely") == ["c.md"]
+    assert W.sync_library(spark, str(folder), root) == {"changed": 0, "removed": 0}
+    (place / "b.md").write_text("# b again\nshared words")
+    (place / "a.md").unlink()
+    assert W.sync_library(spark, str(folder), root) == {"changed": 1, "removed": 1} and found() == ["b.md"]
+    W.compact_index(spark, root, str(tmp_path / "compact"))
+    assert {row["relative_path"][-4:] for row in W.current_library(spark, str(tmp_path / "compact")).collect()} == {"b.md", "c.md"}
+
+
 def test_stream_notify_writes_each_event_once(spark, tmp_path):
     events, stream = event_stream(spark, tmp_path)
     for _ in range(2):

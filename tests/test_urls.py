@@ -7,6 +7,7 @@ import ipaddress
 import random
 from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from digestmill import constants as K
@@ -90,13 +91,31 @@ def test_host_with_mixed_addresses_fails(spark):
 def test_normalize_cidrs(spark):
     refused = ["8.8.8.0/24", "127.0.0.0/8", "169.254.0.0/16", "240.0.0.0/4", "::ffff:0:0/96", "ff00::/8", "nonsense", "10.0.0.0/33"]
     settings = [(i, value) for i, value in enumerate(refused)] + [(100, "10.1.2.3/8, 198.18.0.0/15 10.0.0.0/8"), (101, ",".join(f"10.0.{i}.0/24" for i in range(33)))]
-    rows = O.normalize_cidrs(spark.createDataFrame(settings, "setting_id INT, value STRING")).collect()
+    frame = spark.createDataFrame(settings, "setting_id INT, value STRING")
+    rows = O.normalize_cidrs(frame, most=K.MAX_TRUSTED_CIDRS).collect()
     by_setting = {}
     for row in rows:
         by_setting.setdefault(row["setting_id"], []).append(row)
     assert all(by_setting[i][0]["error"] and by_setting[i][0]["cidr"] is None for i in range(len(refused)))
     assert [row["cidr"] for row in by_setting[100]] == ["10.0.0.0/8", "198.18.0.0/15"]
     assert by_setting[101][0]["error"] == "At most 32 fake-ip CIDRs are supported."
+    assert O.normalize_cidrs(frame).filter("setting_id = 101 AND error IS NULL").count() == 33
+
+
+def test_any_number_of_networks(spark):
+    """Against the standard library, with networks of every length in both families."""
+    draw = random.Random(8)
+    nets = [ipaddress.ip_network((draw.getrandbits(32), draw.randrange(0, 33)), strict=False) for _ in range(200)]
+    nets = [net for net in nets if net.prefixlen > 6] + [ipaddress.ip_network((draw.getrandbits(128), draw.randrange(8, 129)), strict=False) for _ in range(200)]
+    addresses = [ipaddress.ip_address(int(net.network_address) + draw.randrange(min(net.num_addresses, 1 << 20))) if net.version == 4 else net[draw.randrange(min(net.num_addresses, 1 << 20))] for net in nets]
+    addresses += [ipaddress.ip_address(draw.getrandbits(32)) for _ in range(300)] + [ipaddress.ip_address((1 << 120) + draw.getrandbits(100)) for _ in range(100)]
+    frame = spark.createDataFrame([(str(address),) for address in addresses], "address STRING").withColumn("hex", U.ip_hex(F.col("address")))
+    networks = spark.createDataFrame([(str(net),) for net in nets] + [("nonsense",), (None,)], "cidr STRING")
+    inside = {row["address"] for row in frame.join(O.in_networks(frame, networks), "hex").collect()}
+    assert inside == {str(address) for address in addresses if any(address in net for net in nets if net.version == address.version)}
+    assert O.in_networks(frame, networks.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="At most 32"):
+        O.host_public_check(frame.withColumn("host", F.lit("h")), networks, most=32)
 
 
 def test_connector_source(spark, one):
