@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestmill.functions import text as T
-from digestmill.functions.scale import exploded, newest, numbered_within
+from digestmill.functions.scale import exploded, materialize, newest, numbered_within
 
 HIDDEN_NAMES = ("latest.md", "summary.md", "timeline.md")
 POSTING_TOKEN = f"([{T.CJK}]|[A-Za-z0-9]+)"
@@ -138,28 +138,82 @@ def search_many(library: DataFrame, postings: DataFrame, queries: list[str], lim
     return result
 
 
-def search_like(library: DataFrame, query: str, source_type: str = "", limit: int | None = None) -> DataFrame:
-    """Fallback search: the normalised query as a LIKE pattern inside the search text (``_`` matches any character)."""
+# ---- substring search over trigrams ----------------------------------------------------------
+
+# Candidate paths are named in the scan up to this number, so that it can skip all others; more are joined.
+MOST_PATHS = 10_000
+
+
+def like_text() -> Column:
+    """What ``search_like`` looks into."""
+    return F.col("search_text")
+
+
+def scan_text() -> Column:
+    """What ``search_scan`` looks into."""
+    return F.lower(F.concat_ws("\n", "title", "relative_path", "content"))
+
+
+def build_trigrams(rows: DataFrame, text: Column) -> DataFrame:
+    """``gram, relative_path``: every three characters in a row of a text, each once per path."""
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    return exploded(rows, ["relative_path"], grams, "gram").select("gram", "relative_path")
+
+
+def write_trigrams(trigrams: DataFrame, path: str, files: int | None = None) -> None:
+    """Trigrams sorted and in ranges of (gram, path): a search skips all files but those of its grams."""
+    keys = [F.col("gram"), F.col("relative_path")]
+    ranged = trigrams.repartitionByRange(files, *keys) if files else trigrams.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode("errorifexists").parquet(path)
+
+
+def needle_grams(needle: str, any_char: str = "") -> list[str]:
+    """The trigrams a text with the needle must hold; characters of ``any_char`` match anything, so no gram spans them."""
+    parts = re.split(f"[{re.escape(any_char)}]", needle) if any_char else [needle]
+    return sorted({part[at : at + 3] for part in parts for at in range(len(part) - 2)})
+
+
+def candidates(rows: DataFrame, trigrams: DataFrame | None, needle: str, any_char: str = "") -> DataFrame:
+    """The rows that can hold a needle: all of its trigrams are posted for them. The caller still looks into the text.
+
+    Without an index, or for a needle under three characters, these are all rows.
+    """
+    grams = needle_grams(needle, any_char)
+    if trigrams is None or not grams:
+        return rows
+    met = trigrams.filter(F.col("gram").isin(grams)).groupBy("relative_path").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+    paths = materialize(met.select("relative_path"))
+    if paths.count() <= MOST_PATHS:
+        return rows.filter(F.col("relative_path").isin([row["relative_path"] for row in paths.collect()]))
+    return rows.join(paths, "relative_path", "left_semi")
+
+
+def search_like(library: DataFrame, query: str, source_type: str = "", limit: int | None = None, trigrams: DataFrame | None = None) -> DataFrame:
+    """Fallback search: the normalised query as a LIKE pattern inside the search text (``_`` matches any character).
+
+    With ``trigrams`` of the search texts only the texts that can match are looked into.
+    """
     words = " ".join(re.findall(rf"[{T.CJK}]|[A-Za-z0-9_]+", query.lower()))
-    found = library.filter(F.col("search_text").like(f"%{words}%"))
+    found = candidates(library, trigrams, words, "_").filter(F.col("search_text").like(f"%{words}%"))
     found = found.filter(F.col("source_type") == source_type) if source_type else found
     return newest(found, [F.desc("mtime"), "relative_path"], limit)
 
 
-def search_scan(listing: DataFrame, query: str, source_type: str = "", limit: int | None = None, look_at: int | None = None) -> DataFrame:
+def search_scan(
+    listing: DataFrame, query: str, source_type: str = "", limit: int | None = None, look_at: int | None = None, trigrams: DataFrame | None = None
+) -> DataFrame:
     """Plain scan: the lower-cased query inside title, path or text of the listed files, newest first.
 
     ``listing`` comes from ``list_library`` with ``content``. All files are looked at and all hits returned;
     a caller may look at the ``look_at`` newest files only, or ask for ``limit`` hits. Paths are cut on slim
-    columns and content is fetched for the chosen ones.
+    columns and content is fetched for the chosen ones; with ``trigrams`` of the scanned texts, of those that can match.
     """
     needle = query.strip().lower()
     order = [F.desc("mtime"), "relative_path"]
     seen = listing
     if look_at is not None:
         seen = listing.join(newest(listing.select("mtime", "relative_path"), order, look_at).select("relative_path"), "relative_path", "left_semi")
-    hay = F.lower(F.concat_ws("\n", "title", "relative_path", "content"))
-    found = seen.filter(F.contains(hay, F.lit(needle)) & F.lit(needle != ""))
+    found = candidates(seen, trigrams, needle).filter(F.contains(scan_text(), F.lit(needle)) & F.lit(needle != ""))
     found = found.filter(F.col("source_type") == source_type) if source_type else found
     if limit is not None:
         top = newest(found.select("mtime", "relative_path"), order, limit).select("relative_path")

@@ -93,11 +93,22 @@ def library_files(spark, sf):
     return P.library_files(digests).select("doc_id", F.sha2("content", 256).alias("hash"))
 
 
-@query("table_facts")
+def _facts(name: str, table: str, columns: tuple[str, ...]) -> str:
+    """DuckDB: the manifest row of a table."""
+    texts = ", ".join(f"coalesce(CAST({column} AS VARCHAR), chr(0))" for column in columns)
+    number = f"CAST('0x' || left(md5(concat_ws(chr(31), {texts})), 15) AS BIGINT)"
+    return f"SELECT '{name}' AS table_name, count(*) AS rows, CAST(sum(CAST({number} AS HUGEINT)) AS VARCHAR) AS checksum FROM {table}"
+
+
+_LIBRARY_COLUMNS = ("doc_id", "relative_path", "source", "content", "mtime", "size")
+_EVENT_COLUMNS = ("event_id", "job_id", "ts", "op", "status", "stage", "progress", "title", "error_code", "error_message")
+
+
+@query("table_facts", f"{_facts('jobs', 'v_job_events', _EVENT_COLUMNS)} UNION ALL {_facts('library', 'v_library', _LIBRARY_COLUMNS)}")
 def table_facts(spark, sf):
     """Manifest rows of a snapshot of the job ledger and the library."""
-    jobs = P.table_facts("jobs", view(spark, sf, "v_jobs"))
-    return jobs.unionByName(P.table_facts("library", L.library_rows(view(spark, sf, "v_files"))))
+    jobs = P.table_facts("jobs", view(spark, sf, "v_job_events").select(*_EVENT_COLUMNS))
+    return jobs.unionByName(P.table_facts("library", view(spark, sf, "v_library").select(*_LIBRARY_COLUMNS)))
 
 
 @query(

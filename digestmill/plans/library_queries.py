@@ -113,6 +113,15 @@ def search_like(spark, sf):
     return L.search_like(_library(spark, sf), "The, of").select("relative_path", "title")
 
 
+@query(
+    "search_like_trigrams",
+    f"WITH {_ROWS} SELECT relative_path, title FROM lib WHERE search_text LIKE '%the of%'",
+)
+def search_like_trigrams(spark, sf):
+    rows = _library(spark, sf)
+    return L.search_like(rows, "The, of", trigrams=L.build_trigrams(rows, L.like_text())).select("relative_path", "title")
+
+
 _FILE_TITLE = "replace(regexp_replace(string_split(relative_path, '/')[-1], '\\.md$', ''), '-', ' ')"
 
 
@@ -125,12 +134,24 @@ _FILE_TITLE = "replace(regexp_replace(string_split(relative_path, '/')[-1], '\\.
         FROM (SELECT *, instr(lower(content), 'tion') AS p FROM newest WHERE contains(lower(title || chr(10) || relative_path || chr(10) || content), 'tion'))""",
 )
 def search_scan(spark, sf):
-    files = view(spark, sf, "v_files")
+    return L.search_scan(_scannable(spark, sf), "tioN").select("relative_path", "title", "snippet")
+
+
+def _scannable(spark, sf):
     path = F.col("relative_path")
-    listing = files.filter(L.searchable(path)).select(
+    return view(spark, sf, "v_files").filter(L.searchable(path)).select(
         path, L.file_title(path).alias("title"), L._source_type(path).alias("source_type"), "content", "mtime"
     )
-    return L.search_scan(listing, "tioN").select("relative_path", "title", "snippet")
+
+
+@query(
+    "search_scan_trigrams",
+    f"""SELECT relative_path, title, source_type FROM (SELECT relative_path, {_FILE_TITLE} AS title, {_SRC} AS source_type, content FROM v_files WHERE {_SEARCHABLE})
+        WHERE contains(lower(title || chr(10) || relative_path || chr(10) || content), 'ing the')""",
+)
+def search_scan_trigrams(spark, sf):
+    rows = _scannable(spark, sf)
+    return L.search_scan(rows, "inG The", trigrams=L.build_trigrams(rows, L.scan_text())).select("relative_path", "title", "source_type")
 
 
 @query("snippets", f"SELECT doc_id, {_SNIPPET.format(q='re', n=2)} AS snippet FROM v_library")

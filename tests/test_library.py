@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from digestmill.functions import scale
 from digestmill.operators import library as L
+from digestmill.plans.bindings import view
+
+SF = "/root/testdata/sf0.001"
 
 
 def library(spark, *files):
@@ -168,3 +171,28 @@ def test_two_writes_repeat_no_path(spark, tmp_path):
     paths = {row["doc_id"]: row["relative_path"] for row in spark.read.parquet(root).collect()}
     stem = "2024-03-01/web/120000-same-title"
     assert paths == {"a": f"{stem}.md", "b": f"{stem}-2.md", "c": f"{stem}-3.md"} and spark.read.parquet(root).count() == 3
+
+
+def test_trigrams_find_what_the_scan_finds(spark, tmp_path, monkeypatch):
+    """Stored trigrams: the same rows as without, few and many candidates, needles too short for a gram, wild cards."""
+    rows = L.library_rows(view(spark, SF, "v_files"))
+    rows = rows.unionByName(rows.limit(1).withColumn("relative_path", F.lit("2024-01-01/x/odd.md")).withColumn("title", F.lit("Odd")).withColumn("search_text", F.lit("snake_case caf\u00e9 \U0001f600 end")).withColumn("content", F.lit("a\nb 100% x\U0001f600y")))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for name, text in (("like", L.like_text()), ("scan", L.scan_text())):
+        L.write_trigrams(L.build_trigrams(rows, text), str(tmp_path / name), files=5)
+    like, scan = (spark.read.parquet(str(tmp_path / name)) for name in ("like", "scan"))
+    for most in (10_000, 0):
+        monkeypatch.setattr(L, "MOST_PATHS", most)
+        for query in ("the of", "snake_case", "sn_ke", "ab", "zzzqqq", "tion and"):
+            found = L.search_like(rows, query, trigrams=like)
+            assert [row[0] for row in found.select("relative_path").collect()] == [row[0] for row in L.search_like(rows, query).select("relative_path").collect()], query
+        for query in ("inG The", "a\nb", "100% x", "x\U0001f600y", "e", "", "zzzqqq"):
+            found = L.search_scan(rows, query, trigrams=scan)
+            assert [row[0] for row in found.select("relative_path").collect()] == [row[0] for row in L.search_scan(rows, query).select("relative_path").collect()], query
+    plan = scan.filter(F.col("gram").isin(L.needle_grams("odd"))).groupBy("relative_path").count()._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "odd" in plan.split("PushedFilters")[1].split("]")[0]
+    assert L.needle_grams("ab_cdef_gh", "_") == ["cde", "def"]
+    monkeypatch.setattr(L, "MOST_PATHS", 10_000)
+    chosen = L.candidates(rows, like, "snake_case")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(relative_path,2024-01-01/x/odd.md)" in chosen or "In(relative_path" in chosen
