@@ -26,12 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest id."""
+    """One row of each group of equal texts, the one with the smallest id."""
     return drop_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts, the one with the smallest id."""
+    """One row of each group of linked texts, the one with the smallest id."""
     return one_of_each(docs)
 
 
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder of tables.
 
-    Each stage's rows are written to a new folder under ``spark.checkpoint.dir`` and read again.
+    Each stage's rows are written to a new folder under ``spark.checkpoint.dir`` and read again; a stage's table is
+    removed once the next one is written. The last table is the caller's to remove with the folder.
     """
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -72,5 +73,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/stage-{place}"
         result.write.parquet(path)
         docs = spark.read.parquet(path)
+        if place:
+            remove(spark, f"{folder}/stage-{place - 1}")
     return docs
 
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this run, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
