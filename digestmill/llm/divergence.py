@@ -1,20 +1,24 @@
 """Source divergence audit: how far the word shares of the sources of a language lie apart.
 
-Each language has the vocabulary that CountVectorizer fits with ``minDF`` and the largest integer as ``vocabSize``,
-and every document becomes an exact sparse vector of counts over it. Terms carry their language as a prefix, so one
+Each language has the vocabulary that CountVectorizer fits with ``minDF`` and the largest integer as ``vocabSize``
+(documents are counted by an aggregate first, and the fit is to the terms that remain), and every document becomes an exact sparse vector of counts over it. Terms carry their language as a prefix, so one
 fit serves all languages and a term counts within its own language only. The vectors are summed by (language,
 source), sparsely, as a summarizer sums them, and pairs of sources are evaluated on the sums: only terms that a
 source has make rows; all others of the vocabulary enter as one product.
 
-The vocabulary passes the driver, so it is fitted in slices of terms (by a hash), as many as keep each slice
-below ``SLICE_TERMS`` terms; a slice is one fit and one pass over the written terms.
+The vocabulary passes the driver, so beyond ``SLICE_TERMS`` kept terms it is fitted in slices (by a hash of the term); a
+slice is one fit and one pass over the written terms.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -27,50 +31,79 @@ LEAST_DOCUMENTS = 30
 MOST_TERMS = 50
 # The largest integer that ``vocabSize`` takes: no term is left out.
 WHOLE_VOCABULARY = 2**31 - 1
-# Distinct terms of one slice of the vocabulary at most, by estimate and before the least number of documents.
-SLICE_TERMS = 8_000_000
+# Kept terms of one slice of the vocabulary, which passes the driver and is broadcast.
+SLICE_TERMS = 2_000_000
 SCALE, PRIOR = 1_000_000_000, 5
 # ASCII other than letters stands between terms; A-Z are lower-cased; bytes of other characters stay.
 _BYTES = bytes(byte if byte >= 0x80 or 0x61 <= byte <= 0x7A else byte + 32 if 0x41 <= byte <= 0x5A else 0x20 for byte in range(256))
-# Never part of a term, so it parts the language from the term, and makes a vocabulary of no term possible.
+# Never part of a term, so it parts the language from the term.
 _MARK = "\0"
 _VECTOR = "lang string, source string, vector struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def terms_of(text: str) -> list[str]:
-    """The terms of a text in order: runs of ASCII letters and of all characters beyond ASCII."""
-    return text.encode().translate(_BYTES).decode().split(" ")
+def distinct_first(text: str) -> tuple[list[bytes], int]:
+    """The terms of a text, each once and then the further occurrences, and the number of distinct ones."""
+    counts = Counter(text.encode().translate(_BYTES).split())
+    further = [repeat(term, n - 1) for term, n in counts.items() if n > 1]
+    return [*counts, *chain.from_iterable(further)], len(counts)
 
 
 def language_terms(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms``: the terms of every document, each behind its language."""
+    """``lang, source, terms, n_distinct``: the terms of every document, each behind its language, distinct ones first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, _, texts = (column.to_pylist() for column in batch.columns)
-            terms = [[lang + _MARK + term for term in terms_of(text) if term] for lang, text in zip(langs, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string()))], ["lang", "source", "terms"])
+            data, lengths, ends, distinct = [], [np.zeros(1, np.int64)], [0], []
+            for lang, text in zip(langs, texts, strict=True):
+                terms, n_distinct = distinct_first(text)
+                prefix = (lang + _MARK).encode()
+                # Terms hold no space, so the prefix can stand in for the spaces before them.
+                data.append(b" ".join([b"", *terms]).replace(b" ", prefix))
+                lengths.append(np.fromiter(map(len, terms), np.int64, len(terms)) + len(prefix))
+                ends.append(ends[-1] + len(terms))
+                distinct.append(n_distinct)
+            offsets = np.cumsum(np.concatenate(lengths))
+            flat = pa.LargeStringArray.from_buffers(ends[-1], pa.py_buffer(offsets), pa.py_buffer(b"".join(data))).cast(pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(distinct, pa.int32())], ["lang", "source", "terms", "n_distinct"])
+
+    return docs.mapInArrow(run, "lang string, source string, terms array<string>, n_distinct int")
+
+
+def kept_terms(terms: DataFrame, least: int) -> DataFrame:
+    """``term``: what CountVectorizer keeps with ``minDF`` = ``least`` and the largest ``vocabSize``, as a table.
+
+    Its fit counts in Java objects, which costs more than all the rest; the same counts are a plain aggregate here.
+    """
+    once = terms.select(F.explode(F.slice("terms", 1, F.col("n_distinct"))).alias("term"))
+    return once.groupBy("term").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least).select("term")
 
-    return docs.mapInArrow(run, "lang string, source string, terms array<string>")
 
+def _in_slice(number: int, slices: int, term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(slices)) == number
 
-def slices_needed(terms: DataFrame, most: int) -> int:
-    """Slices of the vocabulary, from an estimate of its distinct terms that needs no shuffle of terms."""
-    found = terms.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term").alias("n")).first()["n"]
-    return max(1, -(-found // most))
 
+def source_counts(terms: DataFrame, kept: DataFrame, folder: str, most: int = SLICE_TERMS) -> DataFrame:
+    """``lang, source, term, n``: occurrences of the kept terms by source, where there are any.
 
-def source_counts(terms: DataFrame, folder: str, least: int = LEAST_DOCUMENTS, slices: int = 1) -> DataFrame:
-    """``lang, source, term, n``: occurrences of the kept terms by source, where there are any."""
+    One vocabulary of at most about ``most`` terms passes the driver at a time.
+    """
     spark = terms.sparkSession
-    # A vocabulary may be empty, which a fit refuses: rows of the bare mark, which no document holds, stand in it.
-    filler = spark.range(least).select(F.array(F.lit(_MARK)).alias("terms"))
+    n_terms = kept.count()
+    if not n_terms:
+        return spark.createDataFrame([], "lang string, source string, term string, n long")
+    slices = -(-n_terms // most)
     for number in range(slices):
-        part = terms
+        part, own = terms, kept
         if slices > 1:
-            part = terms.withColumn("terms", F.filter("terms", lambda term: F.pmod(F.xxhash64(term), F.lit(slices)) == number))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=WHOLE_VOCABULARY).fit(part.select("terms").unionByName(filler))
-        model.transform(part).select("lang", "source", "vector").write.option("compression", "zstd").parquet(f"{folder}/vectors-{number}")
+            in_slice = partial(_in_slice, number, slices)  # of this turn of the loop
+            part, own = terms.withColumn("terms", F.filter("terms", lambda term: in_slice(term))), kept.filter(in_slice(F.col("term")))
+            if own.isEmpty():
+                spark.createDataFrame([], "lang string, source string, term string, n long").write.parquet(f"{folder}/counts-{number}")
+                continue
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=WHOLE_VOCABULARY).fit(own.select(F.array("term").alias("terms")))
+        model.transform(part).select("lang", "source", "vector").write.parquet(f"{folder}/vectors-{number}")
         words = pa.table({"place": pa.array(range(len(model.vocabulary)), pa.int32()), "word": pa.array(model.vocabulary, pa.string())})
         entries = F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("entry")
         vectors = spark.read.schema(_VECTOR).parquet(f"{folder}/vectors-{number}")
@@ -129,9 +162,10 @@ def source_divergence(
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/divergence-{uuid.uuid4().hex}"
     wanted = docs.select(*(F.coalesce(docs[name], F.lit("")).alias(to) for name, to in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    language_terms(wanted).write.option("compression", "zstd").parquet(f"{folder}/terms")
+    language_terms(wanted).write.parquet(f"{folder}/terms")
     terms = spark.read.parquet(f"{folder}/terms")
-    counts = source_counts(terms, folder, least, slices_needed(terms, slice_terms))
+    kept_terms(terms, least).write.parquet(f"{folder}/kept")
+    counts = source_counts(terms, spark.read.parquet(f"{folder}/kept"), folder, slice_terms)
     by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     sizes = by_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
