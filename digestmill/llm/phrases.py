@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestmill.functions.scale import shared_folder
-from digestmill.llm.shingles import mixed, word_codes
+from digestmill.llm.shingles import mixed
 
 LONGEST = 4
 LEAST = 30
@@ -50,28 +51,31 @@ def pieces(text: str) -> list[list[bytes]]:
     return [words for words in map(bytes.split, text.encode().translate(_BYTES).split(b"\n")) if words]
 
 
-def chunks(text: str) -> Iterator[tuple[bytes, int]]:
-    """The chunks of a text, as words joined by spaces, with the number of words whose phrases count there."""
+def chunks(text: str) -> tuple[list[bytes], list[int]]:
+    """The chunks of a text, as words joined by spaces, and the number of words of each whose phrases count there."""
     parsed = pieces(text)
+    found, starts = [b" ".join(piece) for piece in parsed], [len(piece) for piece in parsed]
     words = [word for piece in parsed for word in piece]
-    if not words:
-        return
-    codes = word_codes(words)
-    window = codes.copy()
-    for place in range(1, WINDOW):
-        window[: len(codes) - place] = mixed(window[: len(codes) - place] ^ (codes[place:] * _MULTIPLIER))
-    triggers = np.flatnonzero(window % np.uint64(TRIGGER) == 0).tolist()
-    at, start = 0, 0
-    for piece in parsed:
-        end = start + len(piece)
-        while at < len(triggers) and triggers[at] <= start:
-            at += 1
-        while at < len(triggers) and triggers[at] + WINDOW <= end:
-            yield b" ".join(words[start : triggers[at] + WINDOW]), triggers[at] - start
-            start = triggers[at]
-            at += 1
-        yield b" ".join(words[start:end]), end - start
-        start = end
+    if len(words) <= WINDOW:
+        return found, starts
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    window = phrase_hashes(codes, WINDOW)
+    triggers = np.flatnonzero(window % np.uint64(TRIGGER) == 0)
+    # Those within a piece and not at its start cut it.
+    ends = np.cumsum(starts)
+    piece = np.searchsorted(ends, triggers, side="right")
+    first = ends[piece] - np.array(starts)[piece]
+    cuts = (triggers > first) & (triggers + WINDOW <= ends[piece])
+    by_piece: dict[int, list[int]] = {}
+    for at, place in zip(piece[cuts].tolist(), (triggers - first)[cuts].tolist(), strict=True):
+        by_piece.setdefault(at, []).append(place)
+    for at, places in by_piece.items():
+        own = parsed[at]
+        for start, end in zip([0, *places], places, strict=False):
+            found.append(b" ".join(own[start : end + WINDOW]))
+            starts.append(end - start)
+        found[at], starts[at] = b" ".join(own[places[-1] :]), len(own) - places[-1]
+    return found, starts
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -79,33 +83,19 @@ def parse(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            langs, found, starts = [], [], []
             for lang, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                found = list(chunks(text))
-                columns = [pa.array([lang] * len(found), pa.string()), pa.array([chunk for chunk, _ in found], pa.binary()).cast(pa.string()), pa.array([n for _, n in found], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "starts"])
-
-    rows = docs.mapInArrow(joined_batches(run), "lang string, chunk string, starts int")
+                own, n_starts = chunks(text)
+                found += own
+                starts += n_starts
+                langs += [lang] * len(own)
+            columns = [pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(starts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "starts"])
+
+    rows = docs.mapInArrow(run, "lang string, chunk string, starts int")
     return rows.groupBy("lang", "chunk", "starts").agg(F.count("*").alias("parsed"))
 
 
-def joined_batches(run, rows: int = 20_000):
-    """The batches of ``run`` put together to about ``rows`` rows, so that Spark is not handed very small ones."""
-
-    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return together
-
-
 def phrase_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` words from each place on; the last places have none."""
     hashes = codes[: max(0, len(codes) - size + 1)]
@@ -160,7 +150,8 @@ def counted(dictionary: DataFrame, size: int, shorter: np.ndarray | None) -> Dat
         # Exact numbers of the phrases of this batch, a word at a time.
         key = ids[at]
         for next_ in range(1, size):
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64) * len(words) + ids[at + next_]
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64) if next_ > 1 else key
+            key = key * len(words) + ids[at + next_]
         _, first, same = np.unique(key, return_index=True, return_inverse=True)
         totals = np.bincount(same, weights=parsed[row[at]], minlength=len(first)).astype(np.int64)
         columns = [words.take(pa.array(ids[at[first] + next_])) for next_ in range(size)]

@@ -14,9 +14,10 @@ _MULTIPLIERS = tuple(np.uint64(xxhash.xxh64_intdigest(bytes([place])) | 1) for p
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        # The frequent words come early; those met later are worked out each time.
+        if len(self) < _REMEMBERED:
+            self[word] = value
         return value
 
 

@@ -61,7 +61,7 @@ def test_chunks_hold_each_phrase_once():
     draw = random.Random(9)
     text = " ".join(draw.choice("abcdefgh") + draw.choice("xyz") + draw.choice(["", "", "", "", "", "."]) for _ in range(3000)) + " " + "w " * 300
     found, want = Counter(), Counter()
-    parsed = list(chunks(text))
+    parsed = list(zip(*chunks(text), strict=True))
     for chunk, starts in parsed:
         words = chunk.split(b" ")
         found.update(tuple(words[at : at + size]) for size in (1, 2, 3, 4) for at in range(starts) if at + size <= len(words))
