@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from digestmill.functions.scale import materialize, shared_folder
+
+# Row numbers and ids are broadcast up to this number, 8 bytes each; more are joined.
+MOST_BROADCAST = 1_000_000
+# Rows of one file at most, in bits.
+_FILE_BITS = 40
+
 # Span lists are ordered by start, then by the order in which an operator lists its kinds.
 Span = tuple[str, int, int]
 
@@ -23,6 +32,65 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def by_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a slim frame whose id is in ``ids`` (``doc_id``, a table that is cheap to count)."""
+    return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+
+
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for every row, the same each time it is computed.
+
+    Rows of Parquet files are numbered by file and place in the file; any other frame is written to the shared folder
+    first. The driver lists the files, as it does for every scan of them.
+    """
+    try:
+        placed = bool(docs.inputFiles()) and docs.select("_metadata.row_index")
+    except AnalysisException:
+        placed = False
+    if not placed:
+        path = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.parquet(path)
+    columns = docs.columns
+    files = sorted(row["file"] for row in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    held = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    key = F.col("_number") * (1 << _FILE_BITS) + F.col("_place")
+    return held.join(F.broadcast(numbers), "_file").select(*columns, key.alias(name))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose number is in ``dropped``; few numbers are broadcast, so that no text moves."""
+    dropped = materialize(dropped)
+    return docs.join(F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped, name, "left_anti")
+
+
+def largest(frame: DataFrame, rank: str, most: int) -> list[Row]:
+    """The ``most`` rows of a cut-off table with the largest whole numbers in ``rank``, in that order.
+
+    A histogram of 1,024 parts is refined around the cut-off until the part that holds it is small; only rows from
+    there on come to the driver, not the first ones of every partition.
+    """
+    low, high = frame.agg(F.min(rank), F.max(rank)).first()
+    if low is None or most < 1:
+        return []
+    wanted = most
+    while high > low:
+        width = -(-(high - low + 1) // 1024)
+        part = F.expr(f"({rank} - {low}L) div {width}L").alias("part")
+        counts = {row["part"]: row["n"] for row in frame.filter(F.col(rank).between(low, high)).groupBy(part).agg(F.count("*").alias("n")).collect()}
+        place = min(counts)
+        for at in sorted(counts, reverse=True):
+            if counts[at] >= wanted:
+                place = at
+                break
+            wanted -= counts[at]
+        low, high = low + place * width, min(high, low + place * width + width - 1)
+        if counts[place] <= most:
+            break
+    return frame.filter(F.col(rank) >= low).orderBy(F.desc(rank)).limit(most).collect()
+
+
 def per_document(frame: DataFrame, schema: str, worker: Callable[[], Callable[[str], tuple]]) -> DataFrame:
     """``doc_id`` and the columns of ``schema`` for every row of a ``slim`` frame.
 

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from digestmill.llm.rows import Span, in_order, per_document, slim, span_digest, span_text
+from digestmill.functions.scale import materialize
+from digestmill.llm.rows import Span, in_order, largest, per_document, slim, span_digest, span_text
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
@@ -25,11 +26,12 @@ KINDS = (*BASE_KINDS, "guess")
 _assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""").finditer
 _access = re.compile(r"AKIA[A-Z0-9]+").finditer
 _hex = re.compile(r"[0-9a-f]{24,}").finditer
-# Further names that announce a credential, and values with any visible character in quotes or up to a space.
+# Further names that announce a credential. A value in quotes goes on to the closing one of the same line, whatever it
+# holds; any other goes up to a space.
 _CUE = (
     r"""\b(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"""
 )
-_VALUE = r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([!-&(-~]{6,})"""
+_VALUE = r"""["']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|["']?([!-&(-~]{6,}))"""
 _context = re.compile(f"(?ai:{_CUE}){_VALUE}").finditer
 # The same for Spark, and the words it counts: ASCII letters, as values are ASCII, that are no part of an encoded run.
 _SPARK_CONTEXT = f"(?i:{_CUE}){_VALUE}"
@@ -89,15 +91,21 @@ class GuessCosts:
         plain = lowered.translate(_LEET)
         per_char = log10(_alphabet(value))
         words, longest, steps = self.words, self.longest, _walk_steps()
-        best = [0.0] + [float("inf")] * size
-        cut: list[tuple[str, int]] = [("", 0)] * (size + 1)
+        # Least costs of cuts that end at a place, by whether their last segment is a brute-force span: that one may go
+        # on, any other segment costs the cut as well. Each remembers its kind, its start and the state before it.
+        never = (float("inf"), "", 0, False)
+        reach = max(longest, _DATE_LENGTHS[-1])
+        ends = [{True: never, False: (0.0, "", 0, False)}] + [{True: never, False: never} for _ in range(size)]
+        further = log10(2)
         repeat = walk = 0  # where the repeat and the keyboard walk that end here began
         for end in range(1, size + 1):
 
             def offer(kind: str, start: int, cost: float, end: int = end) -> None:
-                total = best[start] + cost + (log10(2) if start and not (kind == "brute" and cut[start][0] == "brute") else 0.0)
-                if total < best[end] - 1e-12:
-                    best[end], cut[end] = total, (kind, start)
+                brute = kind == "brute"
+                for before in (True, False):
+                    total = ends[start][before][0] + cost + (further if start and not (brute and before) else 0.0)
+                    if total < ends[end][brute][0] - 1e-12:
+                        ends[end][brute] = (total, kind, start, before)
 
             offer("brute", end - 1, per_char)
             for length in range(3, min(longest, end) + 1):
@@ -113,19 +121,22 @@ class GuessCosts:
                 repeat = end - 1
             if end > 1 and lowered[end - 2 : end] not in steps:
                 walk = end - 1
-            if end - repeat >= 3:
-                offer("repeat", repeat, per_char + log10(end - repeat))
-            if end - walk >= 3:
-                offer("walk", walk, log10(len("".join(_KEY_ROWS)) * 2) + log10(end - walk))
+            # A word or date may end inside a run, which then begins later; nothing longer is worth that.
+            for start in range(repeat, min(repeat + reach, end - 3) + 1):
+                offer("repeat", start, per_char + log10(end - start))
+            for start in range(walk, min(walk + reach, end - 3) + 1):
+                offer("walk", start, log10(len("".join(_KEY_ROWS)) * 2) + log10(end - start))
         segments, end = [], size
+        brute = ends[size][True][0] < ends[size][False][0]
+        least = ends[size][brute][0]
         while end:
-            kind, start = cut[end]
+            _, kind, start, before = ends[end][brute]
             if segments and kind == "brute" == segments[-1][0]:
                 segments[-1] = ("brute", start, segments[-1][2])
             else:
                 segments.append((kind, start, end))
-            end = start
-        return best[size], tuple(reversed(segments))
+            end, brute = start, before
+        return least, tuple(reversed(segments))
 
 
 @lru_cache(maxsize=1)
@@ -144,16 +155,19 @@ def guess_cost(value: str, costs: GuessCosts | None = None) -> tuple[float, tupl
 
 
 def learn_words(docs: DataFrame, most: int = MOST_WORDS, text_col: str = "text") -> tuple[str, ...]:
-    """The words that most documents hold, most frequent first, in lower case; equal counts by the word.
+    """The words that most documents hold, most frequent first, in lower case; equal counts by the word (at the end of the list, by a hash).
 
     Values in a credential context are left out, so no password vouches for itself. A word is a run of 3 to 40 ASCII
-    letters in ``LEAST_DOCUMENTS`` documents or more; all documents are counted, and only ``most`` words come
-    to the driver.
+    letters in ``LEAST_DOCUMENTS`` documents or more; all documents are counted. The driver gets the words above a
+    cut-off that a histogram finds, so about ``most`` of them whatever the number of partitions.
     """
     prose = F.regexp_replace(docs[text_col], _SPARK_CONTEXT, " ")
     words = F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit(_SPARK_WORD), F.lit(0)))
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
-    return tuple(row["word"] for row in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+    # The upper bits of the rank are the count, the lower ones part words of equal counts.
+    rank = F.shiftleft(F.least("n", F.lit(1 << 41)), 20) + F.pmod(F.xxhash64("word"), F.lit(1 << 20))
+    rows = largest(materialize(counted.select("word", "n", rank.alias("rank"))), "rank", most)
+    return tuple(row["word"] for row in sorted(rows, key=lambda row: (-row["n"], row["word"])))
 
 
 def find_secrets(text: str, strong: float = STRONG, costs: GuessCosts | None = None) -> list[Span]:
@@ -165,20 +179,23 @@ def find_secrets(text: str, strong: float = STRONG, costs: GuessCosts | None = N
     spans += [("access", *found.span()) for found in _access(text) if found.end() - found.start() >= 20]
     spans += [("hex", *found.span()) for found in _hex(text)]
     for found in _context(text):
-        value = found[1].rstrip(TRAILING)
+        at = found.lastindex
+        value = found[at].rstrip(TRAILING) if at == 3 else found[at]
         if len(value) >= 6 and guess_cost(value, costs)[0] >= strong:
-            spans.append(("guess", found.start(1), found.start(1) + len(value)))
+            spans.append(("guess", found.start(at), found.start(at) + len(value)))
     return in_order(spans, KINDS)
 
 
-def secrets(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None) -> DataFrame:
+def secrets(
+    docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None, most: int = MOST_WORDS
+) -> DataFrame:
     """``doc_id, spans array<struct<kind, start, end, cost>>`` of every whole text, in code points, end exclusive.
 
     ``cost`` is the log10 guess cost of a ``guess`` value and null for the fixed shapes. ``words`` is a ranked word
-    list; without one it is learned from all rows by ``learn_words``. A null or empty text has no spans; a null id
+    list; without one the ``most`` words of most documents are learned from all rows by ``learn_words``. A null or empty text has no spans; a null id
     stays null; repeated rows give repeated results; an empty table gives none; other columns are left out.
     """
-    shared = _shared_words(docs, text_col, words)
+    shared = _shared_words(docs, text_col, words, most)
 
     def worker():
         costs = GuessCosts(shared.value)
@@ -196,9 +213,11 @@ def secrets(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", tex
     return per_document(slim(docs, id_col, text_col), "spans array<struct<kind:string,start:long,end:long,cost:double>>", worker)
 
 
-def secret_digests(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None) -> DataFrame:
+def secret_digests(
+    docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None, most: int = MOST_WORDS
+) -> DataFrame:
     """Counts of the fixed shapes, the digest of their spans, and all spans as text; cases and words as in ``secrets``."""
-    shared = _shared_words(docs, text_col, words)
+    shared = _shared_words(docs, text_col, words, most)
 
     def worker():
         costs = GuessCosts(shared.value)
@@ -214,9 +233,9 @@ def secret_digests(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_i
     return per_document(slim(docs, id_col, text_col), schema, worker)
 
 
-def _shared_words(docs: DataFrame, text_col: str, words: Sequence[str] | None):
-    """The word list as a broadcast of at most ``MOST_WORDS`` words, or of those given."""
-    return docs.sparkSession.sparkContext.broadcast(learn_words(docs, text_col=text_col) if words is None else tuple(words))
+def _shared_words(docs: DataFrame, text_col: str, words: Sequence[str] | None, most: int):
+    """The word list as a broadcast of at most ``most`` words, or of those given."""
+    return docs.sparkSession.sparkContext.broadcast(learn_words(docs, most, text_col) if words is None else tuple(words))
 
 
 def masked(text: str | None, mask: str, strong: float, costs: GuessCosts | None = None) -> str | None:
@@ -233,14 +252,15 @@ def masked(text: str | None, mask: str, strong: float, costs: GuessCosts | None
 
 
 def without_secrets(
-    docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, text_col: str = "text", n_chars_col: str | None = None, words: Sequence[str] | None = None
+    docs: DataFrame, mask: str = "[secret]", strong: float = STRONG, text_col: str = "text", n_chars_col: str | None = None, words: Sequence[str] | None = None,
+    most: int = MOST_WORDS,
 ) -> DataFrame:
     """The same rows and columns with every secret in ``text_col`` replaced by ``mask``.
 
     ``n_chars_col`` names a column that holds the text's length and follows it; a null length stays null. A null
     text stays null; no row is added or lost and no other column changes. ``words`` as in ``secrets``.
     """
-    shared = _shared_words(docs, text_col, words)
+    shared = _shared_words(docs, text_col, words, most)
 
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -22,7 +22,7 @@ def n_digits(text: str) -> int:
 
 def personal_data(text: str) -> list[tuple[str, int, int]]:
     spans = [("email", *span) for span in leftmost(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    spans += [("ip", *span) for span in leftmost(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(int(part) <= 255 for part in m[0].split(".")))]
+    spans += [("ip", *span) for span in leftmost(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text, lambda m: all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m[0].split(".")))]
     spans += [("card", *span) for span in leftmost(r"[0-9]([\x20-]?[0-9])+", text, lambda m: 14 <= n_digits(m[0]) <= 19 and luhn(m[0]))]
     spans += [("phone", *span) for span in leftmost(r"\+[0-9][\x20().0-9-]+[0-9]", text, lambda m: 10 <= n_digits(m[0]) <= 15)]
     return sorted(spans, key=lambda span: (span[1], ("email", "ip", "card", "phone").index(span[0])))

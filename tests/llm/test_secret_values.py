@@ -8,6 +8,7 @@ import string
 import pytest
 
 from digestmill.llm import secrets
+from digestmill.llm.rows import largest
 
 BASE64 = string.ascii_letters + string.digits + "+/"
 
@@ -56,3 +57,29 @@ def test_words_are_ranked_by_documents(shared):
     assert secrets.learn_words(frame) == ("common", "other") and secrets.learn_words(frame, most=1) == ("common",)
     costs = [secrets.guess_cost(word, secrets.GuessCosts(["common", "other"]))[0] for word in ("common", "other", "rarely")]
     assert costs == sorted(costs) and costs[1] < 1 < secrets.STRONG < costs[2]
+
+
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ('password: "correct horse battery staple" end', '[secret]" end'),
+        ('pwd="xK9 mQ2vL7pZ8" x', 'pwd="[secret]" x'),
+        ("auth = 'Zq 8! kR \u00e4 4w' and", "auth = '[secret]' and"),
+        ('{"token": "a b 9Kx.Lw, 7q"}', '{"token": "[secret]"}'),
+        ('pwd="xK9 mQ2vL7pZ8\nno end', 'pwd="xK9 mQ2vL7pZ8\nno end'),
+        ('pass: "password 1" x', 'pass: "password 1" x'),
+    ],
+)
+def test_values_in_quotes_are_masked_whole(text, masked):
+    assert secrets.masked(text, "[secret]", secrets.STRONG, None) == masked
+
+
+def test_the_words_of_most_documents_come_back(shared):
+    """More words than wanted with equal counts, and more distinct counts than a histogram has parts."""
+    frame = shared.range(3000).selectExpr("concat('w', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS word", "2 + (id div 2) AS n", "id AS rank")
+    for most in (0, 1, 7, 100, 2999, 5000):
+        assert [row.rank for row in largest(frame, "rank", most)] == list(range(2999, max(-1, 2999 - most), -1))
+    assert largest(frame.limit(0), "rank", 5) == []
+    text = shared.range(600).selectExpr("concat('common ', translate(cast(id div 2 AS string), '0123456789', 'abcdefghij'), 'xyz') AS text")
+    words = secrets.learn_words(text, most=50)
+    assert len(words) == 50 and words[0] == "common" and list(words[1:]) == sorted(words[1:])
