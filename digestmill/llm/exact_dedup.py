@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill.functions.scale import materialize
-from digestmill.llm.rows import slim
+from digestmill.llm.rows import numbered_rows, slim, without_rows
 
 FAN_BITS = 3
 # Runs per shuffle partition, at least: enough that a hot digest is spread over all of them.
@@ -77,6 +77,14 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with a null id stay."""
-    dropped = exact_duplicates(docs, keep, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """One row of ``docs`` for each text, with all its columns: that with the smallest or largest id.
+
+    Rows are judged each, also where they repeat an id or have none; a null id loses against any other, and of equal
+    ids the first row stays.
+    """
+    keyed = numbered_rows(docs, "_row")
+    missing = keyed[id_col].isNull() if keep == "smallest" else keyed[id_col].isNotNull()
+    row = F.col("_row") if keep == "smallest" else -F.col("_row")
+    ranked = keyed.select(F.struct(missing.alias("missing"), keyed[id_col].alias("id"), row.alias("row")).alias("rank"), keyed[text_col].alias("text"))
+    dropped = exact_duplicates(ranked, keep, "rank", "text").filter("NOT kept").select(F.abs("doc_id.row").alias("_row"))
+    return without_rows(keyed, dropped, "_row").drop("_row")

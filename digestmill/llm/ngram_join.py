@@ -11,14 +11,19 @@ of each, whatever order all tokens are put in. The join uses this twice before a
 4. Within a cluster the T-occurrence search runs over inverted lists as DivideSkip has it: short lists are merged
    by a heap, long lists are probed by binary search, and documents that reach the needed overlap are linked.
    Pairs already known to be connected are not searched again.
+5. A cluster beyond one cell is searched cell by cell, each with common representatives. Links need only connect, so
+   what then lies in the cluster's largest component is settled among itself; the others meet the cells whose sizes
+   they can reach.
 
 Links are closed to components by contraction. Token lists travel as packed arrays with one entry per token
-and block of documents, so a passage that a third of all documents share costs one entry per block.
+and block of documents, so a passage that a third of all documents share costs one entry per block. Tokens are 64-bit
+hashes of shingles, and sets are compared by those.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -26,24 +31,25 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from digestmill.functions.scale import materialize
+from digestmill.functions.scale import materialize, shared_folder
 from digestmill.llm.components import connected
-from digestmill.llm.rows import slim
+from digestmill.llm.rows import by_ids, numbered_rows, slim, without_rows
 from digestmill.llm.shingles import packed, packed_rising, shingle_set, signature, unpacked, unpacked_rising
 
 PERCENT = 80
 # Tokens of one block of documents: what a task gathers before it hands a block on.
-BLOCK_TOKENS = 2_000_000
-# Buckets of the hash space per shuffle partition; a bucket is what one call of a counting task holds.
-BUCKETS_PER_PARTITION = 4
+BLOCK_TOKENS = 250_000
+# Tokens of a bucket of the hash space, which is what one call of a counting task holds.
+BUCKET_TOKENS = 1_000_000
 # Documents are told apart by their low bits inside a range of ids when counts go back.
 RANGE_BITS = 12
-# Tokens of one cell of a cluster, the unit of a search task; a larger cluster is searched by pairs of cells.
-CELL_TOKENS = 4_000_000
+# Tokens and documents of one cell of a cluster, the unit of a search task, and representatives of a larger cluster.
+CELL_TOKENS, CELL_DOCUMENTS, REPRESENTATIVES = 1_000_000, 500, 16
 # DivideSkip's weight of a binary probe against a heap step.
 PROBE_WEIGHT = 0.0085
 # Members of the largest component that a document is compared with before it is searched.
@@ -58,29 +64,40 @@ def needed(size: Column, percent: int) -> Column:
     return size - F.ceil(size * percent / 100) + 1
 
 
-def bucket_count(docs: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(frame: DataFrame, tokens: Column) -> int:
+    """Buckets for all tokens of a frame: as many as keep each bounded, and one per shuffle partition at least."""
+    total = frame.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("n")).first()["n"]
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_TOKENS))
 
 
 def shingle_summaries(texts: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, sig_a, sig_b`` of every row of a slim frame."""
+    """``doc_id, n_shingles, sig_a, sig_b, prints`` of every row of a slim frame, in the one pass over all texts.
+
+    ``prints`` holds the fingerprints of the counted half of the hash space, packed.
+    """
+    names = ["doc_id", "n_shingles", "sig_a", "sig_b", "prints"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
-            marks = [signature(tokens) for tokens in sets]
-            columns = [[len(tokens) for tokens in sets], [mark[0] for mark in marks], [mark[1] for mark in marks]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(column, pa.int64()) for column in columns)], ["doc_id", "n_shingles", "sig_a", "sig_b"])
+            sizes, marks, prints = [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = shingle_set(text)
+                sizes.append(len(tokens))
+                marks.append(signature(tokens))
+                values = tokens[: np.searchsorted(tokens, np.uint64(_REGION << int(_FINGERPRINT_SHIFT)))] >> _FINGERPRINT_SHIFT
+                prints.append(packed_rising(np.unique(values)))
+            columns = [sizes, [mark[0] for mark in marks], [mark[1] for mark in marks]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(column, pa.int64()) for column in columns), pa.array(prints, pa.binary())], names)
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, prints binary")
 
 
-def own_tokens(texts: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, n_own``: tokens of the counted half of the hash space that no other document has.
+def own_tokens(prints: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, n_own``: tokens of the counted half of the hash space that no other document has, from ``doc_id, prints``.
 
     Equal sets count as different documents here: their tokens are nobody's own.
     """
-    blocks = texts.mapInArrow(_fingerprint_blocks(buckets), "bucket int, prints binary, owners binary, base long")
+    blocks = prints.mapInArrow(_fingerprint_blocks(buckets), "bucket int, prints binary, owners binary, base long")
     found = blocks.groupBy("bucket").applyInArrow(_single_owners, "id_range long, lows binary")
     return found.groupBy("id_range").applyInArrow(_owner_counts, "doc_id long, n_own long")
 
@@ -112,9 +129,8 @@ def _fingerprint_blocks(buckets: int):
         ids: list[int] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = shingle_set(text) >> _FINGERPRINT_SHIFT
-                values = np.unique(values[values < _REGION])
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = unpacked_rising(data.as_py())
                 if doc_id is None or not len(values):
                     continue
                 prints.append(values)
@@ -167,7 +183,7 @@ def token_blocks(texts: DataFrame) -> DataFrame:
             numbers, sets = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text)
-                if held >= BLOCK_TOKENS // 4:
+                if held >= BLOCK_TOKENS:
                     block, held = block + 1, 0
                 held += len(tokens)
                 numbers.append(block)
@@ -239,11 +255,14 @@ def overlap(one: np.ndarray, other: np.ndarray) -> int:
 class TOccurrence:
     """Documents of one cell, their inverted lists, and the components found so far."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, asks: np.ndarray | None = None):
+        """``sets`` by rising size; equal entries of ``label`` are joined already; pairs of two that do not ask are left out."""
         self.percent = percent
-        self.sets = sorted(sets, key=len)
+        self.sets = sets
         self.sizes = np.array([len(tokens) for tokens in self.sets], np.int64)
-        self.label = np.arange(len(sets))
+        self.label = np.arange(len(sets)) if label is None else label.copy()
+        self.given = self.label.copy()
+        self.asks = np.ones(len(sets), bool) if asks is None else asks
         tokens = np.concatenate(self.sets)
         owners = np.repeat(np.arange(len(self.sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
@@ -264,22 +283,25 @@ class TOccurrence:
         if a != b:
             self.label[self.label == b] = a
 
-    def run(self) -> np.ndarray:
-        """The component of each document, in the order of sizes."""
+    def run(self) -> list[tuple[int, int]]:
+        """Stars of what was joined: the root of each component with each of the given ones in it, as places in the order of sizes."""
         centres: list[int] = []
         for query in range(1, len(self.sets)):
             size = int(self.sizes[query])
             lowest = int(np.searchsorted(self.sizes, -(-self.percent * size // 100)))
-            if centres and lowest <= centres[-1]:
+            if centres and lowest <= centres[-1] and self.asks[query]:
                 self.try_centres(query, lowest, centres)
             open_ = self.label[:query] != self.label[query]
             open_[:lowest] = False
+            if not self.asks[query]:
+                open_ &= self.asks[:query]
             if open_.any():
                 before = self.label[query]
                 self.search(query, open_)
                 if self.label[query] != before or not centres:
                     centres = [*centres, query][-CENTRES:]
-        return self.label
+        moved = np.flatnonzero((self.given == np.arange(len(self.sets))) & (self.label != self.given))
+        return list(zip(self.label[moved].tolist(), moved.tolist(), strict=True))
 
     def try_centres(self, query: int, lowest: int, centres: list[int]) -> None:
         for centre in reversed(centres):
@@ -326,31 +348,78 @@ class TOccurrence:
 
 
 def search_cells(members: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: enough links to connect what is connected, from ``cluster, left_cell, right_cell, doc_id, tokens``."""
+    """``a, b``: links that join components, within each unit of ``unit, part, cluster, doc_id, label, asks, tokens``."""
 
     def searched(group: pa.Table) -> pa.Table:
-        by_id = dict(zip(group.column("doc_id").to_pylist(), group.column("tokens").to_pylist(), strict=True))
-        sets = {doc_id: np.frombuffer(data, np.uint64) for doc_id, data in sorted(by_id.items())}
-        ids = sorted(sets, key=lambda doc_id: len(sets[doc_id]))
-        label = TOccurrence([sets[doc_id] for doc_id in ids], percent).run() if ids else np.empty(0, np.int64)
-        linked = [(ids[int(root)], ids[at]) for at, root in enumerate(label) if int(root) != at]
+        names = ("cluster", "doc_id", "label", "asks")
+        by_id: dict[tuple[int, int], tuple[int, bool, int]] = {}
+        for at, (cluster, doc_id, label, asks) in enumerate(zip(*(group.column(name).to_pylist() for name in names), strict=True)):
+            by_id[cluster, doc_id] = (label, asks or by_id.get((cluster, doc_id), (0, False, 0))[1], at)
+        tokens = group.column("tokens")
+        sizes = np.array(pa.compute.binary_length(tokens))
+        rows = sorted((cluster, int(sizes[at]), doc_id, label, asks, at) for (cluster, doc_id), (label, asks, at) in by_id.items())
+        linked: list[tuple[int, int]] = []
+        for _, own in groupby(rows, key=lambda row: row[0]):
+            own = list(own)
+            if len(own) > 1:
+                sets = [np.frombuffer(tokens[row[5]].as_py(), np.uint64) for row in own]
+                # Labels as the first place that has them.
+                label = np.unique(np.array([row[3] for row in own]), return_index=True, return_inverse=True)
+                search = TOccurrence(sets, percent, label[1][label[2]], np.array([row[4] for row in own]))
+                linked += [(own[a][2], own[b][2]) for a, b in search.run()]
         return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
-    return members.groupBy("cluster", "left_cell", "right_cell").applyInArrow(searched, "a long, b long")
+    return members.groupBy("unit", "part").applyInArrow(searched, "a long, b long")
 
 
-def in_cells(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Sets with their cluster, dealt to the pairs of cells that hold them.
+def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that connect what is connected within the clusters (``doc_id, cluster``) of ``sets``.
 
-    Cells are counted on slim rows; the tokens move once to meet their cluster and once to their cells.
+    Cells are cut along the sizes of the sets, on slim rows. The first search is within cells, the second between what
+    it left outside the largest component of a cluster and the cells whose sizes it can reach.
     """
-    sized = clusters.join(sets.select("doc_id", (F.length("tokens") / 8).alias("n")), "doc_id")
-    cells = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("n_cells"))
-    placed = clusters.join(cells, "cluster").withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("n_cells")).cast("int"))
-    # Of two cells or more, each meets every other one; what shares a cell meets in any of its pairs.
-    others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1))).filter("n_cells = 1 OR other <> cell")
-    pairs = others.select("cluster", F.least("cell", "other").alias("left_cell"), F.greatest("cell", "other").alias("right_cell"), "doc_id")
-    return sets.select("doc_id", "tokens").join(pairs, "doc_id")
+    slim_rows = sets.select("doc_id", (F.length("tokens") / 8).cast("long").alias("n"))
+    # A size and a fraction by a hash: sizes can be cut anywhere, also where many are equal.
+    at_size = (F.col("n") + F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)).alias("at")
+    sized = materialize(clusters.join(slim_rows, "doc_id").select("doc_id", "cluster", "n", at_size))
+    needed = F.greatest(F.ceil(F.sum("n") / CELL_TOKENS), F.ceil(F.count("*") / CELL_DOCUMENTS)).cast("int")
+    edges = F.percentile_approx("at", [step / 64 for step in range(1, 64)], F.lit(1000)).alias("edges")
+    cells = sized.groupBy("cluster").agg(needed.alias("n_cells"), F.sum("n").alias("total"))
+    facts = cells.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.max("n_cells").alias("most")).first()
+    batches = 1 + 2 * facts["total"] // CELL_TOKENS
+    if (facts["most"] or 1) <= 1:
+        one = sized.select(F.pmod(F.xxhash64("cluster"), F.lit(batches)).alias("unit"), F.lit(-1).alias("part"), "cluster", "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("asks"))
+        return materialize(search_cells(one.join(sets.select("doc_id", "tokens"), "doc_id"), percent))
+    is_large = F.col("n_cells") > 1
+    # Cells of like sizes: one or several of 64 bands, or parts of a band by a hash.
+    cut = cells.filter(is_large).join(sized.groupBy("cluster").agg(edges), "cluster", "left").select("cluster", "n_cells", "edges")
+    placed = sized.join(cut, "cluster", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(1)))
+    band = F.size(F.filter("edges", lambda edge: edge < F.col("at")))
+    spread = F.ceil(F.col("n_cells") / 64).cast("int")
+    merged = F.floor(band / F.greatest(F.lit(1), F.floor(64 / F.col("n_cells")))).cast("int")
+    cell = F.when(is_large, merged * spread + F.pmod(F.xxhash64("doc_id"), spread)).otherwise(-1).cast("int")
+    placed = materialize(placed.withColumn("part", cell).drop("edges", "at"))
+    unit = F.when(is_large, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(batches)))
+    one = placed.select(unit.alias("unit"), "part", "cluster", "doc_id")
+    large = placed.filter(is_large)
+    bounds = materialize(large.groupBy("cluster", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("tokens"), F.count("*").alias("documents")))
+    shown = F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")).alias("r")
+    shown = large.groupBy("cluster", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(REPRESENTATIVES)).alias("slot")).agg(shown)
+    everywhere = shown.join(bounds.select("cluster", "part"), "cluster").select(F.col("cluster").alias("unit"), "part", "cluster", F.col("r.doc_id").alias("doc_id"))
+    first = one.unionByName(everywhere).select("*", F.col("doc_id").alias("label"), F.lit(True).alias("asks"))
+    links = materialize(search_cells(first.join(sets.select("doc_id", "tokens"), "doc_id"), percent))
+    roots = connected(links).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    labelled = materialize(large.join(roots, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    main = labelled.groupBy("cluster", "label").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    outside = labelled.join(main, "cluster").filter("label <> main").select("cluster", "doc_id", "label", "n")
+    blocks = outside.groupBy("cluster").agg(needed.alias("n_blocks"))
+    asking = outside.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("n_blocks")).cast("int"))
+    reach = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    asked = asking.join(bounds, "cluster").filter(reach).select("cluster", "block", "part", "doc_id", "label", F.lit(True).alias("asks"))
+    tiles = asked.select("cluster", "block", "part").distinct()
+    others = labelled.select("cluster", "part", "doc_id", "label", F.lit(False).alias("asks")).join(tiles, ["cluster", "part"]).select(*asked.columns)
+    second = asked.unionByName(others).withColumn("unit", F.xxhash64("cluster", "block")).drop("block")
+    return links.unionByName(materialize(search_cells(second.join(sets.select("doc_id", "tokens"), "doc_id"), percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,20 +432,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """
     if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError("ids must be integers")
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/ngram-join-{uuid.uuid4().hex}"
     texts = slim(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    buckets = bucket_count(docs)
-    summaries = materialize(shingle_summaries(texts))
+    shingle_summaries(texts).write.parquet(f"{folder}/summaries")
+    written = spark.read.parquet(f"{folder}/summaries")
+    summaries = written.drop("prints")
     mark = ["sig_a", "sig_b", "n_shingles"]
     classes = summaries.filter("n_shingles > 0").groupBy(*mark).agg(F.min("doc_id").alias("rep"))
-    open_classes = classes.filter("rep IS NOT NULL").join(own_tokens(texts, buckets).withColumnRenamed("doc_id", "rep"), "rep", "left")
+    own = own_tokens(written.select("doc_id", "prints"), bucket_count(written, F.col("n_shingles") / 2))
+    open_classes = classes.filter("rep IS NOT NULL").join(own.withColumnRenamed("doc_id", "rep"), "rep", "left")
     suspects = materialize(open_classes.filter(F.coalesce("n_own", F.lit(0)) < needed(F.col("n_shingles"), percent)).select(F.col("rep").alias("doc_id")).distinct())
-    sets = materialize(token_blocks(texts.join(suspects, "doc_id", "left_semi")))
+    token_blocks(by_ids(texts, suspects)).write.parquet(f"{folder}/sets")
+    sets = spark.read.parquet(f"{folder}/sets")
+    buckets = bucket_count(sets, F.length("tokens") / 8)
     rare = materialize(rare_tokens(sets, buckets, percent))
     first = rare.groupBy("token").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     stars = rare.join(first, "token").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     clusters = connected(stars).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    links = search_cells(in_cells(sets, clusters), percent)
-    roots = connected(links)
+    roots = connected(cluster_links(sets, clusters, percent))
     smallest = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = materialize(roots.join(smallest, "root").select(F.col("node").alias("rep"), "component_id"))
     known = classes.join(named, "rep", "left").select(*mark, F.coalesce("component_id", "rep").alias("component_id"))
@@ -386,6 +460,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns; rows with a null id stay."""
-    dropped = near_duplicates(docs, percent, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """One row of ``docs`` for each group of linked texts, with all its columns: that with the smallest id.
+
+    Rows are judged each by their own text, also where they repeat an id or have none; a null id loses against any
+    other, and of equal ids the first row stays. Texts without words stay.
+    """
+    keyed = numbered_rows(docs, "_row")
+    found = near_duplicates(keyed, percent, "_row", text_col).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(keyed[id_col].isNull().alias("none"), keyed[id_col].alias("id"), F.col("_row").alias("row"))
+    ranked = found.join(keyed.select("_row", order.alias("order")), "_row")
+    groups = ranked.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    dropped = ranked.join(groups, "component_id").filter("order.row <> first.row").select("_row")
+    return without_rows(keyed, dropped, "_row").drop("_row")

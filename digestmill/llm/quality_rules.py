@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill.functions.scale import materialize
+from digestmill.llm.rows import numbered_rows, without_rows
 
 WHITE = r"[\x20\x09-\x0D]+"
 VISIBLE = r"[^\x20\x09-\x0D]"
@@ -131,7 +132,8 @@ def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc
     ).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
-def keep_good(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows with a null id stay."""
-    rejected = quality_rules(docs, limit, id_col, text_col, host_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, docs[id_col] == rejected["_rejected"], "left_anti")
+def keep_good(docs: DataFrame, limit: float = HOST_LIMIT, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; rows are judged each, whatever their ids."""
+    keyed = numbered_rows(docs, "_row")
+    rejected = quality_rules(keyed, limit, "_row", text_col, host_col).filter("NOT kept").select(F.col("doc_id").alias("_row"))
+    return without_rows(keyed, rejected, "_row").drop("_row")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import brute
 import numpy as np
@@ -31,10 +32,11 @@ def texts_with_copies() -> dict[int, str | None]:
     return texts | {1000: None, 1001: "", 1002: " \t", 1003: texts[0], 1004: "one", 1005: "ONE"}
 
 
-@pytest.mark.parametrize("cell", [4_000_000, 1500])
+@pytest.mark.parametrize("cell", [1_000_000, 1500, 300])
 def test_components_are_those_of_all_pairs(shared, monkeypatch, cell):
-    """In one cell and in pairs of cells; blocks of a few documents, so that tokens meet across blocks."""
+    """In one cell and in many; blocks of a few documents, so that tokens meet across blocks."""
     monkeypatch.setattr(ngram_join, "CELL_TOKENS", cell)
+    monkeypatch.setattr(ngram_join, "REPRESENTATIVES", 16 if cell > 1000 else 2)
     texts = texts_with_copies()
     frame = shared.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert {row.doc_id: (row.n_shingles, row.component_id) for row in near_duplicates(frame).collect()} == brute.components(texts)
@@ -46,14 +48,26 @@ def test_given_documents(documents):
     assert {row.doc_id for row in one_of_each(documents).collect()} == {component for _, component in want.values()}
 
 
+def test_search_between_those_that_ask():
+    """Pairs of two that do not ask are left out, and what is joined already is not searched."""
+    generator = np.random.default_rng(8)
+    base = np.unique(generator.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[4:], generator.integers(0, 2**63, 4, dtype=np.uint64)]) for _ in range(12)]
+    asks = np.arange(12) == 5
+    for label, wanted in ((np.arange(12), 11), (np.where(asks, 5, 0), 1)):
+        search = TOccurrence(sets, 80, label, asks)
+        assert sorted(search.run()) == ([(0, at) for at in range(1, 12)] if wanted > 1 else [(0, 5)]) and set(search.label.tolist()) == {0}
+
+
 def test_search_finds_every_component_of_random_sets():
     generator = np.random.default_rng(7)
     for _ in range(60):
         pool = generator.integers(0, 2**63, 60, dtype=np.uint64)
         sets = [np.unique(generator.choice(pool, generator.integers(1, 40))) for _ in range(30)]
         sets += [np.unique(np.r_[one[1:], generator.integers(0, 2**63, 1, dtype=np.uint64)]) for one in sets[:10]]
-        search = TOccurrence(sets, 80)
-        label = search.run()
+        search = TOccurrence(sorted(sets, key=len), 80)
+        search.run()
+        label = search.label
         root = list(range(len(sets)))
         for a in range(len(sets)):
             for b in range(a):
@@ -71,7 +85,24 @@ def test_odd_rows(odd):
     exact = {(row.doc_id, row.keep_id, row.group_size, row.kept) for row in exact_duplicates(odd, keep="largest").collect()}
     assert (6, 6, 4, True) in exact and (5, 6, 4, False) in exact and (None, 6, 4, False) in exact and (1, 2, 3, False) in exact and (2, 2, 3, True) in exact
     assert exact_duplicates(odd.limit(0)).count() == 0
-    assert sorted(row.doc_id for row in drop_duplicates(odd).filter("doc_id IS NOT NULL").collect()) == [1, 3, 4, 5, 5]
+    assert sorted(row.doc_id for row in drop_duplicates(odd).collect()) == [1, 3, 4, 5]
+    assert sorted(row.doc_id for row in drop_duplicates(odd, "largest").collect()) == [2, 3, 4, 6]
+    assert sorted((row.doc_id or 0, row.text or "") for row in one_of_each(odd).collect() if len(row.text or "") < 40) == [(0, ""), (1, ""), (2, ""), (3, " \n\t "), (5, "same text here")]
+
+
+def test_exactly_one_row_of_a_group_stays(shared):
+    """Also where rows repeat an id with another text, repeat both, or have no id; from a frame and from files."""
+    text_a, text_b = "a b c d e f g", "one two three four five six seven"
+    rows = [(3, text_b), (5, text_a), (5, text_b), (5, text_b), (None, text_b), (None, "null and alone"), (None, "null and alone")]
+    frame = shared.createDataFrame(rows, "doc_id int, text string")
+    path = f"{shared.sparkContext.getCheckpointDir()}/few-{uuid.uuid4().hex}"
+    frame.repartition(3).write.parquet(path)
+    want = [(0, "null and alone"), (3, text_b), (5, text_a)]
+    for docs in (frame, shared.read.parquet(path)):
+        for operator in (drop_duplicates, one_of_each):
+            out = operator(docs)
+            assert sorted((row.doc_id or 0, row.text) for row in out.collect()) == want and out.columns == docs.columns
+    assert sorted((row.doc_id or 0, row.text) for row in drop_duplicates(frame, "largest").collect()) == [(0, "null and alone"), (5, text_a), (5, text_b)]
 
 
 def test_one_hot_text(shared):
