@@ -126,11 +126,12 @@ def candidates(points: DataFrame, folder: str, percent: int, trees: int) -> Data
     return spark.read.parquet(*found)
 
 
-def confirmed(sets: list[np.ndarray], label: np.ndarray, queries: Iterable[int], percent: int, before: bool) -> Iterator[tuple[int, int]]:
-    """Links between documents of different labels, by their full sets; ``label`` follows what they join.
+def confirmed(sets: list[np.ndarray], label: np.ndarray, queries: Iterable[int], percent: int, before: bool) -> list[tuple[int, int]]:
+    """Links between documents of different labels, by their full sets, as stars of what they join.
 
-    Each query meets all documents, or those ``before`` it, that are alike by their sketches, the most alike first.
+    ``label`` gives the first place of what is joined already. Each query meets all documents, or those ``before`` it, that are alike by their sketches, the most alike first.
     """
+    given, label = label, label.copy()
     sizes = np.array([len(tokens) for tokens in sets], np.int64)
     bits = np.array([sketch(minwise(tokens)) for tokens in sets], np.uint64)
     for query in queries:
@@ -145,7 +146,8 @@ def confirmed(sets: list[np.ndarray], label: np.ndarray, queries: Iterable[int],
                 common = len(np.intersect1d(sets[query], sets[other], assume_unique=True))
                 if 100 * common >= percent * (size + sizes[other] - common):
                     label[label == label[other]] = label[query]
-                    yield query, other
+    moved = np.flatnonzero((given == np.arange(len(sets))) & (label != given))
+    return list(zip(label[moved].tolist(), moved.tolist(), strict=True))
 
 
 def confirm(rows: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +169,8 @@ def confirm(rows: DataFrame, percent: int) -> DataFrame:
                 end += 1
             ids = [node for (_, node), _ in rows[start:end]]
             sets = [np.frombuffer(columns["tokens"][at], np.uint64) for _, at in rows[start:end]]
-            label = np.array([columns["label"][at] for _, at in rows[start:end]], np.int64)
+            known = np.unique([columns["label"][at] for _, at in rows[start:end]], return_index=True, return_inverse=True)
+            label = known[1][known[2]]
             queries = [place for place in range(end - start) if rows[start + place][0] in asks]
             links += [(ids[a], ids[b]) for a, b in confirmed(sets, label, queries, percent, before=len(queries) == end - start)]
             start = end
