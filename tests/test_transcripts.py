@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from digestmill.operators import tracks as P
@@ -78,7 +81,8 @@ def test_asr_golden(spark):
 
 def test_edit_distance_bands(spark, one):
     for left, right, expected in (("a" * 3000, "b" * 3000, 3000), ("a" * 2000, "a" * 1500 + "b" * 500, 500), ("abc", "", 3), ("你好", "你坏", 1)):
-        assert one(R.edit_distance(F.lit(left), F.lit(right))) == expected
+        assert one(R.near_distance(F.lit(left), F.lit(right))) == expected == R.bit_distance(left, right)
+    assert one(R.near_distance(F.lit("a" * 5000), F.lit("b" * 5000))) is None
 
 
 def test_quality_of_overlong_transcript(spark):
@@ -137,3 +141,34 @@ def test_failure_categories(spark, one):
     assert [one(P.youtube_failure(F.lit(log))) for log in logs] == [
         "youtube_auth_required", "youtube_po_token_required", "youtube_po_token_required", "youtube_rate_limited", "",
     ]
+
+
+def test_distance_by_bits_is_exact(spark):
+    draw = random.Random(12)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(400):
+        a, b = ("".join(draw.choices("ab\u4e2d\U0001f600x", k=draw.randrange(12))) for _ in range(2))
+        assert R.bit_distance(a, b) == plain(a, b) == R.bit_distance(b, a), (a, b)
+    texts = ["".join(draw.choices("abcdefgh ", k=draw.randrange(900, 1500))) for _ in range(8)]
+    frame = spark.createDataFrame([(a, b) for a in texts[:4] for b in texts[4:]], "a STRING, b STRING")
+    rows = frame.select("a", "b", F.levenshtein("a", "b").alias("want"), R.near_distance(F.col("a"), F.col("b")).alias("near"), R.far_distance("a", "b").alias("far")).collect()
+    assert all(row["want"] == row["near"] == row["far"] for row in rows)
+
+
+def test_unlike_long_texts_are_bounded(spark):
+    """Two texts of 100,000 characters with nothing in common but their letters, beside equal and missing ones."""
+    draw = random.Random(13)
+    long = ["".join(draw.choices("abcdefghijklmnopqrst", k=100_000)) for _ in range(2)]
+    started = time.monotonic()
+    frame = spark.createDataFrame([(1, long[0], long[1], 10.0), (2, long[0], long[0], 10.0), (3, "", "abc", 10.0)], "doc_id INT, reference STRING, hypothesis STRING, duration DOUBLE")
+    rows = {row["doc_id"]: row for row in R.evaluate_asr(frame).collect()}
+    assert 60_000 < rows[1]["distance"] < 100_000 and rows[2]["distance"] == 0 and rows[3]["distance"] == 3
+    assert time.monotonic() - started < 120
