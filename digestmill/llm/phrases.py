@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -148,11 +149,12 @@ def counted(dictionary: DataFrame, size: int, shorter: np.ndarray | None) -> Dat
             fits[: len(passes) - 1] &= passes[:-1] & passes[1:]
         at = np.flatnonzero(fits)
         # Exact numbers of the phrases of this batch, a word at a time.
-        key = ids[at]
+        same = ids[at]
         for next_ in range(1, size):
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64) if next_ > 1 else key
-            key = key * len(words) + ids[at + next_]
-        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+            same = pd.factorize(same * len(words) + ids[at + next_])[0].astype(np.int64)
+        same = same if size > 1 else pd.factorize(same)[0]
+        first = np.empty(int(same.max()) + 1 if len(same) else 0, np.int64)
+        first[same[::-1]] = np.arange(len(same))[::-1]
         totals = np.bincount(same, weights=parsed[row[at]], minlength=len(first)).astype(np.int64)
         columns = [words.take(pa.array(ids[at[first] + next_])) for next_ in range(size)]
         phrase = pc.binary_join_element_wise(*columns, " ") if size > 1 else columns[0]
