@@ -172,3 +172,27 @@ def test_unlike_long_texts_are_bounded(spark):
     rows = {row["doc_id"]: row for row in R.evaluate_asr(frame).collect()}
     assert 60_000 < rows[1]["distance"] < 100_000 and rows[2]["distance"] == 0 and rows[3]["distance"] == 3
     assert time.monotonic() - started < 120
+
+
+def test_long_pairs_need_no_table_where_bounds_meet(spark, monkeypatch):
+    """Long texts whose edits are seen in one pass are not counted in a table; all others still are, with the same result."""
+    import pytest
+
+    rand = random.Random(7)
+    for _ in range(300):
+        a = "".join(rand.choice("abc字") for _ in range(rand.randrange(0, 14)))
+        b = "".join(rand.choice(a + "ad") if rand.random() < 0.4 else char for char in a) + "b" * rand.randrange(0, 3)
+        assert R.edit_distance(a, b) == R.bit_distance(a, b) == R.edit_distance(b, a), (a, b)
+    text = "".join(rand.choice("abcdef") for _ in range(200_000))
+    monkeypatch.setattr(R, "bit_distance", lambda *_: pytest.fail("a table for a pair that one pass settles"))
+    assert R.edit_distance(text, text) == 0
+    assert R.edit_distance(text, text.replace("e", "a")) == text.count("e")
+    assert R.edit_distance(text, text[:900] + "zz" + text[900:]) == 2
+
+
+def test_long_pairs_skip_the_native_table(spark):
+    """The built-in distance would step through 120,000 characters once per character."""
+    text = "abcdefghij" * 12_000
+    frame = spark.createDataFrame([(1, text, "[00:00] " + text.replace("e", "a"), None)], "doc_id long, reference string, hypothesis string, duration double")
+    row = R.evaluate_asr(frame).first()
+    assert (row.distance, row.reference_chars, row.grade) == (12_000, 120_000, "good")
