@@ -23,3 +23,11 @@ def test_slug_of_a_long_text_is_that_of_the_whole(spark):
     # Only the head of a text is rewritten.
     plan = spark.range(1).select(T.slug(F.lit("x")))._jdf.queryExecution().logical().toString()
     assert "regexp_extract" in plan
+
+
+def test_share_in_parts_is_divided_once(spark):
+    rows = spark.createDataFrame([("x" * 1239 + " " + "字" * 41,)], "t STRING")
+    share = T.char_ratio(F.col("t"), parts=6_000_000)
+    # 6,000,000 * 41 / 1,280 is 192,187.5: the share times six million fell just below the half.
+    assert rows.select(F.round(share).cast("long")).first()[0] == 192_188
+    assert rows.select(T.char_ratio(F.col("t"))).first()[0] == 41 / 1280
