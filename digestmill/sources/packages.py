@@ -107,9 +107,12 @@ def table_facts(name: str, frame: DataFrame) -> DataFrame:
     """``table_name, rows, checksum``: the checksum does not depend on the order of rows, and other engines can repeat it.
 
     It is the sum of the first 60 bits of the MD5 of each row, with columns as text in their order, a unit separator
-    between them and one NUL character for a NULL.
+    between them and one NUL character for a NULL. Floating-point numbers are written as ``text.number_text`` does.
     """
-    texts = [F.coalesce(F.col(column).cast("string"), F.lit("\0")) for column in frame.columns]
+    texts = [
+        F.coalesce(T.number_text(F.col(column)) if kind in ("double", "float") else F.col(column).cast("string"), F.lit("\0"))
+        for column, kind in frame.dtypes
+    ]
     number = F.conv(F.left(F.md5(F.concat_ws("\x1f", *texts)), F.lit(15)), 16, 10).cast("decimal(38,0)")
     checksum = F.coalesce(F.sum(number), F.lit(0).cast("decimal(38,0)")).cast("string")
     return frame.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), checksum.alias("checksum"))

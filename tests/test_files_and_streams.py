@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from digestmill.functions import text as T
 from digestmill.operators import cache as C
 from digestmill.operators import digest as D
 from digestmill.operators import ledger as J
@@ -257,3 +258,14 @@ def test_write_postings_splits_and_sorts(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "p"))
     assert stored.count() == L.build_postings(rows).count() and len(list((tmp_path / "p").glob("*.parquet"))) > 1
     assert {r[0] for r in L.search(rows, stored, "the of").select("relative_path").collect()} == {r[0] for r in L.search(rows, L.build_postings(rows), "the of").select("relative_path").collect()}
+
+
+def test_checksums_write_numbers_as_other_engines_do(spark):
+    import duckdb
+
+    values = [36e6, 1e15, 1e16, 1.5e16, 1e22, 1e-4, 1e-5, 1.25e-7, 123456789.125, 1e300, -2.5e8, 0.0, -0.0, 0.1, 1234567890123456.0, float("nan"), float("inf"), -float("inf"), 1e-3, 9999999.5]
+    rows = spark.createDataFrame([(i, value) for i, value in enumerate(values)], "i INT, x DOUBLE")
+    written = [row["t"] for row in rows.orderBy("i").select(T.number_text(F.col("x")).alias("t")).collect()]
+    assert written == [duckdb.execute("SELECT CAST(CAST(? AS DOUBLE) AS VARCHAR)", [value]).fetchone()[0] for value in values]
+    number = duckdb.execute("SELECT CAST('0x' || left(md5(CAST(CAST(36e6 AS DOUBLE) AS VARCHAR)), 15) AS BIGINT)").fetchone()[0]
+    assert P.table_facts("t", rows.filter("i = 0").select("x")).collect()[0]["checksum"] == str(number)
