@@ -166,14 +166,15 @@ def page_images(pages: DataFrame) -> DataFrame:
     return exploded(pages, ["page_id"], P.page_images(F.col("html")), "image_url", "seq")
 
 
-def usable_extracts(extracts: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Extracts with at least 80 characters, from the fallback where the page had less.
+def usable_extracts(extracts: DataFrame, fallback: DataFrame, key: str = "url") -> DataFrame:
+    """Extracts with at least 80 characters, from the fallback where the page had less: one row per extract.
 
-    ``extracts(url, title, text, error_code)``, ``fallback(url, title, text)`` with one row per URL. An
-    invalid URL never takes the fallback.
+    ``extracts(url, title, text, error_code)``, ``fallback(url, title, text)``, met by ``key``, a column of both. Of several
+    fallbacks of a key the longest counts. An invalid URL never takes the fallback.
     """
-    other = fallback.select("url", F.struct("title", "text").alias("f"))
-    joined = extracts.join(other, "url", "left")
+    order = F.struct(F.length("text"), "text", "title")
+    other = fallback.groupBy(key).agg(F.max_by(F.struct("title", "text"), order).alias("f"))
+    joined = extracts.join(other, key, "left")
     refused = F.col("error_code") == "invalid_url"
     short = F.col("error_code").isNotNull() | (F.length(F.coalesce("text", F.lit(""))) < MIN_TEXT)
     switched = F.coalesce(~refused, F.lit(True)) & short & F.col("f").isNotNull()

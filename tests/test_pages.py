@@ -204,3 +204,10 @@ def test_no_python_on_the_way(spark):
     for operator in (O.extract_pages_article, O.extract_wechat):
         plan = operator(pages(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
+
+
+def test_pages_of_one_address_stay_one_row_each(spark):
+    extracts = spark.createDataFrame([(1, "a", "t", "short", None), (2, "a", "t", "z" * 90, None)], "page_id BIGINT, url STRING, title STRING, text STRING, error_code STRING")
+    fallback = spark.createDataFrame([(1, "a", "F", "x" * 90), (2, "a", "G", "y" * 95)], "page_id BIGINT, url STRING, title STRING, text STRING")
+    assert sorted(row["title"] for row in O.usable_extracts(extracts, fallback).collect()) == ["G", "t"]
+    assert sorted(row["title"] for row in O.usable_extracts(extracts, fallback, "page_id").collect()) == ["F", "t"]
