@@ -31,3 +31,12 @@ def test_share_in_parts_is_divided_once(spark):
     # 6,000,000 * 41 / 1,280 is 192,187.5: the share times six million fell just below the half.
     assert rows.select(F.round(share).cast("long")).first()[0] == 192_188
     assert rows.select(T.char_ratio(F.col("t"))).first()[0] == 41 / 1280
+
+
+def test_white_space_is_that_of_strip(spark):
+    rows = spark.range(0x3100).withColumnRenamed("id", "code").select("code", T.codepoint(F.col("code")).alias("c"))
+    found = rows.select("code", F.rlike("c", F.lit(f"^{T.WS}$")).alias("is"), F.rlike("c", F.lit(f"^{T.NOT_WS}$")).alias("no"), T.collapse(F.concat("c", F.lit("a"), "c", "c", F.lit("b"), "c")).alias("t")).collect()
+    for row in found:
+        space = chr(row["code"]).isspace()
+        assert (row["is"], row["no"]) == (space, not space), row
+        assert (row["t"] == "a b") == space, row
