@@ -169,3 +169,30 @@ def test_backup_models_are_used_in_turn(spark):
     assert "- Automatic fallback: one failed; switched to two." in made[1]["summary_markdown"] and "- Provider: LM Studio" in made[1]["summary_markdown"]
     assert "- Fallback reason: one: model API provider server error (HTTP 500); two: " + K.ERR_NOT_READY in made[2]["summary_markdown"]
     assert made[2]["tags"] == ["summary", "source/web", "model/local_fallback"] and not made[2]["save_recommendation"]["should_save"]
+
+
+def test_windows_are_read_from_their_cues(spark):
+    """Scores equal those of whole windows: runs and pairs over borders, empty and one-letter cues, stop words, parts."""
+    draw = random.Random(21)
+    stop = set(K.TOKEN_STOP_WORDS)
+
+    def tokens(text):
+        clean = re.sub(r"[^\w]+", "", text.lower())
+        return (set(re.findall(r"[a-z0-9]{3,}|[一-鿿]{2,}", clean)) | {clean[i : i + 2] for i in range(len(clean) - 1)}) - stop
+
+    rows = []
+    for doc in range(25):
+        cues = ["".join(draw.choices(["a", "b", "C1", " ", "因", "为", "这个", "_", ".", "é"], k=draw.randrange(0, 6))) or "!" for _ in range(draw.randrange(1, 12))]
+        points = ["".join(draw.choices(["a", "b", "c1", "因", "为", "这个", "é"], k=draw.randrange(1, 9))) for _ in range(3)]
+        rows.append((doc, points, cues))
+    frame = spark.createDataFrame(rows, "doc INT, points ARRAY<STRING>, texts ARRAY<STRING>")
+    cues = F.transform("texts", lambda text, i: F.struct(F.lit("00:00").alias("time"), i.alias("seconds"), text.alias("text")))
+    whole = D.cue_scores(F.transform("points", D.match_tokens), cues)
+    part = D.cue_scores(F.transform("points", D.match_tokens), cues, F.lit(100), 2)
+    for row in frame.select("points", "texts", whole.alias("whole"), part.alias("part")).collect():
+        own = [tokens(text) for text in row["texts"]]
+        wide = [tokens(" ".join(row["texts"][i : i + D.WINDOW_CUES])) for i in range(len(own))]
+        for name, shift, size in (("whole", 0, len(own)), ("part", 100, 2)):
+            for seq, (point, found) in enumerate(zip(row["points"], row[name], strict=True)):
+                want = sorted((-len(tokens(point) & own[i]), -len(tokens(point) & wide[i]), i + shift) for i in range(min(size, len(own))) if tokens(point) & wide[i])
+                assert [(hit["own"], hit["window"], hit["index"]) for hit in found] == want[: seq + 1], (point, row["texts"])
