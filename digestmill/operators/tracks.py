@@ -76,7 +76,7 @@ def low_value(transcript: Column) -> Column:
     """The low-value test on one transcript text."""
 
     def judge(lines: Column) -> Column:
-        bare = F.transform(lines, lambda line: F.lower(F.regexp_replace(line, rf"(?:{T.WS}|[♪♫~～,，。.!！?？-])+", "")))
+        bare = F.transform(lines, lambda line: F.lower(F.regexp_replace(line, rf"[{T.WS}~,.!?\-[\u2000-\uff5e&&[♪♫～，。！？]]]+", "")))
         music = F.size(F.filter(bare, lambda line: line.isin(*K.MUSIC_WORDS)))
         chars = F.length(F.array_join(lines, ""))
         return (F.size(lines) == 0) | (music * 4 >= F.size(lines) * 3) | (chars - 2 * music < 30)

@@ -40,3 +40,19 @@ def test_white_space_is_that_of_strip(spark):
         space = chr(row["code"]).isspace()
         assert (row["is"], row["no"]) == (space, not space), row
         assert (row["t"] == "a b") == space, row
+
+
+def test_lines_are_those_of_splitlines(spark):
+    rand = random.Random(5)
+    breaks = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ", "a", "b ", "\x1f", "中", "‪"]
+    texts = ["".join(rand.choices(breaks, k=rand.randrange(0, 14))) + "end" for _ in range(300)]
+    for row in spark.createDataFrame([(text,) for text in texts], "t STRING").select("t", T.lines(F.col("t")).alias("lines")).collect():
+        assert row["lines"] == row["t"].splitlines(), row
+
+
+def test_music_lines_keep_their_marks_apart(spark):
+    from digestmill.operators.tracks import low_value
+
+    lines = ["♪ mu-sic ♫", "~Mu.sic,！", "mu　sic？。", "～music，"]
+    frame = spark.createDataFrame([("\n".join(lines * 5),), ("\n".join(f"{line} words that are spoken" for line in lines),), ("\n".join("…" + line for line in lines * 5),)], "t STRING")
+    assert [row[0] for row in frame.select(low_value(F.col("t"))).collect()] == [True, False, False]
