@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestmill.functions.scale import shared_folder
-from digestmill.llm.components import connected
+from digestmill.llm.components import connected, stars
 from digestmill.llm.rows import slim
 from digestmill.llm.shingles import mixed, shingle_set, signature
 
@@ -39,7 +39,7 @@ NODE, DEPTH = 64, 12
 LEAST_ALIKE = 98
 # Tokens and documents of one cell of a cluster, the unit of confirmation, and representatives of a larger cluster.
 CELL_TOKENS, CELL_DOCUMENTS, REPRESENTATIVES = 1_000_000, 2_000, 32
-# Candidate ids are broadcast up to this number, 8 bytes each; more are joined.
+# Slim rows of candidates (8 to 48 bytes) and open paths are broadcast up to this number; more are joined.
 MOST_BROADCAST = 1_000_000
 
 _ODD = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -83,7 +83,7 @@ def branches(rows: DataFrame, percent: int) -> DataFrame:
     # 100 / percent positions on average.
     second = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(percent)) < 100 - percent
     paths = F.when(second, F.array_distinct(F.array(*below))).otherwise(F.array(below[0]))
-    return rows.select("node", "n", "sketch_a", "sketch_b", F.explode(paths).alias("path"))
+    return rows.select(*(name for name in rows.columns if name != "path"), F.explode(paths).alias("path"))
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -97,18 +97,19 @@ def candidates(points: DataFrame, folder: str, percent: int, trees: int) -> Data
     """``a, b``: pairs that met in a node and are alike by their sketches, from ``node, n, sketch_a, sketch_b, tokens``."""
     spark = points.sparkSession
     tree = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda number: F.xxhash64(number)))
-    rows = points.withColumn("path", tree)
-    found = []
+    rooted = rows = points.withColumn("path", tree)
+    found, opened, few = [], [], True
     for level in range(1, DEPTH + 1):
         at = f"{folder}/level-{level}"
-        branches(rows, percent).write.parquet(f"{at}/rows")
+        branches(rows, percent).drop("tokens").write.parquet(f"{at}/rows")
         here = spark.read.parquet(f"{at}/rows")
         sizes = here.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         here.join(sizes, "path").write.parquet(f"{at}/nodes")
         nodes = spark.read.parquet(f"{at}/nodes")
         small = nodes.filter(F.col("size") <= NODE).drop("size")
         met = small.alias("a").join(small.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.node") < F.col("b.node")) & alike("a", "b", percent))
-        met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().write.parquet(f"{at}/met")
+        # Nodes lie in one partition each, so that the links of a tight one are as many as its documents, and not their pairs.
+        stars(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))).write.parquet(f"{at}/met")
         found.append(f"{at}/met")
         large = nodes.filter(F.col("size") > NODE)
         if large.isEmpty():
@@ -116,13 +117,21 @@ def candidates(points: DataFrame, folder: str, percent: int, trees: int) -> Data
         centre = F.min(F.struct(F.xxhash64("node", "path").alias("h"), "node", "n", "sketch_a", "sketch_b")).alias("c")
         centres = large.groupBy("path").agg(centre).select("path", "c.*").drop("h")
         starred = large.alias("a").join(centres.alias("b"), F.col("a.path") == F.col("b.path"))
-        starred.select("a.path", "a.node", F.col("b.node").alias("centre"), alike("a", "b", percent).alias("near")).write.parquet(f"{at}/stars")
-        stars = spark.read.parquet(f"{at}/stars")
-        stars.filter("near AND node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().write.parquet(f"{at}/centred")
+        starred.select("a.path", "a.node", F.col("b.node").alias("centre"), alike("a", "b", percent).alias("near")).write.parquet(f"{at}/starred")
+        starred = spark.read.parquet(f"{at}/starred")
+        stars(starred.filter("near").select(F.col("node").alias("a"), F.col("centre").alias("b"))).write.parquet(f"{at}/centred")
         found.append(f"{at}/centred")
         # All of a node alike its centre is one cluster whatever its branches say.
-        open_ = stars.groupBy("path").agg(F.bool_and("near").alias("closed")).filter("NOT closed").select("path")
-        rows = stars.join(open_, "path").select("node", "path").join(points, "node")
+        starred.groupBy("path").agg(F.bool_and("near").alias("closed")).filter("NOT closed").select("path").write.parquet(f"{at}/open")
+        opened.append(spark.read.parquet(f"{at}/open"))
+        few = few and opened[-1].count() <= MOST_BROADCAST
+        if few:
+            # Each document walks down its open paths again, so that no tokens move.
+            rows = rooted
+            for paths in opened:
+                rows = branches(rows, percent).join(F.broadcast(paths), "path", "left_semi")
+        else:
+            rows = starred.join(opened[-1], "path").select("node", "path").join(points, "node")
     return spark.read.parquet(*found)
 
 
@@ -196,7 +205,7 @@ def cluster_links(members: DataFrame, sets: DataFrame, folder: str, percent: int
     shown = large.groupBy("cluster", "n_cells", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(REPRESENTATIVES)).alias("slot")).agg(shown)
     everywhere = shown.select(F.col("cluster").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("part"), "cluster", F.col("r.node").alias("node"))
     first = one.unionByName(everywhere).select("*", F.col("node").alias("label"), F.lit(True).alias("asks"))
-    confirm(first.join(sets, "node"), percent).write.parquet(f"{folder}/links-1")
+    confirm(sets.join(few_rows(first), "node"), percent).write.parquet(f"{folder}/links-1")
     links = spark.read.parquet(f"{folder}/links-1")
     if (facts["most"] or 1) <= 1:
         return links
@@ -213,25 +222,39 @@ def cluster_links(members: DataFrame, sets: DataFrame, folder: str, percent: int
     asked = asking.select(*columns[:4], F.explode(F.sequence(F.lit(0), F.col("n_cells") - 1)).alias("cell"), F.lit(True).alias("asks"))
     all_ = labelled.join(blocks, "cluster").select("cluster", "node", "label", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "cell", F.lit(False).alias("asks"))
     tiles = asked.unionByName(all_).withColumn("unit", F.xxhash64("cluster", "block")).withColumnRenamed("cell", "part").drop("block")
-    confirm(tiles.join(sets, "node"), percent).write.parquet(f"{folder}/links-2")
+    confirm(sets.join(few_rows(tiles), "node"), percent).write.parquet(f"{folder}/links-2")
     return links.unionByName(spark.read.parquet(f"{folder}/links-2"))
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, tokens``: the full sets of the classes in ``wanted`` (``node, rep, set_a, set_b``)."""
+    """``node, tokens``: the full sets of the classes in ``wanted`` (``node, rep, set_a, set_b``).
+
+    Rows that repeat an id and a set give theirs once a partition; who reads them by node takes any.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            sets = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
-            marks = [signature(tokens) for tokens in sets]
-            columns = [*(pa.array([mark[at] for mark in marks], pa.int64()) for at in (0, 1)), pa.array([tokens.tobytes() for tokens in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rep", "set_a", "set_b", "tokens"])
-
-    ids = wanted.select("rep").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= MOST_BROADCAST else ids
-    found = texts.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(run, "rep long, set_a long, set_b long, tokens binary")
-    # Rows that repeat an id and a set are one.
-    return found.join(wanted, ["rep", "set_a", "set_b"]).groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+            rows = []
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = shingle_set(text, words)
+                key = (rep, *signature(tokens))
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((*key, tokens.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)], ["rep", "set_a", "set_b", "tokens"])
+
+    small = few_rows(wanted)
+    found = texts.join(small.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    found = found.mapInArrow(run, "rep long, set_a long, set_b long, tokens binary")
+    return found.join(small, ["rep", "set_a", "set_b"]).select("node", "tokens")
+
+
+def few_rows(frame: DataFrame) -> DataFrame:
+    """A slim frame to join with: broadcast if it has few rows."""
+    return F.broadcast(frame) if frame.count() <= MOST_BROADCAST else frame
 
 
 def near_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

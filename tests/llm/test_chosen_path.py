@@ -71,3 +71,13 @@ def test_sketches_tell_similarity():
     assert kept == 300
     one, two = (sketch(minwise(shingle_set(" ".join(f"{name}{k}" for k in range(300)), 2))) for name in "ab")
     assert POSITIONS - np.bitwise_count(one ^ two).sum() < LEAST_ALIKE
+
+
+def test_links_of_a_tight_node_grow_with_its_documents(shared, tmp_path):
+    """Forty near copies meet in a few nodes; what is handed on connects them without being all their pairs."""
+    base = [f"w{n}" for n in range(200)]
+    frame = shared.createDataFrame([(n, " ".join([*base, f"own{n}"])) for n in range(40)], "doc_id long, text string").coalesce(1)
+    marks = chosen_path.set_marks(frame, 2).selectExpr("doc_id AS node", "n_shingles AS n", "sketch_a", "sketch_b", "tokens")
+    links = chosen_path.candidates(marks, str(tmp_path / "links"), 80, 2)
+    assert chosen_path.connected(links).select("root").distinct().count() == 1
+    assert links.count() <= 40 * 2 * 2
