@@ -60,6 +60,30 @@ def build_postings(library: DataFrame) -> DataFrame:
     return exploded(library, ["relative_path"], tokens, "token", "pos").select("token", "relative_path", "pos")
 
 
+def token_totals(library: DataFrame) -> DataFrame:
+    """``token, occurrences, documents, positions`` over all postings; rows that share a path are one document.
+
+    The tokens of a row are sorted within it, so that a path of its own counts without moving its postings. Only rows
+    whose path occurs in others meet by (token, path).
+    """
+    repeated = materialize(library.groupBy("relative_path").agg(F.count("*").alias("n")).filter("n > 1").select("relative_path"))
+    known = F.broadcast(repeated) if repeated.count() <= MOST_PATHS else repeated
+    single = library.join(known, "relative_path", "left_anti")
+    tokens = F.regexp_extract_all(F.col("search_text"), F.lit(POSTING_TOKEN), F.lit(1))
+    placed = F.array_sort(F.transform(tokens, lambda token, pos: F.struct(token.alias("token"), pos.alias("pos"))))
+    marked = T.let(
+        placed,
+        lambda items: F.transform(
+            items, lambda item, at: F.struct(item["token"].alias("token"), item["pos"].alias("pos"), (F.get(items, at - 1)["token"].eqNullSafe(item["token"])).alias("again"))
+        ),
+    )
+    rows = exploded(single, [], marked, "item").select("item.*")
+    single = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("again")).alias("d"), F.sum("pos").alias("p"))
+    shared = build_postings(library.join(known, "relative_path", "left_semi")).groupBy("token", "relative_path").agg(F.count("*").alias("n"), F.sum("pos").alias("p"))
+    both = single.unionByName(shared.select("token", "n", F.lit(1).cast("bigint").alias("d"), "p"))
+    return both.groupBy("token").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"), F.sum("p").alias("positions"))
+
+
 def write_postings(postings: DataFrame, path: str, files: int | None = None) -> None:
     """Postings sorted by token. Ranges over (token, path) split a frequent token over many files,
     and the sorted files let a search skip all others by their min/max statistics."""

@@ -196,3 +196,10 @@ def test_trigrams_find_what_the_scan_finds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "MOST_PATHS", 10_000)
     chosen = L.candidates(rows, like, "snake_case")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(relative_path,2024-01-01/x/odd.md)" in chosen or "In(relative_path" in chosen
+
+
+def test_token_totals_count_documents_once(spark):
+    """Paths of their own are counted within their row, so that postings meet by token alone; rows that share a path are one document."""
+    rows = [("a.md", "x y x 中 x"), ("b.md", "y"), ("b.md", "y z"), ("c.md", ""), ("b.md", None), ("d.md", "z_z y")]
+    got = {tuple(row) for row in L.token_totals(spark.createDataFrame(rows, "relative_path string, search_text string")).collect()}
+    assert got == {("x", 3, 1, 6), ("y", 4, 3, 3), ("中", 1, 1, 3), ("z", 3, 2, 2)}
