@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,11 @@ NODE, DEPTH = 64, 12
 LEAST_ALIKE = 98
 # Tokens and documents of one cell of a cluster, the unit of confirmation, and representatives of a larger cluster.
 CELL_TOKENS, CELL_DOCUMENTS, REPRESENTATIVES = 1_000_000, 2_000, 32
-# Slim rows of candidates (8 to 48 bytes) and open paths are broadcast up to this number; more are joined.
+# Slim rows of candidates (8 to 48 bytes) and open paths of all levels are broadcast up to this number; more are joined.
 MOST_BROADCAST = 1_000_000
 
 _ODD = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SALTS = mixed(np.arange(POSITIONS + 1, POSITIONS + 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def minwise(tokens: np.ndarray) -> np.ndarray:
@@ -76,14 +78,46 @@ def set_marks(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch_a long, sketch_b long, tokens array<int>")
 
 
-def branches(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of the nodes below: ``path`` is replaced by that of each chosen position and the token there."""
-    place = [F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(POSITIONS)).cast("int") for salt in (1, 2)]
-    below = [F.xxhash64("path", at, F.get("tokens", at)) for at in place]
+def below(places: np.ndarray, paths: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes below: for each place (a row of ``tokens``) and path those of the chosen positions and the tokens there."""
+    drawn = [mixed(mixed(paths ^ salt)) for salt in _SALTS]
+    one, other = ((values % np.uint64(POSITIONS)).astype(np.int64) for values in drawn[:2])
     # 100 / percent positions on average.
-    second = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(percent)) < 100 - percent
-    paths = F.when(second, F.array_distinct(F.array(*below))).otherwise(F.array(below[0]))
-    return rows.select(*(name for name in rows.columns if name != "path"), F.explode(paths).alias("path"))
+    second = np.flatnonzero((drawn[2] % np.uint64(percent) < 100 - percent) & (one != other))
+    places, paths = np.r_[places, places[second]], np.r_[paths, paths[second]]
+    position = np.r_[one, other[second]]
+    return places, mixed(mixed(mixed(paths ^ _ODD[position]) ^ tokens[places, position]))
+
+
+def branches(rows: DataFrame, percent: int, trees: int, opened: list[Broadcast]) -> DataFrame:
+    """``node, n, sketch_a, sketch_b, path``: the documents of the nodes below the open ones.
+
+    Rows with a ``path`` are in that node. Others walk down from the roots, each in its own row, and the paths that are
+    open on each level, sorted, tell where they go on: neither rows nor tokens are multiplied on the way.
+    """
+    names = ["node", "n", "sketch_a", "sketch_b"]
+    placed = "path" in rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = [broadcast.value for broadcast in opened]
+        roots = mixed(np.arange(1, trees + 1, dtype=np.uint64) * _ODD[0])
+        for batch in batches:
+            size = batch.num_rows
+            tokens = batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(size, POSITIONS).astype(np.uint64)
+            if placed:
+                places, paths = np.arange(size), batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
+            else:
+                places, paths = np.repeat(np.arange(size), trees), np.tile(roots, size)
+            for open_ in levels:
+                places, paths = below(places, paths, tokens, percent)
+                there = np.searchsorted(open_, paths)
+                kept = np.flatnonzero(open_[np.minimum(there, len(open_) - 1)] == paths)
+                places, paths = places[kept], paths[kept]
+            places, paths = below(places, paths, tokens, percent)
+            columns = batch.select(names).take(pa.array(places)).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(paths.view(np.int64))], [*names, "path"])
+
+    return rows.select(*names, "tokens", *(["path"] if placed else [])).mapInArrow(run, "node long, n long, sketch_a long, sketch_b long, path long")
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -96,12 +130,10 @@ def alike(a: str, b: str, percent: int) -> Column:
 def candidates(points: DataFrame, folder: str, percent: int, trees: int) -> DataFrame:
     """``a, b``: pairs that met in a node and are alike by their sketches, from ``node, n, sketch_a, sketch_b, tokens``."""
     spark = points.sparkSession
-    tree = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda number: F.xxhash64(number)))
-    rooted = rows = points.withColumn("path", tree)
-    found, opened, few = [], [], True
+    rows, found, opened, n_open = points, [], [], 0
     for level in range(1, DEPTH + 1):
         at = f"{folder}/level-{level}"
-        branches(rows, percent).drop("tokens").write.parquet(f"{at}/rows")
+        branches(rows, percent, trees, opened).write.parquet(f"{at}/rows")
         here = spark.read.parquet(f"{at}/rows")
         sizes = here.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         here.join(sizes, "path").write.parquet(f"{at}/nodes")
@@ -123,15 +155,15 @@ def candidates(points: DataFrame, folder: str, percent: int, trees: int) -> Data
         found.append(f"{at}/centred")
         # All of a node alike its centre is one cluster whatever its branches say.
         starred.groupBy("path").agg(F.bool_and("near").alias("closed")).filter("NOT closed").select("path").write.parquet(f"{at}/open")
-        opened.append(spark.read.parquet(f"{at}/open"))
-        few = few and opened[-1].count() <= MOST_BROADCAST
-        if few:
+        paths = spark.read.parquet(f"{at}/open")
+        n_open += paths.count()
+        if n_open <= MOST_BROADCAST:
             # Each document walks down its open paths again, so that no tokens move.
-            rows = rooted
-            for paths in opened:
-                rows = branches(rows, percent).join(F.broadcast(paths), "path", "left_semi")
+            opened.append(spark.sparkContext.broadcast(np.sort(paths.toArrow()["path"].to_numpy().view(np.uint64))))
+            if not len(opened[-1].value):
+                break
         else:
-            rows = starred.join(opened[-1], "path").select("node", "path").join(points, "node")
+            rows, opened = starred.join(paths, "path").select("node", "path").join(points, "node"), []
     return spark.read.parquet(*found)
 
 

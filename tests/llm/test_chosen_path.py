@@ -81,3 +81,35 @@ def test_links_of_a_tight_node_grow_with_its_documents(shared, tmp_path):
     links = chosen_path.candidates(marks, str(tmp_path / "links"), 80, 2)
     assert chosen_path.connected(links).select("root").distinct().count() == 1
     assert links.count() <= 40 * 2 * 2
+
+
+def near_copies(count: int, own: int) -> list[tuple[int, str]]:
+    """Texts that share a passage, and each have ``own`` words that nobody else has."""
+    base = [f"w{n}" for n in range(120)]
+    return [(n, " ".join([*base, *(f"own{n}x{k}" for k in range(own))])) for n in range(count)]
+
+
+def test_rows_of_deep_levels_are_made_once(shared, monkeypatch, tmp_path):
+    """A large open node costs its documents once a level: no join makes rows again for each level above."""
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    joins = []
+    frame = shared.createDataFrame(near_copies(60, 70), "doc_id long, text string")
+    marks = chosen_path.set_marks(frame, 2).selectExpr("doc_id AS node", "n_shingles AS n", "sketch_a", "sketch_b", "tokens")
+    kind = type(marks)
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: joins.append(how) or join(self, other, on, how))
+    chosen_path.candidates(marks, str(tmp_path / "levels"), 80, 3)
+    levels = sorted(tmp_path.glob("levels/level-*/rows"))
+    assert len(levels) > 2 and "left_semi" not in joins
+    sizes = [shared.read.parquet(str(path)).count() for path in levels]
+    assert max(sizes) <= 60 * 3 * 1.25 ** len(levels) + 60
+
+
+@pytest.mark.parametrize("most", [0, 40, 1_000_000])
+def test_many_open_paths_are_joined(shared, monkeypatch, most):
+    """Beyond the bound of the broadcast the levels go on from written rows, with the same classes."""
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    monkeypatch.setattr(chosen_path, "MOST_BROADCAST", most)
+    texts = families()
+    frame = shared.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {row.doc_id: (row.n_shingles, row.component_id) for row in near_documents(frame).collect()} == brute.components(texts, 2)
