@@ -33,6 +33,9 @@ GRAINS_PER_WINDOW = 2
 # Sequence ids carry the task's partition above these bits.
 SEQUENCE_BITS = 33
 
+# Entries of a worker's cache of encoded words: about 30 MB. A worker outlives its stage, and more entries are no faster.
+CACHE_ENTRIES = 200_000
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 Item = tuple[int, int, int]  # document, first token, tokens
 
@@ -169,13 +172,13 @@ def text_encoder(path: str, end: int):
 
     Its cache lives as long as the worker process.
     """
-    tokenizer, specials, encode = library(path), special_strings(path), piece_encoder(path)
-    known = Cache(lambda unit: np.array(encode(unit), "<u4").tobytes())
+    specials, encode = special_strings(path), piece_encoder(path)
+    known = Cache(lambda unit: np.array(encode(unit), "<u4").tobytes(), CACHE_ENTRIES)
     last = np.array([end], "<u4").tobytes()
 
     def tokens(text: str) -> np.ndarray:
         if needs_library(text, specials):
-            return np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end], "<u4")
+            return np.array([*library(path).encode(text, add_special_tokens=False).ids, end], "<u4")
         return np.frombuffer(b"".join([*map(known.__getitem__, units(text)), last]), "<u4")
 
     return tokens

@@ -53,7 +53,8 @@ def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
         docs = docs.sparkSession.read.parquet(path)
     columns = docs.columns
     files = sorted(row["file"] for row in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    # An Arrow table, as rows of Python would go through a second set of workers, which every executor then keeps.
+    numbers = docs.sparkSession.createDataFrame(pa.table({"_number": pa.array(range(len(files)), pa.int64()), "_file": pa.array(files, pa.string())}))
     held = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     key = F.col("_number") * (1 << _FILE_BITS) + F.col("_place")
     return held.join(F.broadcast(numbers), "_file").select(*columns, key.alias(name))

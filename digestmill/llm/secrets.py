@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import log10
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,11 +262,11 @@ def without_secrets(
     """
     shared = _shared_words(docs, text_col, words, most)
 
-    @F.pandas_udf("string")
-    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         costs = GuessCosts(shared.value)
         for texts in batches:
-            yield texts.map(lambda text: masked(text, mask, strong, costs), na_action="ignore")
+            yield pa.array([masked(text, mask, strong, costs) for text in texts.to_pylist()], pa.string())
 
     clean = docs.withColumn(text_col, redact(docs[text_col]))
     if n_chars_col is None:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from digestmill.llm.packing import differencing, pack_documents, pack_items
+from digestmill.llm.packing import differencing, pack_documents, pack_items, text_encoder
 
 
 def test_differencing_is_a_partition():
@@ -62,3 +63,15 @@ def test_odd_rows(odd):
     assert sum(piece["length"] for piece in pieces if piece["doc_id"] == 1) == 1
     assert pack_documents(odd.limit(0)).count() == 0
     assert {piece["length"] for piece in pieces_of(pack_documents(odd.filter("doc_id = 5"), capacity=2))} <= {1, 2}
+
+
+def test_cache_of_a_worker_stays_small():
+    """Words that hardly repeat are not all kept: a worker outlives its stage."""
+    tokens = text_encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+    tracemalloc.start()
+    try:
+        for start in range(0, 500_000, 1000):
+            tokens(" ".join(f"w{number}x" for number in range(start, start + 1000)))
+        assert tracemalloc.get_traced_memory()[0] < 50e6
+    finally:
+        tracemalloc.stop()

@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from digestmill.llm.quality_rules import quality_rules
+from digestmill.llm.rows import numbered_rows
 from digestmill.llm.secrets import STRONG, masked
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,14 @@ def test_stages_take_odd_rows(shared, odd):
         # No row of the odd ones passes the quality rules.
         assert (stage(shared, odd, SF).count() > 0) == (name != "quality rules")
         assert stage(shared, odd.limit(0), SF).count() == 0
+
+
+def test_rows_are_numbered_without_workers(documents, monkeypatch):
+    """The list of files reaches Spark without an RDD of Python rows, whose workers would stay on every executor."""
+
+    def refused(*_, **__):
+        raise AssertionError("rows of Python were handed to Spark")
+
+    monkeypatch.setattr(type(documents.sparkSession.sparkContext), "parallelize", refused)
+    numbers = [row["number"] for row in numbered_rows(documents, "number").select("number").collect()]
+    assert len(set(numbers)) == len(numbers) == documents.count()
