@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from digestmill.functions.scale import materialize, shared_folder
 from digestmill.llm.components import connected
-from digestmill.llm.rows import by_ids, numbered_rows, slim, without_rows
+from digestmill.llm.rows import by_ids, numbered_rows, release, released, slim, without_rows
 from digestmill.llm.shingles import packed, packed_rising, shingle_set, signature, unpacked, unpacked_rising
 
 PERCENT = 80
@@ -78,7 +78,7 @@ def shingle_summaries(texts: DataFrame) -> DataFrame:
     names = ["doc_id", "n_shingles", "sig_a", "sig_b", "prints"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sizes, marks, prints = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text)
@@ -128,7 +128,7 @@ def _fingerprint_blocks(buckets: int):
         prints: list[np.ndarray] = []
         ids: list[int] = []
         held = 0
-        for batch in batches:
+        for batch in released(batches):
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = unpacked_rising(data.as_py())
                 if doc_id is None or not len(values):
@@ -147,6 +147,7 @@ def _fingerprint_blocks(buckets: int):
 
 def _single_owners(group: pa.Table) -> pa.Table:
     """Owners of the fingerprints that one block has once and no other block has, by range of ids."""
+    release()
     values, owners = [], []
     for prints, holders, base in zip(*(group.column(name).to_pylist() for name in ("prints", "owners", "base")), strict=True):
         values.append(unpacked_rising(prints))
@@ -179,7 +180,7 @@ def token_blocks(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         block, held = (context.partitionId() if context else 0) << 32, 0
-        for batch in batches:
+        for batch in released(batches):
             numbers, sets = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text)
@@ -197,6 +198,7 @@ def rare_tokens(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
     """``token, doc_id``: of each set's rarest tokens, as many as a partner must share one of, those met elsewhere."""
 
     def listed(group: pa.Table) -> pa.Table:
+        release()
         block = group.column("block")[0].as_py()
         tokens = np.concatenate([np.frombuffer(data, np.uint64) for data in group.column("tokens").to_pylist()])
         values, counts = np.unique(tokens, return_counts=True)
@@ -223,6 +225,7 @@ def rare_tokens(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
         })
 
     def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         rows = sorted(zip(*(right.column(name).to_pylist() for name in ("bucket", "values", "counts")), strict=True))
         values = np.concatenate([unpacked_rising(data) for _, data, _ in rows]) if rows else np.empty(0, np.uint64)
         counts = np.concatenate([unpacked(data) for _, _, data in rows]) if rows else np.empty(0, np.uint64)
@@ -351,6 +354,7 @@ def search_cells(members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links that join components, within each unit of ``unit, part, cluster, doc_id, label, asks, tokens``."""
 
     def searched(group: pa.Table) -> pa.Table:
+        release()
         names = ("cluster", "doc_id", "label", "asks")
         by_id: dict[tuple[int, int], tuple[int, bool, int]] = {}
         for at, (cluster, doc_id, label, asks) in enumerate(zip(*(group.column(name).to_pylist() for name in names), strict=True)):

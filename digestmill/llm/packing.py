@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from digestmill.llm.pretokens import Cache, library, needs_library, piece_encoder, special_strings, units
-from digestmill.llm.rows import slim
+from digestmill.llm.rows import released, slim
 
 CAPACITY = 2048
 END_OF_DOCUMENT = 1
@@ -209,7 +209,7 @@ def pack_documents(
         context = TaskContext.get()
         packer = Packer(capacity, (context.partitionId() if context else 0) << SEQUENCE_BITS)
         kind = None
-        for batch in batches:
+        for batch in released(batches):
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, tokens_of(text))

@@ -32,6 +32,18 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Give back what Arrow keeps of earlier batches: a worker outlives its task, and its memory counts for the next stage."""
+    pa.default_memory_pool().release_unused()
+
+
+def released(batches: Iterable) -> Iterator:
+    """The same batches; Arrow keeps no memory of those that are done with."""
+    for batch in batches:
+        yield batch
+        release()
+
+
 def by_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of a slim frame whose id is in ``ids`` (``doc_id``, a table that is cheap to count)."""
     return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")

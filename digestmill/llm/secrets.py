@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from digestmill.functions.scale import materialize
-from digestmill.llm.rows import Span, in_order, largest, per_document, slim, span_digest, span_text
+from digestmill.llm.rows import Span, in_order, largest, per_document, released, slim, span_digest, span_text
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
@@ -265,7 +265,7 @@ def without_secrets(
     @F.arrow_udf("string")
     def redact(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         costs = GuessCosts(shared.value)
-        for texts in batches:
+        for texts in released(batches):
             yield pa.array([masked(text, mask, strong, costs) for text in texts.to_pylist()], pa.string())
 
     clean = docs.withColumn(text_col, redact(docs[text_col]))

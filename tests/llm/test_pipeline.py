@@ -5,8 +5,10 @@ from __future__ import annotations
 import brute
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from digestmill.llm import rows
 from digestmill.llm.quality_rules import quality_rules
 from digestmill.llm.rows import numbered_rows
 from digestmill.llm.secrets import STRONG, masked
@@ -59,3 +61,25 @@ def test_rows_are_numbered_without_workers(documents, monkeypatch):
     monkeypatch.setattr(type(documents.sparkSession.sparkContext), "parallelize", refused)
     numbers = [row["number"] for row in numbered_rows(documents, "number").select("number").collect()]
     assert len(set(numbers)) == len(numbers) == documents.count()
+
+
+def test_workers_give_memory_back(shared):
+    """Between tasks a worker holds little of the batches it has read, as the same worker serves the next stage."""
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in rows.released(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    table = shared.range(10).mapInArrow(kept, "n long")
+    assert sum(row["n"] for row in table.collect()) == 10
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rows.pa, "default_memory_pool", Pool)
+        assert list(rows.released(iter("abc"))) == ["a", "b", "c"] and len(calls) == 3
